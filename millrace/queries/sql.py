@@ -37,10 +37,10 @@ def direct_files(spark, folder):
         f"SELECT p_brand, count(*) AS n FROM parquet.`{path_of(folder, 'part')}` GROUP BY p_brand")
 
 
-# Rank and previous price of each customer's orders. Slices of 10,000 in price.
+# Rank and previous price of each customer's orders. Slices of 100 in price.
 _WINDOW = """
 WITH sliced AS (
-  SELECT o_custkey, o_orderkey, o_totalprice, CAST(floor(o_totalprice / 10000) AS BIGINT) AS slice
+  SELECT o_custkey, o_orderkey, o_totalprice, CAST(floor(o_totalprice / 100) AS BIGINT) AS slice
   FROM orders
 ), local AS (
   SELECT *,
@@ -63,10 +63,10 @@ SELECT l.o_custkey, l.o_orderkey, CAST(f.before + l.place AS BIGINT) AS position
 FROM local l JOIN offsets f ON l.o_custkey = f.o_custkey AND l.slice = f.slice
 """
 
-# Last purchase of the same user at or before each event. Slices of one hour.
+# Last purchase of the same user at or before each event. Slices of one minute.
 _ASOF = """
 WITH sliced AS (
-  SELECT event_id, user_id, ts, event_type, value, date_trunc('hour', ts) AS slice FROM events
+  SELECT event_id, user_id, ts, event_type, value, date_trunc('minute', ts) AS slice FROM events
 ), local AS (
   SELECT event_id, user_id, slice,
     max(CASE WHEN event_type = 'purchase' THEN struct(ts, event_id, value) END)

@@ -59,7 +59,6 @@ def read_files(
             sep="\t" if _suffix(paths[0]) == ".tsv" else ",",
             escape='"',
             preferDate=True,
-            timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
         )
     if fmt == "json" and _suffix(paths[0]) == ".json" and not (options or {}).get("multiLine"):
         # A .json file is either one array or one object per line.

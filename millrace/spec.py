@@ -55,7 +55,7 @@ class PipelineSpec:
     checks: list[dict] = field(default_factory=list)
     alerts: dict[str, Any] = field(default_factory=lambda: {"on_failure": "none"})
     # Ours.
-    compression: str = "zstd"
+    compression: str = "snappy"
     single_file: bool = False
     overwrite: str = "all"
     count_source: bool = True

@@ -39,7 +39,10 @@ def oracle(folder):
 
 def compare(spark, con, folder, name):
     """None when equal, else what differs."""
-    df = entry.queries()[name](spark, folder)
+    return compare_frame(entry.queries()[name](spark, folder), con, name)
+
+
+def compare_frame(df, con, name):
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
     text = entry.oracle_sql().get(name)
     if text is None:
