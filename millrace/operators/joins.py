@@ -1,20 +1,30 @@
 """Join steps: prefixes, clash renaming and shapes a hot key cannot stall.
 
-The adaptive planner splits a hot key's partition on both sides of an inner join,
-but only on the preserved side of an outer join and on neither side of a full
-join. An outer join on key equality is therefore written as the inner join plus
-the unmatched rows, which an anti join against the distinct keys of the other
-side finds; the distinct keys are reduced before they are shuffled.
+The adaptive planner splits a hot key on both sides of an inner join, but only on
+the preserved side of a left or right join and on neither side of a full join. The
+other sides are handled here, for joins on key equality:
+
+* a right side measured small is broadcast, whatever the join type;
+* otherwise the hot keys of a side that would not be split are found by a count over
+  its key columns, their rows are dealt out over salts, and the rows of the other
+  side are repeated once per salt. A hot key is known to occur, so a repeated row
+  that finds nothing under its salt has its match under another and is dropped.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _QUOTED_OR_PREFIX = re.compile(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")|\b(left|right)\.", re.I)
+# A key with fewer rows than this is no burden for one task.
+HOT_ROWS = 4_000_000
+NULL_KEY_SALTS = 1024
+
 _EQUALITY = re.compile(r"^\s*(left|right)\.(\w+)\s*=\s*(left|right)\.(\w+)\s*$", re.I)
 
 
@@ -58,40 +68,118 @@ def join_step(
     *,
     right_is_small: bool = False,
     skew_safe: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All left columns, then all right columns, clashes renamed.
 
     ``right_is_small`` says the right side was measured below the broadcast
-    threshold: a left join then needs no shuffle at all and stays one join.
+    threshold. ``skew_safe=False`` leaves everything to the planner.
     """
     names = clash_names(left.columns, right.columns)
     condition = F.expr(rewrite_prefixes(on))
     keys = equality_keys(on)
-    one_join = (
-        how == "inner"
-        or keys is None
-        or not skew_safe
-        or (how == "left" and right_is_small)
-    )
-    if one_join:
+    if how == "inner" or keys is None or not skew_safe or (how == "left" and right_is_small):
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
         return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    if right_is_small:
+        return _join_small_right(left, right, on, how, names, keys)
+    return _join_salted(left, right, condition, how, names, keys, hot_rows)
+
 
+def needs_left_twice(how: str, on: str, skew_safe: bool = True) -> bool:
+    """Does the shape of this join read its left side a second time?"""
+    return how in ("right", "full") and skew_safe and equality_keys(on) is not None
+
+
+def _join_small_right(left, right, on, how, names, keys) -> DataFrame:
+    """Right or full join without a shuffle of the left rows: the join that needs no
+    unmatched right rows, plus those rows, found by the few keys that did match."""
     left_keys, right_keys = keys
-    out = join_step(left, right, on, "inner")
+    condition = F.expr(rewrite_prefixes(on))
+    matched = join_step(
+        left, right, on, "left" if how == "full" else "inner", right_is_small=True
+    )
+    wanted = right.select(*_distinct_names(right_keys)).distinct()
+    seen = (
+        left.select(*_distinct_names(left_keys)).alias("left_tbl")
+        .join(wanted.alias("right_tbl"), condition, "left_semi")
+        .distinct()
+    )
+    unmatched = right.alias("right_tbl").join(seen.alias("left_tbl"), condition, "left_anti")
+    return matched.unionByName(
+        unmatched.select(*_nulls(left, left.columns), *_columns("right_tbl", right, names))
+    )
+
+
+def _join_salted(left, right, condition, how, names, keys, hot_rows) -> DataFrame:
+    left_keys, right_keys = keys
+    hot_right = hot_left = None
     if how in ("left", "full"):
-        seen = right.select(*_distinct_names(right_keys)).distinct()
-        unmatched = left.alias("left_tbl").join(seen.alias("right_tbl"), condition, "left_anti")
-        out = out.unionByName(
-            unmatched.select(*_columns("left_tbl", left), *_nulls(right, names))
-        )
+        hot_right = _hot_keys(right, right_keys, hot_rows, "_hr")
     if how in ("right", "full"):
-        seen = left.select(*_distinct_names(left_keys)).distinct()
-        unmatched = right.alias("right_tbl").join(seen.alias("left_tbl"), condition, "left_anti")
-        out = out.unionByName(
-            unmatched.select(*_nulls(left, left.columns), *_columns("right_tbl", right, names))
-        )
-    return out
+        hot_left = _hot_keys(left, left_keys, hot_rows, "_hl")
+    left_side = _with_salt(left, left_keys, hot_left, "_hl", hot_right, "_hr", first="_hr")
+    right_side = _with_salt(right, right_keys, hot_right, "_hr", hot_left, "_hl", first="_hr")
+    joined = left_side.alias("left_tbl").join(
+        right_side.alias("right_tbl"),
+        condition & (F.col("left_tbl._salt") == F.col("right_tbl._salt")),
+        how,
+    )
+    lone_copy = (F.col("left_tbl._repeated") & F.col("right_tbl._salt").isNull()) | (
+        F.col("right_tbl._repeated") & F.col("left_tbl._salt").isNull()
+    )
+    return joined.where(~F.coalesce(lone_copy, F.lit(False))).select(
+        *_columns("left_tbl", left), *_columns("right_tbl", right, names)
+    )
+
+
+def _hot_keys(side: DataFrame, keys: list[str], hot_rows: int, mark: str) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and the number of salts each needs. There
+    are fewer of them than rows / hot_rows, which bounds what is broadcast."""
+    distinct = _distinct_names(keys)
+    counted = side.select(*distinct).na.drop().groupBy(*distinct).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    hot = counted.where(F.col("_rows") > hot_rows).select(
+        *[F.col(k).alias(f"{mark}_{i}") for i, k in enumerate(keys)],
+        F.ceil(F.col("_rows") / hot_rows).cast("int").alias(f"{mark}_salts"),
+    )
+    return F.broadcast(hot)
+
+
+def _with_salt(side, keys, own, own_mark, other, other_mark, first) -> DataFrame:
+    """``side`` with ``_salt`` and ``_repeated``. Rows of its own hot keys are spread,
+    rows of the other side's hot keys repeated; a key hot on both sides follows the
+    mark ``first``. Rows without a key match nothing and are spread as well."""
+    for hot, mark in ((own, own_mark), (other, other_mark)):
+        if hot is not None:
+            same = [F.col(k).eqNullSafe(F.col(f"{mark}_{i}")) for i, k in enumerate(keys)]
+            side = side.join(hot, reduce(and_, same), "left")
+    position = F.monotonically_increasing_id()
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    spread_by = F.when(no_key, F.lit(NULL_KEY_SALTS))
+    repeat_by = F.lit(None).cast("int")
+    if own is not None:
+        mine = F.col(f"{own_mark}_salts")
+        if own_mark != first and other is not None:
+            mine = F.when(F.col(f"{other_mark}_salts").isNull(), mine)
+        spread_by = F.coalesce(spread_by, mine)
+    if other is not None:
+        theirs = F.col(f"{other_mark}_salts")
+        if other_mark != first and own is not None:
+            theirs = F.when(F.col(f"{own_mark}_salts").isNull(), theirs)
+        repeat_by = theirs
+    spread = F.coalesce(F.pmod(position, spread_by), F.lit(0)).cast("int")
+    kept = [c for c in side.columns if not c.startswith(("_hr_", "_hl_"))]
+    side = side.select(*kept, repeat_by.alias("_repeat_by"), spread.alias("_spread"))
+    salts = F.when(
+        F.col("_repeat_by").isNotNull(), F.sequence(F.lit(0), F.col("_repeat_by") - 1)
+    ).otherwise(F.array("_spread"))
+    if other is None:
+        return side.select(*kept, F.col("_spread").alias("_salt"), F.lit(False).alias("_repeated"))
+    return side.select(
+        *kept, F.col("_repeat_by").isNotNull().alias("_repeated"), F.explode(salts).alias("_salt")
+    )
 
 
 def _columns(alias: str, df: DataFrame, names: list[str] | None = None) -> list[Column]:

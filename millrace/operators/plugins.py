@@ -181,18 +181,21 @@ def _run_grouped(df, name, function, params, shape, group_by, chunk_rows):
     """Rows of one key meet in order in a task and are cut into bounded pieces.
 
     Groups above ``chunk_rows`` rows have to be cut anyway, so their rows are dealt
-    out evenly to all tasks instead of meeting in one; copies of one row spread too.
+    out to several tasks instead of meeting in one; copies of one row spread too.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_rows"))
     large = counts.where(F.col("_rows") > chunk_rows).select(
-        *[F.col(c).alias(f"_large_{c}") for c in group_by]
+        *[F.col(c).alias(f"_large_{c}") for c in group_by],
+        F.ceil(F.col("_rows") / chunk_rows).alias("_parts"),
     )
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in group_by])
-    spread = df.join(large, same, "left_semi").repartition(parts)
-    gathered = df.join(large, same, "left_anti").repartition(*map(F.col, group_by))
-    arranged = gathered.sortWithinPartitions(*group_by).union(
-        spread.sortWithinPartitions(*group_by)
+    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0))
+    arranged = (
+        df.join(large, same, "left")
+        .select(*df.columns, part.alias("_part"))
+        .repartition(*map(F.col, group_by), F.col("_part"))
+        .sortWithinPartitions(*group_by)
+        .drop("_part")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.operators.joins import join_step
+from millrace.operators.joins import join_step, needs_left_twice
 from millrace.operators.plugins import PluginRegistry, plugin_step
+from millrace.session import cut_lineage
 from millrace.sources.catalog import named_dataset
 from millrace.sources.files import read_files
 from millrace.spec import check_step
@@ -56,12 +57,27 @@ def apply_step(
 
 
 def apply_steps(df: DataFrame, steps: Iterable[dict], **context) -> DataFrame:
-    """All steps in order; the optimizer sees them as one plan."""
+    """All steps in order; the optimizer sees them as one plan.
+
+    The one exception: a right or full join reads its left side twice, so from the
+    second such join on the left side is written to the shared folder first.
+    """
+    doubled = False
     for step in steps:
+        twice = reads_input_twice(step)
+        if twice and doubled:
+            df = cut_lineage(df)
+        doubled = doubled or twice
         df = apply_step(df, step, **context)
     return df
 
 
+def reads_input_twice(step: dict) -> bool:
+    return step.get("type") == "join" and needs_left_twice(
+        step.get("join_type"), step.get("on", ""), step.get("skew_safe", True)
+    )
+
+
 def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     spark = df.sparkSession
     small = False
@@ -70,14 +86,8 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     else:
         right = read_files(spark, step["right_path"])
         small = 0 < storage.size_bytes(spark, step["right_path"]) <= _broadcast_limit(spark)
-    return join_step(
-        df,
-        right,
-        step["on"],
-        step["join_type"],
-        right_is_small=small,
-        skew_safe=step.get("skew_safe", True),
-    )
+    on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
+    return join_step(df, right, on, how, right_is_small=small, skew_safe=skew_safe)
 
 
 def _broadcast_limit(spark) -> int:

@@ -14,10 +14,10 @@ from millrace.operators.access import denied_paths
 from millrace.operators.checks import run_checks
 from millrace.operators.plugins import PluginRegistry
 from millrace.operators.sinks import append_rows, publish, stage
-from millrace.operators.steps import apply_step
+from millrace.operators.steps import apply_step, apply_steps, reads_input_twice
 from millrace.params import resolve
 from millrace.plans.resume import StepStore
-from millrace.session import run_session
+from millrace.session import cut_lineage, run_session
 from millrace.sources import read_source
 from millrace.sources.catalog import dataset_paths, register_datasets, resolve_dataset
 from millrace.sources.files import require_match
@@ -87,9 +87,7 @@ def pipeline_frame(
     run = _Run(spark, datasets or {}, None, plugins or PluginRegistry())
     spec = resolve(spec, now)
     df = run.source(spec)
-    for step in spec.transforms:
-        df = apply_step(df, step, plugins=run.plugins, datasets=run.datasets)
-    return df
+    return apply_steps(df, spec.transforms, plugins=run.plugins, datasets=run.datasets)
 
 
 class _Run:
@@ -148,10 +146,13 @@ class _Run:
         done = store.last_finished() if store else -1
         if done >= 0:
             df = store.load(done)
+        doubled = False
         for index, step in enumerate(spec.transforms):
             if index <= done:
                 continue
             self.step = f"step_{index}"
+            if reads_input_twice(step) and not store:
+                df, doubled = (cut_lineage(df) if doubled else df), True
             df = apply_step(df, step, plugins=self.plugins, datasets=self.datasets)
             if store:
                 df = store.save(index, df)

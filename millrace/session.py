@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -19,7 +19,8 @@ _RUN_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
+    "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
 }
 
 
@@ -57,3 +58,11 @@ def work_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, purpose: str) -> str:
     """A path nobody else uses, under :func:`work_root`."""
     return f"{work_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder, so that what made
+    them runs once however often the result is used."""
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,20 +68,25 @@ def test_small_right_side_needs_no_shuffle(session):
     assert text.count("FileScan") == 2
 
 
-@pytest.mark.parametrize("how", ["left", "right", "full"])
-def test_large_outer_joins_use_only_joins_that_split_hot_keys(big, how):
+@pytest.mark.parametrize("how, extra_scans", [("left", 2), ("right", 2), ("full", 4)])
+def test_large_outer_joins_salt_hot_keys_in_one_join(big, how, extra_scans):
     text = plan(join_step(table(big, "orders"), table(big, "lineitem"),
                           "left.o_orderkey = right.l_orderkey", how))
-    kinds = set(re.findall(r"SortMergeJoin \[[^]]*\], \[[^]]*\], (\w+)", text))
-    assert kinds == {"Inner", "LeftAnti"}
-    # The other side of an anti join arrives as distinct keys.
-    assert text.count("LeftAnti") == text.count("HashAggregate") / 2
-
-
-def test_anti_side_is_reduced_before_its_shuffle(big):
-    text = plan(join_step(table(big, "orders"), table(big, "lineitem"),
-                          "left.o_orderkey = right.l_orderkey", "left"))
-    assert re.search(r"Exchange hashpartitioning\(l_orderkey[^\n]*\n[^\n]*HashAggregate", text)
+    assert text.count("SortMergeJoin") == 1
+    assert re.search(r"SortMergeJoin \[o_orderkey#\d+L, _salt", text)
+    # Hot keys are counted on key columns only and arrive by broadcast.
+    scans = re.findall(r"ReadSchema: (struct<[^\n]*)", text)
+    assert len(scans) == 2 + extra_scans
+    assert sum(scan.count(":") == 1 for scan in scans) == extra_scans
+    assert text.count("BroadcastHashJoin") == extra_scans
+
+
+@pytest.mark.parametrize("how", ["right", "full"])
+def test_small_right_side_is_broadcast_in_every_join(session, how):
+    text = plan(join_step(table(session, "lineitem"), table(session, "orders"),
+                          "left.l_orderkey = right.o_orderkey", how, right_is_small=True))
+    assert "SortMergeJoin" not in text
+    assert not re.search(r"Exchange hashpartitioning\(l_orderkey[^\n]*\n[^\n]*FileScan", text)
 
 
 def test_top_n_per_key_is_limited_before_the_shuffle(session):

@@ -69,23 +69,41 @@ def test_clash_names():
     assert clash_names(["id", "id_1"], ["id"]) == ["id_2"]
 
 
-LEFT = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (5, None), (7, "h")] + [(9, "hot")] * 40
-RIGHT = [(1, 10), (1, 11), (3, 12), (None, 13), (7, None), (8, 1)] + [(9, 99)] * 30
+
+SHAPES = [
+    ("left.k = right.k", True), ("left.k = right.k", False),
+    ("left.k = right.k AND left.t = right.t", False), ("left.k >= right.k AND right.v > 11", False),
+]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
-@pytest.mark.parametrize("on", ["left.k = right.k", "left.k = right.k AND left.k = right.k",
-                                "left.k >= right.k AND right.v > 11"])
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("on, small", SHAPES)
 def test_join_shapes_equal_the_plain_join(spark, how, on, small):
-    l = spark.createDataFrame(LEFT, "k long, t string")
-    r = spark.createDataFrame(RIGHT, "k long, v long")
-    shaped = join_step(l, r, on, how, right_is_small=small)
+    """Keys hot on the left (4), on the right (6), on both (9), and without a match
+    (5, 3); missing keys on both sides."""
+    left = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (6, "a"), (7, None)]
+    left += [(9, "h")] * 40 + [(4, "x")] * 35 + [(5, "lone")] * 30
+    right = [(1, 10, "a"), (1, 11, "z"), (2, 12, "c"), (None, 13, "d"), (4, 14, "x"), (7, 1, None)]
+    right += [(9, 99, "h")] * 30 + [(6, 2, "a")] * 45 + [(3, 0, "lone")] * 30
+    l = spark.createDataFrame(left, "k long, t string").repartition(3)
+    r = spark.createDataFrame(right, "k long, v long, t string").repartition(3)
+    shaped = join_step(l, r, on, how, right_is_small=small, hot_rows=8)
     plain = join_step(l, r, on, how, skew_safe=False)
-    assert shaped.columns == ["k", "t", "k_1", "v"]
+    assert shaped.columns == ["k", "t", "k_1", "v", "t_1"]
     assert rows(shaped) == rows(plain)
 
 
+def test_later_right_joins_do_not_repeat_the_earlier_steps(spark, left, make, monkeypatch):
+    from millrace.operators import steps as module
+
+    cuts = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df: cuts.append(1) or df)
+    path = make("r.parquet", [("A", 7)], "category string, x long")
+    step = {"type": "join", "right_path": path, "on": "left.category = right.category"}
+    apply_steps(left, [{**step, "join_type": how} for how in ("full", "left", "right", "full")])
+    assert len(cuts) == 2
+
+
 def test_join_keys_of_different_types(spark):
     l = spark.createDataFrame([(1,), (2,)], "k long")
     r = spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
