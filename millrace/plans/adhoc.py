@@ -51,7 +51,7 @@ def run_sql(
         if denied:
             raise PermissionError("Access denied to: " + ", ".join(denied))
     session = run_session(spark)
-    register_datasets(session, datasets or {})
+    register_datasets(session, datasets or {}, query)
     for name, path in (views or {}).items():
         read_files(session, path).createOrReplaceTempView(name)
     return session.sql(_file_views(session, clean_query(query)))

@@ -21,7 +21,7 @@ from millrace.session import cut_lineage, run_session
 from millrace.sources import read_source
 from millrace.sources.catalog import dataset_paths, register_datasets, resolve_dataset
 from millrace.sources.files import require_match
-from millrace.spec import PipelineSpec
+from millrace.spec import PipelineSpec, sql_texts
 
 RUNS_DDL = (
     "run_id string, pipeline_name string, status string, started_at timestamp_ntz, "
@@ -100,7 +100,6 @@ class _Run:
         self.plugins = plugins
         self.step = "init"
         self.rows_in = 0
-        register_datasets(self.spark, datasets)
 
     def execute(self, spec, now, started) -> RunResult:
         self.step = "validate"
@@ -110,7 +109,7 @@ class _Run:
         self.step = "data_access"
         self._check_access(spec)
         self.step = "source"
-        df = self.source(spec)
+        df = self.source(spec, once=True)
         self.step = "extract_count"
         if spec.count_source:
             self.rows_in = df.count()
@@ -136,11 +135,15 @@ class _Run:
             warnings=_warnings(spec, staged.rows), run_id=uuid.uuid4().hex,
         )
 
-    def source(self, spec: PipelineSpec) -> DataFrame:
+    def source(self, spec: PipelineSpec, once: bool = False) -> DataFrame:
+        """The source as a DataFrame. ``once`` keeps what a remote service answered in
+        the shared folder: asking again could give other rows."""
+        register_datasets(self.spark, self.datasets, *sql_texts(spec))
         kind, config = _source_of(spec, self.datasets)
         if kind == "file":
             require_match(self.spark, config["path"])
-        return read_source(self.spark, kind, config)
+        df = read_source(self.spark, kind, config)
+        return cut_lineage(df) if once and kind == "http" else df
 
     def _transform(self, df, spec, store):
         done = store.last_finished() if store else -1

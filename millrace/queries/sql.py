@@ -105,7 +105,7 @@ PIVOT (count(*) FOR event_type IN ('view', 'click', 'purchase', 'signup', 'error
 """
 
 _UNNEST = """
-SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs
+SELECT word, count(*) AS n, min(doc_id) AS first_doc
 FROM (SELECT doc_id, explode(split(text, ' ', -1)) AS word FROM documents)
 GROUP BY word
 """
@@ -198,7 +198,7 @@ QUERIES = {
     ),
     "sql_unnest": (
         sql_query(_UNNEST, ["documents"]),
-        """SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs
+        """SELECT word, count(*) AS n, min(doc_id) AS first_doc
            FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1""",
     ),
     "sql_json": (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,11 @@ def resolve_dataset(name: str, saved: dict[str, dict]) -> dict:
     return saved[name]
 
 
-def register_datasets(spark: SparkSession, saved: dict[str, dict]) -> None:
-    """Every saved dataset as a temporary view of this session."""
+def register_datasets(spark: SparkSession, saved: dict[str, dict], *texts: str) -> None:
+    """The saved datasets that SQL texts name, as temporary views of this session."""
     for name in saved:
-        named_dataset(spark, name, saved).createOrReplaceTempView(name)
+        if any(re.search(rf"\b{re.escape(name)}\b", text, re.I) for text in texts):
+            named_dataset(spark, name, saved).createOrReplaceTempView(name)
 
 
 def dataset_paths(saved_entry: dict) -> list[str]:

@@ -107,6 +107,15 @@ class PipelineSpec:
         _check_alerts(self.alerts)
 
 
+def sql_texts(spec: PipelineSpec) -> list[str]:
+    """Every SQL fragment of a spec."""
+    texts = []
+    for item in [*spec.transforms, *spec.checks]:
+        for value in item.values():
+            texts += [str(v) for v in value] if isinstance(value, list) else [str(value)]
+    return texts
+
+
 def parse_size(text: str) -> int:
     """Bytes named by a size such as ``200MB``."""
     match = re.match(SIZE_PATTERN, str(text), re.IGNORECASE)

@@ -16,7 +16,7 @@ from millrace.params import resolve
 from millrace.session import run_session
 from millrace.sources.catalog import register_datasets
 from millrace.sources.files import detect_format
-from millrace.spec import PipelineSpec
+from millrace.spec import PipelineSpec, sql_texts
 
 BATCH_COLUMN = "batch_id"
 
@@ -45,7 +45,7 @@ def run_incremental(
     """
     spec = resolve(spec)
     session = run_session(spark)
-    register_datasets(session, datasets or {})
+    register_datasets(session, datasets or {}, *sql_texts(spec))
     total = _aggregates(spec)
     df = _stream(session, spec, schema)
     for step in spec.transforms:
