@@ -78,7 +78,8 @@ def join_step(
     names = clash_names(left.columns, right.columns)
     condition = F.expr(rewrite_prefixes(on))
     keys = equality_keys(on)
-    if how == "inner" or keys is None or not skew_safe or (how == "left" and right_is_small):
+    plain = how == "inner" or keys is None or not skew_safe or left.isStreaming
+    if plain or (how == "left" and right_is_small):
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
         return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
     if right_is_small:

@@ -3,9 +3,11 @@
 A plugin is ``transform(table, params) -> table`` over ``pyarrow.Table``. Three
 ways to run one, none of which gathers an unbounded group in a task:
 
-* chunked (default): any partition, at most ``chunk_rows`` rows per call;
-* by group: rows of one key per call, in pieces of at most ``chunk_rows`` rows;
-* whole: one call over the whole input, refused above ``max_rows``.
+* chunk (``chunk_rows`` is set): in parallel, at most that many rows per call;
+* group (``group_by`` is set): rows of one key per call, in pieces of bounded size;
+* whole (neither is set): one call over the whole input, for results of bounded size
+  such as an aggregate. It fails above ``max_rows`` rather than cut the input, since
+  a plugin that needs all rows would then give wrong results.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def plugin_step(df: DataFrame, step: dict, plugins: PluginRegistry) -> DataFrame
     function = plugins.load(name)
     params = step.get("params") or {}
     chunk_rows = int(step.get("chunk_rows") or 0) or DEFAULT_CHUNK_ROWS
-    mode = step.get("mode") or ("group" if step.get("group_by") else "chunk")
+    mode = plugin_mode(step)
     shape = _Shape.of(df, name, function, params, step.get("schema"))
     if mode == "whole":
         return _run_whole(df, name, function, params, shape, step.get("max_rows"))
@@ -90,6 +92,14 @@ def plugin_step(df: DataFrame, step: dict, plugins: PluginRegistry) -> DataFrame
     )
 
 
+def plugin_mode(step: dict) -> str:
+    if step.get("mode"):
+        return step["mode"]
+    if step.get("group_by"):
+        return "group"
+    return "chunk" if step.get("chunk_rows") else "whole"
+
+
 def row_chunks(
     df: DataFrame, name: str, function: Plugin, params: dict, chunk_rows: int, schema=None
 ) -> DataFrame:

@@ -31,15 +31,20 @@ class Staged:
 
 def stage(df: DataFrame, spec: PipelineSpec) -> Staged:
     """Write the plan once, next to the target, counting rows on the way."""
+    spark = df.sparkSession
     parent, name = storage.parent_of(spec.sink_path), storage.name_of(spec.sink_path)
     path = f"{parent}/_staging-{name}-{uuid.uuid4().hex}"
-    rows = write_parquet(
-        df,
-        path,
-        partition_by=spec.partition_by,
-        compression=spec.compression,
-        row_group_size=spec.row_group_size,
-    )
+    try:
+        rows = write_parquet(
+            df,
+            path,
+            partition_by=spec.partition_by,
+            compression=spec.compression,
+            row_group_size=spec.row_group_size,
+        )
+    except Exception:
+        storage.delete(spark, path)
+        raise
     return Staged(path, df.schema, rows)
 
 

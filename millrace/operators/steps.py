@@ -85,11 +85,18 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
         right = named_dataset(spark, step["right_dataset"], datasets)
     else:
         right = read_files(spark, step["right_path"])
-        small = 0 < storage.size_bytes(spark, step["right_path"]) <= _broadcast_limit(spark)
+        small = _is_small(spark, step["right_path"])
     on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
     return join_step(df, right, on, how, right_is_small=small, skew_safe=skew_safe)
 
 
+def _is_small(spark, path: str) -> bool:
+    """Measured below the size up to which the planner broadcasts files."""
+    if storage.is_http(path):
+        return False
+    return 0 < storage.size_bytes(spark, path) <= _broadcast_limit(spark)
+
+
 def _broadcast_limit(spark) -> int:
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     units = {"k": 10, "m": 20, "g": 30}

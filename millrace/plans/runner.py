@@ -63,7 +63,11 @@ def run_pipeline(
     run = _Run(spark, datasets or {}, roles, plugins or PluginRegistry())
     name = spec.name if isinstance(spec, PipelineSpec) else str(spec.get("name"))
     try:
-        result = run.execute(spec, now, started)
+        try:
+            result = run.execute(spec, now, started)
+        finally:
+            for path in run.cuts:
+                storage.delete(spark, path)
     except Exception as exc:
         error = exc if isinstance(exc, PipelineError) else PipelineError(name, run.step, str(exc))
         failed = RunResult(name, "failed", started, _utc_now(), run.rows_in, 0, str(error))
@@ -100,6 +104,7 @@ class _Run:
         self.plugins = plugins
         self.step = "init"
         self.rows_in = 0
+        self.cuts: list[str] = []
 
     def execute(self, spec, now, started) -> RunResult:
         self.step = "validate"
@@ -143,7 +148,8 @@ class _Run:
         if kind == "file":
             require_match(self.spark, config["path"])
         df = read_source(self.spark, kind, config)
-        return cut_lineage(df) if once and kind == "http" else df
+        remote = kind == "http" or (kind == "file" and storage.is_http(config["path"]))
+        return cut_lineage(df, self.cuts) if once and remote else df
 
     def _transform(self, df, spec, store):
         done = store.last_finished() if store else -1
@@ -155,7 +161,7 @@ class _Run:
                 continue
             self.step = f"step_{index}"
             if reads_input_twice(step) and not store:
-                df, doubled = (cut_lineage(df) if doubled else df), True
+                df, doubled = (cut_lineage(df, self.cuts) if doubled else df), True
             df = apply_step(df, step, plugins=self.plugins, datasets=self.datasets)
             if store:
                 df = store.save(index, df)

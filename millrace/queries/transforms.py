@@ -157,7 +157,7 @@ def resume_after_stop(spark, folder):
         folder, "orders",
         where("o_orderstatus <> 'P'"),
         aggregate(["o_custkey"], "count(*) AS n", f"{money('o_totalprice')} AS total"),
-        plugin("switched"),
+        plugin("switched", chunk_rows=1000),
         name="customer_totals", sink_path=sink, checkpointing=True,
     )
     plugins = PluginRegistry({"switched": switched})
@@ -346,7 +346,7 @@ QUERIES = {
            FROM orders l JOIN orders r ON l.o_orderkey = r.o_orderkey""",
     ),
     "plugin_rowwise": (
-        steps_query("lineitem", plugin("discounted"), plugins=PLUGINS),
+        steps_query("lineitem", plugin("discounted", chunk_rows=50_000), plugins=PLUGINS),
         "SELECT l_orderkey, l_linenumber, l_extendedprice * (1.0::DOUBLE - l_discount) AS disc_price "
         "FROM lineitem",
     ),
@@ -378,7 +378,7 @@ QUERIES = {
         steps_query(
             "events",
             aggregate(["event_type"], "count(*) AS n"),
-            plugin("share_of_total", mode="whole"),
+            plugin("share_of_total"),
             plugins=PLUGINS,
         ),
         """SELECT event_type, n, n::DOUBLE / sum(n) OVER () AS share

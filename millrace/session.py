@@ -60,9 +60,11 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{work_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """The same rows read back from a table in the shared folder, so that what made
-    them runs once however often the result is used."""
+    them runs once however often the result is used. ``made`` collects the paths."""
     path = work_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import storage
 from millrace.params import dated_paths, run_date_pattern
+from millrace.sources.http import read_http
 
 # Extension -> reader; everything else is Parquet.
 FORMAT_OF_SUFFIX = {
@@ -44,10 +45,12 @@ def read_files(
 ) -> DataFrame:
     """Read files as one relation; the reader follows the extension.
 
-    ``**`` in a path searches folders recursively. Give ``schema`` for large CSV
+    ``**`` in a path searches folders recursively; ``http(s)`` paths are fetched. Give ``schema`` for large CSV
     or JSON inputs: inference is an extra pass over the text.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    if storage.is_http(paths[0]):
+        return read_http(spark, {"urls": paths, "schema": schema})
     fmt = detect_format(paths[0])
     reader = spark.read.format(fmt)
     if schema is not None:

@@ -13,6 +13,10 @@ def is_remote(path: str) -> bool:
     return path.lower().startswith(REMOTE_SCHEMES)
 
 
+def is_http(path: str) -> bool:
+    return path.lower().startswith(("http://", "https://"))
+
+
 def storage_uri(spark: SparkSession, path: str) -> str:
     """Spell a path the way the configured Hadoop file systems expect it."""
     scheme, sep, rest = path.partition("://")

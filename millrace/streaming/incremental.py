@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace import storage
 from millrace.errors import CheckFailure, PipelineError, SpecError
 from millrace.operators.checks import run_checks
-from millrace.operators.plugins import PluginRegistry
+from millrace.operators.plugins import PluginRegistry, plugin_mode
 from millrace.operators.sinks import staged_overwrite
 from millrace.operators.steps import apply_step
 from millrace.params import resolve
 from millrace.session import run_session
-from millrace.sources.catalog import register_datasets
+from millrace.sources.catalog import register_datasets, resolve_dataset
 from millrace.sources.files import detect_format
 from millrace.spec import PipelineSpec, sql_texts
 
@@ -47,7 +47,7 @@ def run_incremental(
     session = run_session(spark)
     register_datasets(session, datasets or {}, *sql_texts(spec))
     total = _aggregates(spec)
-    df = _stream(session, spec, schema)
+    df = _stream(session, _source_path(spec, datasets or {}), schema)
     for step in spec.transforms:
         df = apply_step(df, step, plugins=plugins, datasets=datasets)
     result = IncrementalResult(0, 0)
@@ -76,8 +76,16 @@ def read_incremental(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(storage.storage_uri(spark, path)).drop(BATCH_COLUMN)
 
 
-def _stream(session: SparkSession, spec: PipelineSpec, schema) -> DataFrame:
-    path = storage.storage_uri(session, spec.source_config["path"])
+def _source_path(spec: PipelineSpec, datasets: dict[str, dict]) -> str:
+    saved = spec.source_config.get("connector_name")
+    config = resolve_dataset(saved, datasets)["config"] if saved else spec.source_config
+    if "path" not in config:
+        raise SpecError("an incremental run reads files; the source needs a path")
+    return config["path"]
+
+
+def _stream(session: SparkSession, path: str, schema) -> DataFrame:
+    path = storage.storage_uri(session, path)
     fmt = detect_format(path)
     if schema is None:
         if fmt != "parquet":
@@ -96,8 +104,7 @@ def _aggregates(spec: PipelineSpec) -> bool:
     kinds = [step["type"] for step in spec.transforms]
     if "aggregate" in kinds[:-1]:
         raise SpecError("an incremental run can aggregate in its last step only")
-    if any(step.get("mode") in ("whole", "group") or step.get("group_by")
-           for step in spec.transforms if step["type"] == "python"):
+    if any(plugin_mode(step) != "chunk" for step in spec.transforms if step["type"] == "python"):
         raise SpecError("an incremental run takes row-wise plugins only")
     return bool(kinds) and kinds[-1] == "aggregate"
 

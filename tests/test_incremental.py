@@ -1,6 +1,7 @@
 import pytest
 
 from millrace import PipelineError, run_incremental
+from millrace.operators.plugins import PluginRegistry
 from millrace.streaming.incremental import read_incremental
 from tests.conftest import rows
 
@@ -51,9 +52,30 @@ def test_totals_go_on(spark, made, tmp_path):
 @pytest.mark.parametrize("steps", [
     [{"type": "aggregate", "group_by": ["n"], "aggregates": ["count(*) AS c"]},
      {"type": "filter", "condition": "c > 1"}],
-    [{"type": "python", "function": "f", "mode": "whole"}],
+    [{"type": "python", "function": "f"}],
 ])
 def test_steps_that_need_all_rows_are_refused(spark, made, tmp_path, steps):
     add(spark, made["source_path"], 1)
     with pytest.raises(ValueError):
         run_incremental(spark, {**made, "transforms": steps}, str(tmp_path / "state"))
+
+
+def test_stream_joined_with_a_table_and_a_plugin(spark, made, make, tmp_path):
+    names = make("names.parquet", [(1, "one")], "n long, name string")
+    made["transforms"] = [
+        {"type": "join", "right_path": names, "join_type": "left", "on": "left.n = right.n"},
+        {"type": "python", "function": "same", "chunk_rows": 10},
+        {"type": "select", "columns": ["n", "name"]},
+    ]
+    plugins = PluginRegistry({"same": lambda table, params: table})
+    add(spark, made["source_path"], 1, 2)
+    saved = {"incoming": {"config": {"path": made["source_path"]}}}
+    spec = {**made, "source_path": None, "source_config": {"connector_name": "incoming"}}
+    for conf in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+        try:
+            run_incremental(spark, spec, str(tmp_path / f"state{conf}"), datasets=saved,
+                            plugins=plugins)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert rows(read_incremental(spark, made["sink_path"])) == [(1, "one"), (2, None)]

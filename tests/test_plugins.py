@@ -38,7 +38,7 @@ def eight(spark):
 
 def test_row_wise(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "n long")
-    assert rows(run(df, function="plus", params={"add": 10})) == [(11,), (12,), (13,)]
+    assert rows(run(df, function="plus", params={"add": 10}, mode="chunk")) == [(11,), (12,), (13,)]
 
 
 def test_chunks_are_bounded_and_complete(eight):
@@ -78,7 +78,7 @@ def test_empty_input_keeps_the_plugin_schema(spark):
     empty = spark.createDataFrame([], "n long")
     df = run(empty, function="plus", params={"add": 1})
     assert df.columns == ["n_plus"] and df.count() == 0
-    assert rows(run(empty, function="size", mode="whole")) == [(0,)]
+    assert rows(run(empty, function="size")) == [(0,)]
 
 
 def test_groups_are_not_mixed_and_large_ones_are_cut(spark):
@@ -93,10 +93,10 @@ def test_groups_are_not_mixed_and_large_ones_are_cut(spark):
     assert (2, 3) in got and (None, 4) in got and (3, 10) in got
 
 
-def test_whole_mode_is_one_call_and_has_a_limit(eight):
-    assert rows(run(eight, function="size", mode="whole")) == [(8,)]
+def test_without_settings_there_is_one_call_with_a_limit(eight):
+    assert rows(run(eight, function="size")) == [(8,)]
     with pytest.raises(Exception, match="more than 5 rows"):
-        run(eight, function="size", mode="whole", max_rows=5).collect()
+        run(eight, function="size", max_rows=5).collect()
 
 
 def test_lookup_errors(eight):
@@ -114,7 +114,7 @@ def test_slices_with_another_schema_fail(spark):
     def unsteady(table, params):
         return table if table.num_rows == 0 else table.rename_columns(["other"])
 
-    df = plugin_step(spark.range(3), {"type": "python", "function": "unsteady"},
+    df = plugin_step(spark.range(3), {"type": "python", "function": "unsteady", "chunk_rows": 9},
                      PluginRegistry({"unsteady": unsteady}))
     with pytest.raises(Exception, match="all slices must have one schema"):
         df.collect()
