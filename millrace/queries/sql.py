@@ -164,6 +164,14 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_partkey div 7 AS BIGINT) AS seve
 FROM lineitem
 """
 
+_AGGREGATES = """
+SELECT l_returnflag, avg(l_quantity) AS avg_qty, min(l_shipdate) AS first_ship,
+       max(l_shipdate) AS last_ship, CAST(count_if(l_tax > 0.04) AS BIGINT) AS taxed,
+       bool_or(l_discount > 0.09) AS any_deep, count(DISTINCT l_suppkey) AS suppliers,
+       CAST(sum(l_linenumber) AS BIGINT) AS line_sum
+FROM lineitem GROUP BY ALL HAVING count(*) > 1
+"""
+
 QUERIES = {
     "page_sql": (page_sql, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 51 OFFSET 100"),
     "count_rows": (count_rows, "SELECT count(DISTINCT o_custkey) AS total_rows FROM orders"),
@@ -186,6 +194,7 @@ QUERIES = {
            FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
            ON e.user_id = p.user_id AND e.ts >= p.ts""",
     ),
+    "sql_aggregates": (sql_query(_AGGREGATES, ["lineitem"]), _AGGREGATES),
     "sql_cte": (sql_query(_CTE, ["orders", "customer"]), _CTE),
     "sql_pivot": (
         sql_query(_PIVOT, ["events"]),

@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -49,7 +50,7 @@ def read_http(spark: SparkSession, config: dict) -> DataFrame:
     """
     urls = config.get("urls") or [config["url"]]
     fmt = config.get("format") or detect_http_format(urls[0])
-    spark.dataSource.register(HttpSource)
+    _register(spark)
     reader = spark.read.format(FORMAT_NAME).options(
         urls=json.dumps(urls),
         headers=json.dumps(auth_headers(config.get("auth"))),
@@ -63,6 +64,16 @@ def read_http(spark: SparkSession, config: dict) -> DataFrame:
     return df
 
 
+def _register(spark: SparkSession) -> None:
+    """Make the data source known to this session. Spark lists the data sources that
+    reused Python workers have loaded as given ones, which need no registering."""
+    try:
+        spark.dataSource.register(HttpSource)
+    except AnalysisException as exc:
+        if exc.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+
+
 def records(df: DataFrame, path: str, expand: bool = True) -> DataFrame:
     """One row per element of the array at a dot path such as ``data.items``.
 

@@ -197,3 +197,25 @@ def test_generated_events(spark):
     messy = messy_events(event_ids(spark, 5000))
     assert messy.where("email IS NULL").count() == 500
     assert messy.count() - messy.select("event_id").distinct().count() == 10
+
+
+def test_http_paths_of_a_file_source_are_fetched(spark, monkeypatch):
+    from millrace.sources import files
+
+    asked = []
+    monkeypatch.setattr(files, "read_http", lambda s, config: asked.append(config) or s.range(2))
+    assert read_source(spark, "file", {"path": "https://h/d.parquet"}).count() == 2
+    assert asked == [{"urls": ["https://h/d.parquet"], "schema": None}]
+
+
+def test_a_run_asks_a_service_once_for_its_rows(spark, tmp_path):
+    from millrace import run_pipeline
+
+    (tmp_path / "a.json").write_text(json.dumps([{"k": 1}, {"k": 2}]))
+    result = run_pipeline(spark, {
+        "name": "api", "source_type": "http", "sink_path": str(tmp_path / "out"),
+        "source_config": {"url": f"file://{tmp_path}/a.json", "schema": "k long"},
+        "transforms": [{"type": "filter", "condition": "k > 1"}],
+    })
+    assert (result.rows_extracted, result.rows_written) == (2, 1)
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(2,)]
