@@ -8,15 +8,14 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StructType
 
-# Fixed value: the name the data source is registered under.
 FORMAT_NAME = "millrace_http"
 TIMEOUT_SECONDS = 10
 
@@ -50,8 +49,7 @@ def read_http(spark: SparkSession, config: dict) -> DataFrame:
     """
     urls = config.get("urls") or [config["url"]]
     fmt = config.get("format") or detect_http_format(urls[0])
-    _register(spark)
-    reader = spark.read.format(FORMAT_NAME).options(
+    reader = spark.read.format(_register(spark)).options(
         urls=json.dumps(urls),
         headers=json.dumps(auth_headers(config.get("auth"))),
         body=fmt,
@@ -64,14 +62,14 @@ def read_http(spark: SparkSession, config: dict) -> DataFrame:
     return df
 
 
-def _register(spark: SparkSession) -> None:
-    """Make the data source known to this session. Spark lists the data sources that
-    reused Python workers have loaded as given ones, which need no registering."""
-    try:
-        spark.dataSource.register(HttpSource)
-    except AnalysisException as exc:
-        if exc.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
-            raise
+def _register(spark: SparkSession) -> str:
+    """Make the data source known under a name of its own. Reused Python workers have
+    loaded earlier ones, and Spark refuses a name it finds there."""
+    unique = f"{FORMAT_NAME}_{uuid.uuid4().hex}"
+    spark.dataSource.register(
+        type("HttpSource", (HttpSource,), {"name": classmethod(lambda cls: unique)})
+    )
+    return unique
 
 
 def records(df: DataFrame, path: str, expand: bool = True) -> DataFrame:
