@@ -20,6 +20,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.errors import SpecError
+
 _QUOTED_OR_PREFIX = re.compile(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")|\b(left|right)\.", re.I)
 # A key with fewer rows than this is no burden for one task.
 HOT_ROWS = 4_000_000
@@ -87,6 +89,32 @@ def join_step(
     return _join_salted(left, right, condition, how, names, keys, hot_rows)
 
 
+def range_join_step(
+    left: DataFrame, right: DataFrame, on: str, how: str, point: str, low: str, high: str, width
+) -> DataFrame:
+    """A join whose condition implies ``low <= point <= high`` (``point`` on the left,
+    the bounds on the right), without comparing all pairs: both sides meet in bins of
+    ``width`` (seconds for times). A left row lies in one bin and a right row in every
+    bin it covers, so inner and left joins come out exactly."""
+    if how not in ("inner", "left"):
+        raise SpecError("a join with a range must be inner or left")
+    names = clash_names(left.columns, right.columns)
+    first, last = _bin(right, low, width), _bin(right, high, width)
+    binned = left.withColumn("_bin", _bin(left, point, width))
+    # Bounds the wrong way round cover nothing and match nothing.
+    covered = right.where(first <= last).withColumn("_bin", F.explode(F.sequence(first, last)))
+    condition = F.expr(rewrite_prefixes(on)) & (F.col("left_tbl._bin") == F.col("right_tbl._bin"))
+    joined = binned.alias("left_tbl").join(covered.alias("right_tbl"), condition, how)
+    return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+
+
+def _bin(side: DataFrame, column: str, width) -> Column:
+    value = F.col(column)
+    if side.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        value = F.unix_micros(value.cast("timestamp")) / 1_000_000
+    return F.floor(value / width)
+
+
 def needs_left_twice(how: str, on: str, skew_safe: bool = True) -> bool:
     """Does the shape of this join read its left side a second time?"""
     return how in ("right", "full") and skew_safe and equality_keys(on) is not None

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.operators.joins import join_step, needs_left_twice
+from millrace.operators.joins import join_step, needs_left_twice, range_join_step
 from millrace.operators.plugins import PluginRegistry, plugin_step
 from millrace.session import cut_lineage
-from millrace.sources.catalog import named_dataset
+from millrace.sources.catalog import dataset_paths, named_dataset
 from millrace.sources.files import read_files
 from millrace.spec import check_step
 
@@ -80,21 +80,25 @@ def reads_input_twice(step: dict) -> bool:
 
 def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     spark = df.sparkSession
-    small = False
     if step.get("right_dataset"):
         right = named_dataset(spark, step["right_dataset"], datasets)
+        paths = dataset_paths(datasets[step["right_dataset"]])
     else:
         right = read_files(spark, step["right_path"])
-        small = _is_small(spark, step["right_path"])
+        paths = [step["right_path"]]
     on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
-    return join_step(df, right, on, how, right_is_small=small, skew_safe=skew_safe)
+    if step.get("range"):
+        return range_join_step(df, right, on, how, **step["range"])
+    return join_step(
+        df, right, on, how, right_is_small=_are_small(spark, paths), skew_safe=skew_safe
+    )
 
 
-def _is_small(spark, path: str) -> bool:
+def _are_small(spark, paths: list[str]) -> bool:
     """Measured below the size up to which the planner broadcasts files."""
-    if storage.is_http(path):
+    if any(storage.is_http(path) for path in paths):
         return False
-    return 0 < storage.size_bytes(spark, path) <= _broadcast_limit(spark)
+    return 0 < sum(storage.size_bytes(spark, p) for p in paths) <= _broadcast_limit(spark)
 
 
 def _broadcast_limit(spark) -> int:

@@ -96,6 +96,24 @@ def join_theta(spark, folder):
     ))
 
 
+def join_range(spark, folder):
+    """Events and the user's day they fall in: as many ranges as user days."""
+    session = session_with_tables(spark, folder, ["events"])
+    days = scratch(spark, "user-days") + ".parquet"
+    session.sql("""
+        SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS lo,
+               CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) + INTERVAL 1 DAY AS hi, count(*) AS n
+        FROM events GROUP BY ALL
+    """).write.parquet(days)
+    return pipeline_frame(spark, spec(
+        folder, "events",
+        {"type": "join", "right_path": days, "join_type": "left",
+         "on": "left.user_id = right.user_id AND left.ts >= right.lo AND left.ts < right.hi",
+         "range": {"point": "ts", "low": "lo", "high": "hi", "width": 86400}},
+        select("event_id", "user_id", "user_id_1", "lo", "n"),
+    ))
+
+
 def join_text_right(spark, folder):
     """The right side is CSV: the reader follows the extension."""
     names = scratch(spark, "names")
@@ -358,6 +376,12 @@ QUERIES = {
                   r.o_orderdate AS o_orderdate_1, r.o_orderpriority AS o_orderpriority_1
            FROM orders l JOIN orders r ON l.o_orderkey = r.o_orderkey""",
     ),
+    "join_range": (
+        join_range,
+        """SELECT event_id, e.user_id, e.user_id AS user_id_1, date_trunc('day', ts) AS lo,
+                  count(*) OVER (PARTITION BY user_id, date_trunc('day', ts)) AS n
+           FROM events e""",
+    ),
     "join_text_right": (
         join_text_right,
         f"""SELECT c_mktsegment, count(*) AS n, {money('o_totalprice')} AS total

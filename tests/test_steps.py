@@ -1,6 +1,8 @@
 import pytest
 
-from millrace.operators.joins import clash_names, equality_keys, join_step, rewrite_prefixes
+from millrace.operators.joins import (
+    clash_names, equality_keys, join_step, range_join_step, rewrite_prefixes,
+)
 from millrace.operators.steps import aggregate_step, apply_step, apply_steps, filter_step, select_step
 from tests.conftest import rows
 
@@ -104,6 +106,26 @@ def test_later_right_joins_do_not_repeat_the_earlier_steps(spark, left, make, mo
     assert len(cuts) == 2
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_range_join_equals_the_plain_join(spark, how, width):
+    left = spark.createDataFrame([(i, float(i) / 3) for i in range(-20, 60)] + [(99, None)],
+                                 "id long, x double")
+    right = spark.createDataFrame(
+        [("a", -5.0, 4.0), ("b", 4.0, 4.0), ("c", 3.5, 17.25), ("d", 9.0, 8.0), ("e", None, 1.0),
+         ("f", 100.0, 200.0)], "id string, lo double, hi double")
+    on = "left.x >= right.lo AND left.x <= right.hi"
+    binned = range_join_step(left, right, on, how, "x", "lo", "hi", width)
+    assert binned.columns == ["id", "x", "id_1", "lo", "hi"]
+    assert rows(binned) == rows(join_step(left, right, on, how))
+    assert "NestedLoop" not in binned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_join_is_inner_or_left(spark, left):
+    with pytest.raises(ValueError, match="inner or left"):
+        range_join_step(left, left, "left.id = right.id", "full", "id", "id", "id", 1)
+
+
 def test_join_keys_of_different_types(spark):
     l = spark.createDataFrame([(1,), (2,)], "k long")
     r = spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
