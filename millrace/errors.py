@@ -1,5 +1,7 @@
 """Errors a user of the package can meet."""
 
+from millrace import messages
+
 
 class SpecError(ValueError):
     """A spec does not describe a runnable pipeline."""
@@ -22,8 +24,8 @@ class CheckFailure(Exception):
 
     def __init__(self, failures):
         self.failures = list(failures)
-        lines = "\n".join(f"  - {line}" for line in self.failures)
-        super().__init__(f"Data quality checks failed:\n{lines}")
+        lines = [messages.FAILURE_LINE.format(line=line) for line in self.failures]
+        super().__init__("\n".join([messages.CHECKS_FAILED, *lines]))
 
 
 class PipelineError(Exception):
@@ -32,4 +34,6 @@ class PipelineError(Exception):
     def __init__(self, pipeline, step, message):
         self.pipeline = pipeline
         self.step = step
-        super().__init__(f"Pipeline '{pipeline}' failed at step '{step}': {message}")
+        super().__init__(
+            messages.STEP_FAILED.format(pipeline=pipeline, step=step, message=message)
+        )

@@ -53,7 +53,8 @@ def within_retention(
     """Rows to keep; zero or fewer days keep everything."""
     if not days or days <= 0:
         return log
-    cutoff = F.lit(now - timedelta(days=days)).cast(log.schema[column].dataType)
+    # As text: a datetime literal would pass through the driver's own zone.
+    cutoff = F.lit(str(now - timedelta(days=days))).cast(log.schema[column].dataType)
     return log.where(F.col(column).isNull() | (F.col(column) >= cutoff))
 
 

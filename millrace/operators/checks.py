@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace import messages
+
 def check_report(df: DataFrame, checks: list[dict]) -> DataFrame:
     """One row per check and column of ``not_null``, ``unique``, ``row_count_min``
     and ``accepted_values``; still lazy, still a DataFrame."""
@@ -106,7 +108,9 @@ def run_checks(df: DataFrame, checks: list[dict], session) -> list[str]:
         if check["type"] == "custom_sql":
             _, observed, expected, passed = next(custom)
             if not passed:
-                failures.append(f"custom_sql: got {observed}, expected {expected}")
+                failures.append(
+                    messages.CUSTOM_SQL.format(observed=observed, expected=expected)
+                )
             continue
         for _ in _columns_of(check):
             row = rows[position]
@@ -124,10 +128,4 @@ def _custom_results(df, checks, session):
 
 
 def _message(row) -> str:
-    kind, column, observed = row["check"], row["column"], row["observed"]
-    return {
-        "not_null": f"not_null: '{column}' has {observed} null rows",
-        "unique": f"unique: '{column}' has {observed} duplicates",
-        "row_count_min": f"row_count_min: got {observed}, expected >= {row['expected']}",
-        "accepted_values": f"accepted_values: '{column}' has {observed} rows with invalid values",
-    }[kind]
+    return getattr(messages, row["check"].upper()).format(**row.asDict())

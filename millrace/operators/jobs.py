@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# States, messages, defaults.
+from millrace import messages
+
+# States and defaults.
 ACTIVE_STATUSES = ("queued", "running")
-REQUEUED_MESSAGE = "Recovered after crash (stale heartbeat)"
-EXHAUSTED_MESSAGE = "Failed after crash (stale heartbeat, no attempts left)"
 STALE_SECONDS = 60
 RETRY_DELAY_SECONDS = 60
 RUNNABLE_LIMIT = 5
@@ -35,7 +35,7 @@ def recover_stale(jobs: DataFrame, now: Column, stale_seconds: int = STALE_SECON
             "heartbeat_at": [(retry, F.lit(None))],
             "worker_pid": [(retry, F.lit(None))],
             "finished_at": [(dead, now)],
-            "error_message": [(retry, F.lit(REQUEUED_MESSAGE)), (dead, F.lit(EXHAUSTED_MESSAGE))],
+            "error_message": [(retry, F.lit(messages.REQUEUED)), (dead, F.lit(messages.EXHAUSTED))],
             "status": [(retry, F.lit("queued")), (dead, F.lit("failed"))],
         },
     )

@@ -19,6 +19,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from millrace.errors import SpecError
 
@@ -111,7 +112,7 @@ def range_join_step(
 def _bin(side: DataFrame, column: str, width) -> Column:
     value = F.col(column)
     if side.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
-        value = F.unix_micros(value.cast("timestamp")) / 1_000_000
+        value = F.unix_micros(value.cast(TimestampType())) / 1_000_000
     return F.floor(value / width)
 
 

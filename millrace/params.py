@@ -6,6 +6,7 @@ import re
 from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+from millrace import messages
 from millrace.errors import TemplateError
 from millrace.spec import PipelineSpec
 
@@ -60,9 +61,9 @@ def render(text: str, moment: datetime, where: str = "value") -> str:
     """Replace the date parameters of one string."""
     outside = _PARAMETER.sub("\0", text)
     if "}}" in outside:
-        raise TemplateError(f"{where}: unexpected closing delimiter in {text!r}")
+        raise TemplateError(messages.STRAY_CLOSING.format(where=where, text=text))
     if "{{" in outside:
-        raise TemplateError(f"{where}: unclosed template in {text!r}")
+        raise TemplateError(messages.UNCLOSED.format(where=where, text=text))
 
     def value(match):
         name, pattern = _split(match[1], where)
@@ -71,7 +72,7 @@ def render(text: str, moment: datetime, where: str = "value") -> str:
             return day.strftime(pattern)
         except (TypeError, ValueError) as exc:
             raise TemplateError(
-                f"{where}: invalid format for template {name!r}: {pattern!r}"
+                messages.BAD_FORMAT.format(where=where, name=name, pattern=pattern)
             ) from exc
 
     return _PARAMETER.sub(value, text)
@@ -79,12 +80,12 @@ def render(text: str, moment: datetime, where: str = "value") -> str:
 
 def _split(token: str, where: str) -> tuple[str, str]:
     if not token or "{{" in token:
-        raise TemplateError(f"{where}: invalid template {{{{{token}}}}}")
+        raise TemplateError(messages.BAD_TEMPLATE.format(where=where, token="{{" + token + "}}"))
     name, colon, pattern = token.partition(":")
     if name not in DEFAULT_FORMATS:
-        raise TemplateError(f"{where}: unsupported template variable {name!r}")
+        raise TemplateError(messages.UNKNOWN_VARIABLE.format(where=where, name=name))
     if colon and not pattern:
-        raise TemplateError(f"{where}: template {name!r} requires a non-empty format")
+        raise TemplateError(messages.EMPTY_FORMAT.format(where=where, name=name))
     return name, pattern or DEFAULT_FORMATS[name]
 
 

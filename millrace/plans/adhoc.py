@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import messages
 from millrace.operators.access import denied_in_texts
 from millrace.operators.sinks import staged_overwrite
 from millrace.session import run_session
@@ -49,7 +50,7 @@ def run_sql(
     if role:
         denied = denied_in_texts(spark, roles, role, [query])
         if denied:
-            raise PermissionError("Access denied to: " + ", ".join(denied))
+            raise PermissionError(messages.ACCESS_DENIED.format(paths=", ".join(denied)))
     session = run_session(spark)
     register_datasets(session, datasets or {}, query)
     for name, path in (views or {}).items():

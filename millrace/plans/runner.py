@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace import storage
+from millrace import messages, storage
 from millrace.errors import CheckFailure, PipelineError, SpecError, TemplateError
 from millrace.operators.access import denied_paths
 from millrace.operators.checks import run_checks
@@ -175,7 +175,7 @@ class _Run:
         denied = denied_paths(self.spark, self.roles, spec.run_as, spec_paths(spec, self.datasets))
         if denied:
             raise PermissionError(
-                f"run_as role '{spec.run_as}' is not permitted to access: {', '.join(denied)}"
+                messages.NOT_PERMITTED.format(role=spec.run_as, paths=", ".join(denied))
             )
 
 

@@ -222,8 +222,9 @@ def _two_runs(spark, folder, steps, checks) -> str:
     incoming, sink, checkpoint = (scratch(spark, n) for n in ("incoming", "inc", "inc-state"))
     made = {"name": "incremental", "source_path": incoming, "sink_path": sink,
             "transforms": steps, "checks": checks}
-    middle = session.sql("SELECT percentile_approx(ts, 0.5) FROM events").first()[0]
-    for condition in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+    middle = session.sql("SELECT CAST(percentile_approx(ts, 0.5) AS STRING) FROM events").first()[0]
+    split = F.lit(middle).cast("timestamp_ntz")
+    for condition in (F.col("ts") < split, F.col("ts") >= split):
         session.table("events").where(condition).write.mode("append").parquet(incoming)
         run_incremental(spark, made, checkpoint)
     return sink

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from millrace import messages
 from millrace.functions.paths import s3_paths
 from millrace.operators import access, audit, jobs, runs
 from millrace.operators.sinks import write_parquet
@@ -108,7 +109,7 @@ def retention_days(spark, folder):
 
 
 def stale_jobs(spark, folder):
-    moved = jobs.recover_stale(_table(spark, folder, _JOBS), F.lit(_NOW).cast("timestamp_ntz"),
+    moved = jobs.recover_stale(_table(spark, folder, _JOBS), F.lit(str(_NOW)).cast("timestamp_ntz"),
                                stale_seconds=5 * 86400)
     return moved.select("id", "status", "trigger", "run_after", "heartbeat_at", "finished_at",
                         "worker_pid", "error_message", "recovered")
@@ -121,12 +122,12 @@ def retry_decision(spark, folder):
                CASE WHEN status = 'running' AND value_band > 1 THEN 'boom' END AS outcome_message
         FROM (SELECT *, attempts AS value_band FROM ({_JOBS}))
     """)
-    moved = jobs.finish_jobs(df, F.lit(_NOW).cast("timestamp_ntz"), retry_delay_seconds=90)
+    moved = jobs.finish_jobs(df, F.lit(str(_NOW)).cast("timestamp_ntz"), retry_delay_seconds=90)
     return moved.select("id", "status", "trigger", "run_after", "finished_at", "error_message")
 
 
 def runnable(spark, folder):
-    df = jobs.runnable_jobs(_table(spark, folder, _JOBS), F.lit(_NOW).cast("timestamp_ntz"), 5, "id")
+    df = jobs.runnable_jobs(_table(spark, folder, _JOBS), F.lit(str(_NOW)).cast("timestamp_ntz"), 5, "id")
     return df.select("id", "pipeline", "enqueued_at")
 
 
@@ -261,8 +262,8 @@ QUERIES = {
               CASE WHEN NOT (stale AND attempts < max_attempts) THEN heartbeat_at END AS heartbeat_at,
               CASE WHEN stale AND attempts >= max_attempts THEN {_NOW_SQL} END AS finished_at,
               CASE WHEN NOT (stale AND attempts < max_attempts) THEN worker_pid END AS worker_pid,
-              CASE WHEN stale AND attempts < max_attempts THEN '{jobs.REQUEUED_MESSAGE}'
-                   WHEN stale THEN '{jobs.EXHAUSTED_MESSAGE}' END AS error_message,
+              CASE WHEN stale AND attempts < max_attempts THEN '{messages.REQUEUED}'
+                   WHEN stale THEN '{messages.EXHAUSTED}' END AS error_message,
               stale AS recovered
             FROM (SELECT *, {_STALE} AS stale FROM ({_JOBS}))""",
     ),

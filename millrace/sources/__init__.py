@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace import messages
 from millrace.sources.files import probe_files, read_files
 from millrace.sources.http import probe_http, read_http
 
@@ -25,13 +26,14 @@ _TYPES: dict[str, SourceType] = {}
 
 def register_source(name: str, source: SourceType) -> None:
     if name in _TYPES:
-        raise ValueError(f"Duplicate source type: '{name}'")
+        raise ValueError(messages.DUPLICATE_SOURCE.format(name=name))
     _TYPES[name] = source
 
 
 def source_type(name: str) -> SourceType:
     if name not in _TYPES:
-        raise KeyError(f"Unknown source type: '{name}'. Available: {', '.join(sorted(_TYPES))}")
+        known = ", ".join(sorted(_TYPES))
+        raise KeyError(messages.UNKNOWN_SOURCE.format(name=name, known=known))
     return _TYPES[name]
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import messages
 from millrace.sources import read_source
 from millrace.sources.files import list_files, read_files
 
@@ -55,7 +56,7 @@ def named_dataset(spark: SparkSession, name: str, saved: dict[str, dict]) -> Dat
 
 def resolve_dataset(name: str, saved: dict[str, dict]) -> dict:
     if name not in saved:
-        raise LookupError(f"Saved connector '{name}' not found")
+        raise LookupError(messages.NO_DATASET.format(name=name))
     return saved[name]
 
 

@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import storage
+from millrace import messages, storage
 from millrace.params import dated_paths, run_date_pattern
 from millrace.sources.http import read_http
 
@@ -106,7 +106,7 @@ def require_match(spark: SparkSession, path: str) -> None:
         return
     plain = path.partition("**")[0].rstrip("/") if "**" in path else path
     if storage.matches(spark, plain or ".") == 0:
-        raise FileNotFoundError(f"Source path '{path}' matched no files")
+        raise FileNotFoundError(messages.NO_MATCH.format(path=path))
 
 
 def probe_files(spark: SparkSession, path: str) -> dict:
@@ -119,16 +119,16 @@ def probe_files(spark: SparkSession, path: str) -> dict:
                 "latency_ms": latency, "details": details or {}}
 
     if not path:
-        return answer(False, "No path provided")
+        return answer(False, messages.PROBE_NO_PATH)
     if storage.is_remote(path):
-        return answer(True, f"Remote path configured: {path}")
+        return answer(True, messages.PROBE_REMOTE.format(path=path))
     try:
         require_match(spark, path)
     except FileNotFoundError:
-        return answer(False, f"No files matched: {path}")
+        return answer(False, messages.PROBE_NO_MATCH.format(path=path))
     files = list_files(spark, path)
     shown = [row["path"] for row in files.orderBy("path").limit(10).collect()]
-    return answer(True, f"Found {files.count()} file(s)", {"files": shown})
+    return answer(True, messages.PROBE_FOUND.format(files=files.count()), {"files": shown})
 
 
 def list_files(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
@@ -164,7 +164,7 @@ def read_dated(
         if storage.is_remote(path) or storage.matches(spark, path):
             paths.append(path)
     if not paths:
-        raise FileNotFoundError(f"Source path '{template}' matched no files")
+        raise FileNotFoundError(messages.NO_MATCH.format(path=template))
     pattern, extra_days = run_date_pattern(template)
     group = re.compile(pattern).groupindex
     java = pattern.replace("(?P<", "(?<")

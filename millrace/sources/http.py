@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StructType
 
+from millrace import messages
+
 FORMAT_NAME = "millrace_http"
 TIMEOUT_SECONDS = 10
 
@@ -92,7 +94,7 @@ def probe_http(config: dict, opener=urllib.request.urlopen) -> dict:
     """HEAD, then GET where HEAD is refused; errors become a message."""
     url = config.get("url", "")
     if not url:
-        return {"connected": False, "message": "No URL provided", "latency_ms": None,
+        return {"connected": False, "message": messages.PROBE_NO_URL, "latency_ms": None,
                 "details": {}}
     started = time.perf_counter()
 
@@ -107,19 +109,20 @@ def probe_http(config: dict, opener=urllib.request.urlopen) -> dict:
         try:
             with opener(request, timeout=TIMEOUT_SECONDS) as response:
                 status = getattr(response, "status", None) or 200
-                return answer(True, f"HTTP {status} OK", status_code=status,
+                return answer(True, messages.PROBE_OK.format(status=status), status_code=status,
                               content_type=response.headers.get("content-type", "unknown"))
         except urllib.error.HTTPError as exc:
             if exc.code == 405 and method == "HEAD":
                 continue
-            return answer(False, f"HTTP {exc.code}: {exc.reason}", status_code=exc.code)
+            return answer(False, messages.PROBE_HTTP_ERROR.format(status=exc.code, reason=exc.reason),
+                          status_code=exc.code)
         except TimeoutError:
-            return answer(False, f"Connection timed out ({TIMEOUT_SECONDS}s)")
+            return answer(False, messages.PROBE_TIMEOUT.format(seconds=TIMEOUT_SECONDS))
         except urllib.error.URLError as exc:
-            return answer(False, f"Connection failed: {exc.reason}")
+            return answer(False, messages.PROBE_REFUSED.format(reason=exc.reason))
         except Exception as exc:
-            return answer(False, f"Error: {exc}")
-    return answer(False, "Error: no answer")
+            return answer(False, messages.PROBE_ERROR.format(reason=exc))
+    return answer(False, messages.PROBE_ERROR.format(reason="no answer"))
 
 
 def fetch(url: str, headers: dict[str, str]) -> bytes:

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 from zoneinfo import ZoneInfo
 
+from millrace import messages
 from millrace.errors import SpecError
 
 # Names, sizes and the formats a sink refuses.
@@ -80,7 +81,7 @@ class PipelineSpec:
             self.source_type = "file"
             self.source_config = {"path": self.source_path}
         if not self.source_config:
-            raise SpecError("Either source_path or source_config must be provided")
+            raise SpecError(messages.NO_SOURCE)
         if self.sink_format not in SINK_FORMATS:
             raise SpecError(f"sink_format must be one of {', '.join(SINK_FORMATS)}")
         check_sink_path(self.sink_path)
@@ -120,17 +121,17 @@ def parse_size(text: str) -> int:
     """Bytes named by a size such as ``200MB``."""
     match = re.match(SIZE_PATTERN, str(text), re.IGNORECASE)
     if not match:
-        raise SpecError("target_file_size must look like '200MB', '1GB', etc.")
+        raise SpecError(messages.BAD_SIZE)
     return max(1, int(float(match[1]) * SIZE_UNITS[match[2].upper()]))
 
 
 def check_timezone(zone: str) -> None:
     if zone == "localtime":
-        raise SpecError("timezone must be a named IANA timezone, not 'localtime'")
+        raise SpecError(messages.LOCAL_ZONE)
     try:
         ZoneInfo(zone)
     except (KeyError, ValueError, OSError) as exc:
-        raise SpecError(f"timezone must be a valid IANA timezone, got {zone!r}") from exc
+        raise SpecError(messages.BAD_ZONE.format(zone=zone)) from exc
 
 
 def check_sink_path(path: str) -> None:
@@ -179,7 +180,7 @@ def _check_alerts(alerts: dict) -> None:
     if on_failure not in ("email", "none"):
         raise SpecError("alerts.on_failure must be 'email' or 'none'")
     if on_failure == "email" and not alerts.get("email"):
-        raise SpecError("email is required when on_failure is email")
+        raise SpecError(messages.NO_EMAIL)
     floor = alerts.get("on_row_count_below")
     if floor is not None and floor < 1:
         raise SpecError("alerts.on_row_count_below must be at least 1")

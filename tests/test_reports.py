@@ -15,7 +15,7 @@ def at(**back):
 
 
 def moment():
-    return F.lit(NOW).cast("timestamp_ntz")
+    return F.lit(str(NOW)).cast("timestamp_ntz")
 
 
 @pytest.fixture
@@ -132,7 +132,7 @@ def test_runnable_and_dedupe(spark):
         job("a", "queued", 0, 1, None, None), job("b", "running", 1, 1, NOW, NOW),
         job("c", "success", 1, 1, NOW, NOW)], JOBS)
     assert [r["pipeline"] for r in jobs.runnable_jobs(table, moment()).collect()] == ["a"]
-    early = F.lit(at(hours=2)).cast("timestamp_ntz")
+    early = F.lit(str(at(hours=2))).cast("timestamp_ntz")
     assert jobs.runnable_jobs(table, early).count() == 0
     requests = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "pipeline string")
     assert rows(jobs.new_requests(requests, table)) == [("c",), ("d",)]
