@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
@@ -17,6 +18,13 @@ from millrace.sources.catalog import dataset_paths, named_dataset
 from millrace.sources.files import read_files
 from millrace.spec import check_step
 
+# Words of a fragment whose result may depend on the order rows arrive in.
+_UNREPEATABLE = re.compile(
+    r"\b(over|limit|distinct|tablesample|rand|randn|random|uuid|shuffle|first|last|any_value"
+    r"|monotonically_increasing_id|spark_partition_id)\b",
+    re.I,
+)
+
 
 def select_step(df: DataFrame, columns: list[str]) -> DataFrame:
     """A projection of SQL expressions; ``*`` and a leading DISTINCT work."""
@@ -57,25 +65,33 @@ def apply_step(
 
 
 def apply_steps(df: DataFrame, steps: Iterable[dict], **context) -> DataFrame:
-    """All steps in order; the optimizer sees them as one plan.
-
-    The one exception: a right or full join reads its left side twice, so from the
-    second such join on the left side is written to the shared folder first.
-    """
-    doubled = False
+    """All steps in order; the optimizer sees them as one plan, but for the left sides
+    that :func:`must_cut` names, which are written to the shared folder first."""
+    before: list[dict] = []
     for step in steps:
-        twice = reads_input_twice(step)
-        if twice and doubled:
+        if must_cut(step, before):
             df = cut_lineage(df)
-        doubled = doubled or twice
         df = apply_step(df, step, **context)
+        before.append(step)
     return df
 
 
-def reads_input_twice(step: dict) -> bool:
-    return step.get("type") == "join" and needs_left_twice(
+def must_cut(step: dict, before: list[dict]) -> bool:
+    """A right or full join reads its left side twice. That is cheap and safe for row
+    by row steps; anything else is written once, so that it is neither repeated nor
+    able to give other rows the second time."""
+    if step.get("type") != "join":
+        return False
+    twice = needs_left_twice(
         step.get("join_type"), step.get("on", ""), step.get("skew_safe", True)
     )
+    return twice and not all(map(_repeatable, before))
+
+
+def _repeatable(step: dict) -> bool:
+    if step["type"] not in ("select", "filter"):
+        return False
+    return not _UNREPEATABLE.search(" ".join(step.get("columns", [step.get("condition", "")])))
 
 
 def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
@@ -86,6 +102,8 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     else:
         right = read_files(spark, step["right_path"])
         paths = [step["right_path"]]
+    if any(storage.is_http(path) for path in paths):
+        right = cut_lineage(right)
     on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
     if step.get("range"):
         return range_join_step(df, right, on, how, **step["range"])

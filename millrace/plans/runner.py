@@ -14,7 +14,7 @@ from millrace.operators.access import denied_paths
 from millrace.operators.checks import run_checks
 from millrace.operators.plugins import PluginRegistry
 from millrace.operators.sinks import append_rows, publish, stage
-from millrace.operators.steps import apply_step, apply_steps, reads_input_twice
+from millrace.operators.steps import apply_step, apply_steps, must_cut
 from millrace.params import resolve
 from millrace.plans.resume import StepStore
 from millrace.session import cut_lineage, run_session
@@ -155,13 +155,12 @@ class _Run:
         done = store.last_finished() if store else -1
         if done >= 0:
             df = store.load(done)
-        doubled = False
         for index, step in enumerate(spec.transforms):
             if index <= done:
                 continue
             self.step = f"step_{index}"
-            if reads_input_twice(step) and not store:
-                df, doubled = (cut_lineage(df, self.cuts) if doubled else df), True
+            if not store and must_cut(step, spec.transforms[:index]):
+                df = cut_lineage(df, self.cuts)
             df = apply_step(df, step, plugins=self.plugins, datasets=self.datasets)
             if store:
                 df = store.save(index, df)

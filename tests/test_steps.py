@@ -3,7 +3,9 @@ import pytest
 from millrace.operators.joins import (
     clash_names, equality_keys, join_step, range_join_step, rewrite_prefixes,
 )
-from millrace.operators.steps import aggregate_step, apply_step, apply_steps, filter_step, select_step
+from millrace.operators.steps import (
+    aggregate_step, apply_step, apply_steps, filter_step, must_cut, select_step,
+)
 from tests.conftest import rows
 
 
@@ -95,15 +97,31 @@ def test_join_shapes_equal_the_plain_join(spark, how, on, small):
     assert rows(shaped) == rows(plain)
 
 
-def test_later_right_joins_do_not_repeat_the_earlier_steps(spark, left, make, monkeypatch):
-    from millrace.operators import steps as module
+JOIN = {"type": "join", "right_path": "r", "on": "left.k = right.k"}
+
+
+@pytest.mark.parametrize("how, before, cut", [
+    ("full", [], False),
+    ("right", [{"type": "filter", "condition": "k > 1"}], False),
+    ("right", [{"type": "select", "columns": ["k", "upper(v) AS v"]}], False),
+    ("full", [{"type": "filter", "condition": "rand() < 0.5"}], True),
+    ("full", [{"type": "select", "columns": ["row_number() OVER (ORDER BY k) AS k"]}], True),
+    ("right", [{"type": "aggregate", "group_by": ["k"], "aggregates": ["count(*) AS n"]}], True),
+    ("full", [{**JOIN, "join_type": "inner"}], True),
+    ("left", [{**JOIN, "join_type": "full"}], False),
+    ("inner", [{"type": "python", "function": "f"}], False),
+])
+def test_left_sides_that_are_written_before_they_are_read_twice(how, before, cut):
+    assert must_cut({**JOIN, "join_type": how}, before) is cut
 
-    cuts = []
-    monkeypatch.setattr(module, "cut_lineage", lambda df: cuts.append(1) or df)
-    path = make("r.parquet", [("A", 7)], "category string, x long")
+
+def test_a_cut_left_side_gives_the_same_rows(spark, left, make):
+    path = make("r.parquet", [("A", 7), ("C", 8)], "category string, x long")
     step = {"type": "join", "right_path": path, "on": "left.category = right.category"}
-    apply_steps(left, [{**step, "join_type": how} for how in ("full", "left", "right", "full")])
-    assert len(cuts) == 2
+    df = apply_steps(left, [
+        {"type": "aggregate", "group_by": ["category"], "aggregates": ["sum(value) AS s"]},
+        {**step, "join_type": "full"}, {**step, "join_type": "right"}])
+    assert rows(df, "category_2") == [("A", 40, "A", 7, "A", 7), (None, None, None, None, "C", 8)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
