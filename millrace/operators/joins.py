@@ -70,24 +70,26 @@ def join_step(
     how: str,
     *,
     right_is_small: bool = False,
+    right_may_be_hot: bool = True,
     skew_safe: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All left columns, then all right columns, clashes renamed.
 
     ``right_is_small`` says the right side was measured below the broadcast
-    threshold. ``skew_safe=False`` leaves everything to the planner.
+    threshold, ``right_may_be_hot=False`` that it has no more than ``hot_rows`` rows
+    in all. ``skew_safe=False`` leaves everything to the planner.
     """
     names = clash_names(left.columns, right.columns)
     condition = F.expr(rewrite_prefixes(on))
     keys = equality_keys(on)
     plain = how == "inner" or keys is None or not skew_safe or left.isStreaming
-    if plain or (how == "left" and right_is_small):
+    if plain or (how == "left" and (right_is_small or not right_may_be_hot)):
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
         return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
     if right_is_small:
         return _join_small_right(left, right, on, how, names, keys)
-    return _join_salted(left, right, condition, how, names, keys, hot_rows)
+    return _join_salted(left, right, condition, how, names, keys, right_may_be_hot, hot_rows)
 
 
 def range_join_step(
@@ -141,10 +143,12 @@ def _join_small_right(left, right, on, how, names, keys) -> DataFrame:
     )
 
 
-def _join_salted(left, right, condition, how, names, keys, hot_rows) -> DataFrame:
+def _join_salted(
+    left, right, condition, how, names, keys, right_may_be_hot, hot_rows
+) -> DataFrame:
     left_keys, right_keys = keys
     hot_right = hot_left = None
-    if how in ("left", "full"):
+    if how in ("left", "full") and right_may_be_hot:
         hot_right = _hot_keys(right, right_keys, hot_rows, "_hr")
     if how in ("right", "full"):
         hot_left = _hot_keys(left, left_keys, hot_rows, "_hl")

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.operators.joins import join_step, needs_left_twice, range_join_step
+from millrace.operators.joins import HOT_ROWS, join_step, needs_left_twice, range_join_step
 from millrace.operators.plugins import PluginRegistry, plugin_step
 from millrace.session import cut_lineage
 from millrace.sources.catalog import dataset_paths, named_dataset
 from millrace.sources.files import read_files
 from millrace.spec import check_step
 
+# Up to this size a right side is counted, to learn that no key of it can be hot.
+COUNTED_BYTES = 8 * 10**9
+
 # Words of a fragment whose result may depend on the order rows arrive in.
 _UNREPEATABLE = re.compile(
     r"\b(over|limit|distinct|tablesample|rand|randn|random|uuid|shuffle|first|last|any_value"
@@ -107,16 +110,24 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
     if step.get("range"):
         return range_join_step(df, right, on, how, **step["range"])
+    size = _measured(spark, paths)
     return join_step(
-        df, right, on, how, right_is_small=_are_small(spark, paths), skew_safe=skew_safe
+        df,
+        right,
+        on,
+        how,
+        right_is_small=0 < size <= _broadcast_limit(spark),
+        right_may_be_hot=not (skew_safe and 0 < size <= COUNTED_BYTES
+                              and right.count() <= HOT_ROWS),
+        skew_safe=skew_safe,
     )
 
 
-def _are_small(spark, paths: list[str]) -> bool:
-    """Measured below the size up to which the planner broadcasts files."""
+def _measured(spark, paths: list[str]) -> int:
+    """Bytes of the files, 0 when they cannot be measured."""
     if any(storage.is_http(path) for path in paths):
-        return False
-    return 0 < sum(storage.size_bytes(spark, p) for p in paths) <= _broadcast_limit(spark)
+        return 0
+    return sum(storage.size_bytes(spark, path) for path in paths)
 
 
 def _broadcast_limit(spark) -> int:

@@ -81,6 +81,15 @@ def test_large_outer_joins_salt_hot_keys_in_one_join(big, how, extra_scans):
     assert text.count("BroadcastHashJoin") == extra_scans
 
 
+def test_no_hot_keys_are_looked_for_in_a_counted_right_side(big):
+    df = pipeline_frame(big, {
+        "name": "p", "source_path": f"{SMALL}/orders.parquet", "sink_path": "x",
+        "transforms": [{"type": "join", "right_path": f"{SMALL}/lineitem.parquet",
+                        "join_type": "left", "on": "left.o_orderkey = right.l_orderkey"}]})
+    text = plan(df)
+    assert "Broadcast" not in text and text.count("FileScan") == 2
+
+
 @pytest.mark.parametrize("how", ["right", "full"])
 def test_small_right_side_is_broadcast_in_every_join(session, how):
     text = plan(join_step(table(session, "lineitem"), table(session, "orders"),
