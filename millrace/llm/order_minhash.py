@@ -1,7 +1,7 @@
 """Document fingerprints by Order MinHash.
 
 The elements of a document are its k-mers of units, numbered by occurrence, so a
-repeated k-mer is a new element each time. A unit is a word, or a piece of eight bytes
+repeated k-mer is a new element each time. A unit is a word, or a piece of five bytes
 of a longer word. For each of ``sketches`` hash functions the two minimal elements are
 taken, put back in text order, and hashed as a tuple. Two texts agree in a sketch when
 they share those elements in the same order, so, unlike for sets, moving text around
@@ -21,8 +21,8 @@ from millrace.llm.bytesops import ByteHash, mix, spans, stream, words
 from millrace.llm.common import Ranges, pieces, range_bounds
 
 SKETCHES = 64
-UNITS = 3
-_PIECE = 8
+UNITS = 2
+_PIECE = 5
 _RANGE_BYTES = 6 << 20
 _SLICE_BYTES = 1_000_000
 

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import lengths, order_minhash, packing, quality, simhash, substring
-from millrace.llm.common import table
+from millrace.llm import (
+    html_crf, lengths, mixing, mtree, order_minhash, packing, quality, simhash, substring, warc,
+)
+from millrace.llm.common import session, table
+from millrace.session import work_path
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
+# Production parameters of the mixture: marginals are flattened towards equal shares.
+MIX_POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.5}
+MIX_BUDGET = 0.5
+
+
+def op1_html_crf(spark, folder):
+    made = html_crf.extract(table(spark, folder, "pages"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_order_minhash(spark, folder):
     made = order_minhash.compare_with_next(table(spark, folder, "documents"))
     return made.withColumnRenamed("id", "doc_id")
@@ -24,12 +37,25 @@ def op4_token_counts(spark, folder):
     return lengths.context_limits(lengths.histogram(found))
 
 
+def op5_warc(spark, folder):
+    path = work_path(spark, "warc")
+    warc.write_warc(warc.revisits(table(spark, folder, "pages")), path)
+    chunks = warc.read_chunks(session(spark), path, payloads=False)
+    return chunks.where("last").select(
+        "page_id", F.col("bytes_so_far").alias("payload_bytes"),
+        F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_substring_dedup(spark, folder):
     made = substring.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _WHITE, " "))
     return made.select("doc_id", "n_words", "n_removed", F.sha2(line, 256).alias("kept_sha256"))
 
 
+def op7_mtree(spark, folder):
+    return mtree.top_k(table(spark, folder, "embeddings"))
+
+
 def op8_simhash(spark, folder):
     made = simhash.near_duplicates(table(spark, folder, "documents"))
     return made.select(
@@ -45,6 +71,41 @@ def op9_quality(spark, folder):
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_mixing(spark, folder):
+    rows = mixing.measured(table(spark, folder, "documents"))
+    drawn = mixing.probabilities(rows, powers=MIX_POWERS, budget=MIX_BUDGET)
+    return drawn.withColumnRenamed("id", "doc_id").select(
+        "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
+_OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), g AS (
+  SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS kept FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN kept END AS refers_to
+FROM g
+"""
+
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _OP6 = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -67,12 +128,16 @@ FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id
 """
 
 QUERIES = {
+    "op1_html_crf": (op1_html_crf, None),
     "op2_order_minhash": (op2_order_minhash, None),
     "op3_packing": (op3_packing, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_warc": (op5_warc, _OP5),
     "op6_substring_dedup": (op6_substring_dedup, _OP6),
+    "op7_mtree": (op7_mtree, _OP7),
     "op8_simhash": (op8_simhash, None),
     "op9_quality": (op9_quality, None),
+    "op10_mixing": (op10_mixing, None),
 }
 
 
