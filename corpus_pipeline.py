@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality, simhash, substring
+from millrace.llm import mixing, packing, quality, simhash, substring
 from millrace.llm.common import table
 from millrace.session import work_path
 
@@ -31,6 +31,16 @@ def without_repeats(spark, docs, sf_dir):
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
+# All marginals a little flatter than they are, from as many tokens as there are: cells
+# that are to gain are taken whole, only those that are to lose are thinned out.
+MIX_POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.95}
+
+
+def mixed(spark, docs, sf_dir):
+    """A sample whose sources, languages and topics have their target weights."""
+    return mixing.mix(docs, powers=MIX_POWERS, budget=1.0)
+
+
 def packed(spark, docs, sf_dir):
     """Token sequences of at most 2,048."""
     return packing.pack(docs)
@@ -40,6 +50,7 @@ STAGES = [
     ("quality", good_quality),
     ("near_dedup", one_of_each),
     ("substring_dedup", without_repeats),
+    ("mixing", mixed),
     ("packing", packed),
 ]
 
