@@ -13,6 +13,7 @@ import pyarrow as pa
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
+_AT_ONCE = 1 << 18
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -82,6 +83,18 @@ class ByteHash:
                     setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
     def ranges(self, data, starts, ends) -> np.ndarray:
+        """Hashes of rising ranges that do not overlap, taken a few at a time so that
+        the running sums stay small, however long the data is."""
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = starts[at]
+            stop = max(at + 1, int(np.searchsorted(ends, low + _AT_ONCE, side="right")))
+            out[at:stop] = self._ranges(
+                data[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low)
+            at = stop
+        return out
+
+    def _ranges(self, data, starts, ends) -> np.ndarray:
         with np.errstate(over="ignore"):
             self._grow(len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)

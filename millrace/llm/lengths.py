@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import NAME, encoder
+from millrace.session import cut_lineage
 
 LIMITS = tuple(1 << k for k in range(7, 18))
 # Lengths of one slice of the suffix sums.
-_SLICE = 1024
+_SLICE = 64
 
 
 def encoded_lengths(docs: DataFrame, text_column: str = "text", tokenizer: str = NAME) -> DataFrame:
@@ -42,13 +43,14 @@ def context_limits(counts: DataFrame, limits=LIMITS) -> DataFrame:
     the limit), ``quantile`` (share of documents within).
 
     An empty histogram gives the limits with zeros and a null quantile. Suffix sums go
-    in two levels, inside slices of 1,024 lengths and over one row per slice, so no
+    in two levels, inside slices of 64 lengths and over one row per slice, so no
     task sees all lengths.
     """
     spark = counts.sparkSession
     asked = spark.createDataFrame([(int(n), 0) for n in limits], "length long, docs long")
-    rows = (counts.unionByName(asked).groupBy("length").agg(F.sum("docs").alias("docs"))
-            .withColumn("slice", F.floor(F.col("length") / _SLICE)))
+    # Read twice below; the documents behind it are to be encoded once.
+    rows = cut_lineage(counts.unionByName(asked).groupBy("length").agg(F.sum("docs").alias("docs"))
+                       .withColumn("slice", F.floor(F.col("length") / _SLICE)))
     inside = Window.partitionBy("slice").orderBy(F.desc("length")).rowsBetween(
         Window.unboundedPreceding, -1)
     tokens = F.col("docs") * F.col("length")
