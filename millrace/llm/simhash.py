@@ -6,6 +6,11 @@ key of some choice of that many parts. Distinct fingerprints meet under every su
 pairs under a key are verified by their Hamming distance, and of the links of a key
 only a spanning forest leaves the task, never all pairs. A key with very many
 fingerprints is cut into pieces, and pairs of pieces are compared as tasks of their own.
+
+Texts that share four fifths of their shingles differ in a seventh of their bits, too
+many for 64 bits to tell. For those, fingerprints are wider (several lanes of 64 bits)
+and every block of 12 or 13 bits is a key: pairs as close as that share one of 40 blocks
+with a probability of 0.99, closer ones nearly surely.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesops import mix, stream
 from millrace.llm.components import components
 from millrace.session import cut_lineage
 
@@ -24,110 +30,147 @@ SEED = 42
 # Fingerprints under one key that a task compares at once.
 PIECE = 2048
 # Up to this many under a key are compared by shifts, more by a search.
-_FEW = 6
+_FEW = 64
+# Rows compared in one go, and links of one key per member before they are thinned.
+_ROWS, _LINKS = 16_384, 4
 _SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int) -> int:
+def fingerprint(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
     """Bits set in more than half of the hashes of the text's word shingles, repeats
-    counted; a text of fewer words is one shingle, one without words gives zero."""
+    counted, as ``lanes`` unsigned numbers; a text of fewer words is one shingle, one
+    without words gives zeros. The first lane takes the hashes as they are."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(lanes, np.uint64)
     line, n = b" ".join(parts), max(1, len(parts) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     ends = ends[min(words, len(parts)) - 1 :]
-    counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
+    counts = np.zeros((lanes, 64), np.int64)
+    digest, turns = xxhash.xxh64_intdigest, stream(SEED, lanes)
     for at in range(0, n, _SHINGLES_AT_ONCE):
         span = slice(at, at + _SHINGLES_AT_ONCE)
         hashes = np.array(
             [digest(line[a:b], SEED) for a, b in zip(starts[span].tolist(), ends[span].tolist())],
             "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        for lane in range(lanes):
+            with np.errstate(over="ignore"):
+                own = mix(hashes ^ turns[lane]) if lane else hashes
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[lane] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, words: int, id_column="doc_id", text_column="text") -> DataFrame:
-    """``id`` and ``fp`` (a signed long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int, id_column="doc_id", text_column="text",
+                 lanes: int = 1) -> DataFrame:
+    """``id``, ``fp`` and ``bits`` of every row; null text counts as empty. ``bits`` are
+    the lanes as signed longs, ``fp`` is a single lane itself or a hash of several."""
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
+            made = np.zeros((batch.num_rows, lanes), np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                made[i] = fingerprint(text.as_py(), words, lanes)
+            name = made[:, 0].copy()
+            with np.errstate(over="ignore"):
+                for lane in range(1, lanes):
+                    name = mix(name * np.uint64(3) + made[:, lane])
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(made.view(np.int64).ravel()), lanes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made.view(np.int64))], names=["id", "fp"])
+                [batch.column(0), pa.array(name.view(np.int64)), bits.cast(pa.list_(pa.int64()))],
+                names=["id", "fp", "bits"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
-        run, f"id {kind}, fp long")
+        run, f"id {kind}, fp long, bits array<bigint>")
 
 
-def _masks(blocks: int, distance: int) -> list[int]:
-    """The bit masks of all choices of the blocks that a close pair must agree in."""
+def pigeonholes(blocks: int, distance: int) -> list[tuple[int, int]]:
+    """Keys for one lane, as (lane, mask): all choices of the blocks that fingerprints
+    within ``distance`` bits must agree in."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(part, blocks - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def links(prints: DataFrame, distance: int = 4, blocks: int = 6, piece: int = PIECE) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) that connect exactly
-    those within ``distance`` bits of each other, directly or along a chain of such."""
-    keys = prints.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
-        for t, m in enumerate(_masks(blocks, distance))])).alias("x")).select("fp", "x.*")
-    hot = (keys.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > piece)
-           .withColumn("g", F.ceil(F.col("n") / (piece // 2)).cast("int")))
+    return [(0, sum(c)) for c in combinations(part, blocks - distance)]
+
+
+def wide_blocks(lanes: int, blocks: int) -> list[tuple[int, int]]:
+    """Keys for several lanes: each of the ``blocks`` parts of every lane."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [(lane, ((1 << (b - a)) - 1) << a) for lane in range(lanes) for a, b in zip(edges, edges[1:])]
+
+
+def links(prints: DataFrame, keys: list[tuple[int, int]], distance: int, lanes: int = 1,
+          piece: int = PIECE) -> DataFrame:
+    """Edges ``a, b`` between distinct fingerprints (``fp``, ``bits``) that share a key
+    and differ in at most ``distance`` bits: enough of them to connect all such pairs."""
+    masked = [F.struct(F.lit(t).alias("t"), F.col("bits")[lane].bitwiseAND(
+        F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, (lane, m) in enumerate(keys)]
+    met = prints.select("fp", "bits", F.explode(F.array(*masked)).alias("x")).select("fp", "bits", "x.*")
+    hot = (met.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > piece)
+           .withColumn("g", F.ceil(F.col("n") / (piece // 2)).cast("int")).drop("n"))
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    dealt = keys.join(hot, ["t", "k"], "left").withColumn("p", F.coalesce(mine, F.lit(0))).select(
-        "t", "k", "fp", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("q"),
-        "p").select("t", "k", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "fp")
+    dealt = met.join(hot, ["t", "k"], "left").withColumn("p", F.coalesce(mine, F.lit(0))).select(
+        "t", "k", "fp", "bits", "p",
+        F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("q"))
     order = ["t", "k", "lo", "hi"]
-    return dealt.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(
+    rows = dealt.select("t", "k", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "fp",
+                        *(F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)))
+    return rows.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(
         _compare(distance), "a long, b long").distinct()
 
 
 def _compare(distance):
-    def forest(values):
-        """Each value of one key with a close one found before it."""
-        left, out = values, []
+    def close(a, b):
+        return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64) <= distance
+
+    def forest(names, bits):
+        """Each fingerprint of one key with a close one found before it."""
+        left, out = np.arange(len(names)), []
         while len(left):
             front, left = left[:1], left[1:]
             while len(front) and len(left):
-                near = np.bitwise_count(left ^ front[0]) <= distance
+                near = close(bits[:, left], bits[:, front[:1]])
                 new = left[near]
-                out.append(np.stack([np.full(len(new), front[0]), new], 1))
+                out.append(np.stack([np.full(len(new), names[front[0]]), names[new]], 1))
                 front, left = np.concatenate([front[1:], new]), left[~near]
         return out
 
-    def pairs(run_of, values):
+    def pairs(run_of, names, bits):
         cuts = np.flatnonzero(np.diff(run_of)) + 1
         begin = np.concatenate([[0], cuts])
-        size = np.diff(np.concatenate([begin, [len(values)]]))
+        size = np.diff(np.concatenate([begin, [len(names)]]))
         small = np.repeat(size <= _FEW, size)
-        out = []
-        for shift in range(1, min(_FEW, len(values))):
-            close = (run_of[:-shift] == run_of[shift:]) & small[:-shift]
-            at = np.flatnonzero(close)
-            at = at[np.bitwise_count(values[at] ^ values[at + shift]) <= distance]
-            out.append(np.stack([values[at], values[at + shift]], 1))
-        for i in np.flatnonzero(size > _FEW):
-            out += forest(values[begin[i] : begin[i] + size[i]])
+        ones, others = [], []
+        for shift in range(1, min(_FEW, len(names))):
+            at = np.flatnonzero((run_of[:-shift] == run_of[shift:]) & small[:-shift])
+            if not len(at):
+                break
+            at = at[close(bits[:, at], bits[:, at + shift])]
+            ones.append(at)
+            others.append(at + shift)
+        one, other = (np.concatenate(x) if x else np.zeros(0, int) for x in (ones, others))
+        many = np.bincount(run_of[one], minlength=len(size)) > _LINKS * size
+        few = ~many[run_of[one]]
+        out = [np.stack([names[one[few]], names[other[few]]], 1)]
+        for i in np.flatnonzero(many | (size > _FEW)):
+            run = slice(begin[i], begin[i] + size[i])
+            out += forest(names[run], bits[:, run])
         return out
 
     def run(batches):
-        held = None
-        empty = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        parts = []
         for batch in _then_none(batches):
             if batch is not None:
-                now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64)
-                                for c in batch.columns])
-                held = now if held is None else np.concatenate([held, now], axis=1)
-            if held is None or not held.shape[1]:
+                parts.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64)
+                                       for c in batch.columns]))
+            if not parts or batch is not None and sum(p.shape[1] for p in parts) < _ROWS:
+                continue
+            held = np.concatenate(parts, axis=1)
+            parts = [held]
+            if not held.shape[1]:
                 continue
             changed = np.any(held[:4, 1:] != held[:4, :-1], axis=0)
             run_of = np.concatenate([[0], np.cumsum(changed)])
@@ -135,12 +178,11 @@ def _compare(distance):
             stop = held.shape[1] if batch is None else int(np.searchsorted(run_of, run_of[-1]))
             if not stop:
                 continue
-            found = pairs(run_of[:stop], held[4, :stop].view(np.uint64))
-            held = held[:, stop:]
-            edges = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+            found = pairs(run_of[:stop], held[4, :stop], held[5:, :stop].view(np.uint64))
+            parts = [held[:, stop:].copy()]
+            edges = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(edges[:, j]).view(np.int64)) for j in (0, 1)],
-                schema=empty)
+                [pa.array(np.ascontiguousarray(edges[:, j])) for j in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -151,18 +193,20 @@ def _then_none(batches):
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                    words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+                    words: int = 4, distance: int = 4, lanes: int = 1, blocks: int = 6) -> DataFrame:
     """``id``, ``fp`` and ``component``, the smallest id reachable over links, of every
     row of ``docs``.
 
-    Fingerprints link at ``distance`` or fewer differing bits. Null and empty texts have
-    fingerprint zero and link like others. Rows without an id count as members but never
-    name a component with other ids; a component of such rows alone is null. Repeated
-    rows come back repeated. Further columns are not read; no rows give no rows.
+    Fingerprints link at ``distance`` or fewer differing bits; all such links are found
+    with one lane, those that share one of a lane's ``blocks`` with more. Null and empty texts
+    have fingerprint zero and link like others. Rows without an id count as members but
+    never name a component with other ids; a component of such rows alone is null.
+    Repeated rows come back repeated. Further columns are not read; no rows give no rows.
     """
-    made = cut_lineage(fingerprints(docs, words, id_column, text_column))
-    first = made.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(first.select("fp"), distance, blocks))
+    made = cut_lineage(fingerprints(docs, words, id_column, text_column, lanes))
+    first = made.groupBy("fp").agg(F.min("id").alias("first"), F.first("bits").alias("bits"))
+    keys = pigeonholes(blocks, distance) if lanes == 1 else wide_blocks(lanes, blocks)
+    roots = components(links(first.select("fp", "bits"), keys, distance, lanes))
     rooted = first.join(roots, first.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
@@ -170,12 +214,17 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     return made.join(classes, "fp").select("id", "fp", "component")
 
 
+# Five-word shingles with a Jaccard similarity of 0.8 differ in 512 * acos(1.6 / 1.8) / pi
+# = 78 of the bits of eight lanes on average, and by chance in 12 more or fewer.
+WIDE = {"words": 5, "lanes": 8, "distance": 90, "blocks": 5}
+
+
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-             words: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:
+             **how) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group, the
-    one with the smallest id. Rows without an id are kept, since nothing tells them
-    apart; of rows that repeat an id, all stay or all go."""
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column, words=words,
-                            distance=distance, blocks=blocks)
+    one with the smallest id; texts are near at a similarity of 0.8 or more unless
+    ``how`` says otherwise. Rows without an id are kept, since nothing tells them apart;
+    of rows that repeat an id, all stay or all go."""
+    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **{**WIDE, **how})
     gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
