@@ -15,7 +15,8 @@ other document has those words at some position. So:
 
 Chunks are ranges of ids, so "an earlier chunk" means "a smaller id". Texts travel
 compressed. Numbers of chunks and buckets follow the size of the input, so each one
-stays as small as it is when the input grows.
+stays as small as it is when the input grows. A chunk sends one row to each bucket, or
+one for each key where there are fewer; larger chunks and buckets make fewer rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from millrace.session import cut_lineage
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
+_PARCEL_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 _ADDED = "n_words long, n_removed long, removed array<struct<first: long, last: long>>"
 _LOW = np.uint64(0xFFFFFFFF)
@@ -70,32 +72,29 @@ def _ids(column):
     return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _probe(id_at, text_at, ranges, buckets, window):
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[text_at]):
-                text = _Text(part.column(text_at), window)
-                at, hashes = text.grams(2, text.block)
-                chunk = ranges.of(_ids(part.column(id_at)))[text.row[at]]
-                bucket, key = _key(hashes, buckets)
-                names, local = np.unique(chunk, return_inverse=True)
-                group = local.astype(np.uint64) * np.uint64(buckets) + bucket
-                lone = (text.place[at] % text.block != 0).astype(np.uint64)
-                both = np.sort(group << np.uint64(33) | key << np.uint64(1) | lone)
-                # Of equal keys the first is a block if any is.
-                both = both[np.concatenate([[True], both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1)])] \
-                    if len(both) else both
-                group = (both >> np.uint64(33)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(group, prepend=-1)) if len(both) else np.zeros(0, int)
-                key = (both >> np.uint64(1) & _LOW).astype("<u4")
-                block = (both & np.uint64(1)) == 0
-                ends = [*cuts[1:], len(both)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(group[cuts] % buckets, pa.int64()),
-                    pa.array(names[group[cuts] // buckets], pa.int64()),
-                    pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    pa.array([np.packbits(block[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                ], names=["bucket", "chunk", "keys", "blocks"])
+def _probe(text_at, buckets, window):
+    """Keys of all rolling positions of a chunk, and which of them are blocks, as one
+    row for each bucket."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        number = docs.column("chunk")[0].as_py()
+        text = _Text(_unpacked(docs.column("blob")).column(text_at), window)
+        at, hashes = text.grams(2, text.block)
+        bucket, key = _key(hashes, buckets)
+        lone = (text.place[at] % text.block != 0).astype(np.uint64)
+        both = np.sort(bucket << np.uint64(33) | key << np.uint64(1) | lone)
+        # Of equal keys the first is a block if any is.
+        both = both[_runs(both >> np.uint64(1))]
+        bucket = (both >> np.uint64(33)).astype(np.int64)
+        cuts = _runs(bucket)
+        key = (both >> np.uint64(1) & _LOW).astype("<u4")
+        block = (both & np.uint64(1)) == 0
+        ends = [*cuts[1:], len(both)]
+        return pa.table({
+            "bucket": pa.array(bucket[cuts], pa.int64()),
+            "chunk": pa.array(np.full(len(cuts), number), pa.int64()),
+            "keys": pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            "blocks": pa.array([np.packbits(block[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary())})
 
     return run
 
@@ -119,6 +118,9 @@ def _answer(owner, values, chosen, bucket, kind):
 
 
 def _runs(sorted_values):
+    """Where runs of equal values start."""
+    if not len(sorted_values):
+        return np.zeros(0, int)
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
@@ -167,7 +169,7 @@ def _parcel(id_at, text_at, ranges):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.schema.names[text_at]):
+            for part in slices(batch, batch.schema.names[text_at], _PARCEL_BYTES):
                 chunk = ranges.of(_ids(part.column(id_at)))
                 names = np.unique(chunk)
                 blobs = [_packed(pa.Table.from_batches([part.take(pa.array(np.flatnonzero(chunk == c)))]))
@@ -327,10 +329,10 @@ def cut_repeats(docs: DataFrame, *, window: int = 13, id_column: str = "doc_id",
     buckets = max(1, -(-input_bytes(docs) // bucket_bytes))
     bounds = range_bounds(docs, id_column, parts)
     ranges = Ranges(bounds, -(-parts // MAX_RANGES))
-    probes = docs.mapInArrow(_probe(id_at, text_at, ranges, buckets, window),
-                             "bucket long, chunk long, keys binary, blocks binary")
-    anchors = probes.groupBy("bucket").applyInArrow(_anchors, "bucket long, chunk long, keys binary")
     parcels = docs.mapInArrow(_parcel(id_at, text_at, ranges), "chunk long, blob binary")
+    probes = parcels.groupBy("chunk").applyInArrow(
+        _probe(text_at, buckets, window), "bucket long, chunk long, keys binary, blocks binary")
+    anchors = probes.groupBy("bucket").applyInArrow(_anchors, "bucket long, chunk long, keys binary")
     extended = cut_lineage(parcels.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(
         _extend(id_at, text_at, buckets, window), "kind string, bucket long, chunk long, data binary"))
     windows = extended.where(F.col("kind") == _WINDOWS).select("bucket", "chunk", F.col("data").alias("keys"))
