@@ -77,29 +77,40 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
     to one over the values that have tokens. Cells without tokens or without a share in
     a target get weight 0. Rounds end when every marginal is within ``tolerance`` of
     its share before being scaled, or after ``rounds``; targets that contradict the
-    zeros of the table come as near as that. Every round is written to the shared
+    zeros of the table come as near as that. Every step is written to the shared
     folder. No cells give no rows.
     """
-    now = cells.withColumn("weight", F.col("tokens"))
-    wanted = {d: cut_lineage(_normal(t.join(cells.where("tokens > 0").select(d).distinct(), d, "left_semi")))
+    known = cells.where("tokens > 0")
+    wanted = {d: cut_lineage(_normal(t.join(known.select(d).distinct(), d, "left_semi")))
               for d, t in targets.items()}
+    # Weights are tokens times a factor for each dimension; only factors change.
+    factors: dict[str, DataFrame] = {}
+
+    def weighted(rows):
+        for d, factor in factors.items():
+            rows = rows.join(factor, d, "left")
+        share = F.col("tokens")
+        for d in factors:
+            share = share * F.coalesce(F.col(f"__{d}"), F.lit(0.0))
+        return rows.withColumn("weight", share).drop(*(f"__{d}" for d in factors))
+
     for _ in range(rounds):
-        off = F.lit(0.0)
+        worst = 0.0
         for d, target in wanted.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("__sum"))
-            ratio = sums.join(target, d, "left").select(
-                d, F.coalesce(F.expr("try_divide(share, __sum)"), F.lit(0.0)).alias("__ratio"))
-            now = now.join(ratio, d).withColumn("weight", F.col("weight") * F.col("__ratio"))
-            # Cells outside the targets have ratio 0 and say nothing about convergence.
-            off = F.greatest(off, F.when(F.col("__ratio") > 0, F.abs(F.col("__ratio") - 1)).otherwise(0.0))
-            now = now.withColumn("__off", off).drop("__ratio")
-            off = F.col("__off")
-        now = cut_lineage(now)
-        worst = now.agg(F.max("__off")).first()[0]
-        now = now.drop("__off")
-        if worst is None or worst <= tolerance:
+            sums = weighted(known).groupBy(d).agg(F.sum("weight").alias("__sum"))
+            ratio = F.coalesce(F.expr("try_divide(share, __sum)"), F.lit(0.0))
+            scaled = target.join(sums, d).withColumn("__ratio", ratio)
+            before = factors[d].withColumnRenamed(f"__{d}", "__old") if d in factors else None
+            if before is not None:
+                scaled = scaled.join(before, d)
+            old = F.col("__old") if before is not None else F.lit(1.0)
+            made = cut_lineage(scaled.select(d, (old * F.col("__ratio")).alias(f"__{d}"), "__ratio"))
+            off = made.where("__ratio > 0").agg(F.max(F.abs(F.col("__ratio") - 1))).first()[0]
+            worst = max(worst, off or 0.0)
+            factors[d] = made.drop("__ratio")
+        if worst <= tolerance:
             break
-    return now
+    return cut_lineage(weighted(cells))
 
 
 def _normal(target: DataFrame) -> DataFrame:
