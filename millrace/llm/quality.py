@@ -130,9 +130,9 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, *, rounds: int = 30,
         "a": rng.normal(0, _GATES**-0.5, _GATES), "c": np.zeros(_HIDDEN), "d": np.zeros(1)}
     if not bags:
         return Model(parts, np.zeros(FEATURES), np.ones(FEATURES))
-    everything = np.concatenate(bags).astype(np.float64)
-    model = Model(parts, everything.mean(0), everything.std(0) + 0.02)
-    bags = [(b - model.mean) / model.scale for b in bags]
+    everything = np.concatenate(bags)
+    model = Model(parts, everything.mean(0, dtype=np.float64), everything.std(0, dtype=np.float64) + 0.02)
+    del everything
     first_moment = {k: np.zeros_like(v) for k, v in parts.items()}
     second_moment = {k: np.zeros_like(v) for k, v in parts.items()}
     step = 0
@@ -143,7 +143,8 @@ def fit_arrays(bags: list[np.ndarray], labels: np.ndarray, *, rounds: int = 30,
             count = np.array([len(bags[i]) for i in chosen])
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
             slope = model.gradient(
-                np.concatenate([bags[i] for i in chosen]), first, count, labels[chosen])
+                (np.concatenate([bags[i] for i in chosen]) - model.mean) / model.scale,
+                first, count, labels[chosen])
             step += 1
             for k in Model.NAMES:
                 g = slope[k] + decay * parts[k]
