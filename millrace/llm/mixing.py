@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.bytesops import ByteHash, slices, spans, words
@@ -20,7 +20,7 @@ from millrace.session import cut_lineage
 DIMENSIONS = ("source", "lang", "topic")
 TOPIC_BITS = 3
 ROUNDS = 25
-TOLERANCE = 1e-3
+TOLERANCE = 0.01
 
 
 def topics(column, bits: int = TOPIC_BITS) -> np.ndarray:
@@ -75,8 +75,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
 
     A target has a dimension's values and their ``share``; shares are scaled to add up
     to one over the values that have tokens. Cells without tokens or without a share in
-    a target get weight 0. Rounds end when every marginal is within ``tolerance`` of
-    its share before being scaled, or after ``rounds``; targets that contradict the
+    a target get weight 0. Rounds end when no factor moves by more than ``tolerance``,
+    which leaves marginals nearer than that, or after ``rounds``; targets that contradict the
     zeros of the table come as near as that. Every step is written to the shared
     folder. No cells give no rows.
     """
@@ -86,31 +86,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
     # Weights are tokens times a factor for each dimension; only factors change.
     factors: dict[str, DataFrame] = {}
 
-    def weighted(rows):
-        for d, factor in factors.items():
-            rows = rows.join(factor, d, "left")
+    def weighted(rows, without=None):
         share = F.col("tokens")
-        for d in factors:
+        for d in factors.keys() - {without}:
+            # Many small plans follow each other; broadcasts would pile up on the driver.
+            rows = rows.join(factors[d].hint("merge"), d, "left")
             share = share * F.coalesce(F.col(f"__{d}"), F.lit(0.0))
-        return rows.withColumn("weight", share).drop(*(f"__{d}" for d in factors))
+        return rows.withColumn("weight", share)
 
     for _ in range(rounds):
         worst = 0.0
         for d, target in wanted.items():
-            sums = weighted(known).groupBy(d).agg(F.sum("weight").alias("__sum"))
-            ratio = F.coalesce(F.expr("try_divide(share, __sum)"), F.lit(0.0))
-            scaled = target.join(sums, d).withColumn("__ratio", ratio)
-            before = factors[d].withColumnRenamed(f"__{d}", "__old") if d in factors else None
-            if before is not None:
-                scaled = scaled.join(before, d)
-            old = F.col("__old") if before is not None else F.lit(1.0)
-            made = cut_lineage(scaled.select(d, (old * F.col("__ratio")).alias(f"__{d}"), "__ratio"))
-            off = made.where("__ratio > 0").agg(F.max(F.abs(F.col("__ratio") - 1))).first()[0]
-            worst = max(worst, off or 0.0)
-            factors[d] = made.drop("__ratio")
+            sums = weighted(known, d).groupBy(d).agg(F.sum("weight").alias("__sum"))
+            made = target.join(sums.hint("merge"), d).withColumn(
+                "__new", F.coalesce(F.expr("try_divide(share, __sum)"), F.lit(0.0)))
+            step = Observation()
+            if d in factors:
+                made = made.join(factors[d].hint("merge"), d)
+                off = F.max(F.abs(F.expr(f"try_divide(__new, __{d})") - 1))
+            else:
+                off = F.max(F.lit(1.0))
+            made = made.observe(step, off.alias("off")).select(d, F.col("__new").alias(f"__{d}"))
+            factors[d] = cut_lineage(made)
+            worst = max(worst, step.get["off"] or 0.0)
         if worst <= tolerance:
             break
-    return cut_lineage(weighted(cells))
+    return cut_lineage(weighted(cells).drop(*(f"__{d}" for d in factors)))
 
 
 def _normal(target: DataFrame) -> DataFrame:
