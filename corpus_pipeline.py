@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, packing, quality, simhash, substring
-from millrace.llm.common import table
 from millrace.session import work_path
 
 
 def good_quality(spark, docs, sf_dir):
     """Documents that the classifier accepts; it is fitted on these documents' labels."""
-    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    model = quality.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
     scored = quality.score(docs, model, score_column="__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
