@@ -6,20 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as an object-store path, and the wildcard permission.
-S3_PATH = r"(?i)s3://[^\s'\"();,]+"
+S3_PATH = r"(?i)s3[an]?://[^\s'\"();,]+"
 WILDCARD = "*"
 
 
 def s3_paths(text: Column) -> Column:
-    """Every ``s3://`` path in a text, in order, in any letter case of the scheme."""
+    """Every ``s3://``, ``s3a://`` or ``s3n://`` path in a text, in order, in any letter
+    case of the scheme."""
     return F.coalesce(
         F.regexp_extract_all(text, F.lit(S3_PATH), F.lit(0)), F.array().cast("array<string>")
     )
 
 
 def lower_scheme(path: Column) -> Column:
-    """``S3://x`` and ``s3://x`` name the same object, so compare them as one."""
-    return F.regexp_replace(path, "^(?i)s3://", "s3://")
+    """``S3://x``, ``s3a://x`` and ``s3://x`` name the same object, so compare them as one."""
+    return F.regexp_replace(path, "^(?i)s3[an]?://", "s3://")
 
 
 def in_scope(path: Column, allow: Column, deny: Column) -> Column:

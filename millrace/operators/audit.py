@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from millrace import storage
 from millrace.operators.sinks import staged_overwrite
 
-# Bounds of a search page.
+# Fixed value: rows of a search page.
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 500
 
 
 def audit_search(
@@ -25,12 +24,12 @@ def audit_search(
     offset: int = 0,
     tie_breakers: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """Entries that match every given filter, newest first."""
+    """Entries that match every given filter, newest first: one page of ``limit`` rows."""
     wanted = {"username": username, "action": action, "target_type": target_type}
     for column, value in wanted.items():
         if value:
             log = log.where(F.col(column) == value)
-    limit = max(1, min(limit, MAX_LIMIT))
+    limit = max(1, limit)
     return log.orderBy(F.desc("timestamp"), *tie_breakers).offset(max(0, offset)).limit(limit)
 
 

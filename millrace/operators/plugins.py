@@ -1,27 +1,31 @@
 """Python steps: Arrow table in, Arrow table out, run inside Spark tasks.
 
-A plugin is ``transform(table, params) -> table`` over ``pyarrow.Table``. Three
-ways to run one, none of which gathers an unbounded group in a task:
-
-* chunk (``chunk_rows`` is set): in parallel, at most that many rows per call;
-* group (``group_by`` is set): rows of one key per call, in pieces of bounded size;
-* whole (neither is set): one call over the whole input, for results of bounded size
-  such as an aggregate. It fails above ``max_rows`` rather than cut the input, since
-  a plugin that needs all rows would then give wrong results.
+A plugin is ``transform(table, params) -> table`` over ``pyarrow.Table``, called in
+parallel with at most ``chunk_rows`` rows. One that needs all rows, of its group or of
+the input, is a :class:`StagedPlugin`: it makes a small state from any part of the rows,
+merges states, and finishes each part of the rows with the merged state of its group.
+So no group has to fit in a task, however many rows it has.
+
+* chunk (``chunk_rows`` is set): plain plugins, any rows in a call;
+* group (``group_by`` is set): staged plugins, one state per key. A plain plugin may run
+  on pieces of groups with ``pieces: true``; it then must not need the whole group;
+* whole (neither is set): staged plugins, one state.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from millrace import messages
 from millrace.errors import PluginError
@@ -30,7 +34,29 @@ from millrace.spec import NAME_PATTERN
 Plugin = Callable[[pa.Table, dict[str, Any]], pa.Table]
 
 DEFAULT_CHUNK_ROWS = 100_000
-DEFAULT_MAX_ROWS = 1_000_000
+# Keys whose states a task holds before it hands them on.
+HELD_STATES = 10_000
+
+
+@dataclass(frozen=True)
+class StagedPlugin:
+    """``partial(table, params)`` gives one state row for some rows of a group,
+    ``merge(states, params)`` one state row for several, in any order and grouping, and
+    ``finish(table, params)`` the result rows; its table has the state's columns beside
+    each row. States have as few bytes as the answer allows; they are all that meets."""
+
+    partial: Callable[[pa.Table, dict[str, Any]], pa.Table]
+    merge: Callable[[pa.Table, dict[str, Any]], pa.Table]
+    finish: Callable[[pa.Table, dict[str, Any]], pa.Table]
+
+    def __call__(self, table: pa.Table, params: dict[str, Any]) -> pa.Table:
+        """The whole path on one table."""
+        state = self.merge(self.partial(table, params), params)
+        for name in state.column_names:
+            column = pa.concat_arrays([state.column(name).combine_chunks().slice(0, 1)] * table.num_rows) \
+                if table.num_rows else state.column(name).slice(0, 0)
+            table = table.append_column(name, column)
+        return self.finish(table, params)
 
 
 class PluginRegistry:
@@ -71,17 +97,22 @@ def call_plugin(name: str, function: Plugin, table: pa.Table, params: dict) -> p
 
 
 def plugin_step(df: DataFrame, step: dict, plugins: PluginRegistry) -> DataFrame:
-    """``{function, params, chunk_rows, mode, group_by, max_rows, schema}``."""
+    """``{function, params, chunk_rows, mode, group_by, pieces, schema}``."""
     name = step["function"]
     function = plugins.load(name)
     params = step.get("params") or {}
     chunk_rows = int(step.get("chunk_rows") or 0) or DEFAULT_CHUNK_ROWS
     mode = plugin_mode(step)
     shape = _Shape.of(df, name, function, params, step.get("schema"))
-    if mode == "whole":
-        return _run_whole(df, name, function, params, shape, step.get("max_rows"))
-    if mode == "group":
-        return _run_grouped(df, name, function, params, shape, step["group_by"], chunk_rows)
+    keys = list(step.get("group_by") or []) if mode == "group" else []
+    if mode in ("whole", "group") and isinstance(function, StagedPlugin):
+        return _run_staged(df, name, function, params, shape, keys, chunk_rows)
+    if mode == "group" and step.get("pieces"):
+        return _run_grouped(df, name, function, params, shape, keys, chunk_rows)
+    if mode in ("whole", "group"):
+        raise PluginError(
+            f"Plugin '{name}': to see all rows it must be a StagedPlugin; "
+            "a plain one needs chunk_rows, or group_by with pieces")
     if mode != "chunk":
         raise PluginError(f"Plugin '{name}': mode must be chunk, group or whole, got {mode!r}")
     return df.mapInArrow(
@@ -120,13 +151,6 @@ def row_chunks(
     return placed.groupBy("_file", "_chunk").applyInArrow(run, shape.spark_schema)
 
 
-def chunk_ranges(rows: int, chunk_rows: int) -> list[tuple[int, int]]:
-    """Half-open slices of ``[0, rows)``, each at most ``chunk_rows`` long."""
-    if chunk_rows <= 0:
-        raise ValueError("chunk_rows must be positive")
-    return [(a, min(a + chunk_rows, rows)) for a in range(0, rows, chunk_rows)]
-
-
 class _Shape:
     """Input and output schemas, learned from one call on a table without rows."""
 
@@ -145,6 +169,12 @@ class _Shape:
             result = spark.createDataFrame([], declared)
         return cls(empty.schema, result.limit(0).toArrow().schema, result.schema)
 
+    def given(self, batches) -> pa.Table:
+        """Batches as the plugin was shown them; nullability and the spelling of time
+        zones may differ by where a column comes from."""
+        return pa.Table.from_batches(batches).cast(
+            pa.schema([pa.field(f.name, f.type) for f in self.arrow_in]))
+
     def conform(self, name: str, table: pa.Table) -> pa.Table:
         if table.column_names != self.arrow_out.names:
             raise PluginError(
@@ -160,7 +190,7 @@ class _Shape:
 def _over_chunks(name, function, params, shape, chunk_rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _cut(batches, chunk_rows):
-            table = pa.Table.from_batches(piece, shape.arrow_in)
+            table = shape.given(piece)
             yield from shape.conform(
                 name, call_plugin(name, function, table, params)
             ).to_batches()
@@ -207,7 +237,7 @@ def _run_grouped(df, name, function, params, shape, group_by, chunk_rows):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _cut_groups(batches, group_by, chunk_rows):
-            table = pa.Table.from_batches(piece, shape.arrow_in)
+            table = shape.given(piece)
             yield from shape.conform(
                 name, call_plugin(name, function, table, params)
             ).to_batches()
@@ -220,7 +250,7 @@ def _cut_groups(batches, group_by, chunk_rows) -> Iterator[list[pa.RecordBatch]]
     held, rows, current = [], 0, None
     for batch in batches:
         for start, end, key in _runs(batch, group_by):
-            if rows and key != current:
+            if rows and not _same(key, current):
                 yield held
                 held, rows = [], 0
             current = key
@@ -235,6 +265,10 @@ def _cut_groups(batches, group_by, chunk_rows) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
+def _same(one: tuple, other: tuple) -> bool:
+    return all(a == b or a != a and b != b for a, b in zip(one, other))
+
+
 def _runs(batch: pa.RecordBatch, group_by) -> Iterator[tuple[int, int, tuple]]:
     encoded = [batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in group_by]
     changed = [0]
@@ -248,22 +282,75 @@ def _runs(batch: pa.RecordBatch, group_by) -> Iterator[tuple[int, int, tuple]]:
             yield start, end, tuple(batch.column(c)[start].as_py() for c in group_by)
 
 
-def _run_whole(df, name, function, params, shape, max_rows):
-    """For small results only, such as an aggregate: one task sees every row, and
-    says so instead of running out of memory when there are too many."""
-    limit = int(max_rows or DEFAULT_MAX_ROWS)
+def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
+    """States per key from every task, merged by key, joined back, rows finished."""
+    spark = df.sparkSession
+    empty = pa.Table.from_batches([], shape.arrow_in)
+    state = spark.createDataFrame(plugin.merge(plugin.partial(empty, params), params)).schema
+    taken = set(df.columns) & set(state.fieldNames())
+    if taken:
+        raise PluginError(f"Plugin '{name}': state columns {sorted(taken)} are input columns")
+    named = [f"_key{i}" for i in range(len(keys))]
+    keyed = StructType([StructField(n, df.schema[k].dataType) for n, k in zip(named, keys)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[pa.Table, pa.Table]] = {}
         for batch in batches:
-            rows += batch.num_rows
-            if rows > limit:
-                raise PluginError(
-                    f"Plugin '{name}' in whole mode got more than {limit} rows; "
-                    "use chunk_rows or group_by, or aggregate first"
-                )
-            held.append(batch)
-        table = pa.Table.from_batches(held, shape.arrow_in)
-        yield from shape.conform(name, call_plugin(name, function, table, params)).to_batches()
-
-    return df.repartition(1).mapInArrow(run, shape.spark_schema)
+            table = shape.given([batch])
+            for key, rows in _by_key(table, keys):
+                mark = repr(key.to_pylist()).encode()
+                made = plugin.partial(rows, params)
+                if mark in held:
+                    made = plugin.merge(pa.concat_tables([held[mark][1], made]), params)
+                held[mark] = key, made
+            if len(held) > HELD_STATES:
+                yield from _joined(held.values(), named)
+                held = {}
+        yield from _joined(held.values(), named)
+
+    def merged(table: pa.Table) -> pa.Table:
+        made = plugin.merge(table.drop_columns(named), params)
+        for i, n in enumerate(named):
+            made = made.add_column(i, n, table.column(n).slice(0, 1))
+        return made
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _cut(batches, chunk_rows):
+            table = pa.Table.from_batches(piece)
+            yield from shape.conform(name, plugin.finish(table, params)).to_batches()
+
+    partial = df.mapInArrow(states, StructType(keyed.fields + state.fields))
+    if keys:
+        found = partial.groupBy(*named).applyInArrow(merged, partial.schema)
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)])
+        ready = df.join(found, same, "left").drop(*named)
+    else:
+        # One state for each task, then one in all.
+        rows = partial.toArrow()
+        one = plugin.merge(rows if rows.num_rows else plugin.partial(empty, params), params)
+        value = one.slice(0, 1).to_pylist()[0]
+        ready = df.select("*", *(F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in state.fields))
+    return ready.mapInArrow(finish, shape.spark_schema)
+
+
+def _by_key(table: pa.Table, keys) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The key (one row) and rows of every group; nulls and NaNs are keys like others."""
+    if not keys:
+        yield table.slice(0, 1).select([]), table
+        return
+    codes = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        column = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        codes = np.unique(codes * (column.max(initial=0) + 1) + column, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    table = table.take(pa.array(order))
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for start, end in zip(starts, [*starts[1:], table.num_rows]):
+        yield table.slice(start, 1).select(keys), table.slice(start, end - start)
+
+
+def _joined(held, named) -> Iterator[pa.RecordBatch]:
+    for key, state in held:
+        for i, n in enumerate(named):
+            state = state.add_column(i, n, key.column(i))
+        yield from state.to_batches()

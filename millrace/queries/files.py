@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.operators.plugins import chunk_ranges
 from millrace.operators.sinks import staged_overwrite, write_parquet
 from millrace.plans.adhoc import export_sql
 from millrace.plans.runner import pipeline_frame, run_pipeline
@@ -141,15 +140,16 @@ def footer_row_counts(spark, folder):
 
 
 def row_slices(spark, folder):
-    """The events file in four slices by row position, all rows in one of them."""
+    """Each file of the events in slices of a quarter of its rows, in one scan of the
+    rows after one of the footers."""
     session = run_session(spark)
     events = session.read.parquet(path_of(folder, "events"))
-    rows, out = events.count(), None
-    for start, end in chunk_ranges(rows, max(1, -(-rows // 4))):
-        part = row_slice(events, start, end).select(
-            "event_id", F.lit(start).cast("bigint").alias("slice_start"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sizes = footer_counts(events).select(
+        "file_path", F.ceil(F.col("num_rows") / 4).cast("bigint").alias("size"))
+    placed = events.select("event_id", F.col("_metadata.file_path").alias("file_path"),
+                           F.col("_metadata.row_index").alias("position"))
+    return placed.join(sizes, "file_path").select(
+        "event_id", (F.floor(F.col("position") / F.col("size")) * F.col("size")).alias("slice_start"))
 
 
 def sized_write(spark, folder):

@@ -231,7 +231,7 @@ QUERIES = {
         lambda spark, folder: audit.audit_search(
             _table(spark, folder, _LOG), action="click", target_type="role", limit=900, offset=30),
         f"""SELECT * FROM ({_LOG}) WHERE action = 'click' AND target_type = 'role'
-            ORDER BY timestamp DESC, id LIMIT 500 OFFSET 30""",
+            ORDER BY timestamp DESC, id LIMIT 900 OFFSET 30""",
     ),
     "audit_facets": (
         lambda spark, folder: audit.facets(_table(spark, folder, _LOG)),

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from millrace.errors import PipelineError
-from millrace.operators.plugins import PluginRegistry, row_chunks
+from millrace.operators.plugins import PluginRegistry, StagedPlugin, row_chunks
 from millrace.plans.runner import pipeline_frame, run_pipeline
 from millrace.queries.common import (
     aggregate, join, path_of, saved, scratch, select, session_with_tables, spec, steps_query, where,
@@ -53,11 +53,22 @@ def slice_summary(table: pa.Table, params: dict) -> pa.Table:
     })
 
 
-def share_of_total(table: pa.Table, params: dict) -> pa.Table:
-    """Needs all rows of its group: each row's part of the sum."""
-    total = pc.sum(table["n"]).as_py() or 0
-    share = pc.divide(pc.cast(table["n"], pa.float64()), float(total) if total else None)
-    return table.append_column("share", pc.cast(share, pa.float64()))
+def quantity(table: pa.Table, params: dict) -> pa.Table:
+    total = pc.sum(table["l_quantity"]).as_py() or 0.0
+    return pa.table({"total": pa.array([total], pa.float64())})
+
+
+def added(states: pa.Table, params: dict) -> pa.Table:
+    return pa.table({"total": pa.array([pc.sum(states["total"]).as_py() or 0.0], pa.float64())})
+
+
+def share(table: pa.Table, params: dict) -> pa.Table:
+    part = pc.divide(table["l_quantity"], table["total"])
+    return table.select(["l_orderkey", "l_linenumber", "l_returnflag"]).append_column("share", part)
+
+
+# Needs all rows of its group: each row's part of the sum.
+share_of_total = StagedPlugin(quantity, added, share)
 
 
 PLUGINS = {
@@ -411,25 +422,14 @@ QUERIES = {
         "FROM events GROUP BY event_id // 3000",
     ),
     "plugin_grouped": (
-        steps_query(
-            "events",
-            aggregate(["event_type", "CAST(CAST(ts AS DATE) AS STRING) AS day"], "count(*) AS n"),
-            plugin("share_of_total", group_by=["event_type"]),
-            plugins=PLUGINS,
-        ),
-        """SELECT event_type, day, n, n::DOUBLE / sum(n) OVER (PARTITION BY event_type) AS share
-           FROM (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n
-                 FROM events GROUP BY 1, 2)""",
+        steps_query("lineitem", plugin("share_of_total", group_by=["l_returnflag"]), plugins=PLUGINS),
+        """SELECT l_orderkey, l_linenumber, l_returnflag,
+                  l_quantity / sum(l_quantity) OVER (PARTITION BY l_returnflag) AS share FROM lineitem""",
     ),
     "plugin_whole": (
-        steps_query(
-            "events",
-            aggregate(["event_type"], "count(*) AS n"),
-            plugin("share_of_total"),
-            plugins=PLUGINS,
-        ),
-        """SELECT event_type, n, n::DOUBLE / sum(n) OVER () AS share
-           FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
+        steps_query("lineitem", plugin("share_of_total"), plugins=PLUGINS),
+        """SELECT l_orderkey, l_linenumber, l_returnflag,
+                  l_quantity / sum(l_quantity) OVER () AS share FROM lineitem""",
     ),
     "flagship_run": (flagship, _SEGMENTS),
     "run_record": (

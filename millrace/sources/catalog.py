@@ -28,7 +28,7 @@ def describe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, _DESCRIBE_SCHEMA)
 
 
-def catalog(spark: SparkSession, folder: str, limit: int | None = 5) -> DataFrame:
+def catalog(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """Schemas of the datasets below a folder.
 
     ``part-*`` files of one folder, with its ``key=value`` folders, are one dataset;

@@ -25,6 +25,13 @@ _STEP_KEYS = {
     "join": {"join_type": str, "on": str},
     "python": {"function": str},
 }
+# Further keys that a step of each type may have.
+_STEP_OPTIONS = {
+    "join": {"right_path", "right_dataset", "range", "skew_safe"},
+    "python": {"params", "chunk_rows", "mode", "group_by", "pieces", "schema"},
+}
+_CHECK_OPTIONS = {"custom_sql": {"must_be"}}
+_COMMON_KEYS = {"type", "name", "description"}
 _CHECK_KEYS = {
     "not_null": {"columns": list},
     "unique": {"columns": list},
@@ -68,7 +75,8 @@ class PipelineSpec:
             missing = {"name", "sink_path"} - spec.keys()
             if missing:
                 raise SpecError(f"missing: {', '.join(sorted(missing))}")
-            spec = cls(**{k: v for k, v in spec.items() if k in known})
+            _refuse_unknown(spec, known, "spec")
+            spec = cls(**spec)
         spec.check()
         return spec
 
@@ -142,7 +150,7 @@ def check_sink_path(path: str) -> None:
 
 
 def check_step(step: dict) -> None:
-    _require_keys(step, _STEP_KEYS, "step")
+    _require_keys(step, _STEP_KEYS, "step", _STEP_OPTIONS)
     kind = step["type"]
     if kind == "join":
         if step["join_type"] not in JOIN_TYPES:
@@ -156,18 +164,26 @@ def check_step(step: dict) -> None:
 
 
 def check_check(check: dict) -> None:
-    _require_keys(check, _CHECK_KEYS, "check")
+    _require_keys(check, _CHECK_KEYS, "check", _CHECK_OPTIONS)
     if check["type"] == "row_count_min" and check["value"] < 1:
         raise SpecError("row_count_min value must be at least 1")
 
 
-def _require_keys(item: dict, table: dict, label: str) -> None:
+def _refuse_unknown(item: dict, known: set, label: str) -> None:
+    unknown = set(item) - known
+    if unknown:
+        raise SpecError(f"{label} does not know {', '.join(sorted(map(str, unknown)))}")
+
+
+def _require_keys(item: dict, table: dict, label: str, options: dict) -> None:
     kind = item.get("type")
     if kind not in table:
         raise SpecError(f"unknown {label} type {kind!r}; one of {', '.join(table)}")
     for key, wanted in table[kind].items():
         if not isinstance(item.get(key), wanted):
             raise SpecError(f"{label} {kind!r} needs {key} ({wanted.__name__})")
+    known = table[kind].keys() | options.get(kind, set()) | _COMMON_KEYS
+    _refuse_unknown(item, known, f"{label} {kind!r}")
 
 
 def _require_name(name: str, label: str) -> None:

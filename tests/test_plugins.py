@@ -3,7 +3,7 @@ import pyarrow.compute as pc
 import pytest
 
 from millrace.errors import PluginError
-from millrace.operators.plugins import PluginRegistry, chunk_ranges, plugin_step, row_chunks
+from millrace.operators.plugins import PluginRegistry, StagedPlugin, plugin_step, row_chunks
 from tests.conftest import rows
 
 
@@ -61,30 +61,16 @@ def test_slice_holds_the_rows_of_its_range(spark, make):
     assert rows(df) == [(15,), (25,), (35,)]
 
 
-@pytest.mark.parametrize("n, size, ranges", [
-    (10, 3, [(0, 3), (3, 6), (6, 9), (9, 10)]), (5, 5, [(0, 5)]), (0, 3, []),
-])
-def test_chunk_ranges(n, size, ranges):
-    assert chunk_ranges(n, size) == ranges
-
-
-@pytest.mark.parametrize("size", [0, -5])
-def test_chunk_ranges_need_a_size(size):
-    with pytest.raises(ValueError):
-        chunk_ranges(3, size)
-
-
 def test_empty_input_keeps_the_plugin_schema(spark):
     empty = spark.createDataFrame([], "n long")
-    df = run(empty, function="plus", params={"add": 1})
+    df = run(empty, function="plus", params={"add": 1}, mode="chunk")
     assert df.columns == ["n_plus"] and df.count() == 0
-    assert rows(run(empty, function="size")) == [(0,)]
 
 
 def test_groups_are_not_mixed_and_large_ones_are_cut(spark):
     data = [(1,)] * 95 + [(2,)] * 3 + [(None,)] * 4 + [(3,)] * 10
     df = spark.createDataFrame(data, "k long").repartition(5)
-    got = rows(run(df, function="by_key", group_by=["k"], chunk_rows=10))
+    got = rows(run(df, function="by_key", group_by=["k"], chunk_rows=10, pieces=True))
     totals = {}
     for key, n in got:
         assert n <= 10
@@ -93,10 +79,40 @@ def test_groups_are_not_mixed_and_large_ones_are_cut(spark):
     assert (2, 3) in got and (None, 4) in got and (3, 10) in got
 
 
-def test_without_settings_there_is_one_call_with_a_limit(eight):
-    assert rows(run(eight, function="size")) == [(8,)]
-    with pytest.raises(Exception, match="more than 5 rows"):
-        run(eight, function="size", max_rows=5).collect()
+def total(table, params):
+    return pa.table({"sum": pa.array([pc.sum(table["v"]).as_py() or 0], pa.int64())})
+
+
+def add(states, params):
+    return pa.table({"sum": pa.array([pc.sum(states["sum"]).as_py() or 0], pa.int64())})
+
+
+def of_sum(table, params):
+    return table.select(["k", "v", "sum"])
+
+
+STAGED = PluginRegistry({"part": StagedPlugin(total, add, of_sum)})
+
+
+def test_staged_groups_see_all_their_rows(spark):
+    nan = float("nan")
+    data = [(1.0, i) for i in range(3000)] + [(nan, 1)] * 700 + [(None, 2)] * 50 + [(4.0, 5)]
+    df = spark.createDataFrame(data, "k double, v long").repartition(6)
+    got = plugin_step(df, {"function": "part", "group_by": ["k"], "chunk_rows": 100}, STAGED).collect()
+    assert len(got) == len(data)
+    sums = {str(r["k"]): r["sum"] for r in got}
+    assert sums == {"1.0": sum(range(3000)), "nan": 700, "None": 100, "4.0": 5}
+    assert len({(str(r["k"]), r["sum"]) for r in got}) == 4
+    whole = plugin_step(df, {"function": "part"}, STAGED).collect()
+    assert len(whole) == len(data) and {r["sum"] for r in whole} == {sum(range(3000)) + 805}
+    assert plugin_step(df.limit(0), {"function": "part"}, STAGED).count() == 0
+    assert plugin_step(df.limit(0), {"function": "part", "group_by": ["k"]}, STAGED).count() == 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"group_by": ["n"]}])
+def test_a_plain_plugin_is_not_given_a_whole_group(eight, settings):
+    with pytest.raises(PluginError, match="must be a StagedPlugin"):
+        run(eight, function="size", **settings)
 
 
 def test_lookup_errors(eight):
@@ -107,7 +123,7 @@ def test_lookup_errors(eight):
     with pytest.raises(PluginError, match="does not expose a callable"):
         PluginRegistry({"thing": 3}).load("thing")
     with pytest.raises(PluginError, match="must return a pyarrow.Table, got list"):
-        run(eight, function="wrong")
+        run(eight, function="wrong", chunk_rows=5)
 
 
 def test_slices_with_another_schema_fail(spark):
@@ -121,6 +137,6 @@ def test_slices_with_another_schema_fail(spark):
 
 
 def test_declared_schema_is_used(spark):
-    df = plugin_step(spark.range(3), {"type": "python", "function": "same", "schema": "id double"},
+    df = plugin_step(spark.range(3), {"type": "python", "function": "same", "schema": "id double", "chunk_rows": 9},
                      PluginRegistry({"same": lambda t, p: t}))
     assert rows(df) == [(0.0,), (1.0,), (2.0,)]
