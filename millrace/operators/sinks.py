@@ -88,15 +88,12 @@ def publish(spark: SparkSession, staged: Staged, spec: PipelineSpec) -> None:
     if spec.sink_format != "parquet":
         write_table(staged.read(spark), spec)
     elif spec.overwrite == "partitions":
-        (
-            staged.read(spark)
-            .hint("rebalance", spec.partition_by)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", spec.compression)
-            .partitionBy(spec.partition_by)
-            .parquet(storage.storage_uri(spark, spec.sink_path))
-        )
+        if spec.target_file_size:
+            _resize(spark, staged, spec)
+        # A rename for each partition of the result; their files stay as they are.
+        for name, _ in storage.children(spark, staged.path):
+            if name.startswith(f"{spec.partition_by}="):
+                storage.replace(spark, f"{staged.path}/{name}", f"{spec.sink_path}/{name}")
     elif spec.single_file:
         _publish_single(spark, staged, spec)
     else:

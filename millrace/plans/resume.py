@@ -11,21 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace import storage
 from millrace.session import work_root
-from millrace.spec import PipelineSpec
+from millrace.spec import PipelineSpec, sql_texts
 
 
 class StepStore:
     """Finished steps as Parquet folders ``step_<i>`` in the shared work folder.
 
-    The folder is named by the source and the steps, so an edited pipeline starts
-    afresh; a change of sink or checks keeps finished steps.
+    The folder is named by the source, the steps and the saved datasets they name, so
+    an edited pipeline starts afresh; name a plugin anew when its code changes; a change of sink or checks keeps finished steps.
     """
 
-    def __init__(self, spark: SparkSession, spec: PipelineSpec):
+    def __init__(self, spark: SparkSession, spec: PipelineSpec, datasets: dict | None = None):
         self.spark = spark
-        text = json.dumps(
-            [spec.source_type, spec.source_config, spec.transforms], sort_keys=True, default=str
-        )
+        parts = [spec.source_type, spec.source_config, spec.transforms]
+        fragments = " ".join([json.dumps(parts, default=str), *sql_texts(spec)])
+        named = {k: v for k, v in (datasets or {}).items() if k.lower() in fragments.lower()}
+        text = json.dumps(parts + [named] * bool(named), sort_keys=True, default=str)
         digest = hashlib.sha256(text.encode()).hexdigest()[:16]
         self.root = f"{work_root(spark)}/millrace/steps/{spec.name}/{digest}"
 

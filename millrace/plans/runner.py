@@ -112,13 +112,13 @@ class _Run:
         self.step = "template_resolution"
         spec = resolve(spec, now)
         self.step = "data_access"
-        self._check_access(spec)
+        check_access(self.spark, spec, self.datasets, self.roles)
         self.step = "source"
         df = self.source(spec, once=True)
         self.step = "extract_count"
         if spec.count_source:
             self.rows_in = df.count()
-        store = StepStore(self.spark, spec) if spec.checkpointing else None
+        store = StepStore(self.spark, spec, self.datasets) if spec.checkpointing else None
         df = self._transform(df, spec, store)
 
         self.step = "write"
@@ -148,7 +148,7 @@ class _Run:
         if kind == "file":
             require_match(self.spark, config["path"])
         df = read_source(self.spark, kind, config)
-        remote = kind == "http" or (kind == "file" and storage.is_http(config["path"]))
+        remote = kind == "http" or any(map(storage.is_http, dataset_paths({"config": config})))
         return cut_lineage(df, self.cuts) if once and remote else df
 
     def _transform(self, df, spec, store):
@@ -166,16 +166,20 @@ class _Run:
                 df = store.save(index, df)
         return df
 
-    def _check_access(self, spec: PipelineSpec) -> None:
-        if not spec.run_as:
-            return
-        if self.roles is None:
-            raise SpecError(f"run_as '{spec.run_as}' needs a roles table")
-        denied = denied_paths(self.spark, self.roles, spec.run_as, spec_paths(spec, self.datasets))
-        if denied:
-            raise PermissionError(
-                messages.NOT_PERMITTED.format(role=spec.run_as, paths=", ".join(denied))
-            )
+
+def check_access(
+    spark: SparkSession, spec: PipelineSpec, datasets: dict[str, dict], roles: DataFrame | None
+) -> None:
+    """Refuse a spec whose role may not use one of its paths."""
+    if not spec.run_as:
+        return
+    if roles is None:
+        raise SpecError(f"run_as '{spec.run_as}' needs a roles table")
+    denied = denied_paths(spark, roles, spec.run_as, spec_paths(spec, datasets))
+    if denied:
+        raise PermissionError(
+            messages.NOT_PERMITTED.format(role=spec.run_as, paths=", ".join(denied))
+        )
 
 
 def spec_paths(spec: PipelineSpec, datasets: dict[str, dict]) -> list[str]:

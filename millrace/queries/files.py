@@ -14,7 +14,7 @@ from millrace.queries.common import (
 from millrace.session import run_session
 from millrace.sources import read_source
 from millrace.sources.catalog import catalog, describe_files
-from millrace.sources.files import footer_counts, list_files, read_dated, read_files, row_slice
+from millrace.sources.files import dated_days, footer_counts, list_files, read_dated, read_files
 from millrace.sources.http import records
 from millrace.streaming.incremental import read_incremental, run_incremental
 
@@ -31,14 +31,102 @@ def _text_roundtrip(table: str, suffix: str):
             # Spark names JSON parts *.json; lines are lines under either name.
             df.write.json(out)
             return read_files(session, f"{out}/*.json").select(*df.columns)
-        sep = "\t" if suffix == "tsv" else ","
-        write = df.write.option("header", True).option("sep", sep).option("escape", '"')
-        write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(out)
-        return read_files(session, f"{out}/*.csv", options={"sep": sep}).select(*df.columns)
+        _write_csv(df, out, "\t" if suffix == "tsv" else ",", suffix)
+        return read_files(session, f"{out}/*.{suffix}").select(*df.columns)
 
     return run
 
 
+def _write_csv(df, path, sep, extension="csv"):
+    write = df.write.option("header", True).option("sep", sep).option("escape", '"')
+    write = write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+    write.option("extension", extension).csv(path)
+
+
+def csv_dialects(spark, folder):
+    """Files with semicolons and files with bars whose quoted texts span lines, found by
+    one glob and read as one relation."""
+    session = session_with_tables(spark, folder, ["orders"])
+    out, folded = scratch(spark, "dialects"), "concat(o_orderpriority, '\n', o_orderstatus)"
+    parts = [("a", ";", "o_totalprice < 150000", "o_orderpriority"),
+             ("b", "|", "o_totalprice >= 150000", folded)]
+    for name, sep, condition, note in parts:
+        _write_csv(session.sql(
+            f"SELECT o_orderkey, {note} AS note, o_totalprice FROM orders WHERE {condition}"),
+            f"{out}/{name}", sep)
+    return read_files(session, f"{out}/*/*.csv")
+
+
+def json_layouts(spark, folder):
+    """Lines and arrays in one folder, decided file by file."""
+    session = session_with_tables(spark, folder, ["part"])
+    out = scratch(spark, "layouts")
+    session.sql("SELECT p_partkey, p_name FROM part WHERE p_size < 25").write.json(f"{out}/lines")
+    session.sql("""
+        SELECT concat('[\n', concat_ws(',\n', collect_list(
+                 to_json(named_struct('p_partkey', p_partkey, 'p_name', p_name)))), '\n]') AS value
+        FROM part WHERE p_size >= 25 GROUP BY p_partkey div 500
+    """).write.option(
+        "maxRecordsPerFile", 1).text(f"{out}/arrays")
+    for name, size in storage.data_files(session, f"{out}/arrays"):
+        kept = f"{out}/arrays/{name}"
+        if size:
+            storage.move(session, kept, kept.removesuffix(".txt") + ".json")
+    return read_files(session, f"{out}/*/*.json")
+
+
+def path_list(spark, folder):
+    """A list of paths of three formats as one relation."""
+    session = session_with_tables(spark, folder, ["supplier"])
+    out, columns = scratch(spark, "listed"), "s_suppkey, s_name, s_nationkey"
+    made = [session.sql(f"SELECT {columns} FROM supplier WHERE {c}") for c in
+            ("s_nationkey < 8", "s_nationkey BETWEEN 8 AND 15", "s_nationkey > 15")]
+    made[0].write.parquet(f"{out}/a")
+    _write_csv(made[1], f"{out}/b", ";")
+    made[2].write.json(f"{out}/c")
+    return read_files(session, [f"{out}/a", f"{out}/b/*.csv", f"{out}/c/*.json"]).selectExpr(
+        "s_suppkey", "s_name", "s_nationkey")
+
+
+def glob_depth(spark, folder):
+    """Folders of one name at any depth."""
+    session = session_with_tables(spark, folder, ["customer"])
+    out = scratch(spark, "depth")
+    for place, condition in (("keep", "c_acctbal < 0"), ("x/y/keep", "c_acctbal > 5000"),
+                             ("x/drop", "c_acctbal BETWEEN 0 AND 5000")):
+        session.table("customer").where(condition).write.parquet(f"{out}/{place}")
+    return read_files(session, f"{out}/**/keep/*.parquet")
+
+
+def dated_gaps(spark, folder):
+    """Days of a range with and without a folder; the range is a day longer at each end."""
+    session = session_with_tables(spark, folder, ["events"])
+    out = scratch(spark, "gaps")
+    write_parquet(session.sql("SELECT *, CAST(ts AS DATE) AS day FROM events"), out,
+                  partition_by="day")
+    first, last = session.sql(
+        "SELECT CAST(min(ts) AS DATE) - 1, CAST(max(ts) AS DATE) + 1 FROM events").first()
+    days = dated_days(session, f"{out}/day={{{{today}}}}", first, last)
+    return days.select(F.col("run_date").cast("string").alias("run_date"), "found")
+
+
+def incremental_fresh(spark, folder):
+    """Two runs and a third under a fresh checkpoint, which takes everything anew."""
+    steps = [select("event_id", "user_id", "upper(event_type) AS kind")]
+    return read_incremental(run_session(spark), _two_runs(spark, folder, steps, [], fresh=True))
+
+
+def partitions_sized(spark, folder):
+    """Partitions replaced by a second run that keeps the file settings."""
+    sink = scratch(spark, "partitions")
+    made = spec(folder, "lineitem", name="partitions", sink_path=sink, partition_by="l_returnflag",
+                target_file_size="256KB", row_group_size=5000)
+    run_pipeline(spark, made)
+    again = [where("l_returnflag = 'R'"), select("* EXCEPT (l_tax)", "l_tax + 1 AS l_tax")]
+    run_pipeline(spark, {**made, "transforms": again, "overwrite": "partitions"})
+    return run_session(spark).read.parquet(sink)
+
+
 def _pages(session):
     """Events as API responses: one JSON document of at most 100 items per row."""
     return session.sql(f"""
@@ -217,7 +305,7 @@ def incremental_totals(spark, folder):
         [{"type": "unique", "columns": ["event_type"]}]))
 
 
-def _two_runs(spark, folder, steps, checks) -> str:
+def _two_runs(spark, folder, steps, checks, fresh=False) -> str:
     session = session_with_tables(spark, folder, ["events"])
     incoming, sink, checkpoint = (scratch(spark, n) for n in ("incoming", "inc", "inc-state"))
     made = {"name": "incremental", "source_path": incoming, "sink_path": sink,
@@ -227,6 +315,8 @@ def _two_runs(spark, folder, steps, checks) -> str:
     for condition in (F.col("ts") < split, F.col("ts") >= split):
         session.table("events").where(condition).write.mode("append").parquet(incoming)
         run_incremental(spark, made, checkpoint)
+    if fresh:
+        run_incremental(spark, made, scratch(spark, "inc-state"))
     return sink
 
 
@@ -240,6 +330,29 @@ QUERIES = {
     "csv_roundtrip": (_text_roundtrip("orders", "csv"), "SELECT * FROM orders"),
     "tsv_roundtrip": (_text_roundtrip("customer", "tsv"), "SELECT * FROM customer"),
     "ndjson_roundtrip": (_text_roundtrip("part", "ndjson"), "SELECT * FROM part"),
+    "csv_dialects": (
+        csv_dialects,
+        """SELECT o_orderkey, CASE WHEN o_totalprice < 150000 THEN o_orderpriority
+                  ELSE concat(o_orderpriority, chr(10), o_orderstatus) END AS note, o_totalprice
+           FROM orders""",
+    ),
+    "json_layouts": (json_layouts, "SELECT p_partkey, p_name FROM part"),
+    "path_list": (path_list, "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
+    "glob_depth": (glob_depth, "SELECT * FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000"),
+    "dated_gaps": (
+        dated_gaps,
+        """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events),
+                span AS (SELECT CAST(unnest(generate_series(min(d) - INTERVAL 1 DAY,
+                         max(d) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM days)
+           SELECT CAST(d AS VARCHAR) AS run_date, d IN (SELECT d FROM days) AS found FROM span""",
+    ),
+    "incremental_fresh": (
+        incremental_fresh, "SELECT event_id, user_id, upper(event_type) AS kind FROM events"),
+    "partitions_sized": (
+        partitions_sized,
+        """SELECT * REPLACE (CASE WHEN l_returnflag = 'R' THEN l_tax + 1 ELSE l_tax END AS l_tax)
+           FROM lineitem""",
+    ),
     "json_records": (json_records, _ALL_EVENTS),
     "http_records": (http_records, _ALL_EVENTS),
     "glob_scan": (glob_scan, "SELECT * FROM events"),

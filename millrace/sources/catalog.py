@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +16,21 @@ from millrace.sources.files import list_files, read_files
 _DESCRIBE_SCHEMA = "path string, column string, type string, position int"
 
 
-def describe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per column of each path; a path that cannot be read gives none."""
+def describe_files(spark: SparkSession, paths: list[str], *, errors: bool = False) -> DataFrame:
+    """One row per column of each path. A path that cannot be read gives none, or with
+    ``errors`` one row that says why in a further column ``error``."""
     rows = []
     for path in paths:
         try:
             schema = read_files(spark, path).schema
-        except Exception:
+        except (AnalysisException, OSError, PySparkException, Py4JJavaError) as exc:
+            rows.append((path, None, None, None, str(exc)))
             continue
         rows += [
-            (path, f.name, f.dataType.simpleString(), i) for i, f in enumerate(schema.fields)
+            (path, f.name, f.dataType.simpleString(), i, None) for i, f in enumerate(schema.fields)
         ]
-    return spark.createDataFrame(rows, _DESCRIBE_SCHEMA)
+    found = spark.createDataFrame(rows, f"{_DESCRIBE_SCHEMA}, error string")
+    return found if errors else found.where("error IS NULL").drop("error")
 
 
 def catalog(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
@@ -62,12 +67,20 @@ def resolve_dataset(name: str, saved: dict[str, dict]) -> dict:
 
 def register_datasets(spark: SparkSession, saved: dict[str, dict], *texts: str) -> None:
     """The saved datasets that SQL texts name, as temporary views of this session."""
-    for name in saved:
-        if any(re.search(rf"\b{re.escape(name)}\b", text, re.I) for text in texts):
-            named_dataset(spark, name, saved).createOrReplaceTempView(name)
+    for name in named_in(saved, *texts):
+        named_dataset(spark, name, saved).createOrReplaceTempView(name)
+
+
+def named_in(saved: dict[str, dict], *texts: str) -> list[str]:
+    """The saved datasets that SQL texts name."""
+    return [name for name in saved
+            if any(re.search(rf"\b{re.escape(name)}\b", text, re.I) for text in texts)]
 
 
 def dataset_paths(saved_entry: dict) -> list[str]:
     config = saved_entry.get("config", {})
-    return [config[k] for k in ("path", "url") if config.get(k)] + list(config.get("urls") or [])
-
+    found: list[str] = []
+    for key in ("path", "url", "urls"):
+        value = config.get(key) or []
+        found += [value] if isinstance(value, str) else list(value)
+    return found

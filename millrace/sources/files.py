@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import messages, storage
-from millrace.params import dated_paths, run_date_pattern
-from millrace.sources.http import read_http
+from millrace.params import dated_paths, dates_between, run_date_pattern
+from millrace.sources.http import detect_http_format, read_http
 
 # Extension -> reader; everything else is Parquet.
 FORMAT_OF_SUFFIX = {
@@ -42,74 +42,159 @@ def read_files(
     *,
     schema=None,
     options: dict | None = None,
+    format: str | None = None,
 ) -> DataFrame:
-    """Read files as one relation; the reader follows the extension.
+    """Read files as one relation; the reader follows the extension of each path, or
+    ``format``. Paths that need different readers are united by column name.
 
-    ``**`` in a path searches folders recursively; ``http(s)`` paths are fetched. Give ``schema`` for large CSV
-    or JSON inputs: inference is an extra pass over the text.
+    ``**`` stands for folders at any depth; ``http(s)`` paths are fetched. A CSV file's
+    delimiter is the most frequent of ``, ; | tab`` in its first line, and quotes may
+    span lines; a .json file may hold lines, an array or one indented object. Both are
+    decided file by file in one pass over the text. Give ``schema`` and the options
+    ``sep`` or ``multiLine`` for large text inputs: then no such pass is made. Rows that
+    do not fit fail unless the option ``mode`` says otherwise.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    if storage.is_http(paths[0]):
-        return read_http(spark, {"urls": paths, "schema": schema})
-    fmt = detect_format(paths[0])
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.options(
-            header=True,
-            inferSchema=schema is None,
-            sep="\t" if _suffix(paths[0]) == ".tsv" else ",",
-            escape='"',
-            preferDate=True,
-        )
-    if fmt == "json" and _suffix(paths[0]) == ".json" and not (options or {}).get("multiLine"):
-        # A .json file is either one array or one object per line.
-        reader = reader.option("multiLine", _is_json_array(spark, paths[0]))
-    if any("**" in p for p in paths):
-        paths, name_glob = _split_recursive(paths)
-        reader = reader.option("recursiveFileLookup", True)
-        if name_glob:
-            reader = reader.option("pathGlobFilter", name_glob)
-    return reader.options(**(options or {})).load([storage.storage_uri(spark, p) for p in paths])
-
-
-def _split_recursive(paths: list[str]) -> tuple[list[str], str]:
-    roots, names = [], set()
+    paths, options = [path] if isinstance(path, str) else list(path), options or {}
+    groups: dict[tuple, list[str]] = {}
     for p in paths:
-        root, _, rest = p.partition("**")
-        roots.append(root.rstrip("/") or ".")
-        names.add(rest.strip("/"))
-    return roots, "" if names == {""} else "{" + ",".join(sorted(names)) + "}"
-
-
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """Does the text start with a bracket? Reads one line, not the files."""
-    root, name_glob = [path], ""
-    if "**" in path:
-        root, name_glob = _split_recursive([path])
-    lines = spark.read.option("recursiveFileLookup", bool(name_glob))
-    if name_glob:
-        lines = lines.option("pathGlobFilter", name_glob)
-    first = (
-        lines.text([storage.storage_uri(spark, p) for p in root])
+        if storage.is_http(p):
+            groups.setdefault(("http", format or detect_http_format(p)), []).append(p)
+        else:
+            fmt = format or detect_format(p)
+            groups.setdefault((fmt, _suffix(p), _tail(p)), []).append(p)
+    frames = []
+    for (fmt, *rest), members in groups.items():
+        if fmt == "http":
+            config = {"urls": members, "schema": schema}
+            frames.append(read_http(spark, {**config, "format": format} if format else config))
+        else:
+            frames += _read_alike(spark, fmt, rest[0], members, schema, options)
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame, allowMissingColumns=True)
+    return whole
+
+
+def _tail(path: str) -> str | None:
+    return path.partition("**")[2].strip("/") if "**" in path else None
+
+
+def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
+    """Paths of one format: one DataFrame for each layout their files have."""
+    lookup, tail = {}, _tail(paths[0])
+    if tail is not None and "/" in tail:
+        paths = [file for p in paths for file in _below(spark, p)]
+    elif tail is not None:
+        lookup = {"recursiveFileLookup": True, **({"pathGlobFilter": tail} if tail else {})}
+        paths = [p.partition("**")[0].rstrip("/") or "." for p in paths]
+    uris = [storage.storage_uri(spark, p) for p in paths]
+
+    def load(members, **layout):
+        reader = spark.read.format(fmt).options(**lookup, **layout)
+        if schema is not None:
+            reader = reader.schema(schema)
+        return reader.options(**options).load(members)
+
+    if fmt == "csv":
+        common = {"header": True, "inferSchema": schema is None, "escape": '"', "preferDate": True,
+                  "mode": "FAILFAST"}
+        if suffix == ".tsv":
+            common["sep"] = "\t"
+        given = {name.lower() for name in options} | common.keys()
+        if given & {"sep", "delimiter"} and "multiline" in given:
+            return [load(uris, **common)]
+        layouts = _layouts(spark, uris, lookup, sep=_delimiter(), multiLine=_open_quote())
+    elif fmt == "json":
+        common = {"mode": "FAILFAST"}
+        if suffix in (".ndjson", ".jsonl") or "multiline" in {name.lower() for name in options}:
+            return [load(uris, **common)]
+        layouts = _layouts(spark, uris, lookup, sep=F.lit(""), multiLine=_not_a_line())
+    else:
+        return [load(uris)]
+    frames = []
+    for sep, many, files in layouts:
+        own = {**({"sep": sep} if sep else {}), **common, "multiLine": many}
+        if len(layouts) == 1:
+            files = uris
+        elif len(uris) == 1 and not storage.has_glob(uris[0]) and not lookup:
+            own["basePath"] = uris[0]
+        frames.append(load(files, **own))
+    return frames
+
+
+# What decides a layout: ``head`` is a file's first line with text, ``odd`` tells whether
+# one of its lines has an odd number of quotes.
+def _delimiter():
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    seen = [
+        F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(mark)))).alias("n"),
+                 F.lit(-rank).alias("rank"), F.lit(mark).alias("mark"))
+        for rank, mark in enumerate((",", ";", "|", "\t"))
+    ]
+    return F.array_max(F.array(*seen))["mark"]
+
+
+def _open_quote():
+    return F.col("odd")
+
+
+def _not_a_line():
+    return F.get_json_object("head", "$").isNull()
+
+
+def _layouts(spark, uris, lookup, *, sep, multiLine) -> list[tuple[str, bool, list[str]]]:
+    """Layouts with their files; the driver gets one name per file, as for any scan."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    heads = (
+        spark.read.options(**lookup).text(uris)
+        .select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
         .where(F.trim("value") != "")
-        .select(F.substring(F.ltrim("value"), 1, 1).alias("mark"))
-        .first()
+        .groupBy("file")
+        .agg(F.min_by("value", "place").alias("head"), F.max(quotes % 2 == 1).alias("odd"))
     )
-    return first is not None and first["mark"] == "["
+    found = heads.groupBy(sep.alias("sep"), multiLine.alias("many")).agg(
+        F.sort_array(F.collect_list(_as_path(F.col("file")))).alias("files"))
+    rows = found.orderBy("sep", "many").collect()
+    return [(r["sep"], r["many"], r["files"]) for r in rows] or [("", False, uris)]
 
 
-def require_match(spark: SparkSession, path: str) -> None:
-    """Fail early when a local path or glob names nothing."""
-    if storage.is_remote(path):
-        return
-    plain = path.partition("**")[0].rstrip("/") if "**" in path else path
-    if storage.matches(spark, plain or ".") == 0:
+def _as_path(uri):
+    """A file's URI as a path to load: not percent-encoded, glob characters quoted."""
+    plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, r"([\[\]{}*?\\])", r"\\$1")
+
+
+def _below(spark, path: str) -> list[str]:
+    """Files that a path with ``**/`` before further folders names."""
+    root = path.partition("**")[0].rstrip("/") or "."
+    below = re.escape(storage.absolute(spark, root)) + "/"
+    body = path.partition("**")[2]
+    pattern = r"(?:.*/)?" + _glob_regex(body.lstrip("/"))
+    files = list_files(spark, root).where(F.col("path").rlike(f"^{below}{pattern}$"))
+    found = [r[0] for r in files.select(_as_path(F.col("path"))).orderBy("path").collect()]
+    if not found:
         raise FileNotFoundError(messages.NO_MATCH.format(path=path))
+    return found
+
 
+def _glob_regex(glob: str) -> str:
+    marks = {"**/": r"(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(marks.get(part) or re.escape(part)
+                   for part in re.split(r"(\*\*/|\*\*|\*|\?)", glob) if part)
 
-def probe_files(spark: SparkSession, path: str) -> dict:
+
+def require_match(spark: SparkSession, path: str | list[str]) -> None:
+    """Fail early when a local path or glob names nothing."""
+    for one in [path] if isinstance(path, str) else path:
+        if storage.is_remote(one):
+            continue
+        plain = one.partition("**")[0].rstrip("/") if "**" in one else one
+        if storage.matches(spark, plain or ".") == 0:
+            raise FileNotFoundError(messages.NO_MATCH.format(path=one))
+
+
+def probe_files(spark: SparkSession, path: str | list[str]) -> dict:
     """Reachability and up to ten of the matched files."""
     started = time.perf_counter()
 
@@ -120,7 +205,8 @@ def probe_files(spark: SparkSession, path: str) -> dict:
 
     if not path:
         return answer(False, messages.PROBE_NO_PATH)
-    if storage.is_remote(path):
+    paths = [path] if isinstance(path, str) else path
+    if all(map(storage.is_remote, paths)):
         return answer(True, messages.PROBE_REMOTE.format(path=path))
     try:
         require_match(spark, path)
@@ -131,12 +217,15 @@ def probe_files(spark: SparkSession, path: str) -> dict:
     return answer(True, messages.PROBE_FOUND.format(files=files.count()), {"files": shown})
 
 
-def list_files(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
+def list_files(
+    spark: SparkSession, path: str | list[str], name_glob: str | None = None
+) -> DataFrame:
     """``path, length`` of every file below a path; the listing runs on executors."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    return reader.load(storage.storage_uri(spark, path)).select("path", "length")
+    paths = [path] if isinstance(path, str) else path
+    return reader.load([storage.storage_uri(spark, p) for p in paths]).select("path", "length")
 
 
 def footer_counts(df: DataFrame) -> DataFrame:
@@ -155,16 +244,28 @@ def row_slice(df: DataFrame, start: int, end: int, file_path: str | None = None)
     return df.where(kept)
 
 
+def dated_days(spark: SparkSession, template: str, first, last) -> DataFrame:
+    """``run_date, path, found``: which days of a date-parameterised path there are."""
+    days = [(day, dated_paths(template, day, day)[0]) for day in dates_between(first, last)]
+    return spark.createDataFrame(
+        [(day, path, storage.matches(spark, path) > 0) for day, path in days],
+        "run_date date, path string, found boolean")
+
+
 def read_dated(
-    spark: SparkSession, template: str, first, last, *, run_date="run_date", schema=None
+    spark: SparkSession, template: str, first, last, *, run_date="run_date", schema=None,
+    missing: str = "skip",
 ) -> DataFrame:
-    """All days of a date-parameterised path as one scan, each row with its run date."""
-    wanted, paths = dated_paths(template, first, last), []
-    for path in wanted:
-        if storage.is_remote(path) or storage.matches(spark, path):
-            paths.append(path)
-    if not paths:
-        raise FileNotFoundError(messages.NO_MATCH.format(path=template))
+    """All days of a date-parameterised path as one scan, each row with its run date.
+
+    Days without files are skipped, or refused with ``missing="fail"``; :func:`dated_days`
+    lists them.
+    """
+    wanted = dated_paths(template, first, last)
+    paths = [path for path in wanted if storage.is_http(path) or storage.matches(spark, path)]
+    if not paths or (missing == "fail" and len(paths) < len(wanted)):
+        absent = [path for path in wanted if path not in set(paths)]
+        raise FileNotFoundError(messages.NO_MATCH.format(path=", ".join(absent)))
     pattern, extra_days = run_date_pattern(template)
     group = re.compile(pattern).groupindex
     java = pattern.replace("(?P<", "(?<")

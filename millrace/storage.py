@@ -35,6 +35,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def absolute(spark: SparkSession, path: str) -> str:
+    """The path as listings spell it, with its scheme."""
+    fs, target = _locate(spark, path)
+    return fs.makeQualified(target).toString()
+
+
 def matches(spark: SparkSession, pattern: str) -> int:
     """How many files or folders a path or glob names."""
     fs, target = _locate(spark, pattern)

@@ -2,7 +2,7 @@ import pytest
 
 from millrace import export_sql, page_sql, run_sql
 from millrace.operators.access import ROLES_DDL
-from millrace.plans.adhoc import clean_query
+from millrace.plans.adhoc import clean_query, page_after
 from tests.conftest import SMALL, rows
 
 ORDERS = {"orders": f"{SMALL}/orders.parquet"}
@@ -85,3 +85,31 @@ def test_dialect_as_documented(spark, text, expected):
 def test_ansi_errors(spark, text):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO|CAST_INVALID_INPUT"):
         run_sql(spark, text).collect()
+
+
+def test_file_functions_take_lists_and_options(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("k;v\n1;x\n")
+    (tmp_path / "b.txt").write_text("k;v\n2;NIL\n")
+    text = f"SELECT * FROM read_csv(['{tmp_path}/a.txt', '{tmp_path}/b.txt'], delim = ';', nullstr := 'NIL')"
+    assert rows(run_sql(spark, text)) == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError, match="does not know"):
+        run_sql(spark, f"SELECT * FROM read_csv('{tmp_path}/a.txt', teeth = 3)")
+
+
+def test_scope_covers_datasets_and_views(spark):
+    roles = spark.createDataFrame([("r", [], ["s3://open/"], [])], ROLES_DDL)
+    saved = {"shut_set": {"config": {"path": ["s3://open/a", "s3n://shut/b"]}}}
+    for context in ({"datasets": saved}, {"views": {"shut_set": "s3a://shut/b"}}):
+        with pytest.raises(PermissionError, match="shut/b"):
+            run_sql(spark, "SELECT * FROM shut_set", roles=roles, role="r", **context)
+    with pytest.raises(ValueError, match="roles table"):
+        run_sql(spark, "SELECT 1", role="r")
+
+
+def test_pages_by_key(spark):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([None, None, 1, 1, 2])], "k long, i long")
+    seen, last = [], None
+    while page := rows(page_after(df, ["k", "i"], last, 2)):
+        seen += page
+        last = page[-1]
+    assert seen == rows(df)

@@ -1,6 +1,7 @@
 import pytest
 
 from millrace import PipelineError, run_incremental
+from millrace.operators.access import ROLES_DDL
 from millrace.operators.plugins import PluginRegistry
 from millrace.streaming.incremental import read_incremental
 from tests.conftest import rows
@@ -79,3 +80,44 @@ def test_stream_joined_with_a_table_and_a_plugin(spark, made, make, tmp_path):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert rows(read_incremental(spark, made["sink_path"])) == [(1, "one"), (2, None)]
+
+
+def test_a_fresh_checkpoint_replaces_the_sink_and_the_old_one_is_refused(spark, made, tmp_path):
+    for values in ((1, 2), (3,)):
+        add(spark, made["source_path"], *values)
+        run_incremental(spark, made, str(tmp_path / "first"))
+    assert run_incremental(spark, made, str(tmp_path / "second")).rows_written == 3
+    assert rows(read_incremental(spark, made["sink_path"])) == [(10,), (20,), (30,)]
+    add(spark, made["source_path"], 4)
+    with pytest.raises(PipelineError, match="not written from this checkpoint"):
+        run_incremental(spark, made, str(tmp_path / "first"))
+    run_incremental(spark, made, str(tmp_path / "second"))
+    assert rows(read_incremental(spark, made["sink_path"]))[-1] == (40,)
+    assert not [n for n in tmp_path.iterdir() if n.name.startswith("_")]
+
+
+def test_foreign_data_is_not_replaced(spark, made, tmp_path):
+    add(spark, made["source_path"], 1)
+    spark.range(3).write.parquet(made["sink_path"])
+    with pytest.raises(PipelineError, match="not written from this checkpoint"):
+        run_incremental(spark, made, str(tmp_path / "state"))
+    assert spark.read.parquet(made["sink_path"]).count() == 3
+
+
+def test_settings_are_kept_or_refused(spark, made, tmp_path):
+    add(spark, made["source_path"], 1, 2)
+    with pytest.raises(ValueError, match="cannot keep target_file_size"):
+        run_incremental(spark, {**made, "target_file_size": "1MB"}, str(tmp_path / "a"))
+    run_incremental(spark, {**made, "partition_by": "k", "transforms": [
+        {"type": "select", "columns": ["n", "n % 2 AS k"]}]}, str(tmp_path / "b"))
+    assert len(list((tmp_path / "out").glob("batch_id=*/k=*"))) == 2
+    assert rows(read_incremental(spark, made["sink_path"])) == [(1, 1), (2, 0)]
+
+
+def test_roles_hold(spark, made, tmp_path):
+    roles = spark.createDataFrame([("guest", [], ["s3://open/"], [])], ROLES_DDL)
+    shut = {**made, "run_as": "guest", "source_path": "s3a://shut/x"}
+    with pytest.raises(ValueError, match="roles table"):
+        run_incremental(spark, shut, str(tmp_path / "state"))
+    with pytest.raises(PermissionError, match="shut"):
+        run_incremental(spark, shut, str(tmp_path / "state"), roles=roles)

@@ -176,3 +176,17 @@ def test_permissions(spark):
     assert rows(expanded.where("role <> 'admin'")) == [("viewer", "query.run")]
     users = spark.createDataFrame([("u", "viewer"), ("v", "admin")], "user string, role string")
     assert rows(access.with_permission(users, roles, "audit.view").select("user")) == [("v",)]
+
+
+def test_prune_keeps_the_layout_and_what_has_not_expired(spark, tmp_path):
+    path = str(tmp_path / "parted")
+    entries = [(1, at(days=400), "a/b"), (2, at(days=1), "a/b"), (3, at(days=400), "old c"),
+               (4, at(days=2), "new"), (5, None, "new")]
+    table = spark.createDataFrame(entries, "id long, timestamp timestamp_ntz, kind string")
+    table.coalesce(1).write.partitionBy("kind").parquet(path)
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "parted" / "kind=new").glob("part-*")}
+    assert audit.prune(spark, path, 90, now=NOW) == 2
+    left = spark.read.parquet(path).select("id", "kind")
+    assert [tuple(r) for r in left.orderBy("id").collect()] == [(2, "a/b"), (4, "new"), (5, "new")]
+    assert {p: p.stat().st_mtime_ns for p in untouched} == untouched
+    assert audit.prune(spark, path, 90, now=NOW) == 0
