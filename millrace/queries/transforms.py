@@ -14,7 +14,7 @@ from millrace.queries.common import (
     aggregate, join, path_of, saved, scratch, select, session_with_tables, spec, steps_query, where,
 )
 from millrace.session import run_session
-from millrace.sources.synth import messy_events, synth_events
+from millrace.sources.synth import readings
 
 MONEY = "CAST(CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS DOUBLE)"
 
@@ -212,28 +212,19 @@ def resume_after_stop(spark, folder):
     return run_session(spark).read.parquet(sink)
 
 
-# The cleaning steps of the sample run over messy events.
-CLEANING_COLUMNS = (
-    "event_id",
-    "LOWER(TRIM(email)) AS email",
-    "CAST(REPLACE(revenue, '$', '') AS DOUBLE) AS revenue",
-    "LOWER(event_type) AS event_type",
-    "CAST(event_timestamp AS TIMESTAMP) AS event_timestamp",
-)
-CLEANING_FILTER = "email IS NOT NULL AND revenue IS NOT NULL AND revenue > 20.0"
-
-
 def clean_events(spark, folder):
-    """Messy text events (ids from orders) cleaned by a select and a filter."""
-    raw, sink = scratch(spark, "messy") + ".parquet", scratch(spark, "clean")
-    session = session_with_tables(spark, folder, ["orders"])
-    messy_events(session.sql("SELECT o_orderkey + 1 AS idx FROM orders")).write.parquet(raw)
+    """Events made fit for a report: kinds and weekdays spelled alike, values in
+    quarters, rows without a value or a user left out, and all of it checked."""
+    sink = scratch(spark, "clean")
     run_pipeline(spark, {
-        "name": "clean_user_events", "source_path": raw, "sink_path": sink,
+        "name": "fit_for_report", "source_path": path_of(folder, "events"), "sink_path": sink,
         "transforms": [
-            select(*CLEANING_COLUMNS),
-            where(CLEANING_FILTER),
+            select("event_id", "user_id", "initcap(event_type) AS kind",
+                   "date_format(ts, 'EEEE') AS weekday", "floor(value * 4) / 4 AS value"),
+            where("value IS NOT NULL AND user_id IS NOT NULL"),
         ],
+        "checks": [{"type": "not_null", "columns": ["kind", "value"]},
+                   {"type": "unique", "columns": ["event_id"]}],
     })
     return run_session(spark).read.parquet(sink)
 
@@ -254,10 +245,13 @@ def date_parameters(spark, folder):
 
 def synth(spark, folder):
     session = session_with_tables(spark, folder, ["orders"])
-    return synth_events(session.sql("SELECT o_orderkey + 1 AS idx FROM orders"))
+    return readings(session.sql("SELECT o_orderkey AS reading_id FROM orders"))
+
+
+def _draw(purpose: str) -> str:
+    return f"CAST('0x' || substr(md5('{purpose}/' || CAST(reading_id AS VARCHAR)), 1, 7) AS BIGINT)"
 
 
-_DRAW = "CAST('0x' || substr(md5(CAST(idx AS VARCHAR)), 1, 8) AS BIGINT)"
 _SEGMENTS = f"""
     SELECT c_mktsegment AS segment, {money('o_totalprice')} AS revenue, count(*) AS orders,
            count(DISTINCT o_custkey) AS customers
@@ -453,25 +447,19 @@ QUERIES = {
     ),
     "clean_events": (
         clean_events,
-        f"""WITH ids AS (SELECT o_orderkey + 1 AS idx FROM orders), raw AS (
-              SELECT 'evt_' || lpad(CAST(CASE WHEN idx % 500 = 0 THEN idx - 5 ELSE idx END AS VARCHAR),
-                                    6, '0') AS event_id,
-                     CASE WHEN idx % 10 <> 0 THEN 'user_' || idx || '@email.com' END AS email,
-                     CASE WHEN idx % 7 <> 0 THEN CAST(10 + CAST({_DRAW} % 49000 AS DECIMAL(18,2))
-                       / 100 AS DECIMAL(18,2))::DOUBLE END AS revenue,
-                     ['signup', 'purchase', 'click', 'login', 'logout'][idx % 5 + 1] AS event_type,
-                     TIMESTAMP '2026-06-10 00:00:00' + to_seconds(idx * 2) AS event_timestamp
-              FROM ids)
-            SELECT * FROM raw WHERE email IS NOT NULL AND revenue > 20.0""",
+        """SELECT event_id, user_id, upper(event_type[1]) || lower(event_type[2:]) AS kind,
+                  dayname(ts) AS weekday, floor(value * 4) / 4 AS value
+           FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL""",
     ),
     "synth_events": (
         synth,
-        f"""WITH ids AS (SELECT o_orderkey + 1 AS idx FROM orders)
-            SELECT idx AS event_id, 'user_' || (idx % 1000000) || '@example.com' AS email,
-                   CAST(10 + CAST({_DRAW} % 99000 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2))::DOUBLE AS revenue,
-                   ['purchase', 'click', 'view', 'login', 'logout'][idx % 5 + 1] AS event_type,
-                   TIMESTAMP '2026-01-01 00:00:00' + to_seconds(idx * 5) AS event_timestamp,
-                   'metadata_payload_hash_' || md5(CAST(idx AS VARCHAR)) AS payload_hash
+        f"""WITH ids AS (SELECT o_orderkey AS reading_id FROM orders)
+            SELECT reading_id, {_draw('place')} % 500 AS station,
+                   TIMESTAMP '2030-03-01 00:00:00'
+                     + to_seconds(reading_id * 90 + {_draw('late')} % 90) AS taken_at,
+                   CASE WHEN {_draw('gap')} % 16 > 0
+                        THEN ({_draw('a')} % 400 + {_draw('b')} % 400) / 8.0::DOUBLE END AS level_cm,
+                   CASE WHEN {_draw('power')} % 100 < 3 THEN 'battery low' ELSE 'ok' END AS state
             FROM ids""",
     ),
 }

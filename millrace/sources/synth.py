@@ -1,59 +1,35 @@
-"""Synthetic event rows from a column of ids, reproducible from the id alone."""
+"""Synthetic sensor readings from a column of ids, reproducible from the id alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed values of the generated rows.
-EVENT_KINDS = ("purchase", "click", "view", "login", "logout")
-EVENT_START = "2026-01-01 00:00:00"
-SECONDS_BETWEEN_EVENTS = 5
-EMAIL_CARDINALITY = 1_000_000
-MESSY_KINDS = ("SIGNUP", "purchase", "Click", "Login", "logout")
-MESSY_START = "2026-06-10 00:00:00"
+START = "2030-03-01 00:00:00"
+SECONDS_APART = 90
 
 
-def event_ids(spark: SparkSession, rows: int) -> DataFrame:
-    return spark.range(1, rows + 1).withColumnRenamed("id", "idx")
+def reading_ids(spark: SparkSession, rows: int) -> DataFrame:
+    return spark.range(rows).withColumnRenamed("id", "reading_id")
 
 
-def synth_events(ids: DataFrame, users: int = EMAIL_CARDINALITY) -> DataFrame:
-    """Clean events for a column ``idx``: six columns, nothing shuffled.
+def readings(ids: DataFrame, stations: int = 500) -> DataFrame:
+    """One water level for each ``reading_id``: a projection, nothing shuffled.
 
-    Revenue comes from a digest of the id where one would draw a random number, so
-    a lost task makes the same rows again.
+    Whatever one would draw at random comes from a digest of the id, so a lost task
+    makes the same rows again. Levels are the sum of two draws and so peak in the
+    middle; one reading in sixteen has none.
     """
     return ids.selectExpr(
-        "idx AS event_id",
-        f"concat('user_', CAST(idx % {users} AS STRING), '@example.com') AS email",
-        f"CAST({_revenue(10, 990)} AS DOUBLE) AS revenue",
-        f"{_pick(EVENT_KINDS)} AS event_type",
-        f"TIMESTAMP_NTZ '{EVENT_START}' + idx * INTERVAL '{SECONDS_BETWEEN_EVENTS}' SECOND"
-        " AS event_timestamp",
-        "concat('metadata_payload_hash_', md5(CAST(idx AS STRING))) AS payload_hash",
+        "CAST(reading_id AS BIGINT) AS reading_id",
+        f"{_draw('place')} % {stations} AS station",
+        f"TIMESTAMP_NTZ '{START}' + (reading_id * {SECONDS_APART} + {_draw('late')} % {SECONDS_APART})"
+        " * INTERVAL '1' SECOND AS taken_at",
+        f"CASE WHEN {_draw('gap')} % 16 > 0 THEN ({_draw('a')} % 400 + {_draw('b')} % 400) / 8.0D END"
+        " AS level_cm",
+        f"CASE WHEN {_draw('power')} % 100 < 3 THEN 'battery low' ELSE 'ok' END AS state",
     )
 
 
-def messy_events(ids: DataFrame) -> DataFrame:
-    """The same kind of rows before cleaning: all text, gaps, repeated ids."""
-    return ids.selectExpr(
-        "concat('evt_', lpad(CAST(CASE WHEN idx % 500 = 0 THEN idx - 5 ELSE idx END AS STRING),"
-        " 6, '0')) AS event_id",
-        "CASE WHEN idx % 10 <> 0 THEN concat('  User_', CAST(idx AS STRING), '@Email.com  ')"
-        " END AS email",
-        f"CASE WHEN idx % 7 <> 0 THEN concat('$', CAST({_revenue(10, 490)} AS STRING)) END"
-        " AS revenue",
-        f"{_pick(MESSY_KINDS)} AS event_type",
-        f"CAST(TIMESTAMP_NTZ '{MESSY_START}' + idx * INTERVAL '2' SECOND AS STRING)"
-        " AS event_timestamp",
-    )
-
-
-def _revenue(low: int, spread: int) -> str:
-    draw = "CAST(conv(substr(md5(CAST(idx AS STRING)), 1, 8), 16, 10) AS BIGINT)"
-    return f"CAST({low} + {draw} % {spread * 100} / CAST(100 AS DECIMAL(3,0)) AS DECIMAL(18,2))"
-
-
-def _pick(kinds: tuple[str, ...]) -> str:
-    quoted = ", ".join(f"'{kind}'" for kind in kinds)
-    return f"element_at(array({quoted}), CAST(idx % {len(kinds)} AS INT) + 1)"
+def _draw(purpose: str) -> str:
+    digest = f"md5(concat('{purpose}/', CAST(reading_id AS STRING)))"
+    return f"CAST(conv(substr({digest}, 1, 7), 16, 10) AS BIGINT)"

@@ -8,7 +8,9 @@ from tests.conftest import rows
 
 
 def plus(table, params):
-    return pa.table({"n_plus": pc.add(table["n"], params["add"])})
+    """Adds, and tells odd numbers: two columns from one."""
+    total = pc.add(table["n"], params["add"])
+    return pa.table({"total": total, "odd": pc.equal(pc.bit_wise_and(total, 1), 1)})
 
 
 def size(table, params):
@@ -37,8 +39,9 @@ def eight(spark):
 
 
 def test_row_wise(spark):
-    df = spark.createDataFrame([(1,), (2,), (3,)], "n long")
-    assert rows(run(df, function="plus", params={"add": 10}, mode="chunk")) == [(11,), (12,), (13,)]
+    df = spark.createDataFrame([(-4,), (6,), (0,)], "n long")
+    assert rows(run(df, function="plus", params={"add": 1}, mode="chunk")) == [
+        (-3, True), (1, True), (7, True)]
 
 
 def test_chunks_are_bounded_and_complete(eight):
@@ -50,21 +53,22 @@ def test_chunks_are_bounded_and_complete(eight):
 
 def test_exact_slices_of_a_file(spark, tmp_path):
     path = str(tmp_path / "n")
-    spark.range(10_000).withColumnRenamed("id", "n").coalesce(1).write.parquet(path)
-    df = row_chunks(spark.read.parquet(path), "size", size, {}, 3000)
-    assert [r[0] for r in rows(df)] == [1000, 3000, 3000, 3000]
+    spark.range(5_300).withColumnRenamed("id", "n").coalesce(1).write.parquet(path)
+    df = row_chunks(spark.read.parquet(path), "size", size, {}, 2048)
+    assert [r[0] for r in rows(df)] == [1204, 2048, 2048]
 
 
-def test_slice_holds_the_rows_of_its_range(spark, make):
-    path = make("n.parquet", [(10,), (20,), (30,)], "n long")
-    df = row_chunks(spark.read.parquet(path), "plus", plus, {"add": 5}, 2)
-    assert rows(df) == [(15,), (25,), (35,)]
+def test_slices_together_are_the_whole_file(spark, tmp_path):
+    path = str(tmp_path / "n")
+    spark.range(40).withColumnRenamed("id", "n").coalesce(1).write.parquet(path)
+    df = row_chunks(spark.read.parquet(path), "plus", plus, {"add": 0}, 7)
+    assert rows(df) == [(n, n % 2 == 1) for n in range(40)]
 
 
 def test_empty_input_keeps_the_plugin_schema(spark):
     empty = spark.createDataFrame([], "n long")
     df = run(empty, function="plus", params={"add": 1}, mode="chunk")
-    assert df.columns == ["n_plus"] and df.count() == 0
+    assert df.columns == ["total", "odd"] and df.count() == 0
 
 
 def test_groups_are_not_mixed_and_large_ones_are_cut(spark):

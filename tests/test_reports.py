@@ -92,24 +92,31 @@ def job(pipeline, status, attempts, most, started, beat, pid=1):
             None, None)
 
 
-def test_stale_jobs(spark):
-    old = at(minutes=5)
-    df = jobs.recover_stale(spark.createDataFrame([
-        job("stale_retry", "running", 1, 3, old, old), job("stale_fail", "running", 2, 2, old, old),
-        job("stale_ok", "running", 1, 3, NOW, NOW), job("never_beat", "running", 1, 3, old, None),
-        job("idle", "queued", 0, 3, old, old), job("unknown", "running", 1, 3, None, None),
-    ], JOBS), moment(), 60)
-    got = {r["pipeline"]: r for r in df.collect()}
-    assert sum(r["recovered"] for r in got.values()) == 3
-    retry, fail = got["stale_retry"], got["stale_fail"]
-    assert (retry["status"], retry["trigger"], retry["worker_pid"], retry["heartbeat_at"],
-            retry["run_after"]) == ("queued", "retry", None, None, NOW)
-    assert retry["error_message"] == "Recovered after crash (stale heartbeat)"
-    assert (fail["status"], fail["finished_at"], fail["trigger"]) == ("failed", NOW, "manual")
-    assert "no attempts left" in fail["error_message"]
-    assert got["never_beat"]["status"] == "queued"
-    for name in ("stale_ok", "unknown"):
-        assert got[name]["status"] == "running" and got[name]["error_message"] is None
+@pytest.mark.parametrize("silent, status, attempts, most, becomes", [
+    (61, "running", 1, 2, "queued"),
+    (59, "running", 1, 2, "running"),
+    (86_400, "running", 4, 9, "queued"),
+    (86_400, "running", 9, 9, "failed"),
+    (86_400, "success", 1, 9, "success"),
+    (86_400, "queued", 0, 9, "queued"),
+])
+def test_silent_jobs(spark, silent, status, attempts, most, becomes):
+    """Silence is counted from the last sign of life, else from the start."""
+    since = at(seconds=silent)
+    table = spark.createDataFrame([
+        job("beats", status, attempts, most, at(days=30), since),
+        job("never_beat", status, attempts, most, since, None)], JOBS)
+    for row in jobs.recover_stale(table, moment(), 60).collect():
+        changed = status == "running" and becomes != "running"
+        assert (row["status"], row["recovered"]) == (becomes, changed)
+        assert (row["error_message"] is not None) == changed
+        assert row["worker_pid"] == (None if changed and becomes == "queued" else 1)
+        assert row["finished_at"] == (NOW if changed and becomes == "failed" else None)
+
+
+def test_a_job_without_any_time_is_left_alone(spark):
+    table = spark.createDataFrame([job("odd", "running", 1, 2, None, None)], JOBS)
+    assert jobs.recover_stale(table, moment(), 60).first()["status"] == "running"
 
 
 def test_finish_decides_on_retry(spark):

@@ -14,7 +14,7 @@ from tests.conftest import rows
 @pytest.fixture
 def padded(spark, tmp_path):
     path = str(tmp_path / "in")
-    spark.range(10_000).selectExpr("id AS n", "repeat('x', 100) AS pad").coalesce(1).write.parquet(path)
+    spark.range(7_200).selectExpr("id AS n", "sha2(CAST(id % 90 AS STRING), 512) AS pad").coalesce(1).write.parquet(path)
     return path
 
 
@@ -28,11 +28,11 @@ def parts(tmp_path):
 
 
 def test_sized_sink_writes_several_files(spark, padded, tmp_path):
-    run(spark, padded, tmp_path, target_file_size="30KB", row_group_size=1000)
+    run(spark, padded, tmp_path, target_file_size="20KB", row_group_size=450)
     files = parts(tmp_path)
     assert len(files) > 1
-    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 10_000
-    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 10_000
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 7_200
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 7_200
 
 
 def test_sizing_joins_small_files(spark, tmp_path):
@@ -45,10 +45,10 @@ def test_sizing_joins_small_files(spark, tmp_path):
 
 
 def test_row_groups_have_the_asked_size(spark, padded, tmp_path):
-    run(spark, padded, tmp_path, row_group_size=1000)
+    run(spark, padded, tmp_path, row_group_size=900)
     (path,) = parts(tmp_path)
     meta = pq.ParquetFile(path).metadata
-    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000] * 10
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [900] * 8
     assert meta.row_group(0).column(0).compression == "SNAPPY"
 
 
@@ -59,14 +59,14 @@ def test_compression(spark, padded, tmp_path):
 
 def test_single_file_is_a_file(spark, padded, tmp_path, monkeypatch):
     result = run(spark, padded, tmp_path, single_file=True)
-    assert (tmp_path / "out").is_file() and result.rows_written == 10_000
-    assert pq.ParquetFile(tmp_path / "out").metadata.num_rows == 10_000
+    assert (tmp_path / "out").is_file() and result.rows_written == 7_200
+    assert pq.ParquetFile(tmp_path / "out").metadata.num_rows == 7_200
     assert sorted(os.listdir(tmp_path)) == [".out.crc", "in", "out"] or sorted(
         os.listdir(tmp_path)) == ["in", "out"]
     monkeypatch.setattr(sinks, "SINGLE_FILE_LIMIT", 10)
     with pytest.raises(PipelineError, match="write a folder instead"):
         run(spark, padded, tmp_path, single_file=True)
-    assert pq.ParquetFile(tmp_path / "out").metadata.num_rows == 10_000
+    assert pq.ParquetFile(tmp_path / "out").metadata.num_rows == 7_200
 
 
 def test_partition_folders(spark, make, tmp_path):

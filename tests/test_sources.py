@@ -11,7 +11,7 @@ from millrace.sources import (
 from millrace.sources.catalog import catalog, describe_files, named_dataset
 from millrace.sources.files import detect_format, footer_counts, read_files, row_slice
 from millrace.sources.http import auth_headers, detect_http_format, probe_http, records
-from millrace.sources.synth import event_ids, messy_events, synth_events
+from millrace.sources.synth import reading_ids, readings
 from tests.conftest import rows
 
 
@@ -186,17 +186,15 @@ def test_probe_http_errors(error, message):
     assert probe_http({})["message"] == "No URL provided"
 
 
-def test_generated_events(spark):
-    df = synth_events(event_ids(spark, 1000))
-    assert df.columns == ["event_id", "email", "revenue", "event_type", "event_timestamp",
-                          "payload_hash"]
-    assert df.count() == 1000 == df.select("event_id").distinct().count()
-    low, high = df.selectExpr("min(revenue)", "max(revenue)").first()
-    assert 10 <= low < high < 1000
-    assert df.exceptAll(synth_events(event_ids(spark, 1000))).count() == 0
-    messy = messy_events(event_ids(spark, 5000))
-    assert messy.where("email IS NULL").count() == 500
-    assert messy.count() - messy.select("event_id").distinct().count() == 10
+def test_generated_readings(spark):
+    df = readings(reading_ids(spark, 4000), stations=20)
+    assert df.count() == 4000 == df.select("reading_id").distinct().count()
+    assert df.select("station").distinct().count() == 20
+    low, high, gaps = df.selectExpr("min(level_cm)", "max(level_cm)", "count_if(level_cm IS NULL)").first()
+    assert 0 <= low < high < 100 and 150 < gaps < 350
+    assert df.exceptAll(readings(reading_ids(spark, 4000).repartition(3), stations=20)).count() == 0
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Python" not in text
 
 
 def test_http_paths_of_a_file_source_are_fetched(spark, monkeypatch):
