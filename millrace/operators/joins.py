@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from millrace.errors import SpecError
+from millrace.session import cut_lineage
 
 _QUOTED_OR_PREFIX = re.compile(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")|\b(left|right)\.", re.I)
 # A key with fewer rows than this is no burden for one task.
@@ -92,30 +92,118 @@ def join_step(
     return _join_salted(left, right, condition, how, names, keys, right_may_be_hot, hot_rows)
 
 
+_BETWEEN = re.compile(
+    r"\b(\w+\.\w+)\s+between\s+(\w+\.\w+)\s+and\s+(\w+\.\w+)", re.I
+)
+_COMPARISON = re.compile(r"^\s*(left|right)\.(\w+)\s*(<=?|>=?)\s*(left|right)\.(\w+)\s*$", re.I)
+_BINNED_TYPES = ("date", "timestamp", "timestamp_ntz", "byte", "short", "integer", "long", "float",
+                 "double", "decimal")
+# The level of intervals without a finite length: one bin for everything.
+_ENDLESS = 99_999
+
+
+def range_bounds(on: str, left: DataFrame, right: DataFrame) -> tuple[str, str, str, str] | None:
+    """``(side, point, low, high)`` when ``on`` holds a column of one side between two
+    columns of the other; ``side`` is the point's. A condition with a key equality has
+    none: its join is on the key."""
+    parts = re.split(r"\s+and\s+", _BETWEEN.sub(r"\1 >= \2 and \1 <= \3", on.strip()), flags=re.I)
+    lows: dict[tuple, str] = {}
+    highs: dict[tuple, str] = {}
+    if any(_EQUALITY.match(part) for part in parts):
+        return None
+    for match in filter(None, map(_COMPARISON.match, parts)):
+        one, other = (match[1].lower(), match[2]), (match[4].lower(), match[5])
+        if one[0] == other[0]:
+            continue
+        small, big = (one, other) if match[3].startswith("<") else (other, one)
+        lows.setdefault(big, small[1])
+        highs.setdefault(small, big[1])
+    for (side, point), low in lows.items():
+        high = highs.get((side, point))
+        if high is None:
+            continue
+        points, ranges = (left, right) if side == "left" else (right, left)
+        types = [frame.schema[name].dataType.typeName() for frame, name in
+                 ((points, point), (ranges, low), (ranges, high)) if name in frame.columns]
+        times = sum(t.startswith(("date", "timestamp")) for t in types)
+        if len(types) == 3 and set(types) <= set(_BINNED_TYPES) and times in (0, 3):
+            return side, point, low, high
+    return None
+
+
 def range_join_step(
-    left: DataFrame, right: DataFrame, on: str, how: str, point: str, low: str, high: str, width
+    left: DataFrame, right: DataFrame, on: str, how: str, point: str, low: str, high: str,
+    width=0, side: str = "left",
 ) -> DataFrame:
-    """A join whose condition implies ``low <= point <= high`` (``point`` on the left,
-    the bounds on the right), without comparing all pairs: both sides meet in bins of
-    ``width`` (seconds for times). A left row lies in one bin and a right row in every
-    bin it covers, so inner and left joins come out exactly."""
-    if how not in ("inner", "left"):
-        raise SpecError("a join with a range must be inner or left")
+    """A join whose condition implies ``low <= point <= high``, without comparing all
+    pairs. ``point`` is a column of ``side``, the bounds are columns of the other one.
+
+    Both sides meet in bins. An interval takes bins as wide as the power of two above
+    its length (at least ``width``; seconds for times), so it lies in two or three of
+    them however long it is, and a point is looked up once in each width that occurs:
+    their number follows the logarithm of the lengths. Intervals without an end share
+    one bin. A pair meets exactly once; a popular bin is an equality key that the
+    adaptive planner splits. Right, full and most left joins write the sides they keep
+    to the shared folder first, with a row number, and add the rows that met nobody.
+    """
     names = clash_names(left.columns, right.columns)
-    first, last = _bin(right, low, width), _bin(right, high, width)
-    binned = left.withColumn("_bin", _bin(left, point, width))
-    # Bounds the wrong way round cover nothing and match nothing.
-    covered = right.where(first <= last).withColumn("_bin", F.explode(F.sequence(first, last)))
-    condition = F.expr(rewrite_prefixes(on)) & (F.col("left_tbl._bin") == F.col("right_tbl._bin"))
-    joined = binned.alias("left_tbl").join(covered.alias("right_tbl"), condition, how)
-    return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    if left.isStreaming:
+        return join_step(left, right, on, how, skew_safe=False)
+    ranges, points = (right, left) if side == "left" else (left, right)
+    length = _number(ranges, high) - _number(ranges, low)
+    finite = length.isNotNull() & (F.abs(length) < float("inf"))
+    least = max(float(width or 0), 2.0**-20)
+    level = F.when(finite, F.ceil(F.log2(F.greatest(length, F.lit(least)))).cast("int"))
+    level = F.coalesce(level, F.lit(_ENDLESS))
+    # Bounds the wrong way round, or missing, match nothing.
+    usable = _number(ranges, low) <= _number(ranges, high)
+    levels = sorted(r[0] for r in ranges.where(usable).select(level).distinct().collect())
+    levels = levels or [_ENDLESS]
+
+    kept_sides = {"inner": (), "full": ("left", "right")}.get(how, (how,))
+    direct = how == "inner" or (how == side and len(levels) == 1)
+    frames = {"left": left, "right": right}
+    if not direct:
+        for kept in kept_sides:
+            numbered = frames[kept].withColumn(f"_row_{kept}", F.monotonically_increasing_id())
+            frames[kept] = cut_lineage(numbered)
+    interval_side = "right" if side == "left" else "left"
+    binned = dict(frames)
+    binned[side] = frames[side].withColumn(
+        "_level", F.explode(F.array(*map(F.lit, levels)))
+    ).withColumn("_bin", _bin(_number(points, point), F.col("_level")))
+    binned[interval_side] = frames[interval_side].where(usable).withColumn("_level", level).withColumn(
+        "_bin", F.explode(F.sequence(_bin(_number(ranges, low), F.col("_level")),
+                                     _bin(_number(ranges, high), F.col("_level")))))
+    condition = F.expr(rewrite_prefixes(on)) & reduce(and_, [
+        F.col(f"left_tbl.{c}") == F.col(f"right_tbl.{c}") for c in ("_level", "_bin")])
+    met = binned["left"].alias("left_tbl").join(
+        binned["right"].alias("right_tbl"), condition, how if direct else "inner")
+    joined = met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    if direct:
+        return joined
+    for kept in kept_sides:
+        number = f"_row_{kept}"
+        alone = frames[kept].join(met.select(number).distinct(), number, "left_anti")
+        if kept == "left":
+            alone = alone.select(*left.columns, *_nulls(right, names))
+        else:
+            alone = alone.select(*_nulls(left, left.columns),
+                                 *[F.col(f"`{old}`").alias(new) for old, new in zip(right.columns, names)])
+        joined = joined.unionByName(alone)
+    return joined
+
+
+def _number(side: DataFrame, column: str) -> Column:
+    value = F.col(f"`{column}`")
+    if side.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(value.cast(TimestampType())) / 1_000_000
+    return value.cast("double")
 
 
-def _bin(side: DataFrame, column: str, width) -> Column:
-    value = F.col(column)
-    if side.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
-        value = F.unix_micros(value.cast(TimestampType())) / 1_000_000
-    return F.floor(value / width)
+def _bin(value: Column, level: Column) -> Column:
+    return F.when(level == _ENDLESS, F.lit(0).cast("bigint")).otherwise(
+        F.floor(value / F.pow(F.lit(2.0), level)))
 
 
 def needs_left_twice(how: str, on: str, skew_safe: bool = True) -> bool:

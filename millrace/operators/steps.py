@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import storage
-from millrace.operators.joins import HOT_ROWS, join_step, needs_left_twice, range_join_step
+from millrace.operators.joins import (
+    HOT_ROWS, join_step, needs_left_twice, range_bounds, range_join_step,
+)
 from millrace.operators.plugins import PluginRegistry, plugin_step
 from millrace.session import cut_lineage
 from millrace.sources.catalog import dataset_paths, named_dataset
@@ -110,6 +112,10 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
     on, how, skew_safe = step["on"], step["join_type"], step.get("skew_safe", True)
     if step.get("range"):
         return range_join_step(df, right, on, how, **step["range"])
+    bounds = range_bounds(on, df, right) if skew_safe and not df.isStreaming else None
+    if bounds:
+        side, point, low, high = bounds
+        return range_join_step(df, right, on, how, point, low, high, side=side)
     size = _measured(spark, paths)
     return join_step(
         df,

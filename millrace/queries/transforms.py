@@ -107,6 +107,22 @@ def join_theta(spark, folder):
     ))
 
 
+def join_theta_full(spark, folder):
+    """Orders whose total lies in a narrow band above a customer's balance: both sides
+    grow with the data, and both keep the rows that meet nobody."""
+    session = session_with_tables(spark, folder, ["customer"])
+    bands = scratch(spark, "bands") + ".parquet"
+    session.sql("""
+        SELECT c_custkey, c_acctbal * 40 AS lo, c_acctbal * 40 + 5 AS hi FROM customer
+    """).write.parquet(bands)
+    return pipeline_frame(spark, spec(
+        folder, "orders",
+        {"type": "join", "right_path": bands, "join_type": "full",
+         "on": "left.o_totalprice BETWEEN right.lo AND right.hi"},
+        select("o_orderkey", "c_custkey"),
+    ))
+
+
 def join_range(spark, folder):
     """Events and the user's day they fall in: as many ranges as user days."""
     session = session_with_tables(spark, folder, ["events"])
@@ -386,6 +402,11 @@ QUERIES = {
                   r.o_orderdate AS o_orderdate_1, r.o_orderpriority AS o_orderpriority_1
            FROM orders l JOIN orders r ON l.o_orderkey = r.o_orderkey""",
     ),
+    "join_theta_full": (
+        join_theta_full,
+        """SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer
+           ON o_totalprice >= c_acctbal * 40 AND o_totalprice <= c_acctbal * 40 + 5""",
+    ),
     "join_range": (
         join_range,
         """SELECT event_id, e.user_id, e.user_id AS user_id_1, date_trunc('day', ts) AS lo,

@@ -23,8 +23,7 @@ def test_query(spark, con, name):
     df = entry.queries()[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
-    # The one range join has a calendar of months on its small side.
-    assert ("BroadcastNestedLoopJoin" in plan) == (name == "join_theta")
+    assert "BroadcastNestedLoopJoin" not in plan
     assert compare_frame(df, con, name) is None
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.operators.joins import (
-    clash_names, equality_keys, join_step, range_join_step, rewrite_prefixes,
+    clash_names, equality_keys, join_step, range_bounds, range_join_step, rewrite_prefixes,
 )
 from millrace.operators.steps import (
     aggregate_step, apply_step, apply_steps, filter_step, must_cut, select_step,
@@ -129,24 +129,48 @@ def test_a_cut_left_side_gives_the_same_rows(spark, left, make):
     assert rows(df, "line_2") == [(None, None, None, None, "pink", 8), ("red", 3.0, "red", 7, "red", 7)]
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_range_join_equals_the_plain_join(spark, how, width):
-    left = spark.createDataFrame([(i, float(i) / 3) for i in range(-20, 60)] + [(99, None)],
-                                 "id long, x double")
-    right = spark.createDataFrame(
-        [("a", -5.0, 4.0), ("b", 4.0, 4.0), ("c", 3.5, 17.25), ("d", 9.0, 8.0), ("e", None, 1.0),
-         ("f", 100.0, 200.0)], "id string, lo double, hi double")
-    on = "left.x >= right.lo AND left.x <= right.hi"
-    binned = range_join_step(left, right, on, how, "x", "lo", "hi", width)
-    assert binned.columns == ["id", "x", "id_1", "lo", "hi"]
-    assert rows(binned) == rows(join_step(left, right, on, how))
+RANGES = [("a", -5.0, 4.0), ("b", 4.0, 4.0), ("c", 3.5, 17.25), ("d", 9.0, 8.0), ("e", None, 1.0),
+          ("f", 100.0, 200.0), ("g", -1e300, 3.0), ("h", 10.0, float("inf")), ("i", 0.0, 1e12)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("width", [0, 1, 1000])
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_range_join_equals_the_plain_join(spark, how, width, side):
+    points = spark.createDataFrame([(i, float(i) / 3) for i in range(-20, 60)] + [(99, None), (99, None)],
+                                   "id long, x double")
+    ranges = spark.createDataFrame(RANGES + RANGES[:1], "id string, lo double, hi double")
+    l, r, other = (points, ranges, "right") if side == "left" else (ranges, points, "left")
+    on = f"{side}.x >= {other}.lo AND {side}.x <= {other}.hi"
+    binned = range_join_step(l, r, on, how, "x", "lo", "hi", width, side=side)
+    plain = join_step(l, r, on, how)
+    assert binned.columns == plain.columns and rows(binned) == rows(plain)
     assert "NestedLoop" not in binned._jdf.queryExecution().executedPlan().toString()
 
 
-def test_range_join_is_inner_or_left(spark, left):
-    with pytest.raises(ValueError, match="inner or left"):
-        range_join_step(left, left, "left.stop = right.stop", "full", "stop", "stop", "stop", 1)
+def test_intervals_of_one_length_are_one_pass(spark):
+    points = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x")
+    ranges = spark.range(0, 40, 4).selectExpr("id AS w", "id * 1.0D AS lo", "id + 4.0D AS hi")
+    df = range_join_step(points, ranges, "left.x >= right.lo AND left.x < right.hi", "left", "x", "lo", "hi")
+    assert df.count() == 50 and df.where("w IS NULL").count() == 10
+    assert "Union" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("on, bounds", [
+    ("left.t >= right.a AND left.t < right.b", ("left", "t", "a", "b")),
+    ("right.a <= left.t and right.b >= left.t AND left.k <> right.a", ("left", "t", "a", "b")),
+    ("left.t BETWEEN right.a AND right.b", ("left", "t", "a", "b")),
+    ("right.a BETWEEN left.t AND left.u", ("right", "a", "t", "u")),
+    ("left.t >= right.a", None),
+    ("left.t >= right.a AND left.u <= right.b", None),
+    ("left.k = right.k AND left.t >= right.a AND left.t < right.b", None),
+    ("left.t >= right.a OR left.t < right.b", None),
+    ("left.k >= right.a AND left.k < right.b", None),
+])
+def test_bounds_are_read_from_the_condition(spark, on, bounds):
+    l = spark.createDataFrame([], "t date, u date, k string")
+    r = spark.createDataFrame([], "a timestamp, b date, k string")
+    assert range_bounds(on, l, r) == bounds
 
 
 def test_join_keys_of_different_types(spark):
