@@ -20,6 +20,7 @@ from millrace import messages
 
 FORMAT_NAME = "millrace_http"
 TIMEOUT_SECONDS = 10
+FETCH_TIMEOUT_SECONDS = 300
 
 
 def detect_http_format(url: str) -> str:
@@ -46,24 +47,45 @@ def auth_headers(auth: dict | None) -> dict[str, str]:
 def read_http(spark: SparkSession, config: dict) -> DataFrame:
     """Rows of one or several responses.
 
-    ``{url | urls, auth, format, response_path, schema, expand}``; without a schema
-    the first response is fetched once on the driver to infer it.
+    ``{url | urls, auth, format, response_path, schema, expand, timeout}``; without a
+    schema all responses are fetched once more, in tasks, and the columns of all of them
+    make the schema. ``timeout`` is in seconds, for each read from the connection.
     """
     urls = config.get("urls") or [config["url"]]
     fmt = config.get("format") or detect_http_format(urls[0])
-    reader = spark.read.format(_register(spark)).options(
-        urls=json.dumps(urls),
-        headers=json.dumps(auth_headers(config.get("auth"))),
-        body=fmt,
-    )
-    if config.get("schema"):
-        reader = reader.schema(config["schema"])
-    df = reader.load()
+    headers = auth_headers(config.get("auth"))
+    timeout = config.get("timeout") or FETCH_TIMEOUT_SECONDS
+    schema = config.get("schema") or _common_schema(spark, urls, headers, fmt, timeout)
+    df = spark.read.format(_register(spark)).schema(schema).options(
+        urls=json.dumps(urls), headers=json.dumps(headers), body=fmt, timeout=str(timeout),
+    ).load()
     if config.get("response_path") and fmt == "json":
         df = records(df, config["response_path"], expand=config.get("expand", True))
     return df
 
 
+def _common_schema(spark: SparkSession, urls, headers, fmt, timeout) -> StructType:
+    """The columns of all answers in the order of the URLs; whole numbers give way to
+    fractions, structs take the fields of all. One schema for each URL reaches the
+    driver, which has the list of URLs already."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def describe(batches):
+        for batch in batches:
+            found = [
+                decode(fetch(url, headers, timeout), fmt, url).schema.serialize().to_pybytes()
+                for url in batch.column("url").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("position"), pa.array(found, pa.binary())], ["position", "found"])
+
+    asked = spark.createDataFrame(list(enumerate(urls)), "position long, url string")
+    rows = asked.repartition(len(urls), "position").mapInArrow(
+        describe, "position long, found binary").orderBy("position").collect()
+    schemas = [pa.ipc.read_schema(pa.py_buffer(bytes(row["found"]))) for row in rows]
+    return from_arrow_schema(pa.unify_schemas(schemas, promote_options="permissive"))
+
+
 def _register(spark: SparkSession) -> str:
     """Make the data source known under a name of its own. Reused Python workers have
     loaded earlier ones, and Spark refuses a name it finds there."""
@@ -125,14 +147,14 @@ def probe_http(config: dict, opener=urllib.request.urlopen) -> dict:
     return answer(False, messages.PROBE_ERROR.format(reason="no answer"))
 
 
-def fetch(url: str, headers: dict[str, str]) -> bytes:
+def fetch(url: str, headers: dict[str, str], timeout: float = FETCH_TIMEOUT_SECONDS) -> bytes:
     request = urllib.request.Request(url, headers=headers)
-    with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as response:
+    with urllib.request.urlopen(request, timeout=timeout) as response:
         return response.read()
 
 
-def decode(body: bytes, fmt: str, url: str) -> pa.Table:
-    """One response body as an Arrow table."""
+def decode(body: bytes, fmt: str, url: str, schema: pa.Schema | None = None) -> pa.Table:
+    """One response body as an Arrow table; JSON takes a schema where its values fit."""
     if fmt == "parquet":
         import pyarrow.parquet as pq
 
@@ -148,7 +170,19 @@ def decode(body: bytes, fmt: str, url: str) -> pa.Table:
         value = json.loads(text)
     except json.JSONDecodeError:
         value = [json.loads(line) for line in text.splitlines() if line.strip()]
-    return pa.Table.from_pylist(value if isinstance(value, list) else [value])
+    records = value if isinstance(value, list) else [value]
+    if schema is not None:
+        try:
+            return pa.Table.from_pylist(records, schema=schema)
+        except (pa.ArrowInvalid, pa.ArrowTypeError):
+            pass  # Values such as numbers in texts are cast from what they are.
+    return pa.Table.from_pylist(_with_all_fields(records))
+
+
+def _with_all_fields(records: list[dict]) -> list[dict]:
+    """A column is taken from the first record, so that one names the fields of all."""
+    names = dict.fromkeys(name for record in records for name in record)
+    return [{**dict.fromkeys(names), **records[0]}, *records[1:]] if records else []
 
 
 class UrlPartition(InputPartition):
@@ -161,13 +195,6 @@ class HttpSource(DataSource):
     def name(cls):
         return FORMAT_NAME
 
-    def schema(self):
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        url = json.loads(self.options["urls"])[0]
-        body = fetch(url, json.loads(self.options["headers"]))
-        return from_arrow_schema(decode(body, self.options["body"], url).schema)
-
     def reader(self, schema):
         return HttpReader(self.options, schema)
 
@@ -177,6 +204,7 @@ class HttpReader(DataSourceReader):
         self.urls = json.loads(options["urls"])
         self.headers = json.loads(options["headers"])
         self.body = options["body"]
+        self.timeout = float(options["timeout"])
         self.schema = schema
 
     def partitions(self):
@@ -185,8 +213,9 @@ class HttpReader(DataSourceReader):
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        table = decode(fetch(partition.url, self.headers), self.body, partition.url)
         wanted = to_arrow_schema(self.schema)
+        body = fetch(partition.url, self.headers, self.timeout)
+        table = decode(body, self.body, partition.url, wanted)
         columns = [
             table[f.name].cast(f.type) if f.name in table.column_names
             else pa.nulls(table.num_rows, f.type)

@@ -217,3 +217,14 @@ def test_a_run_asks_a_service_once_for_its_rows(spark, tmp_path):
     })
     assert (result.rows_extracted, result.rows_written) == (2, 1)
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(2,)]
+
+
+def test_answers_of_changing_shape_keep_every_column(spark, tmp_path):
+    answers = [[{"id": 1, "level": 3}, {"id": 2, "late": "x"}], [{"id": 3, "level": 2.5, "at": {"a": 1}}],
+               [{"id": 4, "at": {"b": "y"}, "new": True}], []]
+    for i, answer in enumerate(answers):
+        (tmp_path / f"{i}.json").write_text(json.dumps(answer))
+    df = read_source(spark, "http", {"urls": [f"file://{tmp_path}/{i}.json" for i in range(4)]})
+    assert rows(df.select("id", "level", "late", "at.a", "at.b", "new"), "id") == [
+        (1, 3.0, None, None, None, None), (2, None, "x", None, None, None),
+        (3, 2.5, None, 1, None, None), (4, None, None, None, "y", True)]
