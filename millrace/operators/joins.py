@@ -8,7 +8,10 @@ other sides are handled here, for joins on key equality:
 * otherwise the hot keys of a side that would not be split are found by a count over
   its key columns, their rows are dealt out over salts, and the rows of the other
   side are repeated once per salt. A hot key is known to occur, so a repeated row
-  that finds nothing under its salt has its match under another and is dropped.
+  that finds nothing under its salt has its match under another and is dropped;
+* with further conditions beside the equalities a repeated row may have no match at
+  all. Then, where a hot key was found, rows are numbered, joined as an inner join, and
+  those whose number did not come out are added.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,10 @@ _QUOTED_OR_PREFIX = re.compile(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")|\b(left|rig
 HOT_ROWS = 4_000_000
 NULL_KEY_SALTS = 1024
 
-_EQUALITY = re.compile(r"^\s*(left|right)\.(\w+)\s*=\s*(left|right)\.(\w+)\s*$", re.I)
+_NAME = r"(left|right)\.(\w+|`(?:[^`]|``)+`)"
+_EQUALITY = re.compile(rf"^\s*{_NAME}\s*==?\s*{_NAME}\s*$", re.I)
+_WORDS = re.compile(
+    r"'(?:[^'\\]|\\.|'')*'|`(?:[^`]|``)*`|\"[^\"]*\"|[()]|(?<!\.)\b(?:and|or|between|case|end)\b", re.I)
 
 
 def rewrite_prefixes(on: str) -> str:
@@ -37,17 +44,59 @@ def rewrite_prefixes(on: str) -> str:
     return _QUOTED_OR_PREFIX.sub(lambda m: m[1] or f"{m[2].lower()}_tbl.", on)
 
 
+class Keys(NamedTuple):
+    left: list[str]
+    right: list[str]
+    # Are there further conditions?
+    more: bool
+
+
+def conjuncts(on: str) -> list[str]:
+    """The parts between the outermost ANDs; all in one part when an OR binds them."""
+    parts, start, depth, between = [], 0, 0, 0
+    for found in _WORDS.finditer(on):
+        word = found[0].lower()
+        if word in ("(", "case"):
+            depth += 1
+        elif word in (")", "end"):
+            depth -= 1
+        elif depth or word not in ("and", "or", "between"):
+            continue
+        elif word == "or":
+            return [on]
+        elif word == "between":
+            between += 1
+        elif between:
+            between -= 1
+        else:
+            parts.append(on[start : found.start()])
+            start = found.end()
+    return [*parts, on[start:]]
+
+
 def equality_keys(on: str) -> tuple[list[str], list[str]] | None:
     """Left and right key columns when ``on`` is only ANDed column equalities."""
-    left, right = [], []
-    for part in re.split(r"\s+and\s+", on.strip(), flags=re.I):
-        match = _EQUALITY.match(part)
-        if not match or match[1].lower() == match[3].lower():
-            return None
-        sides = {match[1].lower(): match[2], match[3].lower(): match[4]}
-        left.append(sides["left"])
-        right.append(sides["right"])
-    return left, right
+    keys = condition_keys(on)
+    return None if keys is None or keys.more else (keys.left, keys.right)
+
+
+def condition_keys(on: str) -> Keys | None:
+    """Left and right columns of the equalities that ``on`` demands, if any."""
+    left, right, parts = [], [], conjuncts(on)
+    for match in filter(None, map(_EQUALITY.match, parts)):
+        if match[1].lower() != match[3].lower():
+            sides = {match[1].lower(): _plain(match[2]), match[3].lower(): _plain(match[4])}
+            left.append(sides["left"])
+            right.append(sides["right"])
+    return Keys(left, right, len(left) < len(parts)) if left else None
+
+
+def _plain(name: str) -> str:
+    return name[1:-1].replace("``", "`") if name.startswith("`") else name
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def clash_names(left: list[str], right: list[str]) -> list[str]:
@@ -82,11 +131,14 @@ def join_step(
     """
     names = clash_names(left.columns, right.columns)
     condition = F.expr(rewrite_prefixes(on))
-    keys = equality_keys(on)
+    keys = condition_keys(on)
     plain = how == "inner" or keys is None or not skew_safe or left.isStreaming
     if plain or (how == "left" and (right_is_small or not right_may_be_hot)):
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
         return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    if keys.more:
+        return _join_numbered(
+            left, right, on, how, names, keys, right_is_small, right_may_be_hot, hot_rows)
     if right_is_small:
         return _join_small_right(left, right, on, how, names, keys)
     return _join_salted(left, right, condition, how, names, keys, right_may_be_hot, hot_rows)
@@ -106,7 +158,7 @@ def range_bounds(on: str, left: DataFrame, right: DataFrame) -> tuple[str, str,
     """``(side, point, low, high)`` when ``on`` holds a column of one side between two
     columns of the other; ``side`` is the point's. A condition with a key equality has
     none: its join is on the key."""
-    parts = re.split(r"\s+and\s+", _BETWEEN.sub(r"\1 >= \2 and \1 <= \3", on.strip()), flags=re.I)
+    parts = conjuncts(_BETWEEN.sub(r"\1 >= \2 and \1 <= \3", on))
     lows: dict[tuple, str] = {}
     highs: dict[tuple, str] = {}
     if any(_EQUALITY.match(part) for part in parts):
@@ -160,13 +212,11 @@ def range_join_step(
     levels = sorted(r[0] for r in ranges.where(usable).select(level).distinct().collect())
     levels = levels or [_ENDLESS]
 
-    kept_sides = {"inner": (), "full": ("left", "right")}.get(how, (how,))
+    kept_sides = _kept_sides(how)
     direct = how == "inner" or (how == side and len(levels) == 1)
     frames = {"left": left, "right": right}
     if not direct:
-        for kept in kept_sides:
-            numbered = frames[kept].withColumn(f"_row_{kept}", F.monotonically_increasing_id())
-            frames[kept] = cut_lineage(numbered)
+        frames = _numbered(frames, kept_sides)
     interval_side = "right" if side == "left" else "left"
     binned = dict(frames)
     binned[side] = frames[side].withColumn(
@@ -179,17 +229,33 @@ def range_join_step(
         F.col(f"left_tbl.{c}") == F.col(f"right_tbl.{c}") for c in ("_level", "_bin")])
     met = binned["left"].alias("left_tbl").join(
         binned["right"].alias("right_tbl"), condition, how if direct else "inner")
-    joined = met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
     if direct:
-        return joined
-    for kept in kept_sides:
+        return met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    return _with_lone_rows(met, frames, kept_sides, left, right, names)
+
+
+def _kept_sides(how: str) -> tuple[str, ...]:
+    return {"inner": (), "full": ("left", "right")}.get(how, (how,))
+
+
+def _numbered(frames: dict[str, DataFrame], sides: tuple[str, ...]) -> dict[str, DataFrame]:
+    """``sides`` written once with a row number, which must not change afterwards."""
+    return {name: cut_lineage(side.withColumn(f"_row_{name}", F.monotonically_increasing_id()))
+            if name in sides else side for name, side in frames.items()}
+
+
+def _with_lone_rows(met, frames, sides, left, right, names) -> DataFrame:
+    """The pairs of an inner join of numbered ``frames``, and the rows of ``sides``
+    whose number is in no pair."""
+    joined = met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    for kept in sides:
         number = f"_row_{kept}"
         alone = frames[kept].join(met.select(number).distinct(), number, "left_anti")
         if kept == "left":
-            alone = alone.select(*left.columns, *_nulls(right, names))
+            alone = alone.select(*map(_named, left.columns), *_nulls(right, names))
         else:
             alone = alone.select(*_nulls(left, left.columns),
-                                 *[F.col(f"`{old}`").alias(new) for old, new in zip(right.columns, names)])
+                                 *[_named(old).alias(new) for old, new in zip(right.columns, names)])
         joined = joined.unionByName(alone)
     return joined
 
@@ -208,20 +274,21 @@ def _bin(value: Column, level: Column) -> Column:
 
 def needs_left_twice(how: str, on: str, skew_safe: bool = True) -> bool:
     """Does the shape of this join read its left side a second time?"""
-    return how in ("right", "full") and skew_safe and equality_keys(on) is not None
+    keys = condition_keys(on) if skew_safe else None
+    return keys is not None and how in ("right", "full")
 
 
 def _join_small_right(left, right, on, how, names, keys) -> DataFrame:
     """Right or full join without a shuffle of the left rows: the join that needs no
     unmatched right rows, plus those rows, found by the few keys that did match."""
-    left_keys, right_keys = keys
+    left_keys, right_keys, _ = keys
     condition = F.expr(rewrite_prefixes(on))
     matched = join_step(
         left, right, on, "left" if how == "full" else "inner", right_is_small=True
     )
-    wanted = right.select(*_distinct_names(right_keys)).distinct()
+    wanted = right.select(*map(_named, _distinct_names(right_keys))).distinct()
     seen = (
-        left.select(*_distinct_names(left_keys)).alias("left_tbl")
+        left.select(*map(_named, _distinct_names(left_keys))).alias("left_tbl")
         .join(wanted.alias("right_tbl"), condition, "left_semi")
         .distinct()
     )
@@ -231,10 +298,35 @@ def _join_small_right(left, right, on, how, names, keys) -> DataFrame:
     )
 
 
+def _join_numbered(
+    left, right, on, how, names, keys, right_is_small, right_may_be_hot, hot_rows
+) -> DataFrame:
+    """An outer join with further conditions. Without a hot key on a side that is not
+    split, or a small right side to broadcast, it is left to the planner."""
+    condition = F.expr(rewrite_prefixes(on))
+    doubtful = []
+    if how in ("left", "full") and right_may_be_hot and not right_is_small:
+        doubtful.append((right, keys.right))
+    if how in ("right", "full"):
+        doubtful.append((left, keys.left))
+    hot = right_is_small or any(
+        not _counted_hot(side, names_, hot_rows).isEmpty() for side, names_ in doubtful)
+    frames = {"left": left, "right": right}
+    if not hot:
+        joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
+        return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    # A broadcast right side finds the lone left rows by itself.
+    sides = ("right",) if right_is_small else _kept_sides(how)
+    frames = _numbered(frames, sides)
+    met = frames["left"].alias("left_tbl").join(
+        frames["right"].alias("right_tbl"), condition, "left" if how == "full" and right_is_small else "inner")
+    return _with_lone_rows(met, frames, sides, left, right, names)
+
+
 def _join_salted(
     left, right, condition, how, names, keys, right_may_be_hot, hot_rows
 ) -> DataFrame:
-    left_keys, right_keys = keys
+    left_keys, right_keys, _ = keys
     hot_right = hot_left = None
     if how in ("left", "full") and right_may_be_hot:
         hot_right = _hot_keys(right, right_keys, hot_rows, "_hr")
@@ -258,27 +350,31 @@ def _join_salted(
 def _hot_keys(side: DataFrame, keys: list[str], hot_rows: int, mark: str) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of salts each needs. There
     are fewer of them than rows / hot_rows, which bounds what is broadcast."""
-    distinct = _distinct_names(keys)
-    counted = side.select(*distinct).na.drop().groupBy(*distinct).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    hot = counted.where(F.col("_rows") > hot_rows).select(
-        *[F.col(k).alias(f"{mark}_{i}") for i, k in enumerate(keys)],
+    hot = _counted_hot(side, keys, hot_rows).select(
+        *[_named(k).alias(f"{mark}_{i}") for i, k in enumerate(keys)],
         F.ceil(F.col("_rows") / hot_rows).cast("int").alias(f"{mark}_salts"),
     )
     return F.broadcast(hot)
 
 
+def _counted_hot(side: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    distinct = list(map(_named, _distinct_names(keys)))
+    counted = side.where(reduce(and_, [c.isNotNull() for c in distinct])).groupBy(*distinct).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    return counted.where(F.col("_rows") > hot_rows)
+
+
 def _with_salt(side, keys, own, own_mark, other, other_mark, first) -> DataFrame:
     """``side`` with ``_salt`` and ``_repeated``. Rows of its own hot keys are spread,
     rows of the other side's hot keys repeated; a key hot on both sides follows the
     mark ``first``. Rows without a key match nothing and are spread as well."""
     for hot, mark in ((own, own_mark), (other, other_mark)):
         if hot is not None:
-            same = [F.col(k).eqNullSafe(F.col(f"{mark}_{i}")) for i, k in enumerate(keys)]
+            same = [_named(k).eqNullSafe(F.col(f"{mark}_{i}")) for i, k in enumerate(keys)]
             side = side.join(hot, reduce(and_, same), "left")
     position = F.monotonically_increasing_id()
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    no_key = reduce(or_, [_named(k).isNull() for k in keys])
     spread_by = F.when(no_key, F.lit(NULL_KEY_SALTS))
     repeat_by = F.lit(None).cast("int")
     if own is not None:
@@ -292,7 +388,7 @@ def _with_salt(side, keys, own, own_mark, other, other_mark, first) -> DataFrame
             theirs = F.when(F.col(f"{own_mark}_salts").isNull(), theirs)
         repeat_by = theirs
     spread = F.coalesce(F.pmod(position, spread_by), F.lit(0)).cast("int")
-    kept = [c for c in side.columns if not c.startswith(("_hr_", "_hl_"))]
+    kept = ["`" + c.replace("`", "``") + "`" for c in side.columns if not c.startswith(("_hr_", "_hl_"))]
     side = side.select(*kept, repeat_by.alias("_repeat_by"), spread.alias("_spread"))
     salts = F.when(
         F.col("_repeat_by").isNotNull(), F.sequence(F.lit(0), F.col("_repeat_by") - 1)
@@ -306,7 +402,7 @@ def _with_salt(side, keys, own, own_mark, other, other_mark, first) -> DataFrame
 
 def _columns(alias: str, df: DataFrame, names: list[str] | None = None) -> list[Column]:
     return [
-        F.col(f"{alias}.`{old}`").alias(new)
+        F.col(f"{alias}.`{old.replace('`', '``')}`").alias(new)
         for old, new in zip(df.columns, names or df.columns)
     ]
 

@@ -117,6 +117,7 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
         side, point, low, high = bounds
         return range_join_step(df, right, on, how, point, low, high, side=side)
     size = _measured(spark, paths)
+    hot_rows = int(step.get("hot_rows", HOT_ROWS))
     return join_step(
         df,
         right,
@@ -124,8 +125,9 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
         how,
         right_is_small=0 < size <= _broadcast_limit(spark),
         right_may_be_hot=not (skew_safe and 0 < size <= COUNTED_BYTES
-                              and right.count() <= HOT_ROWS),
+                              and right.count() <= hot_rows),
         skew_safe=skew_safe,
+        hot_rows=hot_rows,
     )
 
 

@@ -10,12 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace import storage
-from millrace.session import work_root
 from millrace.spec import PipelineSpec, sql_texts
 
 
 class StepStore:
-    """Finished steps as Parquet folders ``step_<i>`` in the shared work folder.
+    """Finished steps as Parquet folders ``step_<i>`` in the folder that
+    ``spark.checkpoint.dir`` names, or else next to the sink, so that a later process
+    finds them.
 
     The folder is named by the source, the steps and the saved datasets they name, so
     an edited pipeline starts afresh; name a plugin anew when its code changes; a change of sink or checks keeps finished steps.
@@ -28,7 +29,9 @@ class StepStore:
         named = {k: v for k, v in (datasets or {}).items() if k.lower() in fragments.lower()}
         text = json.dumps(parts + [named] * bool(named), sort_keys=True, default=str)
         digest = hashlib.sha256(text.encode()).hexdigest()[:16]
-        self.root = f"{work_root(spark)}/millrace/steps/{spec.name}/{digest}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        folder = f"{shared.rstrip('/')}/millrace" if shared else storage.parent_of(spec.sink_path)
+        self.root = f"{folder}/_steps-{spec.name}-{digest}"
 
     def last_finished(self) -> int:
         """Highest complete step by number, or -1."""

@@ -17,7 +17,7 @@ from millrace.operators.sinks import append_rows, publish, stage
 from millrace.operators.steps import apply_step, apply_steps, must_cut
 from millrace.params import resolve
 from millrace.plans.resume import StepStore
-from millrace.session import cut_lineage, run_session
+from millrace.session import collected_cuts, cut_lineage, run_session
 from millrace.sources import read_source
 from millrace.sources.catalog import dataset_paths, register_datasets, resolve_dataset
 from millrace.sources.files import require_match
@@ -63,10 +63,12 @@ def run_pipeline(
     run = _Run(spark, datasets or {}, roles, plugins or PluginRegistry())
     name = spec.name if isinstance(spec, PipelineSpec) else str(spec.get("name"))
     try:
+        cuts: list[str] = []
         try:
-            result = run.execute(spec, now, started)
+            with collected_cuts(cuts):
+                result = run.execute(spec, now, started)
         finally:
-            for path in run.cuts:
+            for path in cuts:
                 storage.delete(spark, path)
     except Exception as exc:
         error = exc if isinstance(exc, PipelineError) else PipelineError(name, run.step, str(exc))
@@ -87,7 +89,9 @@ def pipeline_frame(
     datasets: dict[str, dict] | None = None,
     plugins: PluginRegistry | None = None,
 ) -> DataFrame:
-    """The plan of a spec's source and steps, nothing run and nothing written."""
+    """The plan of a spec's source and steps; nothing is published. Joins that keep
+    unmatched rows may look at their keys first and write a side to the shared folder,
+    where it stays for as long as the plan is used."""
     run = _Run(spark, datasets or {}, None, plugins or PluginRegistry())
     spec = resolve(spec, now)
     df = run.source(spec)
@@ -104,7 +108,6 @@ class _Run:
         self.plugins = plugins
         self.step = "init"
         self.rows_in = 0
-        self.cuts: list[str] = []
 
     def execute(self, spec, now, started) -> RunResult:
         self.step = "validate"
@@ -149,7 +152,7 @@ class _Run:
             require_match(self.spark, config["path"])
         df = read_source(self.spark, kind, config)
         remote = kind == "http" or any(map(storage.is_http, dataset_paths({"config": config})))
-        return cut_lineage(df, self.cuts) if once and remote else df
+        return cut_lineage(df) if once and remote else df
 
     def _transform(self, df, spec, store):
         done = store.last_finished() if store else -1
@@ -160,7 +163,7 @@ class _Run:
                 continue
             self.step = f"step_{index}"
             if not store and must_cut(step, spec.transforms[:index]):
-                df = cut_lineage(df, self.cuts)
+                df = cut_lineage(df)
             df = apply_step(df, step, plugins=self.plugins, datasets=self.datasets)
             if store:
                 df = store.save(index, df)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_CUTS: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
 
 # Set on every run session. TIMESTAMP means one without a zone, in casts and in
 # inferred CSV and JSON columns, as in the files the pipelines read. The forced skew split matters for a join whose output
@@ -60,11 +64,23 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{work_root(spark)}/millrace/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+@contextmanager
+def collected_cuts(made: list[str]) -> Iterator[None]:
+    """Paths of all tables that :func:`cut_lineage` writes meanwhile go to ``made``."""
+    token = _CUTS.set(made)
+    try:
+        yield
+    finally:
+        _CUTS.reset(token)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder, so that what made
-    them runs once however often the result is used. ``made`` collects the paths."""
+    them runs once however often the result is used. A run removes its tables at its
+    end, see :func:`collected_cuts`."""
     path = work_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    made = _CUTS.get()
     if made is not None:
         made.append(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from millrace.operators.sinks import write_parquet
 from millrace.operators.steps import apply_step
 from millrace.params import resolve
 from millrace.plans.runner import check_access
-from millrace.session import run_session
+from millrace.session import collected_cuts, run_session
 from millrace.sources.catalog import register_datasets, resolve_dataset
 from millrace.sources.files import detect_format
 from millrace.spec import PipelineSpec, sql_texts
@@ -61,8 +61,10 @@ def run_incremental(
     register_datasets(session, datasets or {}, *sql_texts(spec))
     total = _aggregates(spec)
     df = _stream(session, _source_path(spec, datasets or {}), schema)
-    for step in spec.transforms:
-        df = apply_step(df, step, plugins=plugins, datasets=datasets)
+    cuts: list[str] = []
+    with collected_cuts(cuts):
+        for step in spec.transforms:
+            df = apply_step(df, step, plugins=plugins, datasets=datasets)
     result = IncrementalResult(0, 0)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
@@ -83,6 +85,9 @@ def run_incremental(
         query.awaitTermination()
     except Exception as exc:
         raise PipelineError(spec.name, "incremental", str(exc)) from exc
+    finally:
+        for path in cuts:
+            storage.delete(spark, path)
     return result
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.operators.joins import (
-    clash_names, equality_keys, join_step, range_bounds, range_join_step, rewrite_prefixes,
+    clash_names, condition_keys, conjuncts, equality_keys, join_step, range_bounds, range_join_step, rewrite_prefixes,
 )
 from millrace.operators.steps import (
     aggregate_step, apply_step, apply_steps, filter_step, must_cut, select_step,
@@ -82,6 +82,10 @@ def test_clash_names():
 SHAPES = [
     ("left.k = right.k", True), ("left.k = right.k", False),
     ("left.k = right.k AND left.t = right.t", False), ("left.k >= right.k AND right.v > 11", False),
+    ("left.k = right.k AND right.v > 11", False), ("right.v <> 12 AND left.k = right.k", True),
+    ("left.`k` = right.`k` AND (left.t = right.t OR right.v = 99)", False),
+    ("left.k = right.k AND right.v BETWEEN 11 AND 20 AND left.t <> 'and'", False),
+    ("left.`k` = right.k", False), ("left.k = right.k OR right.v = 12", False),
 ]
 
 
@@ -102,6 +106,25 @@ def test_join_shapes_equal_the_plain_join(spark, how, on, small):
     assert rows(shaped) == rows(plain)
 
 
+def test_names_with_dots_and_quotes(spark):
+    left = spark.createDataFrame([(1, "a")] * 12 + [(2, "b"), (None, "c")], "`a.b` long, `x``y` string")
+    right = spark.createDataFrame([(1, 5)] * 11 + [(3, 6), (None, 7)], "`a.b` long, v long")
+    for how in ("left", "right", "full"):
+        for on in ("left.`a.b` = right.`a.b`", "left.`a.b` = right.`a.b` AND right.v < 9"):
+            shaped = join_step(left, right, on, how, hot_rows=4)
+            plain = join_step(left, right, on, how, skew_safe=False)
+            assert sorted(map(str, shaped.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_conjuncts_and_keys():
+    assert len(conjuncts("left.a BETWEEN 1 AND 2 AND (left.b = 1 AND right.c = 2) AND left.d = 'x and y'")) == 3
+    assert conjuncts("left.a = right.a AND left.b = 1 OR left.c = 2") == ["left.a = right.a AND left.b = 1 OR left.c = 2"]
+    assert len(conjuncts("left.end = right.end AND CASE WHEN left.a AND left.b THEN 1 END = 1")) == 2
+    assert equality_keys("left.a = right.b and right.`x y` = left.c") == (["a", "c"], ["b", "x y"])
+    assert equality_keys("left.a = right.b AND left.c > 1") is None
+    assert condition_keys("left.a = right.b AND left.c > 1") == (["a"], ["b"], True)
+
+
 JOIN = {"type": "join", "right_path": "r", "on": "left.k = right.k"}
 
 
