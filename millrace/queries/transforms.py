@@ -123,6 +123,19 @@ def join_theta_full(spark, folder):
     ))
 
 
+def join_full_more(spark, folder):
+    """Customers and suppliers of a nation that are far apart: few keys with many rows on
+    both sides, and a second condition. Broadcasting is off and the limit of a hot key
+    low, so all keys take the way of hot ones."""
+    session = run_session(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    return pipeline_frame(session, spec(
+        folder, "customer",
+        {"type": "join", "right_path": path_of(folder, "supplier"), "join_type": "full", "hot_rows": 2,
+         "on": "left.`c_nationkey` = right.s_nationkey AND left.c_acctbal > right.s_acctbal + 9000"},
+        select("c_custkey", "s_suppkey"),
+    ))
+
+
 def join_range(spark, folder):
     """Events and the user's day they fall in: as many ranges as user days."""
     session = session_with_tables(spark, folder, ["events"])
@@ -407,6 +420,11 @@ QUERIES = {
         """SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer
            ON o_totalprice >= c_acctbal * 40 AND o_totalprice <= c_acctbal * 40 + 5""",
     ),
+    "join_full_more": (
+        join_full_more,
+        """SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier
+           ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal + 9000""",
+    ),
     "join_range": (
         join_range,
         """SELECT event_id, e.user_id, e.user_id AS user_id_1, date_trunc('day', ts) AS lo,
