@@ -1,7 +1,12 @@
 """A corpus as training sequences: quality, near-duplicates, repeats, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; the next one reads
-what it wrote. All but the last return the columns of ``docs``.
+what it wrote. All but the last return the columns of ``docs``, whatever further columns
+there are and however they are named.
+
+Rows that are odd: the classifier scores null and empty texts like any other; texts
+without words are near-duplicates of each other; rows without an id are kept where ids
+decide, and packed; of rows that repeat an id, all stay or all go. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -12,11 +17,19 @@ from millrace.llm import mixing, packing, quality, simhash, substring
 from millrace.session import work_path
 
 
+def _free(name, docs):
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def good_quality(spark, docs, sf_dir):
     """Documents that the classifier accepts; it is fitted on these documents' labels."""
+    name = _free("__score", docs)
     model = quality.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
-    scored = quality.score(docs, model, score_column="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    scored = quality.score(docs, model, score_column=name)
+    return scored.where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def one_of_each(spark, docs, sf_dir):
@@ -26,7 +39,9 @@ def one_of_each(spark, docs, sf_dir):
 
 def without_repeats(spark, docs, sf_dir):
     """Texts without passages that an earlier document has."""
-    cut = substring.cut_repeats(docs).select(docs.columns)
+    clashing = {c: _free(c, docs) for c in docs.columns if c in substring.ADDED}
+    cut = substring.cut_repeats(docs.withColumnsRenamed(clashing)).drop(*substring.ADDED)
+    cut = cut.withColumnsRenamed({new: old for old, new in clashing.items()}).select(docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 

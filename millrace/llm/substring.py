@@ -35,6 +35,7 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 _PARCEL_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
+ADDED = ("n_words", "n_removed", "removed")
 _ADDED = "n_words long, n_removed long, removed array<struct<first: long, last: long>>"
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -322,7 +323,7 @@ def cut_repeats(docs: DataFrame, *, window: int = 13, id_column: str = "doc_id",
     all others and as equal to its like. Rows with equal ids never remove each other's
     words. Ids are integers; all rows of one id lie in one chunk.
     """
-    docs = docs.drop("n_words", "n_removed", "removed")
+    docs = docs.drop(*ADDED)
     docs = docs.withColumn(text_column, F.col(text_column).cast("string"))
     id_at, text_at = docs.columns.index(id_column), docs.columns.index(text_column)
     parts = max(1, -(-input_bytes(docs) // chunk_bytes))

@@ -418,6 +418,41 @@ def test_mix(docs, none):
 
 
 # All ---------------------------------------------------------------------------
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    more = {"n_words": 7, "removed": "r", "__gone": 1, "__score": 0.9, "fp": 2, "id": "x", "component": 3,
+            "chunk": 4, "kind": "k", "weight": 0.5, "kept": True, "topic": "t", "score": 0.1, "grp": 5}
+    ddl = ("doc_id long, text string, lang string, source string, n_chars long, n_words long, removed string, "
+           "__gone long, __score double, fp long, id string, component long, chunk long, kind string, "
+           "weight double, kept boolean, topic string, score double, grp long")
+    text = spark.read.parquet(f"{folder}/documents.parquet").join(
+        spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1"), "doc_id").orderBy(
+        "doc_id").first()["text"]
+    rows = [(i, t, "en", "s", None, *more.values()) for i, t in (
+        (1, text), (2, text), (2, text), (None, text), (None, None), (4, ""), (5, None), (6, " \n\t"),
+        (8, " ".join(f"w{i % 9973}" for i in range(60_000))))]
+    some, none = spark.createDataFrame(rows, ddl), spark.createDataFrame([], ddl)
+    kept = {"near_dedup": [None, None, 1, 4, 8], "substring_dedup": [r[0] for r in rows]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, some, folder)
+        assert stage(spark, none, folder).count() == 0
+        if name == "packing":
+            ids = {encoder().ids(t).__len__() + 1 for _, t, *_ in rows}
+            assert {r["doc_tokens"] for r in got.collect()} == ids
+            continue
+        assert got.columns == some.columns
+        found = got.collect()
+        assert all(r[c] == v for r in found for c, v in more.items())
+        if name == "quality":
+            assert sum(r["text"] == text for r in found) == 4
+        if name in kept:
+            assert sorted(map(str, (r["doc_id"] for r in found))) == sorted(map(str, kept[name]))
+        if name == "substring_dedup":
+            assert sorted(_words(r["text"]) == [] for r in found if r["doc_id"] in (None, 1, 2)) == [False] + [True] * 4
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from millrace.llm import queries
