@@ -2,11 +2,11 @@
 
 Writing: a payload longer than one segment becomes several WARC records, the first one
 and its continuations, so no record is larger than a segment and the archive keeps to
-the format. Reading: an archive streams line by line through a small state machine and
+the format; all records of a page lie in one file. Reading: an archive streams line by line through a small state machine and
 comes out as rows of record, chunk number, bytes, and the length and digest up to and
 with that chunk. Memory holds one chunk, however long the record is.
 
-Spark's own text files carry the archives: one row is one record, CRLF ends each. Files
+Spark's own text files carry the archives: one row is a page's records, CRLF ends each. Files
 are compressed as a whole, so a file is read by one task from its start.
 """
 
@@ -104,12 +104,13 @@ def write_warc(rows: DataFrame, path: str, segment: int = SEGMENT) -> None:
         for batch in batches:
             made, size = [], 0
             for row in zip(*(batch.column(n) for n in ("id", "url", "payload", "digest", "refers_to"))):
-                for record in records(*(x.as_py() for x in row), segment):
-                    made.append(record)
-                    size += len(record)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
-                        made, size = [], 0
+                # Files end between rows, so a page is one row however many records it has.
+                page = _EOL.join(records(*(x.as_py() for x in row), segment))
+                made.append(page)
+                size += len(page)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+                    made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -122,7 +123,12 @@ class _Reader:
 
     def __init__(self, number, chunk: int):
         self.number, self.chunk, self.fields, self.state = number, chunk, {}, "between"
-        self.record = None
+        self.record, self.open = None, False
+
+    def close(self):
+        """To be called at the end of the archive."""
+        if self.open or self.state != "between":
+            raise ValueError("an archive ends within a record")
 
     def line(self, line: bytes):
         if self.state == "between":
@@ -163,6 +169,8 @@ class _Reader:
             self.open = "warc-segment-total-length" not in fields
             self.state = "payload"
         else:
+            if self.open:
+                raise ValueError("a record starts before the one before it is complete")
             self.record, self.count, self.size = fields, 0, 0
             self.digest, self.held = hashlib.sha1(), bytearray()
             self.open = "warc-segment-number" in fields
@@ -228,6 +236,8 @@ def read_chunks(spark: SparkSession, path: str, *, id_type: str = "bigint", payl
             out, held = [], 0
             for line, file in zip(batch.column(0), batch.column(1)):
                 if (file := file.as_py()) != now:
+                    if reader:
+                        reader.close()
                     reader, now = _Reader(number, chunk), file
                 for row in reader.line(line.as_py()):
                     held += len(row[5] or b"")
@@ -239,6 +249,8 @@ def read_chunks(spark: SparkSession, path: str, *, id_type: str = "bigint", payl
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        if reader:
+            reader.close()
 
     lines = spark.read.option("lineSep", "\r\n").text(path)
     kind = "bigint" if whole else "string"

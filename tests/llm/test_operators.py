@@ -228,6 +228,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_chunks(spark, path + "0").count() == 0
 
 
+def test_warc_files_end_between_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_ROWS", 1)
+    df = spark.createDataFrame([(i, None, f"{i}\r\n" * 100 * i) for i in range(6)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.revisits(df), path, segment=50)
+    last = {r["page_id"]: r for r in warc.read_chunks(spark, path, chunk=30).where("last").collect()}
+    assert {i: r["bytes_so_far"] for i, r in last.items()} == {i: 300 * i for i in range(6)}
+
+
+@pytest.mark.parametrize("keep", [1, 2])
+def test_warc_file_that_ends_within_a_page(spark, tmp_path, keep):
+    digest = hashlib.sha1(b"x" * 120).hexdigest()
+    parts = list(warc.records(1, "u", b"x" * 120, digest, None, 50))
+    assert len(parts) == 3
+    (tmp_path / "a.warc").write_bytes(b"\r\n".join(parts[:keep]) + b"\r\n")
+    (tmp_path / "b.warc").write_bytes(next(warc.records(2, "u", b"y", hashlib.sha1(b"y").hexdigest(), None)) + b"\r\n")
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_chunks(spark, str(tmp_path)).collect()
+
+
 # 6 ---------------------------------------------------------------------------
 def _cut_plainly(rows, window):
     first = {}
