@@ -45,14 +45,14 @@ def without_repeats(spark, docs, sf_dir):
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
-# All marginals a little flatter than they are, from as many tokens as there are: cells
-# that are to gain are taken whole, only those that are to lose are thinned out.
+# All marginals a little flatter than they are, in the largest sample that meets them: the
+# cell that is to gain most is taken whole, all others are thinned out.
 MIX_POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.95}
 
 
 def mixed(spark, docs, sf_dir):
     """A sample whose sources, languages and topics have their target weights."""
-    return mixing.mix(docs, powers=MIX_POWERS, budget=1.0)
+    return mixing.mix(docs, powers=MIX_POWERS, budget=None)
 
 
 def packed(spark, docs, sf_dir):

@@ -2,7 +2,7 @@
 
 Documents are counted into cells of source, language and topic by their tokens. The
 cells' weights are raked: scaled to each marginal in turn until all agree with their
-targets. A document is then kept with the probability that its cell's weight asks for,
+targets, while no cell asks for more tokens than it has. A document is then kept with the probability that its cell's weight asks for,
 decided by a hash of its id.
 """
 
@@ -69,20 +69,26 @@ def flattened(cells: DataFrame, dimension: str, power: float) -> DataFrame:
         dimension, F.pow("t", F.lit(power)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUNDS,
-         tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], *, total: float | None = None,
+         rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``weight``: shares of all tokens whose marginals are the targets'.
 
     A target has a dimension's values and their ``share``; shares are scaled to add up
     to one over the values that have tokens. Cells without tokens or without a share in
-    a target get weight 0. Rounds end when no factor moves by more than ``tolerance``,
-    which leaves marginals nearer than that, or after ``rounds``; targets that contradict the
-    zeros of the table come as near as that. Every step is written to the shared
+    a target get weight 0. With a ``total``, the tokens that a sample is to have, no cell's
+    weight asks for more than its tokens: full cells stay at that and the others make up
+    for them. A value with too few tokens for its share is then wanted whole, and the other
+    values divide the rest by their shares. Rounds end when all marginals are within
+    ``tolerance`` of the targets, when they come no nearer, or after ``rounds``; targets
+    that contradict the zeros or the sizes of the cells come as near as that. Every step is written to the shared
     folder. No cells give no rows.
     """
     known = cells.where("tokens > 0")
-    wanted = {d: cut_lineage(_normal(t.join(known.select(d).distinct(), d, "left_semi")))
-              for d, t in targets.items()}
+    most = F.col("tokens") / F.lit(float(total)) if total else F.lit(float("inf"))
+    wanted = {}
+    for d, target in targets.items():
+        room = known.groupBy(d).agg(F.sum(most).alias("most"))
+        wanted[d] = _reachable(cut_lineage(_normal(target.join(room.hint("merge"), d))))
     # Weights are tokens times a factor for each dimension; only factors change.
     factors: dict[str, DataFrame] = {}
 
@@ -94,51 +100,82 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
             share = share * F.coalesce(F.col(f"__{d}"), F.lit(0.0))
         return rows.withColumn("weight", share)
 
+    worst, still = float("inf"), 0
     for _ in range(rounds):
-        worst = 0.0
+        before, worst = worst, 0.0
         for d, target in wanted.items():
-            sums = weighted(known, d).groupBy(d).agg(F.sum("weight").alias("__sum"))
-            made = target.join(sums.hint("merge"), d).withColumn(
-                "__new", F.coalesce(F.expr("try_divide(share, __sum)"), F.lit(0.0)))
-            step = Observation()
+            rows = weighted(known, d)
             if d in factors:
-                made = made.join(factors[d].hint("merge"), d)
-                off = F.max(F.abs(F.expr(f"try_divide(__new, __{d})") - 1))
+                rows = rows.join(factors[d].hint("merge"), d, "left").withColumn(
+                    "__old", F.coalesce(F.col(f"__{d}"), F.lit(0.0)))
             else:
-                off = F.max(F.lit(1.0))
+                rows = rows.withColumn("__old", F.lit(0.0))
+            full = F.col("weight") * F.col("__old") >= most
+            sums = rows.groupBy(d).agg(
+                F.first("__old").alias("__old"), F.sum("weight").alias("__sum"),
+                F.sum(F.when(full, most).otherwise(0.0)).alias("__full"),
+                F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("__free"))
+            # The free cells take what the full ones leave; if that is nothing, too many are
+            # full, and the factor starts again from none. All full and wanted so is settled.
+            new = (F.when(F.expr("__free = 0 AND __full > 0 AND share >= __full * (1 - 1e-9)"), F.col("__old"))
+                   .when(F.expr("__free > 0 AND share > __full"), F.expr("(share - __full) / __free"))
+                   .otherwise(F.expr("try_divide(share, __sum)")))
+            made = target.join(sums.hint("merge"), d).withColumn("__new", F.coalesce(new, F.lit(0.0)))
+            step = Observation()
+            off = F.max(F.abs(F.expr("try_divide(__full + __free * __old, share)") - 1))
             made = made.observe(step, off.alias("off")).select(d, F.col("__new").alias(f"__{d}"))
             factors[d] = cut_lineage(made)
             worst = max(worst, step.get["off"] or 0.0)
-        if worst <= tolerance:
+        still = still + 1 if abs(worst - before) <= tolerance / 10 else 0
+        if worst <= tolerance or still == 2:
             break
-    return cut_lineage(weighted(cells).drop(*(f"__{d}" for d in factors)))
+    made = weighted(cells).withColumn("weight", F.least(F.col("weight"), most))
+    return cut_lineage(made.drop(*(f"__{d}" for d in factors)))
 
 
 def _normal(target: DataFrame) -> DataFrame:
     total = target.agg(F.sum("share")).first()[0] or 1.0
-    return target.select(target.columns[0], (F.col("share") / total).alias("share"))
+    return target.withColumn("share", F.col("share") / total)
+
+
+def _reachable(target: DataFrame) -> DataFrame:
+    """Shares of at most ``most``: values that are to have more have that, and what they
+    lack goes to the others in proportion to their shares."""
+    scale = 1.0
+    while True:
+        over = F.col("share") * scale >= F.col("most")
+        full, rest = target.agg(F.sum(F.when(over, F.col("most")).otherwise(0.0)),
+                                F.sum(F.when(over, 0.0).otherwise(F.col("share")))).first()
+        if not rest or (1 - full) / rest <= scale * (1 + 1e-9):
+            break
+        scale = (1 - full) / rest
+    return cut_lineage(target.withColumn("share", F.least("most", F.col("share") * scale)).drop("most"))
 
 
-def probabilities(rows: DataFrame, *, powers: dict[str, float], budget: float, seed: int = 17,
+def probabilities(rows: DataFrame, *, powers: dict[str, float], budget: float | None, seed: int = 17,
                   rounds: int = ROUNDS) -> DataFrame:
     """``rows`` of :func:`measured` with ``weight`` of their cell, ``probability`` and
     ``kept``.
 
-    The sample has ``budget`` times the tokens of all rows, as far as they go round: a
-    cell that falls short is taken whole (probability 1). Rows with equal ids share one
+    The sample has ``budget`` times the tokens of all rows and the targets' marginals; a
+    value with fewer tokens than its target is taken whole (probability 1), and the others
+    share what it lacks. Without a budget the sample is as large as it can be with every
+    cell at its share and all targets met. Rows with equal ids share one
     decision; rows without an id share one as well. Documents without tokens in a cell
     without tokens have probability 0.
     """
     cells = cut_lineage(cells_of(rows))
-    raked = rake(cells, {d: flattened(cells, d, p) for d, p in powers.items()}, rounds=rounds)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    share = F.coalesce(F.expr("try_divide(weight, tokens)"), F.lit(0.0)) * F.lit(budget * total)
+    total = None if budget is None else budget * (cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    raked = rake(cells, {d: flattened(cells, d, p) for d, p in powers.items()}, total=total, rounds=rounds)
+    if total is None:
+        total = raked.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
+    share = F.coalesce(F.expr("try_divide(weight, tokens)"), F.lit(0.0)) * F.lit(total)
     known = raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), share).alias("probability"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
     return rows.join(known, list(DIMENSIONS)).withColumn("kept", draw < F.col("probability"))
 
 
-def mix(docs: DataFrame, *, powers: dict[str, float], budget: float, id_column="doc_id",
+def mix(docs: DataFrame, *, powers: dict[str, float], budget: float | None, id_column="doc_id",
         text_column="text", seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, all columns as they are."""
     rows = measured(docs, id_column=id_column, text_column=text_column)

@@ -437,6 +437,34 @@ def test_mix(docs, none):
     assert mixing.mix(none, powers=powers, budget=0.4).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0.5, None])
+def test_kept_tokens_meet_the_targets(spark, budget):
+    # A large source beside small ones, and cells that are too small for their weights.
+    r = random.Random(6)
+    rows = [(i, s, g, t, r.randint(5, 15) * (9 if s == "s0" else 1) * (9 if t else 1) * (4 if g == "en" else 1))
+            for i, (s, g, t) in enumerate(itertools.product([f"s{k}" for k in range(9)], ["en", "de"], range(4)))]
+    df = spark.createDataFrame(rows, "id long, source string, lang string, topic long, tokens long")
+    powers = {"source": 0.6, "lang": 0.6, "topic": 0.7}
+    got = mixing.probabilities(df, powers=powers, budget=budget).collect()
+    kept = sum(x["tokens"] * x["probability"] for x in got)
+    total = sum(x[4] for x in rows)
+    assert kept == pytest.approx(0.5 * total, rel=0.01) if budget else kept > 0.1 * total
+    assert max(x["probability"] for x in got) == pytest.approx(1)
+    for d, power in powers.items():
+        sizes = {v: sum(x["tokens"] for x in got if x[d] == v) for v in {x[d] for x in got}}
+        want = {v: n ** power / sum(m ** power for m in sizes.values()) for v, n in sizes.items()}
+        for v, share in want.items():
+            assert sum(x["tokens"] * x["probability"] for x in got if x[d] == v) / kept == pytest.approx(share, rel=0.015)
+
+
+def test_a_source_too_small_for_its_target_is_taken_whole(spark):
+    rows = [(0, "a", "", 0, 10), (1, "b", "", 0, 400), (2, "c", "", 0, 600)]
+    df = spark.createDataFrame(rows, "id long, source string, lang string, topic long, tokens long")
+    got = {x["source"]: x["probability"] * x["tokens"] for x in mixing.probabilities(
+        df, powers={"source": 0.0, "lang": 1.0, "topic": 1.0}, budget=0.5).collect()}
+    assert got == {"a": pytest.approx(10), "b": pytest.approx(247.5, rel=0.01), "c": pytest.approx(247.5, rel=0.01)}
+
+
 # All ---------------------------------------------------------------------------
 def test_stages_on_odd_rows(spark):
     import corpus_pipeline
