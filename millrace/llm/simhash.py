@@ -10,12 +10,16 @@ fingerprints is cut into pieces, and pairs of pieces are compared as tasks of th
 Texts that share four fifths of their shingles differ in a seventh of their bits, too
 many for 64 bits to tell. For those, fingerprints are wider (several lanes of 64 bits)
 and every block of 12 or 13 bits is a key: pairs as close as that share one of 40 blocks
-with a probability of 0.99, closer ones nearly surely.
+with a probability of 0.99, closer ones nearly surely. Short texts have further keys,
+their smallest shingle hashes, under which all such pairs meet. What is close by its bits
+is a candidate only; the sets of shingles decide.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ _FEW = 64
 # Rows compared in one go, and links of one key per member before they are thinned.
 _ROWS, _LINKS = 16_384, 4
 _SHINGLES_AT_ONCE = 1 << 16
+# Sets of up to this many shingles have their smallest hashes as keys.
+SHORT = 64
 
 
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
@@ -88,6 +94,71 @@ def fingerprints(docs: DataFrame, words: int, id_column="doc_id", text_column="t
         run, f"id {kind}, fp long, bits array<bigint>")
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, rising."""
+    import xxhash
+
+    parts = (text or "").encode().lower().split()
+    return np.unique(np.fromiter(
+        (xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED)
+         for i in range(max(1, len(parts) - words + 1) if parts else 0)), np.uint64))
+
+
+def set_prints(docs: DataFrame, words: int, similarity: float, id_column="doc_id",
+               text_column="text", lanes: int = 8) -> DataFrame:
+    """``id``, ``fp``, ``bits``, ``few`` and ``text`` of every row, from distinct shingles:
+    ``fp`` names the set, ``bits`` are its lanes. ``few`` are so many of the smallest hashes
+    of a set of SHORT or fewer that sets of at least that similarity share one of them."""
+
+    def run(batches):
+        turns = stream(SEED, lanes)
+        for batch in batches:
+            names, lines, few = [], [], []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), words)
+                counts = np.zeros((lanes, 64), np.int64)
+                for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+                    part = hashes[at : at + _SHINGLES_AT_ONCE]
+                    for lane in range(lanes):
+                        with np.errstate(over="ignore"):
+                            own = mix(part ^ turns[lane]) if lane else part
+                        counts[lane] += np.unpackbits(
+                            own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                lines.append(np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<i8").ravel())
+                names.append(int.from_bytes(blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True))
+                n = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
+                few.append(hashes[:n].view(np.int64).tolist() if len(hashes) <= SHORT else [])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.int64()), pa.array([x.tolist() for x in lines], kind),
+                 pa.array(few, kind), batch.column(1)], names=["id", "fp", "bits", "few", "text"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
+        run, f"id {kind}, fp long, bits array<bigint>, few array<bigint>, text string")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) whose ``texts`` (``fp``, ``text``) have sets of shingles
+    with at least that Jaccard similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    known = cut_lineage(texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("text").alias("one")), "a").join(
+        known.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = shingles(one.as_py(), words), shingles(other.as_py(), words)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(shared) and shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(j).filter(pa.array(keep, pa.bool_())) for j in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
 def pigeonholes(blocks: int, distance: int) -> list[tuple[int, int]]:
     """Keys for one lane, as (lane, mask): all choices of the blocks that fingerprints
     within ``distance`` bits must agree in."""
@@ -103,29 +174,44 @@ def wide_blocks(lanes: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, keys: list[tuple[int, int]], distance: int, lanes: int = 1,
-          piece: int = PIECE) -> DataFrame:
+          piece: int = PIECE, apart: bool = False) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (``fp``, ``bits``) that share a key
-    and differ in at most ``distance`` bits: enough of them to connect all such pairs."""
+    and differ in at most ``distance`` bits: enough of them to connect all such pairs.
+    With ``apart``, all such pairs that have different ``root``. A column ``few`` has
+    further keys."""
     masked = [F.struct(F.lit(t).alias("t"), F.col("bits")[lane].bitwiseAND(
         F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, (lane, m) in enumerate(keys)]
-    met = prints.select("fp", "bits", F.explode(F.array(*masked)).alias("x")).select("fp", "bits", "x.*")
+    every = F.array(*masked)
+    if "few" in prints.columns:
+        every = F.concat(every, F.transform("few", lambda k: F.struct(F.lit(len(keys)).alias("t"), k.alias("k"))))
+    own = ["fp", "bits", *(["root"] if apart else [])]
+    met = prints.select(*own, F.explode(every).alias("x")).select(*own, "x.*")
     hot = (met.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > piece)
            .withColumn("g", F.ceil(F.col("n") / (piece // 2)).cast("int")).drop("n"))
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     dealt = met.join(hot, ["t", "k"], "left").withColumn("p", F.coalesce(mine, F.lit(0))).select(
-        "t", "k", "fp", "bits", "p",
+        "t", "k", *own, "p",
         F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("q"))
     order = ["t", "k", "lo", "hi"]
     rows = dealt.select("t", "k", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "fp",
-                        *(F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)))
+                        *(F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)), *own[2:])
     return rows.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(
-        _compare(distance), "a long, b long").distinct()
+        _compare(distance, apart), "a long, b long").distinct()
 
 
-def _compare(distance):
+def _compare(distance, apart=False):
     def close(a, b):
         return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64) <= distance
 
+    def across(names, bits, roots):
+        """All close pairs of one key with different roots."""
+        out = []
+        for i in range(len(names) - 1):
+            at = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+            at = at[close(bits[:, at], bits[:, i : i + 1])]
+            out.append(np.stack([np.full(len(at), names[i]), names[at]], 1))
+        return out
+
     def forest(names, bits):
         """Each fingerprint of one key with a close one found before it."""
         left, out = np.arange(len(names)), []
@@ -139,6 +225,8 @@ def _compare(distance):
         return out
 
     def pairs(run_of, names, bits):
+        if apart:
+            bits, roots = bits[:-1], bits[-1]
         cuts = np.flatnonzero(np.diff(run_of)) + 1
         begin = np.concatenate([[0], cuts])
         size = np.diff(np.concatenate([begin, [len(names)]]))
@@ -148,16 +236,18 @@ def _compare(distance):
             at = np.flatnonzero((run_of[:-shift] == run_of[shift:]) & small[:-shift])
             if not len(at):
                 break
+            if apart:
+                at = at[roots[at] != roots[at + shift]]
             at = at[close(bits[:, at], bits[:, at + shift])]
             ones.append(at)
             others.append(at + shift)
         one, other = (np.concatenate(x) if x else np.zeros(0, int) for x in (ones, others))
-        many = np.bincount(run_of[one], minlength=len(size)) > _LINKS * size
+        many = np.bincount(run_of[one], minlength=len(size)) > (np.inf if apart else _LINKS * size)
         few = ~many[run_of[one]]
         out = [np.stack([names[one[few]], names[other[few]]], 1)]
         for i in np.flatnonzero(many | (size > _FEW)):
             run = slice(begin[i], begin[i] + size[i])
-            out += forest(names[run], bits[:, run])
+            out += across(names[run], bits[:, run], roots[run]) if apart else forest(names[run], bits[:, run])
         return out
 
     def run(batches):
@@ -215,16 +305,41 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 # Five-word shingles with a Jaccard similarity of 0.8 differ in 512 * acos(1.6 / 1.8) / pi
-# = 78 of the bits of eight lanes on average, and by chance in 12 more or fewer.
-WIDE = {"words": 5, "lanes": 8, "distance": 90, "blocks": 5}
+# = 78 of the bits of eight lanes on average, sets of four and five of them in 96, and by
+# chance in 9 more or fewer: ``wide`` misses none of them. ``distance`` is for links that
+# are tried first, so that a large group is joined before all its pairs are.
+WIDE = {"words": 5, "lanes": 8, "distance": 90, "wide": 136, "blocks": 5, "similarity": 0.8}
+
+
+def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, lanes: int,
+            distance: int, wide: int, blocks: int, similarity: float) -> DataFrame:
+    """Like :func:`near_duplicates`, for texts linked by their sets of shingles: every
+    link has at least that Jaccard similarity. Candidates come from the bits: first links
+    that would connect all that are close, then all pairs that are still apart."""
+    made = cut_lineage(set_prints(docs, words, similarity, id_column, text_column, lanes))
+    first = cut_lineage(made.groupBy("fp").agg(
+        F.min("id").alias("first"), F.first("bits").alias("bits"), F.first("few").alias("few")))
+    keys, texts, prints = wide_blocks(lanes, blocks), made.select("fp", "text"), first.drop("first")
+
+    def rooted(edges):
+        roots = components(edges)
+        return cut_lineage(first.join(roots, first.fp == roots.node, "left").select(
+            first.columns + [F.coalesce("root", "fp").alias("root")]))
+
+    near = cut_lineage(alike(cut_lineage(links(prints, keys, distance, lanes)), texts, words, similarity))
+    left = cut_lineage(links(rooted(near).drop("first"), keys, wide, lanes, apart=True))
+    found = rooted(near.unionByName(alike(left, texts, words, similarity)))
+    named = found.groupBy("root").agg(F.min("first").alias("component"))
+    classes = cut_lineage(found.join(named, "root").select("fp", "component"))
+    return made.join(classes, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
              **how) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group, the
-    one with the smallest id; texts are near at a similarity of 0.8 or more unless
+    one with the smallest id; texts are linked at a Jaccard similarity of 0.8 or more unless
     ``how`` says otherwise. Rows without an id are kept, since nothing tells them apart;
     of rows that repeat an id, all stay or all go."""
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **{**WIDE, **how})
+    found = similar(docs, id_column=id_column, text_column=text_column, **{**WIDE, **how})
     gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")

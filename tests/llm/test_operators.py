@@ -359,6 +359,23 @@ def test_keep_one(spark):
     assert {x["doc_id"] for x in kept.collect()} == {1, 4, None}
 
 
+def test_keep_one_of_short_and_borderline_texts(spark):
+    r, texts = random.Random(12), []
+    for n in (8, 8, 8, 8, 8, 8, 9, 10, 14, 24, 40, 60) * 3:
+        words = [f"v{r.randint(0, 10**9)}" for _ in range(n)]
+        # One word more or fewer at an end changes one shingle, one within it five.
+        texts += [words, words + ["more"], words[2:], words[: n // 2] + ["x"] + words[n // 2 + 1 :]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    edges = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    names = list(range(len(rows)))
+    for i, j in edges * 4:
+        names[i] = names[j] = min(names[i], names[j])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, n in enumerate(names) if i == n}
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
