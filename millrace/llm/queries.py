@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    html_crf, lengths, mixing, mtree, order_minhash, packing, quality, simhash, substring, warc,
+    html_crf, lengths, mixcoder, mixing, mtree, order_minhash, packing, quality, simhash, substring, warc,
 )
 from millrace.llm.common import session, table
-from millrace.session import work_path
+from millrace.session import cut_lineage, work_path
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -78,6 +78,13 @@ def op10_mixing(spark, folder):
         "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
 
+def op13_mixcoder(spark, folder):
+    path = work_path(spark, "ids")
+    mixcoder.write_ids(table(spark, folder, "documents"), path)
+    found = cut_lineage(mixcoder.read_ids(session(spark), path))
+    return mixcoder.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 _OP5 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
@@ -138,6 +145,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_quality": (op9_quality, None),
     "op10_mixing": (op10_mixing, None),
+    "op13_mixcoder": (op13_mixcoder, None),
 }
 
 
