@@ -261,7 +261,7 @@ def block(ids: np.ndarray, table: list[tuple[int | None, int, int]], file: int)
     lanes, payload = encode(ids)
     body = documents + payload
     head = struct.pack(_HEAD, MAGIC, len(body), len(ids), lanes, len(table), len(documents),
-                      zlib.crc32(ids.astype("<u4")), zlib.crc32(body), file)
+                      zlib.crc32(ids.astype("<u4", copy=False)), zlib.crc32(body), file)
     return b"".join((head, body, b"\n"))
 
 
@@ -300,7 +300,7 @@ def _coded(tokenizer: str, per_block: int):
         for batch in batches:
             for part, name, text in zip(*batch.columns):
                 file, name = part.as_py(), name.as_py()
-                ids = np.array([*encoder_.ids(text.as_py()), END], np.int64)
+                ids = np.append(encoder_.array(text.as_py()), np.uint32(END))
                 if ids.max() >= _VOCABULARY:
                     raise ValueError("token ids of 65,536 and more do not fit the format")
                 at = 0

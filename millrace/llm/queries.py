@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    html_crf, lengths, mixcoder, mixing, mtree, order_minhash, packing, quality, simhash, substring, warc,
+    html_crf, lemp, lengths, mixcoder, mixing, mtree, order_minhash, packing, quality, simhash, substring,
+    warc,
 )
 from millrace.llm.common import session, table
 from millrace.session import cut_lineage, work_path
@@ -78,6 +79,10 @@ def op10_mixing(spark, folder):
         "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
 
+def op12_lemp(spark, folder):
+    return lemp.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_mixcoder(spark, folder):
     path = work_path(spark, "ids")
     mixcoder.write_ids(table(spark, folder, "documents"), path)
@@ -134,6 +139,38 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
 FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts
+  FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t
+  FROM benchmark
+), qt AS (
+  SELECT item_id, t, count(*) AS c FROM q GROUP BY item_id, t
+), c AS (
+  SELECT count(*) AS docs, sum(len(ts))::HUGEINT AS total FROM d WHERE len(ts) > 0
+), w AS (
+  SELECT r, doc_id, len(ts)::HUGEINT AS n, unnest(ts) AS t FROM d
+), tf AS (
+  SELECT r, doc_id, n, t, count(*)::HUGEINT AS tf FROM w WHERE t IN (SELECT t FROM qt) GROUP BY r, doc_id, n, t
+), df AS (
+  SELECT t, count(*) AS df FROM tf GROUP BY t
+), s AS (
+  SELECT qt.item_id, tf.r, tf.doc_id, sum(qt.c
+    * CAST(floor(1000 * ln(CAST(2 * c.docs + 2 AS DOUBLE) / (2 * df.df + 1))) AS HUGEINT)
+    * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.n * c.docs) // c.total)))) AS score
+  FROM tf JOIN df USING (t) JOIN qt USING (t) CROSS JOIN c
+  GROUP BY qt.item_id, tf.r, tf.doc_id
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 20
+"""
+
 QUERIES = {
     "op1_html_crf": (op1_html_crf, None),
     "op2_order_minhash": (op2_order_minhash, None),
@@ -145,6 +182,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_quality": (op9_quality, None),
     "op10_mixing": (op10_mixing, None),
+    "op12_lemp": (op12_lemp, _OP12),
     "op13_mixcoder": (op13_mixcoder, None),
 }
 

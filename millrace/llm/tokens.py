@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import re
 
+import numpy as np
+
 NAME = "byte_bpe_50k"
 # Characters on whose classes all Unicode versions agree.
 _COMMON = "\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f\\u2013-\\u2014\\u2018-\\u201e\\u2022\\u2026\\u20ac"
@@ -35,6 +37,12 @@ class Encoder:
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def array(self, text: str | None):
+        """The ids as an array, without a list in between."""
+        if not text or _OTHER.search(text):
+            return np.array(self.ids(text), np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
 
 def encoder(name: str = NAME) -> Encoder:
     """One encoder for each Python process. It hangs on a module that is imported, not
