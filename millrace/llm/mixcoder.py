@@ -51,7 +51,7 @@ _HEAD = "<4sIIIIIIIQ"
 _VOCABULARY = 1 << 16
 
 # Totals of order 0 and of the mixture. Rounds between two updates of order 0.
-_BITS0, _BITS, _REFRESH = 18, 26, 8
+_BITS0, _BITS, _REFRESH = 18, 26, 16
 _WEIGHTS = 1 << (_BITS - _BITS0)
 _SLOTS = 18
 _TOP, _LEAST = np.uint64(1 << 32), np.uint64(1 << 30)
@@ -175,26 +175,26 @@ def encode(ids: np.ndarray) -> tuple[int, bytes]:
     n = len(ids)
     lanes = _lanes(n)
     steps = -(-n // lanes) if n else 0
-    padded = np.zeros(steps * lanes, np.int64)
+    padded = np.zeros(steps * lanes, np.int32)
     padded[:n] = ids
     # Lane i has the ids from i * steps on; the last ones may be padding.
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    narrow = columns.astype(np.int32)
     model = Model(lanes)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     words, owners = [], []
     for turn in range(steps):
-        now = columns[turn]
+        narrow = columns[turn]
+        now = narrow.astype(np.int64)
         model.predict()
-        start, size = model.interval(now, narrow[turn])
+        start, size = model.interval(now, narrow)
         unit = wide >> _SHIFT
         low += unit * start
         wide = unit * size
         _shift_out(low, wide, words, owners)
-        model.learn(now, narrow[turn], turn)
+        model.learn(now, narrow, turn)
     for _ in range(2):
         words.append((low >> _WORD).astype("<u4"))
-        owners.append(np.arange(lanes))
+        owners.append(np.arange(lanes, dtype=np.uint16))
         low <<= _WORD
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -210,7 +210,7 @@ def _shift_out(low, wide, words, owners):
         a, w = low[at], wide[at]
         w = np.where((a ^ (a + w)) < _TOP, w, (~a + np.uint64(1)) & (_LEAST - np.uint64(1)))
         words.append((a >> _WORD).astype("<u4"))
-        owners.append(at)
+        owners.append(at.astype(np.uint16))
         a, w = a << _WORD, w << _WORD
         low[at], wide[at] = a, w
         at = at[((a ^ (a + w)) < _TOP) | (w < _LEAST)]

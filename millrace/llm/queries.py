@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    html_crf, lemp, lengths, mixcoder, mixing, mtree, order_minhash, packing, quality, simhash, substring,
-    warc,
+    html_crf, lemp, lengths, mixcoder, mixing, mtree, multi_index, order_minhash, packing, quality, simhash,
+    substring, warc,
 )
 from millrace.llm.common import session, table
 from millrace.session import cut_lineage, work_path
@@ -79,6 +79,12 @@ def op10_mixing(spark, folder):
         "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
 
+def op11_multi_index(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(rows.withColumn("label", moved))
+
+
 def op12_lemp(spark, folder):
     return lemp.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -118,6 +124,31 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r
+  FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  WHERE r <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 _OP6 = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -182,6 +213,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_quality": (op9_quality, None),
     "op10_mixing": (op10_mixing, None),
+    "op11_multi_index": (op11_multi_index, _OP11),
     "op12_lemp": (op12_lemp, _OP12),
     "op13_mixcoder": (op13_mixcoder, None),
 }

@@ -38,10 +38,8 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
     def array(self, text: str | None):
-        """The ids as an array, without a list in between."""
-        if not text or _OTHER.search(text):
-            return np.array(self.ids(text), np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        found = self.ids(text)
+        return np.fromiter(found, np.uint32, len(found))
 
 
 def encoder(name: str = NAME) -> Encoder:
