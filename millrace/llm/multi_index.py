@@ -350,8 +350,9 @@ class MultiIndex:
             "shard").applyInArrow(_pack(self.index), _LIST))
 
     def visit(self, queries: DataFrame, k: int, same_label: bool, limit: int | None) -> DataFrame:
-        asked = queries.mapInArrow(_ask(self.index, limit), _REQUEST)
-        return _ranked(asked.join(self.shards, "shard").select(
+        # Requests are far larger than the queries, which the planner cannot know.
+        asked = queries.mapInArrow(_ask(self.index, limit), _REQUEST).hint("merge")
+        return _ranked(asked.join(self.shards.hint("merge"), "shard").select(
             "dim", "ids", "labels", "cells", "vectors", "asked").mapInArrow(_score(k, same_label), _FOUND), k)
 
     def search(self, queries: DataFrame, k: int, same_label: bool, seeds: int = SEEDS) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bytesops import mix, stream
 from millrace.llm.components import components
-from millrace.session import cut_lineage
+from millrace.session import collected_cuts, cut_lineage
+from millrace.storage import delete
 
 SEED = 42
 # Fingerprints under one key that a task compares at once.
@@ -174,44 +175,28 @@ def wide_blocks(lanes: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, keys: list[tuple[int, int]], distance: int, lanes: int = 1,
-          piece: int = PIECE, apart: bool = False) -> DataFrame:
+          piece: int = PIECE) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (``fp``, ``bits``) that share a key
-    and differ in at most ``distance`` bits: enough of them to connect all such pairs.
-    With ``apart``, all such pairs that have different ``root``. A column ``few`` has
-    further keys."""
-    masked = [F.struct(F.lit(t).alias("t"), F.col("bits")[lane].bitwiseAND(
-        F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, (lane, m) in enumerate(keys)]
-    every = F.array(*masked)
-    if "few" in prints.columns:
-        every = F.concat(every, F.transform("few", lambda k: F.struct(F.lit(len(keys)).alias("t"), k.alias("k"))))
-    own = ["fp", "bits", *(["root"] if apart else [])]
-    met = prints.select(*own, F.explode(every).alias("x")).select(*own, "x.*")
-    hot = (met.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > piece)
-           .withColumn("g", F.ceil(F.col("n") / (piece // 2)).cast("int")).drop("n"))
+    and differ in at most ``distance`` bits: enough of them to connect all such pairs."""
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits")[lane].bitwiseAND(
+        F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, (lane, m) in enumerate(keys)])
+    met = prints.select("fp", "bits", F.explode(every).alias("x")).select("fp", "bits", "x.*")
+    hot = _hot_keys(met.select("t", "k"), piece)
+    met = met.withColumn("g", F.lit(1)) if hot is None else met.join(hot, ["t", "k"], "left").withColumn(
+        "g", F.coalesce("g", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    dealt = met.join(hot, ["t", "k"], "left").withColumn("p", F.coalesce(mine, F.lit(0))).select(
-        "t", "k", *own, "p",
-        F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("q"))
+    dealt = met.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     order = ["t", "k", "lo", "hi"]
     rows = dealt.select("t", "k", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "fp",
-                        *(F.col("bits")[lane].alias(f"lane{lane}") for lane in range(lanes)), *own[2:])
+                        *_lanes_of(lanes))
     return rows.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(
-        _compare(distance, apart), "a long, b long").distinct()
+        _compare(distance), "a long, b long").distinct()
 
 
-def _compare(distance, apart=False):
+def _compare(distance):
     def close(a, b):
         return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int64) <= distance
 
-    def across(names, bits, roots):
-        """All close pairs of one key with different roots."""
-        out = []
-        for i in range(len(names) - 1):
-            at = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-            at = at[close(bits[:, at], bits[:, i : i + 1])]
-            out.append(np.stack([np.full(len(at), names[i]), names[at]], 1))
-        return out
-
     def forest(names, bits):
         """Each fingerprint of one key with a close one found before it."""
         left, out = np.arange(len(names)), []
@@ -225,8 +210,6 @@ def _compare(distance, apart=False):
         return out
 
     def pairs(run_of, names, bits):
-        if apart:
-            bits, roots = bits[:-1], bits[-1]
         cuts = np.flatnonzero(np.diff(run_of)) + 1
         begin = np.concatenate([[0], cuts])
         size = np.diff(np.concatenate([begin, [len(names)]]))
@@ -236,18 +219,16 @@ def _compare(distance, apart=False):
             at = np.flatnonzero((run_of[:-shift] == run_of[shift:]) & small[:-shift])
             if not len(at):
                 break
-            if apart:
-                at = at[roots[at] != roots[at + shift]]
             at = at[close(bits[:, at], bits[:, at + shift])]
             ones.append(at)
             others.append(at + shift)
         one, other = (np.concatenate(x) if x else np.zeros(0, int) for x in (ones, others))
-        many = np.bincount(run_of[one], minlength=len(size)) > (np.inf if apart else _LINKS * size)
+        many = np.bincount(run_of[one], minlength=len(size)) > _LINKS * size
         few = ~many[run_of[one]]
         out = [np.stack([names[one[few]], names[other[few]]], 1)]
         for i in np.flatnonzero(many | (size > _FEW)):
             run = slice(begin[i], begin[i] + size[i])
-            out += across(names[run], bits[:, run], roots[run]) if apart else forest(names[run], bits[:, run])
+            out += forest(names[run], bits[:, run])
         return out
 
     def run(batches):
@@ -277,6 +258,155 @@ def _compare(distance, apart=False):
     return run
 
 
+def _hot_keys(keys: DataFrame, piece: int) -> DataFrame | None:
+    """Keys of more than ``piece`` fingerprints and the pieces each is cut into; none if
+    there are none. Counted without fingerprints, in a table of its own, so that the
+    planner knows whether it is small."""
+    hot = cut_lineage(keys.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > piece)
+                      .withColumn("g", F.ceil(F.col("n") / (piece // 2)).cast("int")).drop("n"))
+    return None if hot.isEmpty() else hot
+
+
+def _lanes_of(n):
+    return [F.col("bits")[i].alias(f"lane{i}") for i in range(n)]
+
+
+def close_links(prints: DataFrame, keys: list[tuple[int, int]], near: int, wide: int, compared: int,
+                piece: int = PIECE) -> DataFrame:
+    """Pairs ``a, b`` of distinct fingerprints that share a key, told by their first
+    ``compared`` lanes: links within ``near`` bits, enough to connect all such pairs; and
+    ``a`` with itself for every fingerprint that has another one within ``wide`` bits."""
+    return _meet(_keyed(prints, keys, piece, [F.col("fp"), *_lanes_of(compared)]), _connect(near, wide))
+
+
+def apart_pairs(prints: DataFrame, keys: list[tuple[int, int]], wide: int, compared: int,
+                piece: int = PIECE) -> DataFrame:
+    """All pairs ``a, b`` with different ``root`` that share a key and differ in at most
+    ``wide`` of the bits of the first ``compared`` lanes."""
+    return _meet(_keyed(prints, keys, piece, [F.col("fp"), *_lanes_of(compared), F.col("root")]), _all_apart(wide))
+
+
+def _keyed(prints, keys, piece, columns):
+    """Rows by ``key``: a hash of a key, or of two pieces of one with many fingerprints.
+    What a comparison needs travels with it once; keys that share a hash meet for nothing."""
+    masked = [F.struct(F.lit(t).alias("t"), F.col("bits")[lane].bitwiseAND(
+        F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, (lane, m) in enumerate(keys)]
+    every = F.concat(F.array(*masked), F.transform(
+        "few", lambda k: F.struct(F.lit(len(keys)).alias("t"), k.alias("k"))))
+    hot = _hot_keys(prints.select(F.explode(every).alias("x")).select("x.*"), piece)
+    met = prints.select(*columns, F.explode(every).alias("x")).select("*", "x.*").drop("x")
+    kept = [c for c in met.columns if c not in ("t", "k")]
+    if hot is None:
+        return met.select(F.xxhash64("t", "k").alias("key"), *kept)
+    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    met = met.join(hot, ["t", "k"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn(
+        "p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    pair = F.xxhash64("t", "k", F.least("p", "q"), F.greatest("p", "q"))
+    return met.select(F.when(F.col("g") == 1, F.xxhash64("t", "k")).otherwise(pair).alias("key"), *kept)
+
+
+def _meet(rows, found):
+    """``found`` over whole keys, told where each begins, how many rows it has, and all
+    columns but the key."""
+
+    def run(batches):
+        parts = []
+        for batch in _then_none(batches):
+            if batch is not None and batch.num_rows:
+                parts.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            if not parts or batch is not None and sum(p.shape[1] for p in parts) < _ROWS:
+                continue
+            held = np.concatenate(parts, axis=1)
+            cuts = np.flatnonzero(held[0, 1:] != held[0, :-1]) + 1
+            # The last key may go on in the next batch.
+            stop = held.shape[1] if batch is None else int(cuts[-1]) if len(cuts) else 0
+            parts = [held[:, stop:].copy()] if stop < held.shape[1] else []
+            if stop:
+                begin = np.concatenate([[0], cuts[cuts < stop]])
+                edges = found(begin, np.diff(np.append(begin, stop)), held[1:, :stop])
+                edges = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(edges[:, j])) for j in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+
+
+def _distances(bits, one, other):
+    return np.bitwise_count(bits[:, one] ^ bits[:, other]).sum(axis=0, dtype=np.int64)
+
+
+def _shifted(size):
+    """Pairs of places in the same short run, by their distance in it."""
+    owner = np.repeat(np.arange(len(size)), size)
+    short = np.repeat(size <= _FEW, size)
+    for shift in range(1, int(size[size <= _FEW].max(initial=0))):
+        at = np.flatnonzero((owner[:-shift] == owner[shift:]) & short[:-shift])
+        yield at, at + shift
+
+
+def _pairs(names, one, other):
+    return np.stack([names[one], names[other]], 1)
+
+
+def _connect(near, wide):
+    def forest(names, bits):
+        """Each fingerprint with a near one found before it, and which have a wide one."""
+        left, doubt, out = np.arange(len(names)), np.zeros(len(names), bool), []
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                far = _distances(bits, left, front[:1])
+                doubt[left[far <= wide]] = True
+                doubt[front[0]] |= bool((far <= wide).any())
+                new = left[far <= near]
+                out.append(_pairs(names, np.full(len(new), front[0]), new))
+                front, left = np.concatenate([front[1:], new]), left[far > near]
+        return out, doubt
+
+    def found(begin, size, held):
+        names, bits = held[0], held[1:].view(np.uint64)
+        doubt, links = np.zeros(len(names), bool), [np.zeros((2, 0), np.int64)]
+        for one, other in _shifted(size):
+            far = _distances(bits, one, other)
+            doubt[one[far <= wide]] = doubt[other[far <= wide]] = True
+            links.append(np.stack([one[far <= near], other[far <= near]]))
+        one, other = np.concatenate(links, axis=1)
+        owner = np.repeat(np.arange(len(size)), size)
+        many = np.bincount(owner[one], minlength=len(size)) > _LINKS * size
+        kept = ~many[owner[one]]
+        out = [_pairs(names, one[kept], other[kept])]
+        for i in np.flatnonzero(many | (size > _FEW)):
+            run = slice(begin[i], begin[i] + size[i])
+            edges, doubtful = forest(names[run], bits[:, run])
+            out += edges
+            doubt[run] |= doubtful
+        lone = np.flatnonzero(doubt)
+        return [*out, np.unique(_pairs(names, lone, lone), axis=0)]
+
+    return found
+
+
+def _all_apart(wide):
+    def found(begin, size, held):
+        names, bits, roots = held[0], held[1:-1].view(np.uint64), held[-1]
+        out = []
+
+        def keep(one, other):
+            at = np.flatnonzero(roots[one] != roots[other])
+            at = at[_distances(bits, one[at], other[at]) <= wide]
+            out.append(_pairs(names, one[at], other[at]))
+
+        for one, other in _shifted(size):
+            keep(one, other)
+        for i in np.flatnonzero(size > _FEW):
+            end = begin[i] + size[i]
+            for at in range(begin[i], end - 1):
+                keep(np.full(end - at - 1, at), np.arange(at + 1, end))
+        return out
+
+    return found
+
+
 def _then_none(batches):
     yield from batches
     yield None
@@ -299,39 +429,66 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     roots = components(links(first.select("fp", "bits"), keys, distance, lanes))
     rooted = first.join(roots, first.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    classes = cut_lineage(rooted.join(named, "root").select("fp", "component"))
-    return made.join(classes, "fp").select("id", "fp", "component")
+    return made.join(_classes(cut_lineage(rooted)), "fp").select("id", "fp", "component")
+
 
+def _classes(rooted: DataFrame) -> DataFrame:
+    """``fp`` and ``component`` of rows of ``fp, first, root``. The least ids are a table,
+    so both sides of the join are exchanged and a large component can be divided."""
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component")))
+    return cut_lineage(rooted.select("fp", "root").join(named, "root").select("fp", "component"))
 
-# Five-word shingles with a Jaccard similarity of 0.8 differ in 512 * acos(1.6 / 1.8) / pi
-# = 78 of the bits of eight lanes on average, sets of four and five of them in 96, and by
-# chance in 9 more or fewer: ``wide`` misses none of them. ``distance`` is for links that
-# are tried first, so that a large group is joined before all its pairs are.
-WIDE = {"words": 5, "lanes": 8, "distance": 90, "wide": 136, "blocks": 5, "similarity": 0.8}
 
+# Five-word shingles with a Jaccard similarity of 0.8 differ in a share of acos(1.6 / 1.8)
+# / pi of the bits, 39 of the 256 of four lanes on average, sets of four and five of them in
+# 48, and by chance in 7 more or fewer: ``wide`` misses none of them. ``near`` is for links
+# that are tried first, so that a large group is joined before all its pairs are. Keys come
+# from all ``lanes``, comparisons use the first ``compared``.
+WIDE = {"words": 5, "lanes": 8, "compared": 4, "near": 47, "wide": 78, "blocks": 5, "similarity": 0.8}
 
-def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, lanes: int,
-            distance: int, wide: int, blocks: int, similarity: float) -> DataFrame:
+
+def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, lanes: int, compared: int,
+            near: int, wide: int, blocks: int, similarity: float) -> DataFrame:
     """Like :func:`near_duplicates`, for texts linked by their sets of shingles: every
-    link has at least that Jaccard similarity. Candidates come from the bits: first links
-    that would connect all that are close, then all pairs that are still apart."""
-    made = cut_lineage(set_prints(docs, words, similarity, id_column, text_column, lanes))
-    first = cut_lineage(made.groupBy("fp").agg(
-        F.min("id").alias("first"), F.first("bits").alias("bits"), F.first("few").alias("few")))
-    keys, texts, prints = wide_blocks(lanes, blocks), made.select("fp", "text"), first.drop("first")
-
-    def rooted(edges):
-        roots = components(edges)
-        return cut_lineage(first.join(roots, first.fp == roots.node, "left").select(
-            first.columns + [F.coalesce("root", "fp").alias("root")]))
-
-    near = cut_lineage(alike(cut_lineage(links(prints, keys, distance, lanes)), texts, words, similarity))
-    left = cut_lineage(links(rooted(near).drop("first"), keys, wide, lanes, apart=True))
-    found = rooted(near.unionByName(alike(left, texts, words, similarity)))
-    named = found.groupBy("root").agg(F.min("first").alias("component"))
-    classes = cut_lineage(found.join(named, "root").select("fp", "component"))
-    return made.join(classes, "fp").select("id", "fp", "component")
+    link has at least that Jaccard similarity.
+
+    Candidates come from the bits, in an order that keeps few the pairs whose texts are
+    compared: first, of the links that connect what is near, one for each text; then those
+    whose ends are still apart; at last, among texts that have another within ``wide``,
+    all pairs still apart. Tables on the way are removed.
+    """
+    tables: list[str] = []
+    with collected_cuts(tables):
+        made = cut_lineage(set_prints(docs, words, similarity, id_column, text_column, lanes))
+        first = cut_lineage(made.groupBy("fp").agg(
+            F.min("id").alias("first"), F.first("bits").alias("bits"), F.first("few").alias("few")))
+        keys, texts = wide_blocks(lanes, blocks), made.select("fp", "text")
+        met = cut_lineage(close_links(first, keys, near, wide, compared))
+        edges, doubtful = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("fp"))
+
+        def rooted(links):
+            roots = components(links)
+            return cut_lineage(doubtful.join(roots, doubtful.fp == roots.node, "left").select(
+                "fp", F.coalesce("root", "fp").alias("root")))
+
+        def still_apart(roots):
+            a, b = (roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+            return cut_lineage(edges.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b"))
+
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        one = ends.groupBy("a").agg(F.min("b").alias("b")).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        linked = cut_lineage(alike(cut_lineage(one), texts, words, similarity))
+        linked = cut_lineage(linked.unionByName(alike(still_apart(rooted(linked)), texts, words, similarity)))
+        left = cut_lineage(apart_pairs(first.join(rooted(linked), "fp"), keys, wide, compared))
+        roots = components(linked.unionByName(alike(left, texts, words, similarity)))
+        named = first.select("fp", "first").join(roots, first.fp == roots.node, "left").select(
+            "fp", "first", F.coalesce("root", "fp").alias("root"))
+        classes = _classes(cut_lineage(named))
+    whole = cut_lineage(made.select("id", "fp").join(classes, "fp").select("id", "fp", "component"))
+    for path in tables:
+        delete(docs.sparkSession, path)
+    return whole
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
