@@ -2,8 +2,11 @@
 
 Documents are counted into cells of source, language and topic by their tokens. The
 cells' weights are raked: scaled to each marginal in turn until all agree with their
-targets, while no cell asks for more tokens than it has. A document is then kept with the probability that its cell's weight asks for,
-decided by a hash of its id.
+targets, while no cell asks for more tokens than it has. A document is then kept with the
+probability that its cell's weight asks for, decided by a hash of its id.
+
+Topics are sides of random hyperplanes through the middle of the corpus, over words
+weighted by their rarity: texts of like vocabulary share them. They have no names.
 """
 
 from __future__ import annotations
@@ -19,26 +22,76 @@ from millrace.session import cut_lineage
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPIC_BITS = 3
+# Buckets in which the rarity of words is counted.
+RARITY = 4096
 ROUNDS = 25
 TOLERANCE = 0.01
 
 
-def topics(column, bits: int = TOPIC_BITS) -> np.ndarray:
-    """A topic number for each text: signs of random projections of its word counts, so
-    texts of like vocabulary share one. Texts without words have topic 0."""
+def _hashed(column):
+    """Row, rarity bucket and hash of every word."""
     data, offsets = spans(column)
     starts, ends, row = words(data, offsets)
     hashes = ByteHash(31).ranges(data, starts, ends)
-    out = np.zeros(len(column), np.int64)
-    for bit in range(bits):
-        sign = (hashes >> np.uint64(bit + 8) & np.uint64(1)).astype(np.int64) * 2 - 1
-        out |= (np.bincount(row, sign, minlength=len(column)) > 0).astype(np.int64) << bit
-    return out
+    return row, (hashes >> np.uint64(40) & np.uint64(RARITY - 1)).astype(np.int64), hashes
+
+
+def _signs(hashes, bit):
+    return (hashes >> np.uint64(bit + 8) & np.uint64(1)).astype(np.float64) * 2 - 1
+
+
+class Topics:
+    """Random hyperplanes through the middle of a corpus: bit b of a topic tells on which
+    side of the b-th one a text lies. A word moves a text by its sign in b, drawn by hash,
+    times the rarity of its bucket; ``centre`` is the corpus's mean move per word."""
+
+    def __init__(self, documents: int, having: np.ndarray, moved: np.ndarray):
+        """How many documents there are, in how many each bucket occurs, and the sum of
+        its words' signs for each bit; the last row counts the words themselves."""
+        self.rarity = np.log((1 + documents) / (1 + having))
+        total = moved[-1].sum()
+        self.centre = moved[:-1] @ self.rarity / total if total else np.zeros(len(moved) - 1)
+
+    def of(self, column) -> np.ndarray:
+        """A topic number for each text; texts without words have topic 0."""
+        row, bucket, hashes = _hashed(column)
+        weight, out = self.rarity[bucket], np.zeros(len(column), np.int64)
+        for bit, middle in enumerate(self.centre):
+            side = np.bincount(row, weight * _signs(hashes, bit) - middle, minlength=len(column))
+            out |= (side > 0).astype(np.int64) << bit
+        return out
+
+
+def topics_of(docs: DataFrame, text_column: str = "text", bits: int = TOPIC_BITS) -> Topics:
+    """The topics of a corpus, from counts over all its words in RARITY buckets."""
+
+    def run(batches):
+        documents, having, moved = 0, np.zeros(RARITY), np.zeros((bits + 1, RARITY))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, bucket, hashes = _hashed(part.column(0))
+                documents += part.num_rows
+                seen = np.unique(row * RARITY + bucket)
+                having += np.bincount(seen % RARITY, minlength=RARITY)
+                for bit in range(bits):
+                    moved[bit] += np.bincount(bucket, _signs(hashes, bit), minlength=RARITY)
+                moved[bits] += np.bincount(bucket, minlength=RARITY)
+        made = [np.arange(RARITY), np.full(RARITY, documents), having.astype(np.int64), *moved.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=names)
+
+    names = ["bucket", "documents", "having", *(f"m{b}" for b in range(bits + 1))]
+    counted = docs.select(F.col(text_column).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = counted.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names[1:])).orderBy("bucket").collect()
+    table = np.array([list(r) for r in rows], float).reshape(-1, len(names)).T
+    if not table.size:
+        return Topics(0, np.zeros(RARITY), np.zeros((bits + 1, RARITY)))
+    return Topics(int(table[1, 0]), table[2], table[3:])
 
 
 def measured(docs: DataFrame, *, id_column="doc_id", text_column="text", tokenizer: str = NAME) -> DataFrame:
     """``id``, ``source``, ``lang``, ``topic``, ``tokens`` of every row, written once.
     Null sources and languages become the empty string; null texts have no tokens."""
+    topics = topics_of(docs, text_column)
 
     def run(batches):
         encode = encoder(tokenizer)
@@ -47,7 +100,7 @@ def measured(docs: DataFrame, *, id_column="doc_id", text_column="text", tokeniz
                 text = part.column(3)
                 counts = [len(encode.ids(t.as_py())) for t in text]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(topics(text)), pa.array(counts, pa.int64())],
+                    [*part.columns[:3], pa.array(topics.of(text)), pa.array(counts, pa.int64())],
                     names=["id", "source", "lang", "topic", "tokens"])
 
     chosen = docs.select(
