@@ -45,14 +45,16 @@ def without_repeats(spark, docs, sf_dir):
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
-# All marginals a little flatter than they are, in the largest sample that meets them: the
-# cell that is to gain most is taken whole, all others are thinned out.
+# All marginals a little flatter than they are, in a sample of this share of the tokens.
+# A source, language or topic with fewer tokens than its share is taken whole and the others
+# divide what it lacks, so the sample does not depend on the rarest of them.
 MIX_POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.95}
+MIX_BUDGET = 0.95
 
 
 def mixed(spark, docs, sf_dir):
     """A sample whose sources, languages and topics have their target weights."""
-    return mixing.mix(docs, powers=MIX_POWERS, budget=None)
+    return mixing.mix(docs, powers=MIX_POWERS, budget=MIX_BUDGET)
 
 
 def packed(spark, docs, sf_dir):
