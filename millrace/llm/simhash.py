@@ -271,15 +271,16 @@ def _lanes_of(n):
     return [F.col("bits")[i].alias(f"lane{i}") for i in range(n)]
 
 
-def close_links(prints: DataFrame, keys: list[tuple[int, int]], near: int, wide: int, compared: int,
+def close_links(prints: DataFrame, keys: list[tuple[int, int]], near: int, wide: tuple[int, int], compared: int,
                 piece: int = PIECE) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints that share a key, told by their first
     ``compared`` lanes: links within ``near`` bits, enough to connect all such pairs; and
-    ``a`` with itself for every fingerprint that has another one within ``wide`` bits."""
+    ``a`` with itself for every fingerprint that has another one within ``wide`` bits: the
+    first number for keys of blocks, the second for those of short sets."""
     return _meet(_keyed(prints, keys, piece, [F.col("fp"), *_lanes_of(compared)]), _connect(near, wide))
 
 
-def apart_pairs(prints: DataFrame, keys: list[tuple[int, int]], wide: int, compared: int,
+def apart_pairs(prints: DataFrame, keys: list[tuple[int, int]], wide: tuple[int, int], compared: int,
                 piece: int = PIECE) -> DataFrame:
     """All pairs ``a, b`` with different ``root`` that share a key and differ in at most
     ``wide`` of the bits of the first ``compared`` lanes."""
@@ -296,18 +297,23 @@ def _keyed(prints, keys, piece, columns):
     hot = _hot_keys(prints.select(F.explode(every).alias("x")).select("x.*"), piece)
     met = prints.select(*columns, F.explode(every).alias("x")).select("*", "x.*").drop("x")
     kept = [c for c in met.columns if c not in ("t", "k")]
+
+    def key(*parts):
+        # The last bit tells keys of short sets.
+        return F.xxhash64(*parts).bitwiseAND(F.lit(-2)) + (F.col("t") == len(keys)).cast("long")
+
     if hot is None:
-        return met.select(F.xxhash64("t", "k").alias("key"), *kept)
+        return met.select(key("t", "k").alias("key"), *kept)
     mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     met = met.join(hot, ["t", "k"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn(
         "p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    pair = F.xxhash64("t", "k", F.least("p", "q"), F.greatest("p", "q"))
-    return met.select(F.when(F.col("g") == 1, F.xxhash64("t", "k")).otherwise(pair).alias("key"), *kept)
+    pair = key("t", "k", F.least("p", "q"), F.greatest("p", "q"))
+    return met.select(F.when(F.col("g") == 1, key("t", "k")).otherwise(pair).alias("key"), *kept)
 
 
 def _meet(rows, found):
-    """``found`` over whole keys, told where each begins, how many rows it has, and all
-    columns but the key."""
+    """``found`` over whole keys, told where each begins, how many rows it has, whether it
+    is one of short sets, and all columns but the key."""
 
     def run(batches):
         parts = []
@@ -323,7 +329,8 @@ def _meet(rows, found):
             parts = [held[:, stop:].copy()] if stop < held.shape[1] else []
             if stop:
                 begin = np.concatenate([[0], cuts[cuts < stop]])
-                edges = found(begin, np.diff(np.append(begin, stop)), held[1:, :stop])
+                size = np.diff(np.append(begin, stop))
+                edges = found(begin, size, held[0, begin] & 1, held[1:, :stop])
                 edges = np.concatenate([np.zeros((0, 2), np.int64), *edges])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ascontiguousarray(edges[:, j])) for j in (0, 1)], names=["a", "b"])
@@ -349,7 +356,7 @@ def _pairs(names, one, other):
 
 
 def _connect(near, wide):
-    def forest(names, bits):
+    def forest(names, bits, wide):
         """Each fingerprint with a near one found before it, and which have a wide one."""
         left, doubt, out = np.arange(len(names)), np.zeros(len(names), bool), []
         while len(left):
@@ -363,12 +370,14 @@ def _connect(near, wide):
                 front, left = np.concatenate([front[1:], new]), left[far > near]
         return out, doubt
 
-    def found(begin, size, held):
+    def found(begin, size, short, held):
         names, bits = held[0], held[1:].view(np.uint64)
+        limit = np.repeat(np.array(wide)[short], size)
         doubt, links = np.zeros(len(names), bool), [np.zeros((2, 0), np.int64)]
         for one, other in _shifted(size):
             far = _distances(bits, one, other)
-            doubt[one[far <= wide]] = doubt[other[far <= wide]] = True
+            within = far <= limit[one]
+            doubt[one[within]] = doubt[other[within]] = True
             links.append(np.stack([one[far <= near], other[far <= near]]))
         one, other = np.concatenate(links, axis=1)
         owner = np.repeat(np.arange(len(size)), size)
@@ -377,7 +386,7 @@ def _connect(near, wide):
         out = [_pairs(names, one[kept], other[kept])]
         for i in np.flatnonzero(many | (size > _FEW)):
             run = slice(begin[i], begin[i] + size[i])
-            edges, doubtful = forest(names[run], bits[:, run])
+            edges, doubtful = forest(names[run], bits[:, run], wide[short[i]])
             out += edges
             doubt[run] |= doubtful
         lone = np.flatnonzero(doubt)
@@ -387,13 +396,13 @@ def _connect(near, wide):
 
 
 def _all_apart(wide):
-    def found(begin, size, held):
+    def found(begin, size, short, held):
         names, bits, roots = held[0], held[1:-1].view(np.uint64), held[-1]
-        out = []
+        limit, out = np.repeat(np.array(wide)[short], size), []
 
         def keep(one, other):
             at = np.flatnonzero(roots[one] != roots[other])
-            at = at[_distances(bits, one[at], other[at]) <= wide]
+            at = at[_distances(bits, one[at], other[at]) <= limit[one[at]]]
             out.append(_pairs(names, one[at], other[at]))
 
         for one, other in _shifted(size):
@@ -440,15 +449,17 @@ def _classes(rooted: DataFrame) -> DataFrame:
 
 
 # Five-word shingles with a Jaccard similarity of 0.8 differ in a share of acos(1.6 / 1.8)
-# / pi of the bits, 39 of the 256 of four lanes on average, sets of four and five of them in
-# 48, and by chance in 7 more or fewer: ``wide`` misses none of them. ``near`` is for links
-# that are tried first, so that a large group is joined before all its pairs are. Keys come
-# from all ``lanes``, comparisons use the first ``compared``.
-WIDE = {"words": 5, "lanes": 8, "compared": 4, "near": 47, "wide": 78, "blocks": 5, "similarity": 0.8}
+# / pi of the bits, 39 of the 256 of four lanes on average and by chance in 6 more or fewer;
+# sets of four and five of them in 48, and 7 more or fewer. ``wide`` misses none of them, by
+# four deviations: its first number is for keys of blocks, its second for keys of short sets,
+# under which all pairs of short sets meet. ``near`` is for links that are tried first, so
+# that a large group is joined before all its pairs are. Keys come from all ``lanes``,
+# comparisons use the first ``compared``.
+WIDE = {"words": 5, "lanes": 8, "compared": 4, "near": 47, "wide": (63, 78), "blocks": 5, "similarity": 0.8}
 
 
 def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, lanes: int, compared: int,
-            near: int, wide: int, blocks: int, similarity: float) -> DataFrame:
+            near: int, wide: tuple[int, int], blocks: int, similarity: float) -> DataFrame:
     """Like :func:`near_duplicates`, for texts linked by their sets of shingles: every
     link has at least that Jaccard similarity.
 
