@@ -135,7 +135,7 @@ def join_step(
     plain = how == "inner" or keys is None or not skew_safe or left.isStreaming
     if plain or (how == "left" and (right_is_small or not right_may_be_hot)):
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
-        return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+        return joined.select(*columns_of("left_tbl", left), *columns_of("right_tbl", right, names))
     if keys.more:
         return _join_numbered(
             left, right, on, how, names, keys, right_is_small, right_may_be_hot, hot_rows)
@@ -212,11 +212,11 @@ def range_join_step(
     levels = sorted(r[0] for r in ranges.where(usable).select(level).distinct().collect())
     levels = levels or [_ENDLESS]
 
-    kept_sides = _kept_sides(how)
+    kept = kept_sides(how)
     direct = how == "inner" or (how == side and len(levels) == 1)
     frames = {"left": left, "right": right}
     if not direct:
-        frames = _numbered(frames, kept_sides)
+        frames = _numbered(frames, kept)
     interval_side = "right" if side == "left" else "left"
     binned = dict(frames)
     binned[side] = frames[side].withColumn(
@@ -230,11 +230,11 @@ def range_join_step(
     met = binned["left"].alias("left_tbl").join(
         binned["right"].alias("right_tbl"), condition, how if direct else "inner")
     if direct:
-        return met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
-    return _with_lone_rows(met, frames, kept_sides, left, right, names)
+        return met.select(*columns_of("left_tbl", left), *columns_of("right_tbl", right, names))
+    return _with_lone_rows(met, frames, kept, left, right, names)
 
 
-def _kept_sides(how: str) -> tuple[str, ...]:
+def kept_sides(how: str) -> tuple[str, ...]:
     return {"inner": (), "full": ("left", "right")}.get(how, (how,))
 
 
@@ -247,19 +247,22 @@ def _numbered(frames: dict[str, DataFrame], sides: tuple[str, ...]) -> dict[str,
 def _with_lone_rows(met, frames, sides, left, right, names) -> DataFrame:
     """The pairs of an inner join of numbered ``frames``, and the rows of ``sides``
     whose number is in no pair."""
-    joined = met.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+    joined = met.select(*columns_of("left_tbl", left), *columns_of("right_tbl", right, names))
     for kept in sides:
         number = f"_row_{kept}"
         alone = frames[kept].join(met.select(number).distinct(), number, "left_anti")
-        if kept == "left":
-            alone = alone.select(*map(_named, left.columns), *_nulls(right, names))
-        else:
-            alone = alone.select(*_nulls(left, left.columns),
-                                 *[_named(old).alias(new) for old, new in zip(right.columns, names)])
-        joined = joined.unionByName(alone)
+        joined = joined.unionByName(lone_rows(alone, kept, left, right, names))
     return joined
 
 
+def lone_rows(alone, side, left, right, names) -> DataFrame:
+    """Rows of one side with the columns of both."""
+    if side == "left":
+        return alone.select(*map(_named, left.columns), *_nulls(right, names))
+    return alone.select(*_nulls(left, left.columns),
+                        *[_named(old).alias(new) for old, new in zip(right.columns, names)])
+
+
 def _number(side: DataFrame, column: str) -> Column:
     value = F.col(f"`{column}`")
     if side.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
@@ -294,7 +297,7 @@ def _join_small_right(left, right, on, how, names, keys) -> DataFrame:
     )
     unmatched = right.alias("right_tbl").join(seen.alias("left_tbl"), condition, "left_anti")
     return matched.unionByName(
-        unmatched.select(*_nulls(left, left.columns), *_columns("right_tbl", right, names))
+        unmatched.select(*_nulls(left, left.columns), *columns_of("right_tbl", right, names))
     )
 
 
@@ -314,9 +317,9 @@ def _join_numbered(
     frames = {"left": left, "right": right}
     if not hot:
         joined = left.alias("left_tbl").join(right.alias("right_tbl"), condition, how)
-        return joined.select(*_columns("left_tbl", left), *_columns("right_tbl", right, names))
+        return joined.select(*columns_of("left_tbl", left), *columns_of("right_tbl", right, names))
     # A broadcast right side finds the lone left rows by itself.
-    sides = ("right",) if right_is_small else _kept_sides(how)
+    sides = ("right",) if right_is_small else kept_sides(how)
     frames = _numbered(frames, sides)
     met = frames["left"].alias("left_tbl").join(
         frames["right"].alias("right_tbl"), condition, "left" if how == "full" and right_is_small else "inner")
@@ -343,7 +346,7 @@ def _join_salted(
         F.col("right_tbl._repeated") & F.col("left_tbl._salt").isNull()
     )
     return joined.where(~F.coalesce(lone_copy, F.lit(False))).select(
-        *_columns("left_tbl", left), *_columns("right_tbl", right, names)
+        *columns_of("left_tbl", left), *columns_of("right_tbl", right, names)
     )
 
 
@@ -400,7 +403,7 @@ def _with_salt(side, keys, own, own_mark, other, other_mark, first) -> DataFrame
     )
 
 
-def _columns(alias: str, df: DataFrame, names: list[str] | None = None) -> list[Column]:
+def columns_of(alias: str, df: DataFrame, names: list[str] | None = None) -> list[Column]:
     return [
         F.col(f"{alias}.`{old.replace('`', '``')}`").alias(new)
         for old, new in zip(df.columns, names or df.columns)

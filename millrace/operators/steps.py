@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from millrace import storage
 from millrace.operators.joins import (
-    HOT_ROWS, join_step, needs_left_twice, range_bounds, range_join_step,
+    HOT_ROWS, condition_keys, join_step, needs_left_twice, range_bounds, range_join_step,
 )
 from millrace.operators.plugins import PluginRegistry, plugin_step
+from millrace.operators.tiles import TILE_ROWS, theta_join_step
 from millrace.session import cut_lineage
 from millrace.sources.catalog import dataset_paths, named_dataset
 from millrace.sources.files import read_files
@@ -117,13 +118,18 @@ def _join(df: DataFrame, step: dict, datasets: dict[str, dict]) -> DataFrame:
         side, point, low, high = bounds
         return range_join_step(df, right, on, how, point, low, high, side=side)
     size = _measured(spark, paths)
+    small = 0 < size <= _broadcast_limit(spark)
+    if skew_safe and not df.isStreaming and condition_keys(on) is None:
+        # A small right side is compared where the left rows are, if no side is to be kept there.
+        if step.get("tile_rows") or not (small and how in ("inner", "left")):
+            return theta_join_step(df, right, on, how, int(step.get("tile_rows", TILE_ROWS)))
     hot_rows = int(step.get("hot_rows", HOT_ROWS))
     return join_step(
         df,
         right,
         on,
         how,
-        right_is_small=0 < size <= _broadcast_limit(spark),
+        right_is_small=small,
         right_may_be_hot=not (skew_safe and 0 < size <= COUNTED_BYTES
                               and right.count() <= hot_rows),
         skew_safe=skew_safe,

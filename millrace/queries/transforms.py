@@ -123,6 +123,22 @@ def join_theta_full(spark, folder):
     ))
 
 
+def join_theta_one_bound(spark, folder):
+    """Customers whose balance is at most a supplier's, by supplier, in all join types: one
+    bound and no key, in tiles of some hundred rows a side."""
+    made = None
+    for how in ("inner", "left", "right", "full"):
+        frame = pipeline_frame(spark, spec(
+            folder, "customer",
+            {"type": "join", "right_path": path_of(folder, "supplier"), "join_type": how, "tile_rows": 200,
+             "on": "left.c_acctbal + 9000 <= right.s_acctbal"},
+            aggregate([f"'{how}' AS how", "s_suppkey"], "count(c_custkey) AS n", "CAST(count(*) AS BIGINT) AS n_rows",
+                      "CAST(round(sum(c_acctbal) * 100) AS BIGINT) AS cents"),
+        ))
+        made = frame if made is None else made.unionByName(frame)
+    return made
+
+
 def join_full_more(spark, folder):
     """Customers and suppliers of a nation that are far apart: few keys with many rows on
     both sides, and a second condition. Broadcasting is off and the limit of a hot key
@@ -420,6 +436,15 @@ QUERIES = {
         """SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer
            ON o_totalprice >= c_acctbal * 40 AND o_totalprice <= c_acctbal * 40 + 5""",
     ),
+    "join_theta_one_bound": (
+        join_theta_one_bound,
+        " UNION ALL ".join(
+            f"""SELECT '{how}' AS how, s_suppkey, count(c_custkey) AS n, count(*) AS n_rows,
+                  CAST(round(sum(c_acctbal) * 100) AS BIGINT) AS cents
+                FROM customer {how} JOIN supplier ON c_acctbal + 9000 <= s_acctbal GROUP BY s_suppkey"""
+            for how in ("INNER", "LEFT", "RIGHT", "FULL")).replace("'INNER'", "'inner'").replace(
+            "'LEFT'", "'left'").replace("'RIGHT'", "'right'").replace("'FULL'", "'full'"),
+    ),
     "join_full_more": (
         join_full_more,
         """SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier

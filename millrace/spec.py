@@ -27,7 +27,7 @@ _STEP_KEYS = {
 }
 # Further keys that a step of each type may have.
 _STEP_OPTIONS = {
-    "join": {"right_path", "right_dataset", "range", "skew_safe", "hot_rows"},
+    "join": {"right_path", "right_dataset", "range", "skew_safe", "hot_rows", "tile_rows"},
     "python": {"params", "chunk_rows", "mode", "group_by", "pieces", "schema"},
 }
 _CHECK_OPTIONS = {"custom_sql": {"must_be"}}
@@ -157,8 +157,9 @@ def check_step(step: dict) -> None:
             raise SpecError(f"join_type must be one of {', '.join(JOIN_TYPES)}")
         if not step.get("right_path") and not step.get("right_dataset"):
             raise SpecError("join needs right_path or right_dataset")
-        if int(step.get("hot_rows", 1)) < 1:
-            raise SpecError("hot_rows must be at least 1")
+        for rows in ("hot_rows", "tile_rows"):
+            if int(step.get(rows, 1)) < 1:
+                raise SpecError(f"{rows} must be at least 1")
     if kind == "python":
         _require_name(step["function"], "function")
         if int(step.get("chunk_rows") or 0) < 0:
