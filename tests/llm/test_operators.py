@@ -3,9 +3,11 @@ ties, repeated rows, empty tables, further columns with clashing names."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -303,6 +305,23 @@ def test_top_k(spark):
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("largest", [20_000.0, 1e13, 1e308])
+def test_top_k_of_large_components(spark, largest):
+    """Any finite component counts; scores beyond 64 bits rank by their value."""
+    r = np.random.default_rng(3)
+    vectors = r.normal(size=(240, 6)).round(2)
+    vectors[::3] *= largest / 4
+    vectors[5], vectors[7], vectors[120] = vectors[3], [largest, -largest, 0.5, 0, -1, 1], vectors[0]
+    vectors = np.clip(vectors, -1.7e308, 1.7e308)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, every=20, block=50, queries=4).collect()
+    whole = [[math.floor(1024 * Fraction(x)) for x in v] for v in vectors.tolist()]
+    for q in range(0, 240, 20):
+        pairs = [(-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(240) if i != q]
+        best = [(i, -s if -(1 << 63) <= -s < 1 << 63 else None) for s, i in sorted(pairs)[:10]]
+        assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == q] == best
+
+
 def test_tree_saves_products():
     r = np.random.default_rng(2)
     centres = r.integers(-900, 900, (20, 8))
