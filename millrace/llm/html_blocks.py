@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|select)(?=[\s/>])[^>]*+>"
+    r"|<(?P<raw>script|style|template|textarea|title|select)(?=[\s/>])[^>]*+>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>"
     # A tag with an unclosed quote or without an end is cut at the next sign.
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in (
-    "script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select")}
+    "script", "style", "template", "textarea", "title", "select")}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 _NAMED = ("class", "id", "role", "style", "aria-hidden", "itemprop")
 
@@ -23,7 +23,13 @@ _NAMED = ("class", "id", "role", "style", "aria-hidden", "itemprop")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark "
-    "meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+    "meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    # Formulas and drawings stand in the line they are written in.
+    + "math semantics annotation merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+      "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+      "svg circle defs desc ellipse g line path polygon polyline rect symbol text tspan use".split())
+# Labels of a drawing and cells of a formula are words of their own.
+_APART = frozenset("text desc mtd annotation".split())
 # A new one of these ends an open one of the same kind.
 _SELF_CLOSING = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -74,7 +80,8 @@ def _names(attrs: str) -> str:
 def blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page in page order. Character references are
     decoded, white space becomes one space and is trimmed. Comments, the head's title,
-    scripts, styles and the choices and fields of forms are not text. A null page has
+    scripts, styles, templates and the choices and fields of forms are not text; formulas,
+    labels of drawings and what stands in noscript and iframe are. A null page has
     none; a page that breaks off ends with what it has."""
     made: list[Block] = []
     if not page:
@@ -117,6 +124,8 @@ def blocks(page: str | None) -> list[Block]:
         if not (tag := found["tag"]):
             continue
         tag = tag.lower()
+        if tag in _APART and now.parts:
+            now.parts.append(" ")
         if found["close"]:
             if tag in VOID:
                 if tag == "br":

@@ -182,8 +182,9 @@ def extract(pages: DataFrame, *, html_column: str = "html", text_column: str = "
     """
     field = field or fit(labelled_pages(PAGES))
     kept = [c for c in pages.columns if c not in (html_column, text_column)]
-    source = pages.select(*kept, F.col(html_column).alias("__html"))
-    schema = source.drop("__html").select("*", F.lit("").alias(text_column)).schema
+    markup = F.col(html_column).cast("string").alias(html_column)
+    source = pages.select(*kept, markup)
+    schema = pages.select(*kept, F.lit("").alias(text_column)).schema
 
     def run(batches):
         for batch in batches:

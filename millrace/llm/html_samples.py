@@ -12,6 +12,7 @@ _SYLLABLES = "ba ce di fo gu ha jo ki la mer nos pa qui ras sen tor ul vi wan xe
 class _Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.other = random.Random(-seed)
         self.labels: list[int] = []
 
     def word(self):
@@ -112,6 +113,14 @@ class _Page:
     def share(self):
         return f'<div class="{self.pick("share", "social", "tags", "byline", "meta")}">{self.text(0, self.words(1, 6))}</div>'
 
+    def unscripted(self, share: float, label: int):
+        """A block for browsers without scripts, from draws of its own."""
+        self.r, self.other = self.other, self.r
+        made = self.maybe(share, lambda: "<noscript>" + self.pick("<p>{}</p>", "<div>{}</div>", "{}").format(
+            self.text(label, self.sentences(1, 3))) + "</noscript>")
+        self.r, self.other = self.other, self.r
+        return made
+
     # Content -------------------------------------------------------------
     def paragraph(self):
         kind = self.r.random()
@@ -154,7 +163,7 @@ class _Page:
         if self.r.random() < 0.15:
             parts.append(self.share())
         for _ in range(self.pick(1, 2, 3, 4, 6, 9, 14)):
-            parts.append(self.paragraph())
+            parts += [self.paragraph(), self.unscripted(0.03, 1)]
             if self.r.random() < 0.05:
                 parts.append(self.pick(self.advert, self.side, self.form, self.notice)())
         if self.r.random() < 0.12:
@@ -170,7 +179,7 @@ class _Page:
             f'<div class="post-content entry">{inner}</div>', f'<section class="story">{inner}</section>')
 
     def page(self) -> str:
-        parts = [self.maybe(0.5, self.notice), self.maybe(0.5, self.top), self.maybe(0.7, self.menu),
+        parts = [self.unscripted(0.3, 0), self.maybe(0.5, self.notice), self.maybe(0.5, self.top), self.maybe(0.7, self.menu),
                  self.maybe(0.5, self.advert), self.maybe(0.2, self.side), self.article(),
                  self.maybe(0.2, self.advert), self.maybe(0.3, self.comments), self.maybe(0.3, self.side),
                  self.maybe(0.2, self.form), self.maybe(0.9, self.bottom)]
