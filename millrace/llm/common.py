@@ -36,15 +36,20 @@ def pieces(df: DataFrame, bytes_each: int) -> int:
     return max(1, -(-input_bytes(df) // bytes_each))
 
 
-def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` rising values of an integer column that cut its rows into
-    about equal parts; no more than MAX_RANGES parts."""
+def range_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
+    """Rising values of an integer column that cut its rows into about equal parts, at
+    most MAX_RANGES of them; a value that many rows have occurs more than once."""
     parts = min(parts, MAX_RANGES)
     if parts < 2:
         return []
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     row = df.select(F.percentile_approx(column, shares, F.lit(10 * MAX_RANGES)).alias("b")).first()
-    return sorted({int(b) for b in row["b"] or [] if b is not None})
+    return sorted(int(b) for b in row["b"] or [] if b is not None)
+
+
+def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
+    """The distinct values of :func:`range_cuts`."""
+    return sorted(set(range_cuts(df, column, parts)))
 
 
 class Ranges:

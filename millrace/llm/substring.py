@@ -17,10 +17,15 @@ Chunks are ranges of ids, so "an earlier chunk" means "a smaller id". Texts trav
 compressed. Numbers of chunks and buckets follow the size of the input, so each one
 stays as small as it is when the input grows. A chunk sends one row to each bucket, or
 one for each key where there are fewer; larger chunks and buckets make fewer rows.
+Rows without an id, and those of an id that many rows have, are dealt to several chunks
+of one rank; of two chunks, the one of lower rank is earlier.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.bytesops import ByteHash, slices, spans, words
-from millrace.llm.common import MAX_RANGES, Ranges, input_bytes, range_bounds
+from millrace.llm.common import MAX_RANGES, Ranges, input_bytes, range_cuts
 from millrace.session import cut_lineage
 
 CHUNK_BYTES = 2 << 20
@@ -38,6 +43,8 @@ _LAST = np.iinfo(np.int64).max
 ADDED = ("n_words", "n_removed", "removed")
 _ADDED = "n_words long, n_removed long, removed array<struct<first: long, last: long>>"
 _LOW = np.uint64(0xFFFFFFFF)
+# A chunk's number is its rank times this and its place among chunks of the rank.
+_RANK = 1 << 20
 
 
 class _Text:
@@ -143,7 +150,7 @@ def _anchors(rows: pa.Table) -> pa.Table:
 
 
 def _earlier(rows: pa.Table) -> pa.Table:
-    """Windows of a bucket that start in an earlier chunk as well."""
+    """Windows of a bucket that start in a chunk of lower rank as well."""
     parts = _lists(rows.column("keys"), "<u8")
     keys = np.concatenate(parts)
     chunk = np.repeat(rows.column("chunk").to_numpy(), [len(p) for p in parts])
@@ -151,7 +158,7 @@ def _earlier(rows: pa.Table) -> pa.Table:
     keys, chunk = keys[order], chunk[order]
     at = _runs(keys)
     least = np.repeat(np.minimum.reduceat(chunk, at), np.diff(np.concatenate([at, [len(keys)]])))
-    return _answer(chunk, keys, least < chunk, rows.column("bucket")[0].as_py(), "<u8")
+    return _answer(chunk, keys, least // _RANK < chunk // _RANK, rows.column("bucket")[0].as_py(), "<u8")
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -165,13 +172,31 @@ def _unpacked(column) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
 
 
-def _parcel(id_at, text_at, ranges):
+class _Chunks:
+    """Chunk numbers of ids. ``shared`` tells into how many chunks the rows of an id go,
+    ``none`` those of rows without one; which of them depends on the text."""
+
+    def __init__(self, ranges: Ranges, shared: dict[int, int], none: int):
+        self.ranges, self.shared, self.none = ranges, shared, none
+
+    def of(self, ids, texts) -> np.ndarray:
+        values, absent = _ids(ids), ids.is_null().to_numpy(zero_copy_only=False)
+        made = self.ranges.of(values) * _RANK
+        made[absent] = len(self.ranges) * _RANK
+        split = [(absent, self.none), *((~absent & (values == one), n) for one, n in self.shared.items())]
+        for mask, n in split:
+            for i in np.flatnonzero(mask):
+                made[i] += zlib.crc32((texts[int(i)].as_py() or "").encode()) % n
+        return made
+
+
+def _parcel(id_at, text_at, chunks):
     """Documents as compressed parcels, one for each chunk of a batch."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, batch.schema.names[text_at], _PARCEL_BYTES):
-                chunk = ranges.of(_ids(part.column(id_at)))
+                chunk = chunks.of(part.column(id_at), part.column(text_at))
                 names = np.unique(chunk)
                 blobs = [_packed(pa.Table.from_batches([part.take(pa.array(np.flatnonzero(chunk == c)))]))
                          for c in names]
@@ -229,8 +254,9 @@ def _extend(id_at, text_at, buckets, window):
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             out.append((_WINDOWS, int(bucket[order[a]]), number, sent[order[a:b]].astype("<u8").tobytes()))
         marks = [np.packbits(local[a:b]).tobytes() for a, b in zip(text.first[:-1], text.first[1:])]
-        docs = docs.append_column("__local", pa.array(marks, pa.binary()))
-        docs = docs.append_column("__words", pa.array(np.diff(text.first), pa.int64()))
+        # The last two columns, known by their place: names of input columns are free.
+        docs = docs.append_column("local", pa.array(marks, pa.binary()))
+        docs = docs.append_column("words", pa.array(np.diff(text.first), pa.int64()))
         for kind, chosen in ((_OPEN, changed), (_DONE, ~changed)):
             if chosen.any():
                 out.append((kind, None, number, _packed(docs.take(pa.array(np.flatnonzero(chosen))))))
@@ -242,10 +268,9 @@ def _extend(id_at, text_at, buckets, window):
 def _cut(text_at, window):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         docs = _unpacked(docs.column("data"))
-        name = docs.schema.names[text_at]
         text = _Text(docs.column(text_at), window)
         start = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(
-            docs.column("__local"), np.diff(text.first))]) if docs.num_rows else np.zeros(0, np.uint8)
+            docs.column(docs.num_columns - 2), np.diff(text.first))]) if docs.num_rows else np.zeros(0, np.uint8)
         start = start.astype(np.int64)
         if flags.num_rows:
             known = np.sort(np.concatenate(_lists(flags.column("keys"), "<u8")))
@@ -269,7 +294,7 @@ def _cut(text_at, window):
         spans_of = [None] * docs.num_rows
         for i, firsts, lasts in cuts:
             spans_of[i] = [{"first": f, "last": n} for f, n in zip(firsts.tolist(), lasts.tolist())]
-        return _result(docs, name, texts, counts, spans_of)
+        return _result(docs, text_at, texts, counts, spans_of)
 
     return run
 
@@ -286,11 +311,11 @@ def _kept(text, a, b, firsts, lasts) -> str:
     return b"".join(parts).decode()
 
 
-def _result(docs, name, texts, counts, spans_of) -> pa.Table:
+def _result(docs, text_at, texts, counts, spans_of) -> pa.Table:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    at = docs.schema.get_field_index(name)
-    out = docs.set_column(at, name, pa.array(texts, pa.string())).drop_columns(["__local", "__words"])
-    return (out.append_column("n_words", docs.column("__words"))
+    own = docs.num_columns - 2
+    out = docs.select(range(own)).set_column(text_at, docs.schema.names[text_at], pa.array(texts, pa.string()))
+    return (out.append_column("n_words", docs.column(own + 1))
             .append_column("n_removed", pa.array(counts, pa.int64()))
             .append_column("removed", pa.array([s or [] for s in spans_of], kind)))
 
@@ -301,8 +326,7 @@ def _open_parcels(text_at):
             for blob in batch.column(0):
                 docs = _unpacked([blob])
                 n = docs.num_rows
-                name = docs.schema.names[text_at]
-                out = _result(docs, name, docs.column(text_at).to_pylist(), [0] * n, [None] * n)
+                out = _result(docs, text_at, docs.column(text_at).to_pylist(), [0] * n, [None] * n)
                 yield from out.to_batches()
 
     return run
@@ -321,16 +345,19 @@ def cut_repeats(docs: DataFrame, *, window: int = 13, id_column: str = "doc_id",
 
     Null texts stay null and have no words. A row without an id counts as later than
     all others and as equal to its like. Rows with equal ids never remove each other's
-    words. Ids are integers; all rows of one id lie in one chunk.
+    words. Ids are integers; where one has more rows than a chunk, or there is none, rows
+    with other texts go to other chunks.
     """
     docs = docs.drop(*ADDED)
     docs = docs.withColumn(text_column, F.col(text_column).cast("string"))
     id_at, text_at = docs.columns.index(id_column), docs.columns.index(text_column)
     parts = max(1, -(-input_bytes(docs) // chunk_bytes))
     buckets = max(1, -(-input_bytes(docs) // bucket_bytes))
-    bounds = range_bounds(docs, id_column, parts)
-    ranges = Ranges(bounds, -(-parts // MAX_RANGES))
-    parcels = docs.mapInArrow(_parcel(id_at, text_at, ranges), "chunk long, blob binary")
+    cuts, each = range_cuts(docs, id_column, parts), -(-parts // MAX_RANGES)
+    # An id that is several cuts gets a range of its own, and that many chunks of it.
+    shared = {one: (n + 1) * each for one, n in Counter(cuts).items() if n > 1}
+    ranges = Ranges(sorted({*cuts, *(one + 1 for one in shared if one < _LAST)}), each)
+    parcels = docs.mapInArrow(_parcel(id_at, text_at, _Chunks(ranges, shared, parts)), "chunk long, blob binary")
     probes = parcels.groupBy("chunk").applyInArrow(
         _probe(text_at, buckets, window), "bucket long, chunk long, keys binary, blocks binary")
     anchors = probes.groupBy("bucket").applyInArrow(_anchors, "bucket long, chunk long, keys binary")

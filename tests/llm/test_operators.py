@@ -93,6 +93,25 @@ def test_extract(spark, field):
     assert html_crf.extract(df.limit(0), field=field).count() == 0
 
 
+def test_text_in_formulas_drawings_and_noscript(field):
+    page = ("<noscript>You need scripts to run this site.</noscript><nav><a href=/>Home</a></nav><article><h1>Title one</h1>"
+            "<p>Before <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> after the formula, as said.</p>"
+            "<svg viewBox='0 0 9 9'><title>icon</title><path d='M0'/><text x=1>North</text><text>South</text></svg>"
+            "<noscript><p>A table of values, in words for all readers.</p></noscript>"
+            "<p>Icon<svg><path d='M1'></path></svg>s stay in their line, here as there.</p></article>")
+    assert [b.text for b in html_blocks.blocks(page)][3:5] == [
+        "Before x=2 after the formula, as said.", "North South"]
+    assert html_crf.main_text(field, page) == (
+        "Title one Before x=2 after the formula, as said. North South A table of values, in words for all readers. "
+        "Icons stay in their line, here as there.")
+
+
+def test_extract_with_clashing_columns(spark, field):
+    df = spark.createDataFrame([(1, "<article><p>One, two.</p></article>", "a", "b")],
+                               "page_id long, html string, __html string, n_chars string")
+    assert [tuple(r) for r in html_crf.extract(df, field=field).collect()] == [(1, "a", "b", "One, two.")]
+
+
 # 2 ---------------------------------------------------------------------------
 def test_compare_with_next(docs, none):
     found = {r["id"]: r for r in order_minhash.compare_with_next(docs, range_bytes=500).collect()}
@@ -287,6 +306,30 @@ def test_cut_repeats_odd_rows(spark, none):
     assert got == {(5, 0), (None, 20)}
 
 
+@pytest.mark.parametrize("size", [300, 1 << 20])
+def test_cut_repeats_of_rows_that_share_an_id(spark, size):
+    """A third of the rows without an id, a third of one id, further columns of any name."""
+    r = random.Random(8)
+    lines = [" ".join(r.choices(VOCABULARY, k=20)) for _ in range(12)]
+    rows = [(None if i % 3 == 0 else 40 if i % 3 == 1 else i, f"{r.choice(lines)} {r.choice(lines)} {i}", f"l{i}", "w", "c", i)
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __local string, __words string, chunk string, local long")
+    found = substring.cut_repeats(df.repartition(4), chunk_bytes=size, bucket_bytes=size).collect()
+    starts = {}
+    ranks = [float("inf") if row[0] is None else row[0] for row in rows]
+    for rank, row in zip(ranks, rows):
+        words = _words(row[1])
+        for i in range(len(words) - 12):
+            key = tuple(words[i : i + 13])
+            starts[key] = min(starts.get(key, rank), rank)
+    assert len(found) == 90
+    for got in found:
+        words, rank = _words(rows[got["local"]][1]), ranks[got["local"]]
+        gone = {j for i in range(len(words) - 12) if starts[tuple(words[i : i + 13])] < rank for j in range(i, i + 13)}
+        assert _words(got["text"]) == [w for j, w in enumerate(words) if j not in gone]
+        assert got["__local"] == f"l{got['local']}" and (got["__words"], got["chunk"]) == ("w", "c")
+
+
 # 7 ---------------------------------------------------------------------------
 def test_top_k(spark):
     r = np.random.default_rng(1)
