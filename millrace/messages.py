@@ -13,6 +13,7 @@ CUSTOM_SQL = "custom_sql: got {observed}, expected {expected}"
 
 NO_SOURCE = "Either source_path or source_config must be provided"
 NO_MATCH = "Source path '{path}' matched no files"
+DELIMITER_UNSURE = "Source file '{path}': its lines fit more than one delimiter, give the option 'sep'"
 NO_DATASET = "Saved connector '{name}' not found"
 NOT_PERMITTED = "run_as role '{role}' is not permitted to access: {paths}"
 ACCESS_DENIED = "Access denied to: {paths}"

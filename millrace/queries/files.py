@@ -57,6 +57,18 @@ def csv_dialects(spark, folder):
     return read_files(session, f"{out}/*/*.csv")
 
 
+def csv_evidence(spark, folder):
+    """Bars between fields and a first line with more commas than bars: the lines decide."""
+    session = session_with_tables(spark, folder, ["orders"])
+    out = scratch(spark, "evidence")
+    _write_csv(session.sql("""
+        SELECT replace(o_clerk, '#', ', no. ') AS `clerk, by name, and number`, o_orderkey AS key,
+               o_totalprice AS price FROM orders
+    """), out, "|")
+    return read_files(session, out, format="csv").select(
+        F.col("`clerk, by name, and number`").alias("clerk"), "key", "price")
+
+
 def json_layouts(spark, folder):
     """Lines and arrays in one folder, decided file by file."""
     session = session_with_tables(spark, folder, ["part"])
@@ -336,6 +348,10 @@ QUERIES = {
                   ELSE concat(o_orderpriority, chr(10), o_orderstatus) END AS note, o_totalprice
            FROM orders""",
     ),
+    "csv_evidence": (
+        csv_evidence,
+        """SELECT replace(o_clerk, '#', ', no. ') AS clerk, o_orderkey AS key, o_totalprice AS price FROM orders""",
+    ),
     "json_layouts": (json_layouts, "SELECT p_partkey, p_name FROM part"),
     "path_list": (path_list, "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
     "glob_depth": (glob_depth, "SELECT * FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000"),

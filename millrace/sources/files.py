@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import messages, storage
@@ -48,9 +48,10 @@ def read_files(
     ``format``. Paths that need different readers are united by column name.
 
     ``**`` stands for folders at any depth; ``http(s)`` paths are fetched. A CSV file's
-    delimiter is the most frequent of ``, ; | tab`` in its first line, and quotes may
-    span lines; a .json file may hold lines, an array or one indented object. Both are
-    decided file by file in one pass over the text. Give ``schema`` and the options
+    delimiter is the one of ``, ; | tab`` that cuts its lines into as many fields as its
+    first line, a tie being an error, and quotes may span lines; a .json file may hold
+    lines, an array or one indented object. Both are decided file by file in one pass over
+    the text. Give ``schema`` and the options
     ``sep`` or ``multiLine`` for large text inputs: then no such pass is made. Rows that
     do not fit fail unless the option ``mode`` says otherwise.
     """
@@ -103,12 +104,12 @@ def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
         given = {name.lower() for name in options} | common.keys()
         if given & {"sep", "delimiter"} and "multiline" in given:
             return [load(uris, **common)]
-        layouts = _layouts(spark, uris, lookup, sep=_delimiter(), multiLine=_open_quote())
+        layouts = _dialects(spark, uris, lookup, fixed=bool(given & {"sep", "delimiter"}))
     elif fmt == "json":
         common = {"mode": "FAILFAST"}
         if suffix in (".ndjson", ".jsonl") or "multiline" in {name.lower() for name in options}:
             return [load(uris, **common)]
-        layouts = _layouts(spark, uris, lookup, sep=F.lit(""), multiLine=_not_a_line())
+        layouts = _json_layouts(spark, uris, lookup)
     else:
         return [load(uris)]
     frames = []
@@ -122,41 +123,87 @@ def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
     return frames
 
 
-# What decides a layout: ``head`` is a file's first line with text, ``odd`` tells whether
-# one of its lines has an odd number of quotes.
-def _delimiter():
-    bare = F.regexp_replace("head", '"[^"]*"', "")
-    seen = [
-        F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(mark)))).alias("n"),
-                 F.lit(-rank).alias("rank"), F.lit(mark).alias("mark"))
-        for rank, mark in enumerate((",", ";", "|", "\t"))
-    ]
-    return F.array_max(F.array(*seen))["mark"]
+# Delimiters that a CSV file may have; the first is that of files without any.
+_MARKS = (",", ";", "|", "\t")
 
 
-def _open_quote():
-    return F.col("odd")
+def _lines(spark, uris, lookup) -> DataFrame:
+    """``file, place, value`` of every line with text; places order the lines of a file."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return (
+        spark.read.options(**lookup).text(uris)
+        .select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+        .where(F.trim("value") != "")
+    )
 
 
-def _not_a_line():
-    return F.get_json_object("head", "$").isNull()
+def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[str]]]:
+    """CSV layouts with their files.
 
+    Per file and delimiter, one aggregation counts lines by their number of fields. Lines
+    with an odd number of quotes begin or end a text over several lines and are no
+    evidence. ``fixed`` says that the delimiter is given, so nothing can be in doubt.
+    """
 
-def _layouts(spark, uris, lookup, *, sep, multiLine) -> list[tuple[str, bool, list[str]]]:
-    """Layouts with their files; the driver gets one name per file, as for any scan."""
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    heads = (
-        spark.read.options(**lookup).text(uris)
-        .select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
-        .where(F.trim("value") != "")
-        .groupBy("file")
-        .agg(F.min_by("value", "place").alias("head"), F.max(quotes % 2 == 1).alias("odd"))
+    def marks_in(text, mark):
+        return F.length(text) - F.length(F.replace(text, F.lit(mark)))
+
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    cuts = [F.struct(F.lit(i).alias("rank"), (marks_in(bare, mark) + 1).alias("fields"))
+            for i, mark in enumerate(_MARKS)]
+    histogram = (
+        _lines(spark, uris, lookup)
+        .select("file", "place", (marks_in(F.col("value"), '"') % 2 == 1).alias("odd"), F.inline(F.array(*cuts)))
+        .groupBy("file", "rank", "fields")
+        .agg(F.count_if(~F.col("odd")).alias("lines"), F.min_by("odd", "place").alias("first_odd"),
+             F.min("place").alias("place"), F.max("odd").alias("odd"))
+    )
+    # Few rows each: the different numbers of fields in one file by one delimiter.
+    same = Window.partitionBy("file", "rank")
+    head = F.min_by(F.struct("fields", "first_odd"), "place").over(same)
+    evidence = (
+        histogram.withColumn("head", head)
+        .groupBy("file", "rank")
+        .agg(F.first("head.fields").alias("fields"), F.first("head.first_odd").alias("head_odd"),
+             F.sum("lines").alias("rows"), F.max("odd").alias("odd"),
+             F.sum(F.when(F.col("fields") == F.col("head.fields"), F.col("lines")).otherwise(0)).alias("agree"))
+        .withColumn("rows", F.col("rows") - F.when(F.col("head_odd"), 0).otherwise(1))
+        .withColumn("agree", F.col("agree") - F.when(F.col("head_odd"), 0).otherwise(1))
     )
-    found = heads.groupBy(sep.alias("sep"), multiLine.alias("many")).agg(
-        F.sort_array(F.collect_list(_as_path(F.col("file")))).alias("files"))
-    rows = found.orderBy("sep", "many").collect()
-    return [(r["sep"], r["many"], r["files"]) for r in rows] or [("", False, uris)]
+    # Agreement decides; without any, the number of fields in the first line.
+    score = F.struct("agree", F.when(F.col("agree") == 0, F.col("fields")).otherwise(0).alias("fields"))
+    many = F.col("fields") > 1
+    found = evidence.groupBy("file").agg(
+        F.max("rows").alias("rows"), F.max("odd").alias("odd"),
+        F.max(F.when(many, score)).alias("best"),
+        F.collect_list(F.when(many, F.struct(score.alias("score"), "rank"))).alias("several"),
+        F.max(F.when(~many, F.struct("agree", (-F.col("rank")).alias("rank")))).alias("one"))
+    top = F.filter("several", lambda x: x["score"] == F.col("best"))
+    lone = F.col("best").isNull() | ((F.col("best.agree") == 0) & (F.col("rows") > 0) & ~F.col("odd")
+                                     & (F.col("one.agree") == F.col("rows")))
+    rank = F.when(lone, -F.col("one.rank")).when(F.size(top) == 1, top[0]["rank"])
+    layouts = _grouped(found.select(
+        "file", F.get(F.array(*map(F.lit, _MARKS)), rank).alias("sep"), F.col("odd").alias("many")))
+    unsure = [files for sep, _, files in layouts if sep is None]
+    if unsure and not fixed:
+        raise ValueError(messages.DELIMITER_UNSURE.format(path=unsure[0][0]))
+    return layouts or [("", False, uris)]
+
+
+def _json_layouts(spark, uris, lookup) -> list[tuple[str, bool, list[str]]]:
+    """JSON layouts with their files: lines, where the first line is a whole value."""
+    heads = _lines(spark, uris, lookup).groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    return _grouped(heads.select("file", F.lit("").alias("sep"), F.get_json_object("head", "$").isNull().alias("many"))
+                    ) or [("", False, uris)]
+
+
+def _grouped(found: DataFrame) -> list[tuple[str, bool, list[str]]]:
+    """Files by layout; the driver gets one name per file, as for any scan."""
+    layouts: dict[tuple, list[str]] = {}
+    for row in found.select("sep", "many", _as_path(F.col("file")).alias("file")).orderBy("file").collect():
+        layouts.setdefault((row["sep"], row["many"]), []).append(row["file"])
+    ordered = sorted(layouts.items(), key=lambda item: (item[0][0] or "", item[0][1]))
+    return [(*layout, files) for layout, files in ordered]
 
 
 def _as_path(uri):

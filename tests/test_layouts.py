@@ -27,6 +27,29 @@ def test_quotes_over_lines_and_files_of_several_dialects(spark, tmp_path):
     assert rows(found) == [(1, "two\nlines", 3), (2, "plain", 3)]
 
 
+@pytest.mark.parametrize("text, columns, found", [
+    ("full name, city, zip|n\nAnn Lee, Rome, 1|3\nBo|4\n", ["full name, city, zip", "n"],
+     [("Ann Lee, Rome, 1", 3), ("Bo", 4)]),
+    ("note\nwell, then\nno\n", ["note"], [("no",), ("well, then",)]),
+    ("seen (a, b)\nx\ny\n", ["seen (a, b)"], [("x",), ("y",)]),
+    ("a;b\n1,5;2,5\n", ["a", "b"], [("1,5", "2,5")]),
+    ("a,b;x,c\n1,2,3\n4,\"p;q\",6\n", ["a", "b;x", "c"], [(1, "2", 3), (4, "p;q", 6)]),
+    ("a|b,c|d\n", ["a", "b,c", "d"], []),
+])
+def test_lines_decide_the_delimiter(spark, tmp_path, text, columns, found):
+    (tmp_path / "a.csv").write_text(text)
+    made = read_files(spark, str(tmp_path / "a.csv"))
+    assert made.columns == columns and rows(made) == found
+
+
+def test_a_delimiter_in_doubt_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b,c\n1;2,3\n")
+    with pytest.raises(ValueError, match="a.csv.*sep"):
+        read_files(spark, str(tmp_path / "a.csv"))
+    given = read_files(spark, str(tmp_path / "a.csv"), options={"sep": ";"})
+    assert rows(given) == [(1, "2,3")]
+
+
 def test_a_row_that_does_not_fit_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4,5\n")
     with pytest.raises(Exception, match="MALFORMED"):
