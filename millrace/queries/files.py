@@ -62,11 +62,11 @@ def csv_evidence(spark, folder):
     session = session_with_tables(spark, folder, ["orders"])
     out = scratch(spark, "evidence")
     _write_csv(session.sql("""
-        SELECT replace(o_clerk, '#', ', no. ') AS `clerk, by name, and number`, o_orderkey AS key,
+        SELECT replace(o_orderpriority, '-', ', or ') AS `rank, word, and more`, o_orderkey AS key,
                o_totalprice AS price FROM orders
     """), out, "|")
     return read_files(session, out, format="csv").select(
-        F.col("`clerk, by name, and number`").alias("clerk"), "key", "price")
+        F.col("`rank, word, and more`").alias("priority"), "key", "price")
 
 
 def json_layouts(spark, folder):
@@ -350,7 +350,7 @@ QUERIES = {
     ),
     "csv_evidence": (
         csv_evidence,
-        """SELECT replace(o_clerk, '#', ', no. ') AS clerk, o_orderkey AS key, o_totalprice AS price FROM orders""",
+        """SELECT replace(o_orderpriority, '-', ', or ') AS priority, o_orderkey AS key, o_totalprice AS price FROM orders""",
     ),
     "json_layouts": (json_layouts, "SELECT p_partkey, p_name FROM part"),
     "path_list": (path_list, "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
