@@ -148,6 +148,23 @@ def scope_join(spark, folder):
     return access.scope_paths(*_two(spark, folder, _PATHS, ROLES_SPARK))
 
 
+_STEPPED = """
+SELECT event_id, 'role_' || CAST(user_id % 30 AS STRING) AS role, event_type AS kind,
+       's3://bucket-' || CAST(event_id % 5 AS STRING) AS bucket, CAST(user_id AS STRING) AS name
+FROM events
+"""
+# How a path is written, and the object that it names, by the kind of event.
+_WRITTEN = """bucket || CASE kind WHEN 'view' THEN '/data/../private/' WHEN 'click' THEN '//private//'
+    WHEN 'error' THEN '/private/../data/./' WHEN 'signup' THEN '/data/x/y/../../../private/' ELSE '/data/../../private/' END || name"""
+_NAMED_BY_IT = "bucket || CASE kind WHEN 'error' THEN '/data/' ELSE '/private/' END || name"
+
+
+def scope_steps(spark, folder):
+    """Paths with dot steps and doubled slashes: judged by the object they name."""
+    paths, roles = _two(spark, folder, f"SELECT event_id, role, {_WRITTEN} AS path FROM ({_STEPPED})", ROLES_SPARK)
+    return access.scope_paths(paths, roles)
+
+
 def scope_denied_report(spark, folder):
     return access.denied_report(*_two(spark, folder, _TEXTS.format(paths=_PATHS), ROLES_SPARK))
 
@@ -303,6 +320,12 @@ QUERIES = {
         scope_join,
         f"SELECT event_id, role, path, allowed FROM ({_SCOPED.format(paths=_PATHS)})",
     ),
+    "scope_steps": (
+        scope_steps,
+        f"""SELECT s.event_id, s.role, {_WRITTEN} AS path, j.allowed FROM ({_STEPPED}) s JOIN
+            ({_SCOPED.format(paths=f"SELECT event_id, role, {_NAMED_BY_IT} AS path FROM ({_STEPPED}) o")}) j
+            ON s.event_id = j.event_id""",
+    ),
     "scope_denied_report": (
         scope_denied_report,
         f"SELECT DISTINCT role, path FROM ({_SCOPED.format(paths=_FOUND)}) WHERE NOT allowed",

@@ -154,6 +154,17 @@ def scope(spark, permissions, allow, deny, paths):
 ALLOW, DENY = ["s3://allowed-bucket/"], ["s3://allowed-bucket/private/"]
 
 
+def test_scope_of_the_object_a_path_names(spark):
+    allow, deny = ["s3://b/pub/"], ["s3a://b//pub/./secret/"]
+    out = ["s3://b/pub/../private/x", "s3a://b/pub/a/../../private/x", "s3://b//private/x", "s3://b/pub/secret/x",
+           "s3n://b/pub//secret/x", "s3://b/pub/a/../secret/x", "s3://b/pub/{../private,x}/y", "s3://b/pub/..",
+           "s3://b/../../private/x"]
+    inside = ["s3://b//pub/x", "s3://b/private/../pub/x", "s3://b/./pub/x/", "s3://b/pub/a..b/x", "s3://b/pub/{x,y}.csv",
+              "/pub/../private", "s3://b/pub/x/..", "s3://b/../pub/x"]
+    assert scope(spark, [], allow, deny, out + inside) == out
+    assert scope(spark, ["*"], allow, deny, out) == []
+
+
 def test_scope_rules(spark):
     paths = ["s3://allowed-bucket/x", "s3://allowed-bucket/private/y", "s3://other/z", "/local/w"]
     assert scope(spark, [], ALLOW, DENY, paths) == paths[1:3]
