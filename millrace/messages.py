@@ -18,6 +18,7 @@ NO_DATASET = "Saved connector '{name}' not found"
 NOT_PERMITTED = "run_as role '{role}' is not permitted to access: {paths}"
 ACCESS_DENIED = "Access denied to: {paths}"
 
+EMPTY_PARTITION = "partition_by: '{column}' has empty texts, which would be read back as null"
 BAD_SIZE = "target_file_size must look like '200MB', '1GB', etc."
 LOCAL_ZONE = "timezone must be a named IANA timezone, not 'localtime'"
 BAD_ZONE = "timezone must be a valid IANA timezone, got {zone!r}"

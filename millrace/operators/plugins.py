@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from millrace import messages
@@ -36,6 +37,8 @@ Plugin = Callable[[pa.Table, dict[str, Any]], pa.Table]
 DEFAULT_CHUNK_ROWS = 100_000
 # Keys whose states a task holds before it hands them on.
 HELD_STATES = 10_000
+# Tasks whose states are merged in one further task, where all rows have one state.
+MERGED_STATES = 256
 
 
 @dataclass(frozen=True)
@@ -314,9 +317,15 @@ def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
             made = made.add_column(i, n, table.column(n).slice(0, 1))
         return made
 
+    whole: list[pa.Table] = []
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _cut(batches, chunk_rows):
             table = pa.Table.from_batches(piece)
+            for one in whole:
+                repeated = one.take(pa.array(np.zeros(table.num_rows, np.int64)))
+                for n in one.column_names:
+                    table = table.append_column(n, repeated.column(n))
             yield from shape.conform(name, plugin.finish(table, params)).to_batches()
 
     partial = df.mapInArrow(states, StructType(keyed.fields + state.fields))
@@ -325,11 +334,16 @@ def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)])
         ready = df.join(found, same, "left").drop(*named)
     else:
-        # One state for each task, then one in all.
-        rows = partial.toArrow()
+        # One state for each task, one for each run of neighbouring tasks, then one in all.
+        def merged_run(table: pa.Table) -> pa.Table:
+            return plugin.merge(table.drop_columns(["_run"]), params)
+
+        runs = partial.withColumn("_run", F.floor(F.spark_partition_id() / MERGED_STATES))
+        rows = runs.groupBy("_run").applyInArrow(merged_run, state).toArrow()
         one = plugin.merge(rows if rows.num_rows else plugin.partial(empty, params), params)
-        value = one.slice(0, 1).to_pylist()[0]
-        ready = df.select("*", *(F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in state.fields))
+        # It travels with the task, so it may be of any type.
+        whole.append(one.slice(0, 1).cast(to_arrow_schema(state)))
+        ready = df
     return ready.mapInArrow(finish, shape.spark_schema)
 
 

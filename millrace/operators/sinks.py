@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from millrace import storage
+from millrace import messages, storage
 from millrace.errors import SinkError
 from millrace.session import run_session
 from millrace.spec import PipelineSpec, check_sink_path, parse_size
@@ -48,6 +48,14 @@ def stage(df: DataFrame, spec: PipelineSpec) -> Staged:
     return Staged(path, df.schema, rows)
 
 
+def _without_empty_values(df: DataFrame, column: str) -> DataFrame:
+    """``df``, failing on rows whose partition value is the empty text."""
+    value = F.col(f"`{column}`")
+    texts = [f.name for f in df.schema if f.name.lower() == column.lower() and isinstance(f.dataType, StringType)]
+    refused = F.raise_error(F.lit(messages.EMPTY_PARTITION.format(column=column)))
+    return df.withColumns({name: F.when(value == "", refused).otherwise(value) for name in texts}) if texts else df
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
@@ -62,9 +70,11 @@ def write_parquet(
 
     With ``partition_by`` the rows are first rebalanced on that column, so a value
     lands in few files; the adaptive planner splits a value that holds much of the
-    data and joins small ones. The count is taken in the writing stage itself.
+    data and joins small ones. An empty text fails there, since a folder name has no place
+    for it and it would be read as null. The count is taken in the writing stage itself.
     """
     if partition_by:
+        df = _without_empty_values(df, partition_by)
         df = df.hint("rebalance", partition_by)
     counted = Observation(f"rows_{uuid.uuid4().hex}")
     writer = (

@@ -19,9 +19,9 @@ from millrace.sources.files import read_files
 
 DEFAULT_PAGE_SIZE = 50
 
-# A text, or a call of a file function: its format and its arguments.
+# A text or a comment, or a call of a file function: its format and its arguments.
 _FILE_CALL = re.compile(
-    r"('(?:[^']|'')*')|\bread_(parquet|csv|json|ndjson)(?:_auto)?\(((?:[^()']|'(?:[^']|'')*')*)\)",
+    r"('(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/)|\bread_(parquet|csv|json|ndjson)(?:_auto)?\(((?:[^()']|'(?:[^']|'')*')*)\)",
     re.I,
 )
 _TEXT = r"'(?:[^']|'')*'"

@@ -87,6 +87,11 @@ def test_ansi_errors(spark, text):
         run_sql(spark, text).collect()
 
 
+def test_file_calls_in_comments_are_not_read(spark):
+    text = "SELECT 1 AS v -- FROM read_csv('/no/such.csv')\n/* read_parquet('/none')\n */ WHERE '--' = '--'"
+    assert rows(run_sql(spark, text)) == [(1,)]
+
+
 def test_file_functions_take_lists_and_options(spark, tmp_path):
     (tmp_path / "a.txt").write_text("k;v\n1;x\n")
     (tmp_path / "b.txt").write_text("k;v\n2;NIL\n")

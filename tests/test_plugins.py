@@ -144,3 +144,31 @@ def test_declared_schema_is_used(spark):
     df = plugin_step(spark.range(3), {"type": "python", "function": "same", "schema": "id double", "chunk_rows": 9},
                      PluginRegistry({"same": lambda t, p: t}))
     assert rows(df) == [(0.0,), (1.0,), (2.0,)]
+
+
+def test_a_state_of_any_type_in_both_modes(spark):
+    kind = pa.list_(pa.struct([("k", pa.float64()), ("n", pa.int64())]))
+
+    def seen(ks, ns):
+        counts = {}
+        for k, n in zip(ks, ns):
+            counts[k] = counts.get(k, 0) + n
+        return pa.table({"seen": pa.array([[{"k": k, "n": counts[k]} for k in sorted(counts)]], kind)})
+
+    def counted(table, params):
+        return seen(table["k"].to_pylist(), [1] * table.num_rows)
+
+    def joined(states, params):
+        found = [one for state in states["seen"].to_pylist() for one in state]
+        return seen([x["k"] for x in found], [x["n"] for x in found])
+
+    def told(table, params):
+        shown = [str([(x["k"], x["n"]) for x in row]) for row in table["seen"].to_pylist()]
+        return table.select(["k", "v"]).append_column("shown", pa.array(shown, pa.string()))
+
+    registry = PluginRegistry({"part": StagedPlugin(counted, joined, told)})
+    df = spark.createDataFrame([(float(i % 2), i) for i in range(50)], "k double, v long").repartition(5)
+    whole = plugin_step(df, {"function": "part"}, registry).collect()
+    assert len(whole) == 50 and {r["shown"] for r in whole} == {"[(0.0, 25), (1.0, 25)]"}
+    grouped = plugin_step(df, {"function": "part", "group_by": ["k"]}, registry).collect()
+    assert {(r["k"], r["shown"]) for r in grouped} == {(0.0, "[(0.0, 25)]"), (1.0, "[(1.0, 25)]")}

@@ -115,3 +115,11 @@ def test_a_table_can_be_replaced_by_itself(spark, tmp_path):
     assert write_parquet(spark.range(10), path) == 10
     assert staged_overwrite(spark.read.parquet(path).where("id >= 4"), path) == 6
     assert spark.read.parquet(path).count() == 6
+
+
+def test_empty_partition_values_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, Part string")
+    assert write_parquet(df, str(tmp_path / "kept"), partition_by="part") == 2
+    assert rows(spark.read.parquet(str(tmp_path / "kept")).select("k", "part")) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="empty texts"):
+        write_parquet(df.replace("a", ""), str(tmp_path / "refused"), partition_by="Part")
