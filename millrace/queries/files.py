@@ -69,6 +69,18 @@ def csv_evidence(spark, folder):
         F.col("`rank, word, and more`").alias("priority"), "key", "price")
 
 
+def csv_quoted(spark, folder):
+    """Documents with quoted line ends, each file cut into ranges of 256 kB for its tasks."""
+    session = run_session(spark, {"spark.sql.files.maxPartitionBytes": "256kb"})
+    out = scratch(spark, "quoted")
+    documents = session.read.parquet(path_of(folder, "documents")).select(
+        "doc_id", F.replace(F.concat_ws("\n", "lang", "text", "source"), F.lit("\r"), F.lit(" ")).alias("body"),
+        "n_chars")
+    _write_csv(documents, out, ",")
+    read = read_files(session, out, format="csv", schema="doc_id long, body string, n_chars long")
+    return read.select("doc_id", F.sha2("body", 256).alias("body_sha256"), "n_chars")
+
+
 def json_layouts(spark, folder):
     """Lines and arrays in one folder, decided file by file."""
     session = session_with_tables(spark, folder, ["part"])
@@ -352,6 +364,11 @@ QUERIES = {
         csv_evidence,
         """SELECT replace(o_orderpriority, '-', ', or ') AS priority, o_orderkey AS key, o_totalprice AS price FROM orders""",
     ),
+    "csv_quoted": (
+        csv_quoted,
+        """SELECT doc_id, sha256(replace(concat_ws(chr(10), lang, text, source), chr(13), ' ')) AS body_sha256,
+                  n_chars FROM documents""",
+    ),
     "json_layouts": (json_layouts, "SELECT p_partkey, p_name FROM part"),
     "path_list": (path_list, "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
     "glob_depth": (glob_depth, "SELECT * FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace import messages, storage
 from millrace.params import dated_paths, dates_between, run_date_pattern
 from millrace.sources.http import detect_http_format, read_http
+from millrace.sources.quoted import LEFT_TO_THE_READER, read_quoted
 
 # Extension -> reader; everything else is Parquet.
 FORMAT_OF_SUFFIX = {
@@ -43,6 +45,7 @@ def read_files(
     schema=None,
     options: dict | None = None,
     format: str | None = None,
+    origin: str | None = None,
 ) -> DataFrame:
     """Read files as one relation; the reader follows the extension of each path, or
     ``format``. Paths that need different readers are united by column name.
@@ -52,8 +55,10 @@ def read_files(
     first line, a tie being an error, and quotes may span lines; a .json file may hold
     lines, an array or one indented object. Both are decided file by file in one pass over
     the text. Give ``schema`` and the options
-    ``sep`` or ``multiLine`` for large text inputs: then no such pass is made. Rows that
-    do not fit fail unless the option ``mode`` says otherwise.
+    ``sep`` or ``multiLine`` for large text inputs: then no such pass is made. CSV files
+    with quotes over lines that are longer than a scan's partition are read by several
+    tasks (:mod:`millrace.sources.quoted`). Rows that do not fit fail unless the option
+    ``mode`` says otherwise. ``origin`` names a column with the file of each row.
     """
     paths, options = [path] if isinstance(path, str) else list(path), options or {}
     groups: dict[tuple, list[str]] = {}
@@ -67,9 +72,10 @@ def read_files(
     for (fmt, *rest), members in groups.items():
         if fmt == "http":
             config = {"urls": members, "schema": schema}
-            frames.append(read_http(spark, {**config, "format": format} if format else config))
+            fetched = read_http(spark, {**config, "format": format} if format else config)
+            frames.append(_with_origin(fetched, origin))
         else:
-            frames += _read_alike(spark, fmt, rest[0], members, schema, options)
+            frames += _read_alike(spark, fmt, rest[0], members, schema, options, origin)
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame, allowMissingColumns=True)
@@ -80,7 +86,11 @@ def _tail(path: str) -> str | None:
     return path.partition("**")[2].strip("/") if "**" in path else None
 
 
-def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
+def _with_origin(df: DataFrame, origin: str | None) -> DataFrame:
+    return df.withColumn(origin, F.col("_metadata.file_path")) if origin else df
+
+
+def _read_alike(spark, fmt, suffix, paths, schema, options, origin) -> list[DataFrame]:
     """Paths of one format: one DataFrame for each layout their files have."""
     lookup, tail = {}, _tail(paths[0])
     if tail is not None and "/" in tail:
@@ -94,7 +104,7 @@ def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
         reader = spark.read.format(fmt).options(**lookup, **layout)
         if schema is not None:
             reader = reader.schema(schema)
-        return reader.options(**options).load(members)
+        return _with_origin(reader.options(**options).load(members), origin)
 
     if fmt == "csv":
         common = {"header": True, "inferSchema": schema is None, "escape": '"', "preferDate": True,
@@ -103,8 +113,15 @@ def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
             common["sep"] = "\t"
         given = {name.lower() for name in options} | common.keys()
         if given & {"sep", "delimiter"} and "multiline" in given:
+            many = {**common, **{name.lower(): value for name, value in options.items()}}["multiline"]
+            if str(many).lower() == "true" and _in_pieces(spark, uris, options, lookup):
+                return [read_quoted(spark, uris, schema=schema, lookup=lookup, origin=origin,
+                                    **{**common, **options})]
             return [load(uris, **common)]
-        layouts = _dialects(spark, uris, lookup, fixed=bool(given & {"sep", "delimiter"}))
+        fixed = bool(given & {"sep", "delimiter"})
+        layouts = _dialects(spark, uris, lookup, fixed)
+        if fixed:
+            layouts = [(None, *layout[1:]) for layout in layouts]
     elif fmt == "json":
         common = {"mode": "FAILFAST"}
         if suffix in (".ndjson", ".jsonl") or "multiline" in {name.lower() for name in options}:
@@ -119,10 +136,32 @@ def _read_alike(spark, fmt, suffix, paths, schema, options) -> list[DataFrame]:
             files = uris
         elif len(uris) == 1 and not storage.has_glob(uris[0]) and not lookup:
             own["basePath"] = uris[0]
-        frames.append(load(files, **own))
+        if fmt == "csv" and many and _in_pieces(spark, files, options, lookup):
+            frames.append(read_quoted(spark, files, schema=schema, lookup=lookup, origin=origin,
+                                      **{**own, **options}))
+        else:
+            frames.append(load(files, **own))
     return frames
 
 
+def _in_pieces(spark, uris, options, lookup) -> bool:
+    """Whether one of these CSV files would keep a task longer than a partition of the scan.
+
+    Files below ``column=value`` folders and options that change what ends a record are
+    left to the reader.
+    """
+    if LEFT_TO_THE_READER & {name.lower() for name in options} or any(
+            "=" in storage.name_of(storage.parent_of(uri)) for uri in uris):
+        return False
+    ranges = spark.read.options(**lookup).text(uris)
+    if ranges.columns != ["value"]:
+        return False
+    longest = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    limit = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(longest))
+    sizes = spark.read.options(**lookup).format("binaryFile").load(uris).agg(F.max("length")).first()[0]
+    return sizes is not None and sizes > limit
+
+
 # Delimiters that a CSV file may have; the first is that of files without any.
 _MARKS = (",", ";", "|", "\t")
 
@@ -316,8 +355,7 @@ def read_dated(
     pattern, extra_days = run_date_pattern(template)
     group = re.compile(pattern).groupindex
     java = pattern.replace("(?P<", "(?<")
-    found = [
-        F.regexp_extract("_metadata.file_path", java, group[g]).cast("int") for g in "ymd"
-    ]
-    df = read_files(spark, paths, schema=schema)
-    return df.withColumn(run_date, F.date_add(F.make_date(*found), extra_days))
+    origin = f"_file_{uuid.uuid4().hex}"
+    found = [F.regexp_extract(origin, java, group[g]).cast("int") for g in "ymd"]
+    df = read_files(spark, paths, schema=schema, origin=origin)
+    return df.withColumn(run_date, F.date_add(F.make_date(*found), extra_days)).drop(origin)
