@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from millrace import storage
 from millrace.operators.sinks import staged_overwrite
+from millrace.plans.paging import page_at
 
 # Fixed value: rows of a search page.
 DEFAULT_LIMIT = 100
@@ -27,13 +28,16 @@ def audit_search(
     offset: int = 0,
     tie_breakers: tuple[str, ...] = ("id",),
 ) -> DataFrame:
-    """Entries that match every given filter, newest first: one page of ``limit`` rows."""
+    """Entries that match every given filter, newest first: one page of ``limit`` rows.
+
+    A late page reads only its range of the order (:func:`millrace.plans.paging.page_at`).
+    """
     wanted = {"username": username, "action": action, "target_type": target_type}
     for column, value in wanted.items():
         if value:
             log = log.where(F.col(column) == value)
-    limit = max(1, limit)
-    return log.orderBy(F.desc("timestamp"), *tie_breakers).offset(max(0, offset)).limit(limit)
+    return page_at(log, ["timestamp", *tie_breakers], max(0, offset), max(1, limit),
+                   descending=("timestamp",))
 
 
 def facets(log: DataFrame, columns: tuple[str, ...] = ("action", "target_type")) -> DataFrame:

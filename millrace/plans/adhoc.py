@@ -13,6 +13,7 @@ from millrace import messages
 from millrace.errors import SpecError
 from millrace.operators.access import denied_in_texts, denied_paths
 from millrace.operators.sinks import staged_overwrite
+from millrace.plans.paging import page_at
 from millrace.session import run_session
 from millrace.sources.catalog import dataset_paths, named_in, register_datasets
 from millrace.sources.files import read_files
@@ -160,9 +161,15 @@ def page_sql(
     **context,
 ) -> Page:
     """One page as an Arrow table. Without an order, pages of a query that does not
-    sort may overlap."""
+    sort may overlap. With names of columns in ``order_by`` a page costs no more the
+    later it comes (:func:`millrace.plans.paging.page_at`)."""
     df = run_sql(spark, query, **context)
-    table = page_frame(df, page, page_size, order_by).toArrow()
+    names = [order_by] if isinstance(order_by, str) else order_by
+    if names and all(name in df.columns for name in names if isinstance(name, str)) and all(
+            isinstance(name, str) for name in names) and len(set(df.columns)) == len(df.columns):
+        table = page_at(df, list(names), page * page_size, page_size + 1).toArrow()
+    else:
+        table = page_frame(df, page, page_size, order_by).toArrow()
     return Page(
         table=table.slice(0, page_size),
         page=page,

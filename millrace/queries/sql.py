@@ -8,6 +8,7 @@ are ordered inside a slice, and only one summary row per slice is ordered per ke
 from __future__ import annotations
 
 from millrace.plans.adhoc import page_frame, run_sql, total_rows
+from millrace.plans.paging import page_at
 from millrace.queries.common import path_of, session_with_tables, sql_query
 
 
@@ -16,6 +17,14 @@ def page_sql(spark, folder):
     return page_frame(df, page=2, page_size=50, order_by="o_orderkey")
 
 
+def page_deep(spark, folder):
+    """A page in the middle of all line items, found by counts per range of the sort key."""
+    items = session_with_tables(spark, folder, ["lineitem"]).table("lineitem").select(
+        "l_shipdate", "l_extendedprice", "l_orderkey")
+    return page_at(items, ["l_shipdate", "l_extendedprice", "l_orderkey"], items.count() // 2, 200,
+                   descending=("l_shipdate",), window_rows=5_000)
+
+
 def count_rows(spark, folder):
     text = "SELECT o_custkey FROM orders GROUP BY o_custkey -- one row per customer\n;"
     return total_rows(run_sql(spark, text, views={"orders": path_of(folder, "orders")}))
@@ -173,6 +182,12 @@ FROM lineitem GROUP BY ALL HAVING count(*) > 1
 """
 
 QUERIES = {
+    "page_deep": (
+        page_deep,
+        """SELECT l_shipdate, l_extendedprice, l_orderkey FROM lineitem
+           ORDER BY l_shipdate DESC, l_extendedprice, l_orderkey
+           LIMIT 200 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
+    ),
     "page_sql": (page_sql, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 51 OFFSET 100"),
     "count_rows": (count_rows, "SELECT count(DISTINCT o_custkey) AS total_rows FROM orders"),
     "file_functions": (
