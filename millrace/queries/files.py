@@ -70,13 +70,15 @@ def csv_evidence(spark, folder):
 
 
 def csv_quoted(spark, folder):
-    """Documents with quoted line ends, each file cut into ranges of 256 kB for its tasks."""
-    session = run_session(spark, {"spark.sql.files.maxPartitionBytes": "256kb"})
+    """Documents with quoted line ends, in files that are cut into at least 24 ranges together."""
+    session = run_session(spark)
     out = scratch(spark, "quoted")
     documents = session.read.parquet(path_of(folder, "documents")).select(
         "doc_id", F.replace(F.concat_ws("\n", "lang", "text", "source"), F.lit("\r"), F.lit(" ")).alias("body"),
         "n_chars")
     _write_csv(documents, out, ",")
+    part = min(128 << 20, max(1, storage.size_bytes(session, out) // 24))
+    session.conf.set("spark.sql.files.maxPartitionBytes", part)
     read = read_files(session, out, format="csv", schema="doc_id long, body string, n_chars long")
     return read.select("doc_id", F.sha2("body", 256).alias("body_sha256"), "n_chars")
 
