@@ -52,3 +52,4 @@ PROBE_ERROR = "Error: {reason}"
 
 REQUEUED = "Recovered after crash (stale heartbeat)"
 EXHAUSTED = "Failed after crash (stale heartbeat, no attempts left)"
+STRAY_RETURN = "{path} has a carriage return within a line, outside quotes: name its line ends by lineSep"

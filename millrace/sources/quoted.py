@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace import messages
+
 # Characters of a chunk: lines of one range that travel as one row. A longer line is a
 # chunk of its own.
 CHUNK_CHARS = 1 << 20
@@ -72,6 +74,17 @@ class Quotes:
         begins = [0, *(cut + 1 for cut in cuts)]
         return [text[b:e] for b, e in zip(begins, [*cuts, len(text)])], still
 
+    def stray(self, text: str, inside: bool) -> bool:
+        """Whether a carriage return stands outside quotes, other than at the end."""
+        if "\r" not in text[:-1]:
+            return False
+        at, text = 0, text.removesuffix("\r")
+        for start, end in self.spans(text, inside):
+            if "\r" in text[at:start]:
+                return True
+            at = len(text) if end is None else end
+        return "\r" in text[at:]
+
 
 def _chunks(batches, limit):
     """Lines of one range after another as ``file, block, number, text``."""
@@ -141,7 +154,8 @@ def quoted_records(
 ) -> DataFrame:
     """``file, heads, value``: every record of CSV files, ``heads`` for a file's first.
 
-    Quoted line ends stay as they are; an empty line outside quotes is no record. The text
+    Quoted line ends stay as they are; an empty line outside quotes is no record; a carriage
+    return within a line and outside quotes is an error, since it may end a line. The text
     is scanned three times, for the states of ranges, for whole records and for pieces of
     records that several chunks share; ranges are those of the file scan.
     """
@@ -171,6 +185,8 @@ def quoted_records(
         for batch in batches:
             for row in batch.to_pylist():
                 texts, still = quotes.pieces(row["text"], row["inside"])
+                if any(quotes.stray(text, row["inside"] and not i) for i, text in enumerate(texts)):
+                    raise ValueError(messages.STRAY_RETURN.format(path=row["file"]))
                 count = len(texts)
                 begins = [True] * count
                 begins[0] = not row["inside"]

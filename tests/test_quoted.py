@@ -86,3 +86,12 @@ def test_empty_files(small, tmp_path):
     (tmp_path / "a.csv").write_text("\n\n")
     assert quoted_records(small, [str(tmp_path / "a.csv")]).count() == 0
     assert read_quoted(small, [str(tmp_path / "a.csv")], schema="k long", **{**OPTIONS}).count() == 0
+
+
+def test_stray_carriage_returns_are_refused(small, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'k,v\r1,"a\rb"\r')
+    with pytest.raises(Exception, match="lineSep"):
+        quoted_records(small, [str(tmp_path / "a.csv")]).collect()
+    (tmp_path / "b.csv").write_bytes(b'k,v\r\n1,"a\r\nb"\r\n')
+    found = quoted_records(small, [str(tmp_path / "b.csv")])
+    assert rows(found.select("value")) == [('1,"a\r\nb"',), ("k,v",)]
