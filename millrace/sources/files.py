@@ -52,7 +52,8 @@ def read_files(
 
     ``**`` stands for folders at any depth; ``http(s)`` paths are fetched. A CSV file's
     delimiter is the one of ``, ; | tab`` that cuts its lines into as many fields as its
-    first line, a tie being an error, and quotes may span lines; a .json file may hold
+    first line, a tie being an error, and quotes may span lines; a file of a first line alone
+    takes the layout of others that begin with the same. A .json file may hold
     lines, an array or one indented object. Both are decided file by file in one pass over
     the text. Give ``schema`` and the options
     ``sep`` or ``multiLine`` for large text inputs: then no such pass is made. CSV files
@@ -187,12 +188,11 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
     def marks_in(text, mark):
         return F.length(text) - F.length(F.replace(text, F.lit(mark)))
 
-    bare = F.regexp_replace("value", '"[^"]*"', "")
+    lines, bare = _lines(spark, uris, lookup), F.regexp_replace("value", '"[^"]*"', "")
     cuts = [F.struct(F.lit(i).alias("rank"), (marks_in(bare, mark) + 1).alias("fields"))
             for i, mark in enumerate(_MARKS)]
     histogram = (
-        _lines(spark, uris, lookup)
-        .select("file", "place", (marks_in(F.col("value"), '"') % 2 == 1).alias("odd"), F.inline(F.array(*cuts)))
+        lines.select("file", "place", (marks_in(F.col("value"), '"') % 2 == 1).alias("odd"), F.inline(F.array(*cuts)))
         .groupBy("file", "rank", "fields")
         .agg(F.count_if(~F.col("odd")).alias("lines"), F.min_by("odd", "place").alias("first_odd"),
              F.min("place").alias("place"), F.max("odd").alias("odd"))
@@ -204,7 +204,7 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
         histogram.withColumn("head", head)
         .groupBy("file", "rank")
         .agg(F.first("head.fields").alias("fields"), F.first("head.first_odd").alias("head_odd"),
-             F.sum("lines").alias("rows"), F.max("odd").alias("odd"),
+             F.sum("lines").alias("rows"), F.max("odd").alias("odd"), F.min("place").alias("place"),
              F.sum(F.when(F.col("fields") == F.col("head.fields"), F.col("lines")).otherwise(0)).alias("agree"))
         .withColumn("rows", F.col("rows") - F.when(F.col("head_odd"), 0).otherwise(1))
         .withColumn("agree", F.col("agree") - F.when(F.col("head_odd"), 0).otherwise(1))
@@ -213,7 +213,7 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
     score = F.struct("agree", F.when(F.col("agree") == 0, F.col("fields")).otherwise(0).alias("fields"))
     many = F.col("fields") > 1
     found = evidence.groupBy("file").agg(
-        F.max("rows").alias("rows"), F.max("odd").alias("odd"),
+        F.max("rows").alias("rows"), F.max("odd").alias("odd"), F.min("place").alias("place"),
         F.max(F.when(many, score)).alias("best"),
         F.collect_list(F.when(many, F.struct(score.alias("score"), "rank"))).alias("several"),
         F.max(F.when(~many, F.struct("agree", (-F.col("rank")).alias("rank")))).alias("one"))
@@ -221,14 +221,39 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
     lone = F.col("best").isNull() | ((F.col("best.agree") == 0) & (F.col("rows") > 0) & ~F.col("odd")
                                      & (F.col("one.agree") == F.col("rows")))
     rank = F.when(lone, -F.col("one.rank")).when(F.size(top) == 1, top[0]["rank"])
-    layouts = _grouped(found.select(
-        "file", F.get(F.array(*map(F.lit, _MARKS)), rank).alias("sep"), F.col("odd").alias("many")))
+    decided = found.select(
+        "file", F.get(F.array(*map(F.lit, _MARKS)), rank).alias("sep"), F.col("odd").alias("many"),
+        ((F.col("rows") == 0) & ~F.col("odd")).alias("bare"), "place").collect()
+    if not fixed:
+        decided = _heads_alike(lines, decided)
+    layouts = _grouped(spark.createDataFrame(
+        [(r["file"], r["sep"], r["many"]) for r in decided], "file string, sep string, many boolean"))
     unsure = [files for sep, _, files in layouts if sep is None]
     if unsure and not fixed:
         raise ValueError(messages.DELIMITER_UNSURE.format(path=unsure[0][0]))
     return layouts or [("", False, uris)]
 
 
+def _heads_alike(lines: DataFrame, decided: list) -> list:
+    """``decided`` files; one of a first line alone, as a task without rows writes it, has
+    no evidence and takes the layout of the files with the same first line and with more."""
+    decided = [row.asDict() for row in decided]
+    if not any(r["bare"] for r in decided) or all(r["bare"] for r in decided):
+        return decided
+    places = lines.sparkSession.createDataFrame(
+        [(r["file"], r["place"]) for r in decided], lines.select("file", "place").schema)
+    heads = dict(lines.join(F.broadcast(places), ["file", "place"]).select("file", F.sha2("value", 256)).collect())
+    known: dict[str, set] = {}
+    for r in decided:
+        if not r["bare"]:
+            known.setdefault(heads[r["file"]], set()).add((r["sep"], r["many"]))
+    for r in decided:
+        others = known.get(heads[r["file"]], set())
+        if r["bare"] and len({sep for sep, _ in others}) == 1:
+            r["sep"], r["many"] = min(others)
+    return decided
+
+
 def _json_layouts(spark, uris, lookup) -> list[tuple[str, bool, list[str]]]:
     """JSON layouts with their files: lines, where the first line is a whole value."""
     heads = _lines(spark, uris, lookup).groupBy("file").agg(F.min_by("value", "place").alias("head"))

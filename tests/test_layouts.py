@@ -50,6 +50,24 @@ def test_a_delimiter_in_doubt_is_refused(spark, tmp_path):
     assert rows(given) == [(1, "2,3")]
 
 
+def test_a_first_line_alone_follows_files_that_begin_with_it(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("rank, word, and more|key|price\n")
+    with pytest.raises(ValueError, match="a.csv.*sep"):
+        read_files(spark, str(tmp_path), format="csv")
+    (tmp_path / "b.csv").write_text("rank, word, and more|key|price\n1, or HIGH|7|2.5\n")
+    found = read_files(spark, str(tmp_path), format="csv")
+    assert found.columns == ["rank, word, and more", "key", "price"] and rows(found) == [("1, or HIGH", 7, 2.5)]
+    # Here the first line by itself would be cut at commas.
+    (tmp_path / "c.csv").write_text("a, b, c|d\n")
+    (tmp_path / "d.csv").write_text('a, b, c|d\n"x\ny"|5\nz|6\n')
+    both = read_files(spark, [str(tmp_path / "c.csv"), str(tmp_path / "d.csv")])
+    assert both.columns == ["a, b, c", "d"] and rows(both) == [("x\ny", 5), ("z", 6)]
+    # Lines of its own decide, and files of other first lines say nothing.
+    (tmp_path / "e.csv").write_text("rank, word, and more|key|other\n")
+    with pytest.raises(ValueError, match="e.csv.*sep"):
+        read_files(spark, str(tmp_path), format="csv")
+
+
 def test_a_row_that_does_not_fit_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4,5\n")
     with pytest.raises(Exception, match="MALFORMED"):
