@@ -168,15 +168,21 @@ _MARKS = (",", ";", "|", "\t")
 
 
 def _lines(spark, uris, lookup) -> DataFrame:
-    """``file, place, value`` of every line with text; places order the lines of a file."""
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    """``file, block, line, value`` of every line with text; in a file, ranges follow each
+    other by ``block`` and the lines of a range by ``line``."""
     return (
         spark.read.options(**lookup).text(uris)
-        .select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"), "value")
         .where(F.trim("value") != "")
     )
 
 
+def _at_places(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The ``lines`` at ``places``, which are few: one for each file."""
+    return lines.join(F.broadcast(places), ["file", "block", "line"])
+
+
 def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[str]]]:
     """CSV layouts with their files.
 
@@ -191,12 +197,18 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
     lines, bare = _lines(spark, uris, lookup), F.regexp_replace("value", '"[^"]*"', "")
     cuts = [F.struct(F.lit(i).alias("rank"), (marks_in(bare, mark) + 1).alias("fields"))
             for i, mark in enumerate(_MARKS)]
-    histogram = (
-        lines.select("file", "place", (marks_in(F.col("value"), '"') % 2 == 1).alias("odd"), F.inline(F.array(*cuts)))
-        .groupBy("file", "rank", "fields")
-        .agg(F.count_if(~F.col("odd")).alias("lines"), F.min_by("odd", "place").alias("first_odd"),
-             F.min("place").alias("place"), F.max("odd").alias("odd"))
+    # Numbers only, which a hash aggregation takes; no text or struct is sorted or held.
+    ranges = (
+        lines.select("file", "block", "line", (marks_in(F.col("value"), '"') % 2 == 1).alias("odd"),
+                     F.inline(F.array(*cuts)))
+        .groupBy("file", "block", "rank", "fields")
+        .agg(F.count_if(~F.col("odd")).alias("lines"), F.min("line").alias("line"),
+             F.min(F.when(F.col("odd"), F.col("line"))).alias("odd_line"))
     )
+    place = F.struct("block", "line")
+    histogram = ranges.groupBy("file", "rank", "fields").agg(
+        F.sum("lines").alias("lines"), F.min_by(F.col("line").eqNullSafe(F.col("odd_line")), place).alias("first_odd"),
+        F.min(place).alias("place"), F.max(F.col("odd_line").isNotNull()).alias("odd"))
     # Few rows each: the different numbers of fields in one file by one delimiter.
     same = Window.partitionBy("file", "rank")
     head = F.min_by(F.struct("fields", "first_odd"), "place").over(same)
@@ -222,12 +234,11 @@ def _dialects(spark, uris, lookup, fixed: bool) -> list[tuple[str, bool, list[st
                                      & (F.col("one.agree") == F.col("rows")))
     rank = F.when(lone, -F.col("one.rank")).when(F.size(top) == 1, top[0]["rank"])
     decided = found.select(
-        "file", F.get(F.array(*map(F.lit, _MARKS)), rank).alias("sep"), F.col("odd").alias("many"),
+        "file", _as_path(F.col("file")).alias("path"), F.get(F.array(*map(F.lit, _MARKS)), rank).alias("sep"), F.col("odd").alias("many"),
         ((F.col("rows") == 0) & ~F.col("odd")).alias("bare"), "place").collect()
     if not fixed:
         decided = _heads_alike(lines, decided)
-    layouts = _grouped(spark.createDataFrame(
-        [(r["file"], r["sep"], r["many"]) for r in decided], "file string, sep string, many boolean"))
+    layouts = _grouped(decided)
     unsure = [files for sep, _, files in layouts if sep is None]
     if unsure and not fixed:
         raise ValueError(messages.DELIMITER_UNSURE.format(path=unsure[0][0]))
@@ -241,8 +252,8 @@ def _heads_alike(lines: DataFrame, decided: list) -> list:
     if not any(r["bare"] for r in decided) or all(r["bare"] for r in decided):
         return decided
     places = lines.sparkSession.createDataFrame(
-        [(r["file"], r["place"]) for r in decided], lines.select("file", "place").schema)
-    heads = dict(lines.join(F.broadcast(places), ["file", "place"]).select("file", F.sha2("value", 256)).collect())
+        [(r["file"], *r["place"]) for r in decided], "file string, block long, line long")
+    heads = dict(_at_places(lines, places).select("file", F.sha2("value", 256)).collect())
     known: dict[str, set] = {}
     for r in decided:
         if not r["bare"]:
@@ -256,16 +267,19 @@ def _heads_alike(lines: DataFrame, decided: list) -> list:
 
 def _json_layouts(spark, uris, lookup) -> list[tuple[str, bool, list[str]]]:
     """JSON layouts with their files: lines, where the first line is a whole value."""
-    heads = _lines(spark, uris, lookup).groupBy("file").agg(F.min_by("value", "place").alias("head"))
-    return _grouped(heads.select("file", F.lit("").alias("sep"), F.get_json_object("head", "$").isNull().alias("many"))
-                    ) or [("", False, uris)]
+    lines = _lines(spark, uris, lookup)
+    ranges = lines.groupBy("file", "block").agg(F.min("line").alias("line"))
+    places = ranges.groupBy("file").agg(F.min(F.struct("block", "line")).alias("place")).select("file", "place.*")
+    many = F.get_json_object("value", "$").isNull().alias("many")
+    heads = _at_places(lines, places).select(_as_path(F.col("file")).alias("path"), F.lit("").alias("sep"), many)
+    return _grouped(heads.collect()) or [("", False, uris)]
 
 
-def _grouped(found: DataFrame) -> list[tuple[str, bool, list[str]]]:
+def _grouped(found: list) -> list[tuple[str, bool, list[str]]]:
     """Files by layout; the driver gets one name per file, as for any scan."""
     layouts: dict[tuple, list[str]] = {}
-    for row in found.select("sep", "many", _as_path(F.col("file")).alias("file")).orderBy("file").collect():
-        layouts.setdefault((row["sep"], row["many"]), []).append(row["file"])
+    for row in sorted(found, key=lambda row: row["path"]):
+        layouts.setdefault((row["sep"], row["many"]), []).append(row["path"])
     ordered = sorted(layouts.items(), key=lambda item: (item[0][0] or "", item[0][1]))
     return [(*layout, files) for layout, files in ordered]
 

@@ -122,3 +122,22 @@ def test_unreadable_paths_are_told(spark, tmp_path):
     ((_, column, error),) = rows(
         describe_files(spark, [f"{tmp_path}/none"], errors=True).select("path", "column", "error"))
     assert column is None and "none" in error
+
+
+def test_layouts_are_decided_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """The table of lines is aggregated over numbers, in hash tables of few keys."""
+    from pyspark.sql import DataFrame
+
+    from millrace.sources import files
+
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    (tmp_path / "a.csv").write_text("k,v\n" + "1,2\n" * 9)
+    (tmp_path / "a.json").write_text('{"k": 1}\n' * 9)
+    uri = f"file:{tmp_path}/a"
+    assert [layout[:2] for layout in files._dialects(spark, [f"{uri}.csv"], {}, False)] == [(",", False)]
+    assert [layout[:2] for layout in files._json_layouts(spark, [f"{uri}.json"], {})] == [("", False)]
+    for plan in plans:
+        # What is above the scan, up to the first shuffle.
+        below = plan.split("== Physical Plan ==")[1].rsplit("Exchange", 1)[1]
+        assert "HashAggregate" in below and "Sort" not in below
