@@ -23,13 +23,15 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace import messages
 from millrace.errors import PluginError
+from millrace.session import cut_lineage
 from millrace.spec import NAME_PATTERN
 
 Plugin = Callable[[pa.Table, dict[str, Any]], pa.Table]
@@ -39,6 +41,8 @@ DEFAULT_CHUNK_ROWS = 100_000
 HELD_STATES = 10_000
 # Tasks whose states are merged in one further task, where all rows have one state.
 MERGED_STATES = 256
+# Rows of a group that are joined with its state in one task, where states are exchanged.
+GROUP_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -295,24 +299,27 @@ def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
         raise PluginError(f"Plugin '{name}': state columns {sorted(taken)} are input columns")
     named = [f"_key{i}" for i in range(len(keys))]
     keyed = StructType([StructField(n, df.schema[k].dataType) for n, k in zip(named, keys)])
+    counted = StructType([StructField("_state_rows", LongType())] if keys else [])
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[pa.Table, pa.Table]] = {}
+        held: dict[bytes, tuple[pa.Table, pa.Table, int]] = {}
         for batch in batches:
             table = shape.given([batch])
             for key, rows in _by_key(table, keys):
-                mark = repr(key.to_pylist()).encode()
+                mark, count = repr(key.to_pylist()).encode(), rows.num_rows
                 made = plugin.partial(rows, params)
                 if mark in held:
                     made = plugin.merge(pa.concat_tables([held[mark][1], made]), params)
-                held[mark] = key, made
+                    count += held[mark][2]
+                held[mark] = key, made, count
             if len(held) > HELD_STATES:
                 yield from _joined(held.values(), named)
                 held = {}
         yield from _joined(held.values(), named)
 
     def merged(table: pa.Table) -> pa.Table:
-        made = plugin.merge(table.drop_columns(named), params)
+        made = plugin.merge(table.drop_columns([*named, "_state_rows"]), params).append_column(
+            "_state_rows", pa.array([pc.sum(table["_state_rows"]).as_py()], pa.int64()))
         for i, n in enumerate(named):
             made = made.add_column(i, n, table.column(n).slice(0, 1))
         return made
@@ -328,11 +335,10 @@ def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
                     table = table.append_column(n, repeated.column(n))
             yield from shape.conform(name, plugin.finish(table, params)).to_batches()
 
-    partial = df.mapInArrow(states, StructType(keyed.fields + state.fields))
+    partial = df.mapInArrow(states, StructType(keyed.fields + state.fields + counted.fields))
     if keys:
         found = partial.groupBy(*named).applyInArrow(merged, partial.schema)
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)])
-        ready = df.join(found, same, "left").drop(*named)
+        ready = _with_states(df, found, keys, named)
     else:
         # One state for each task, one for each run of neighbouring tasks, then one in all.
         def merged_run(table: pa.Table) -> pa.Table:
@@ -347,6 +353,36 @@ def _run_staged(df, name, plugin, params, shape, keys, chunk_rows):
     return ready.mapInArrow(finish, shape.spark_schema)
 
 
+def _with_states(df, found, keys, named) -> DataFrame:
+    """Rows beside the state of their group.
+
+    States are written first, so the planner knows whether they are small and broadcasts
+    them: rows stay where they are. Many or large states are exchanged, and then rows of a
+    group with more than ``GROUP_ROWS`` are dealt out to copies of its state.
+    """
+    if "void" not in found.schema.simpleString():
+        # Names of states may be no names of a file's columns. A column without a type is not written at all.
+        plain = [f"_state{i}" for i in range(len(found.columns) - len(named) - 1)]
+        found = cut_lineage(found.toDF(*named, *plain, "_state_rows")).toDF(*found.columns)
+    parts = F.ceil(F.col("_state_rows") / GROUP_ROWS)
+    hot = found.where(parts > 1).select(*[F.col(n).alias(f"_hot{n}") for n in named], parts.alias("_parts"))
+
+    def same(others):
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, others)])
+
+    if hot.isEmpty():
+        found, own = found.drop("_state_rows"), same(named)
+    else:
+        # At most one entry for each GROUP_ROWS rows.
+        marks = [f"_hot{n}" for n in named]
+        salt = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_parts"), F.lit(1)))
+        df = df.join(F.broadcast(hot), same(marks), "left").withColumn("_salt", salt).drop(*marks, "_parts")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))
+        found = found.withColumn("_copy", copies).drop("_state_rows")
+        own = same(named) & (F.col("_salt") == F.col("_copy"))
+    return df.join(found, own, "left").drop(*named, "_salt", "_copy")
+
+
 def _by_key(table: pa.Table, keys) -> Iterator[tuple[pa.Table, pa.Table]]:
     """The key (one row) and rows of every group; nulls and NaNs are keys like others."""
     if not keys:
@@ -364,7 +400,9 @@ def _by_key(table: pa.Table, keys) -> Iterator[tuple[pa.Table, pa.Table]]:
 
 
 def _joined(held, named) -> Iterator[pa.RecordBatch]:
-    for key, state in held:
+    for key, state, count in held:
         for i, n in enumerate(named):
             state = state.add_column(i, n, key.column(i))
+        if named:
+            state = state.append_column("_state_rows", pa.array([count], pa.int64()))
         yield from state.to_batches()

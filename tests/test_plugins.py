@@ -1,6 +1,9 @@
+from collections import Counter
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark import TaskContext
 
 from millrace.errors import PluginError
 from millrace.operators.plugins import PluginRegistry, StagedPlugin, plugin_step, row_chunks
@@ -172,3 +175,27 @@ def test_a_state_of_any_type_in_both_modes(spark):
     assert len(whole) == 50 and {r["shown"] for r in whole} == {"[(0.0, 25), (1.0, 25)]"}
     grouped = plugin_step(df, {"function": "part", "group_by": ["k"]}, registry).collect()
     assert {(r["k"], r["shown"]) for r in grouped} == {(0.0, "[(0.0, 25)]"), (1.0, "[(1.0, 25)]")}
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_rows_of_a_large_group_do_not_meet_in_one_task(spark, monkeypatch, threshold):
+    from millrace.operators import plugins
+    from millrace.session import run_session
+
+    def told(table, params):
+        task = pa.array([TaskContext.get().partitionId()] * table.num_rows, pa.int64()) if table.num_rows \
+            else pa.array([], pa.int64())
+        return table.select(["k", "v", "sum"]).append_column("task", task)
+
+    monkeypatch.setattr(plugins, "GROUP_ROWS", 100, raising=False)
+    session = run_session(spark, {"spark.sql.autoBroadcastJoinThreshold": threshold,
+                                  "spark.sql.adaptive.autoBroadcastJoinThreshold": threshold,
+                                  "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    data = [("a", i) for i in range(3000)] + [("b", 1), (None, 2), (None, 3)]
+    df = session.createDataFrame(data, "k string, v long").repartition(6)
+    registry = PluginRegistry({"part": StagedPlugin(total, add, told)})
+    got = plugin_step(df, {"function": "part", "group_by": ["k"], "chunk_rows": 100}, registry).collect()
+    assert sorted((r["k"] or "", r["v"], r["sum"]) for r in got) == sorted(
+        [("a", i, sum(range(3000))) for i in range(3000)] + [("b", 1, 1), ("", 2, 5), ("", 3, 5)])
+    tasks = Counter(r["task"] for r in got if r["k"] == "a")
+    assert len(tasks) > 3 and max(tasks.values()) < 1500
