@@ -6,10 +6,16 @@ import base64
 import io
 import json
 import posixpath
+import re
+import shutil
+import tempfile
 import time
 import urllib.error
 import urllib.request
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import Any, BinaryIO, TextIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -23,6 +29,8 @@ from millrace import messages
 FORMAT_NAME = "millrace_http"
 TIMEOUT_SECONDS = 10
 FETCH_TIMEOUT_SECONDS = 300
+# Characters of JSON that a task has as records at a time.
+CHUNK_CHARS = 1 << 22
 
 
 # Endings of a URL's path; an answer of any other is JSON.
@@ -81,10 +89,11 @@ def _common_schema(spark: SparkSession, urls, headers, fmt, timeout) -> StructTy
 
     def describe(batches):
         for batch in batches:
-            found = [
-                decode(fetch(url, headers, timeout), fmt, url).schema.serialize().to_pybytes()
-                for url in batch.column("url").to_pylist()
-            ]
+            found = []
+            for url in batch.column("url").to_pylist():
+                with fetched(url, headers, timeout) as body:
+                    schema = _unified(table.schema for table in decode(body, fmt, url))
+                found.append(schema.serialize().to_pybytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("position"), pa.array(found, pa.binary())], ["position", "found"])
 
@@ -156,36 +165,130 @@ def probe_http(config: dict, opener=urllib.request.urlopen) -> dict:
     return answer(False, messages.PROBE_ERROR.format(reason="no answer"))
 
 
-def fetch(url: str, headers: dict[str, str], timeout: float = FETCH_TIMEOUT_SECONDS) -> bytes:
+@contextmanager
+def fetched(url: str, headers: dict[str, str], timeout: float = FETCH_TIMEOUT_SECONDS) -> Iterator[BinaryIO]:
+    """A response body in a file of its task; no connection is held while rows are made."""
     request = urllib.request.Request(url, headers=headers)
-    with urllib.request.urlopen(request, timeout=timeout) as response:
-        return response.read()
+    with tempfile.TemporaryFile() as body:
+        with urllib.request.urlopen(request, timeout=timeout) as response:
+            shutil.copyfileobj(response, body)
+        body.seek(0)
+        yield body
 
 
-def decode(body: bytes, fmt: str, url: str, schema: pa.Schema | None = None) -> pa.Table:
-    """One response body as an Arrow table; JSON takes a schema where its values fit."""
+def decode(body: BinaryIO, fmt: str, url: str, schema: pa.Schema | None = None) -> Iterator[pa.Table]:
+    """One response body as Arrow tables; JSON comes in several, of about ``CHUNK_CHARS`` of
+    text each, and takes a schema where its values fit."""
     if fmt == "parquet":
         import pyarrow.parquet as pq
 
-        return pq.read_table(io.BytesIO(body))
-    if fmt == "csv":
+        yield pq.read_table(body)
+    elif fmt == "csv":
         import pyarrow.csv as pc
 
         tab = url.lower().partition("?")[0].endswith(".tsv")
-        return pc.read_csv(io.BytesIO(body),
-                           parse_options=pc.ParseOptions(delimiter="\t" if tab else ","))
-    text = body.decode("utf-8")
+        yield pc.read_csv(body, parse_options=pc.ParseOptions(delimiter="\t" if tab else ","))
+    elif schema is None:
+        for records in json_chunks(body):
+            yield pa.Table.from_pylist(_with_all_fields(records))
+    else:
+        found = None
+        for records in json_chunks(body):
+            try:
+                yield pa.Table.from_pylist(records, schema=schema)
+                continue
+            except (pa.ArrowInvalid, pa.ArrowTypeError):
+                pass  # Values such as numbers in texts are cast from what they are in all the body.
+            if found is None:
+                place = body.tell()
+                found = _unified(table.schema for table in decode(body, fmt, url))
+                body.seek(place)
+            yield pa.Table.from_pylist(records, schema=found)
+
+
+def _unified(schemas: Iterable[pa.Schema]) -> pa.Schema:
+    whole = pa.schema([])
+    for schema in schemas:
+        whole = pa.unify_schemas([whole, schema], promote_options="permissive")
+    return whole
+
+
+def json_chunks(body: BinaryIO) -> Iterator[list]:
+    """The records of a JSON body in lists of about ``CHUNK_CHARS`` of text: the elements
+    of an array, the values of lines, or one value over lines."""
+    body.seek(0)
+    held, size = [], 0
+    for record, length in _json_values(body):
+        held.append(record)
+        size += length
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _json_values(body: BinaryIO) -> Iterator[tuple[Any, int]]:
+    """Every record with the length of its text."""
+    text = io.TextIOWrapper(body, encoding="utf-8")
     try:
-        value = json.loads(text)
-    except json.JSONDecodeError:
-        value = [json.loads(line) for line in text.splitlines() if line.strip()]
-    records = value if isinstance(value, list) else [value]
-    if schema is not None:
+        start = " "
+        while start and not start.strip():
+            start = text.read(1)
+        text.seek(0)
+        yield from _elements(text) if start == "[" else _line_values(text)
+    finally:
+        text.detach()
+
+
+def _line_values(text: TextIO) -> Iterator[tuple[Any, int]]:
+    first = True
+    while line := text.readline():
+        if not line.strip():
+            continue
+        try:
+            yield json.loads(line), len(line)
+        except json.JSONDecodeError:
+            if first:
+                # No lines but one value over several, which is held whole.
+                text.seek(0)
+                line = text.read()
+            try:
+                yield json.loads(line), len(line)
+            except json.JSONDecodeError:
+                for part in line.splitlines():
+                    if part.strip():
+                        yield json.loads(part), len(part)
+        first = False
+
+
+def _elements(text: TextIO) -> Iterator[tuple[Any, int]]:
+    """The elements of one array, of which a block of text is held at a time."""
+    space, decoder = re.compile(r"[ \t\n\r]*"), json.JSONDecoder()
+    while text.read(1) != "[":
+        pass
+    held, at, ended, comma = text.read(CHUNK_CHARS), 0, False, False
+    while True:
+        at = space.match(held, at).end()
+        if at < len(held) and held[at] == "]" and not comma:
+            break
         try:
-            return pa.Table.from_pylist(records, schema=schema)
-        except (pa.ArrowInvalid, pa.ArrowTypeError):
-            pass  # Values such as numbers in texts are cast from what they are.
-    return pa.Table.from_pylist(_with_all_fields(records))
+            value, end = decoder.raw_decode(held, at)
+            after = space.match(held, end).end()
+            # A number may go on in the next block.
+            if held[after : after + 1] not in (",", "]"):
+                raise json.JSONDecodeError("Expecting ',' delimiter", held, after)
+        except json.JSONDecodeError:
+            if ended:
+                raise
+            more = text.read(max(CHUNK_CHARS, len(held) - at))
+            held, at, ended = held[at:] + more, 0, not more
+            continue
+        yield value, end - at
+        comma = held[after] == ","
+        at = after + comma
+    if (held[at + 1 :] + text.read()).strip():
+        raise json.JSONDecodeError("Extra data", held, at + 1)
 
 
 def _with_all_fields(records: list[dict]) -> list[dict]:
@@ -223,11 +326,11 @@ class HttpReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         wanted = to_arrow_schema(self.schema)
-        body = fetch(partition.url, self.headers, self.timeout)
-        table = decode(body, self.body, partition.url, wanted)
-        columns = [
-            table[f.name].cast(f.type) if f.name in table.column_names
-            else pa.nulls(table.num_rows, f.type)
-            for f in wanted
-        ]
-        yield from pa.Table.from_arrays(columns, schema=wanted).to_batches()
+        with fetched(partition.url, self.headers, self.timeout) as body:
+            for table in decode(body, self.body, partition.url, wanted):
+                columns = [
+                    table[f.name].cast(f.type) if f.name in table.column_names
+                    else pa.nulls(table.num_rows, f.type)
+                    for f in wanted
+                ]
+                yield from pa.Table.from_arrays(columns, schema=wanted).to_batches()

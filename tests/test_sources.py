@@ -3,6 +3,7 @@ import io
 import json
 import urllib.error
 
+import pyarrow as pa
 import pytest
 
 from millrace.sources import (
@@ -228,3 +229,45 @@ def test_answers_of_changing_shape_keep_every_column(spark, tmp_path):
     assert rows(df.select("id", "level", "late", "at.a", "at.b", "new"), "id") == [
         (1, 3.0, None, None, None, None), (2, None, "x", None, None, None),
         (3, 2.5, None, 1, None, None), (4, None, None, None, "y", True)]
+
+
+def chunks_of(text, monkeypatch, chars):
+    from millrace.sources import http
+
+    monkeypatch.setattr(http, "CHUNK_CHARS", chars)
+    return list(http.json_chunks(io.BytesIO(text.encode())))
+
+
+@pytest.mark.parametrize("text, records", [
+    ('{"a": 1}\n\n{"a": 2.5, "b": "x y"}\r\n{"a": null}', [{"a": 1}, {"a": 2.5, "b": "x y"}, {"a": None}]),
+    ('\n [ {"a": 1} ,{"a": [1, 2]}\n, {"b": "],["}]\n', [{"a": 1}, {"a": [1, 2]}, {"b": "],["}]),
+    ("[1.25, -3e5, 12345, true]", [1.25, -3e5, 12345, True]),
+    ('{\n "a": [\n  1\n ]\n}\n', [{"a": [1]}]),
+    ("[]", []), ("", []),
+])
+def test_json_bodies_are_read_in_chunks(monkeypatch, text, records):
+    for chars in (1, 3, 7, 1 << 22):
+        chunks = chunks_of(text, monkeypatch, chars)
+        assert [r for chunk in chunks for r in chunk] == records
+        assert len(chunks) == (len(records) if chars == 1 else len(chunks))
+
+
+@pytest.mark.parametrize("text", ["[1, 2", "[1,]", "[1 2]", "[1] 2", '{"a": 1}\n{"a"', '[{"a": 1},\n'])
+def test_broken_json_bodies_fail(monkeypatch, text):
+    for chars in (1, 1 << 22):
+        with pytest.raises(json.JSONDecodeError):
+            chunks_of(text, monkeypatch, chars)
+
+
+def test_chunks_of_a_body_have_one_schema(monkeypatch):
+    from millrace.sources import http
+
+    monkeypatch.setattr(http, "CHUNK_CHARS", 1)
+    body = io.BytesIO(b'{"a": 1, "s": {"x": null}}\n{"s": {"y": []}, "b": 2}\n{"a": 2.5, "s": {"y": [3]}}')
+    found = http._unified(table.schema for table in http.decode(body, "json", "u"))
+    assert found == pa.schema([("a", pa.float64()), ("s", pa.struct([("x", pa.null()), ("y", pa.list_(pa.int64()))])),
+                               ("b", pa.int64())])
+    # Texts of numbers are those of the type that all the body has.
+    told = list(http.decode(body, "json", "u", pa.schema([("a", pa.string())])))
+    assert [t["a"].cast(pa.string()).to_pylist() for t in told] == [["1"], [None], ["2.5"]]
+    assert {t.schema.field("a").type for t in told if t["a"].null_count == 0} == {pa.float64()}
