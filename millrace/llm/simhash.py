@@ -41,6 +41,8 @@ _ROWS, _LINKS = 16_384, 4
 _SHINGLES_AT_ONCE = 1 << 16
 # Sets of up to this many shingles have their smallest hashes as keys.
 SHORT = 64
+# Text of one cluster that a task compares with as much again, and what a text counts besides.
+PIECE_BYTES, _TEXT_BYTES = 1 << 20, 500
 
 
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> np.ndarray:
@@ -140,12 +142,10 @@ def set_prints(docs: DataFrame, words: int, similarity: float, id_column="doc_id
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose ``texts`` (``fp``, ``text``) have sets of shingles
-    with at least that Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    known = cut_lineage(texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
-    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("text").alias("one")), "a").join(
-        known.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+    """The ``pairs`` (``a``, ``b``) whose ``texts`` (``fp``, ``text``, one of each) have sets
+    of shingles with at least that Jaccard similarity."""
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("one")), "a").join(
+        texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
 
     def run(batches):
         for batch in batches:
@@ -160,6 +160,63 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+def linked_within(members: DataFrame, texts: DataFrame, words: int, similarity: float,
+                  piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Links ``a, b`` between ``members`` (``fp``, ``root``, ``cluster``) of a cluster with
+    different roots whose ``texts`` (``fp``, ``text``, one of each) have sets of shingles
+    with at least that Jaccard similarity: enough to connect all such pairs.
+
+    A text goes to its cluster once, not to each of its pairs. A cluster of more than two
+    pieces' bytes is cut, and two pieces meet in a task of their own."""
+    weight = F.length("text") + _TEXT_BYTES
+    known = cut_lineage(members.join(texts, "fp"))
+    size = known.groupBy("cluster").agg(F.sum(weight).alias("n"))
+    large = cut_lineage(size.where(F.col("n") > 2 * piece_bytes).select(
+        "cluster", F.ceil(F.col("n") / piece_bytes).cast("int").alias("g")))
+    dealt = known.join(large, "cluster", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn(
+        "p", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = dealt.select("cluster", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"),
+                        "p", "fp", "root", "text")
+    return rows.groupBy("cluster", "lo", "hi").applyInArrow(
+        _linked(words, similarity), "a long, b long").distinct()
+
+
+def _linked(words, similarity):
+    def run(rows: pa.Table) -> pa.Table:
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        names, piece = rows.column("fp").to_numpy(), rows.column("p").to_numpy()
+        groups = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+        sets = [shingles(t.as_py(), words) for t in rows.column("text")]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        # Which rows have a shingle: ``owner`` from ``first`` on, ``often`` of them.
+        _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+        first = np.cumsum(often) - often
+        ones, others = [], []
+        for i in range(len(sets) - 1):
+            open_ = groups != groups[i]
+            open_[: i + 1] = False
+            if lo < hi:
+                open_ &= piece != piece[i]
+            if not open_.any():
+                continue
+            own = token[ends[i] - sizes[i] : ends[i]]
+            n = often[own]
+            at = np.arange(n.sum()) + np.repeat(first[own] - np.cumsum(n) + n, n)
+            shared = np.bincount(owner[at], minlength=len(sets))
+            alike_ = (shared > 0) & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)
+            for j in np.flatnonzero(open_ & alike_):
+                if groups[j] != groups[i]:
+                    groups[groups == groups[j]] = groups[i]
+                    ones.append(i)
+                    others.append(j)
+        return pa.table({"a": pa.array(names[ones], pa.int64()), "b": pa.array(names[others], pa.int64())})
+
+    return run
+
+
 def pigeonholes(blocks: int, distance: int) -> list[tuple[int, int]]:
     """Keys for one lane, as (lane, mask): all choices of the blocks that fingerprints
     within ``distance`` bits must agree in."""
@@ -282,9 +339,9 @@ def close_links(prints: DataFrame, keys: list[tuple[int, int]], near: int, wide:
 
 def apart_pairs(prints: DataFrame, keys: list[tuple[int, int]], wide: tuple[int, int], compared: int,
                 piece: int = PIECE) -> DataFrame:
-    """All pairs ``a, b`` with different ``root`` that share a key and differ in at most
-    ``wide`` of the bits of the first ``compared`` lanes."""
-    return _meet(_keyed(prints, keys, piece, [F.col("fp"), *_lanes_of(compared), F.col("root")]), _all_apart(wide))
+    """Pairs ``a, b`` with different ``root`` that share a key and differ in at most ``wide``
+    of the bits of the first ``compared`` lanes: enough to connect all such pairs."""
+    return _meet(_keyed(prints, keys, piece, [F.col("fp"), *_lanes_of(compared), F.col("root")]), _apart(wide))
 
 
 def _keyed(prints, keys, piece, columns):
@@ -355,21 +412,31 @@ def _pairs(names, one, other):
     return np.stack([names[one], names[other]], 1)
 
 
-def _connect(near, wide):
-    def forest(names, bits, wide):
-        """Each fingerprint with a near one found before it, and which have a wide one."""
-        left, doubt, out = np.arange(len(names)), np.zeros(len(names), bool), []
-        while len(left):
-            front, left = left[:1], left[1:]
-            while len(front) and len(left):
-                far = _distances(bits, left, front[:1])
-                doubt[left[far <= wide]] = True
-                doubt[front[0]] |= bool((far <= wide).any())
-                new = left[far <= near]
-                out.append(_pairs(names, np.full(len(new), front[0]), new))
-                front, left = np.concatenate([front[1:], new]), left[far > near]
-        return out, doubt
+def _forest(names, close):
+    """Links that connect all close names: each with one found before it."""
+    left, out = np.arange(len(names)), []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            near = close(front[0], left)
+            new = left[near]
+            out.append(_pairs(names, np.full(len(new), front[0]), new))
+            front, left = np.concatenate([front[1:], new]), left[~near]
+    return out
+
+
+def _thinned(names, size, begin, one, other, forest):
+    """Links ``one, other`` of short runs where they are few; else, and of long runs, a ``forest``."""
+    owner = np.repeat(np.arange(len(size)), size)
+    many = np.bincount(owner[one], minlength=len(size)) > _LINKS * size
+    kept = ~many[owner[one]]
+    out = [_pairs(names, one[kept], other[kept])]
+    for i in np.flatnonzero(many | (size > _FEW)):
+        out += forest(i, slice(begin[i], begin[i] + size[i]))
+    return out
+
 
+def _connect(near, wide):
     def found(begin, size, short, held):
         names, bits = held[0], held[1:].view(np.uint64)
         limit = np.repeat(np.array(wide)[short], size)
@@ -379,39 +446,44 @@ def _connect(near, wide):
             within = far <= limit[one]
             doubt[one[within]] = doubt[other[within]] = True
             links.append(np.stack([one[far <= near], other[far <= near]]))
-        one, other = np.concatenate(links, axis=1)
-        owner = np.repeat(np.arange(len(size)), size)
-        many = np.bincount(owner[one], minlength=len(size)) > _LINKS * size
-        kept = ~many[owner[one]]
-        out = [_pairs(names, one[kept], other[kept])]
-        for i in np.flatnonzero(many | (size > _FEW)):
-            run = slice(begin[i], begin[i] + size[i])
-            edges, doubtful = forest(names[run], bits[:, run], wide[short[i]])
-            out += edges
-            doubt[run] |= doubtful
+
+        def forest(i, run):
+            held, doubtful = bits[:, run], doubt[run]
+
+            def close(at, left):
+                far = _distances(held, left, [at])
+                within = far <= wide[short[i]]
+                doubtful[left[within]] = True
+                doubtful[at] |= bool(within.any())
+                return far <= near
+
+            return _forest(names[run], close)
+
+        out = _thinned(names, size, begin, *np.concatenate(links, axis=1), forest)
         lone = np.flatnonzero(doubt)
         return [*out, np.unique(_pairs(names, lone, lone), axis=0)]
 
     return found
 
 
-def _all_apart(wide):
+def _apart(wide):
     def found(begin, size, short, held):
         names, bits, roots = held[0], held[1:-1].view(np.uint64), held[-1]
-        limit, out = np.repeat(np.array(wide)[short], size), []
-
-        def keep(one, other):
+        limit, links = np.repeat(np.array(wide)[short], size), [np.zeros((2, 0), np.int64)]
+        for one, other in _shifted(size):
             at = np.flatnonzero(roots[one] != roots[other])
             at = at[_distances(bits, one[at], other[at]) <= limit[one[at]]]
-            out.append(_pairs(names, one[at], other[at]))
+            links.append(np.stack([one[at], other[at]]))
 
-        for one, other in _shifted(size):
-            keep(one, other)
-        for i in np.flatnonzero(size > _FEW):
-            end = begin[i] + size[i]
-            for at in range(begin[i], end - 1):
-                keep(np.full(end - at - 1, at), np.arange(at + 1, end))
-        return out
+        def forest(i, run):
+            held, root = bits[:, run], roots[run]
+
+            def close(at, left):
+                return (root[left] != root[at]) & (_distances(held, left, [at]) <= wide[short[i]])
+
+            return _forest(names[run], close)
+
+        return _thinned(names, size, begin, *np.concatenate(links, axis=1), forest)
 
     return found
 
@@ -454,28 +526,32 @@ def _classes(rooted: DataFrame) -> DataFrame:
 # four deviations: its first number is for keys of blocks, its second for keys of short sets,
 # under which all pairs of short sets meet. ``near`` is for links that are tried first, so
 # that a large group is joined before all its pairs are. Keys come from all ``lanes``,
-# comparisons use the first ``compared``.
-WIDE = {"words": 5, "lanes": 8, "compared": 4, "near": 47, "wide": (63, 78), "blocks": 5, "similarity": 0.8}
+# comparisons use the first ``compared``. What is still apart then is told by all ``lanes``:
+# ``apart`` are the same two numbers of 512 bits, by five deviations.
+WIDE = {"words": 5, "lanes": 8, "compared": 4, "near": 47, "wide": (63, 78), "apart": (119, 146), "blocks": 5,
+        "similarity": 0.8}
 
 
 def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, lanes: int, compared: int,
-            near: int, wide: tuple[int, int], blocks: int, similarity: float) -> DataFrame:
+            near: int, wide: tuple[int, int], apart: tuple[int, int], blocks: int, similarity: float) -> DataFrame:
     """Like :func:`near_duplicates`, for texts linked by their sets of shingles: every
     link has at least that Jaccard similarity.
 
-    Candidates come from the bits, in an order that keeps few the pairs whose texts are
-    compared: first, of the links that connect what is near, one for each text; then those
-    whose ends are still apart; at last, among texts that have another within ``wide``,
-    all pairs still apart. Tables on the way are removed.
+    Candidates come from the bits, in an order that keeps few the texts that are compared:
+    first, of the links that connect what is near, one for each text; then those whose ends
+    are still apart. At last, texts that have another within ``wide`` and links within
+    ``apart`` to texts still apart from them make clusters, and in each cluster all pairs
+    still apart are compared, with every text there once. Tables on the way are removed.
     """
     tables: list[str] = []
     with collected_cuts(tables):
         made = cut_lineage(set_prints(docs, words, similarity, id_column, text_column, lanes))
         first = cut_lineage(made.groupBy("fp").agg(
             F.min("id").alias("first"), F.first("bits").alias("bits"), F.first("few").alias("few")))
-        keys, texts = wide_blocks(lanes, blocks), made.select("fp", "text")
+        keys = wide_blocks(lanes, blocks)
         met = cut_lineage(close_links(first, keys, near, wide, compared))
-        edges, doubtful = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("fp"))
+        edges, doubtful = met.where("a <> b"), cut_lineage(met.where("a = b").select(F.col("a").alias("fp")))
+        texts = cut_lineage(made.select("fp", "text").join(doubtful, "fp", "left_semi").dropDuplicates(["fp"]))
 
         def rooted(links):
             roots = components(links)
@@ -491,8 +567,14 @@ def similar(docs: DataFrame, *, id_column: str, text_column: str, words: int, la
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         linked = cut_lineage(alike(cut_lineage(one), texts, words, similarity))
         linked = cut_lineage(linked.unionByName(alike(still_apart(rooted(linked)), texts, words, similarity)))
-        left = cut_lineage(apart_pairs(first.join(rooted(linked), "fp"), keys, wide, compared))
-        roots = components(linked.unionByName(alike(left, texts, words, similarity)))
+        left = rooted(linked)
+        far = cut_lineage(apart_pairs(first.join(left, "fp"), keys, apart, lanes))
+        apart_ones = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        clusters = components(far).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+        members = left.join(apart_ones, "fp").join(clusters, "fp", "left").select(
+            "fp", "root", F.coalesce("cluster", "fp").alias("cluster"))
+        within = cut_lineage(linked_within(members, texts, words, similarity))
+        roots = components(linked.unionByName(within))
         named = first.select("fp", "first").join(roots, first.fp == roots.node, "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root"))
         classes = _classes(cut_lineage(named))

@@ -79,3 +79,45 @@ def test_keys_with_many_texts_are_cut(spark):
     rooted = frame.selectExpr("*", "fp % 3 AS root")
     whole, cut = ({tuple(x) for x in simhash.apart_pairs(rooted, keys, (63, 78), 4, piece=p).collect()} for p in (10_000, 10))
     assert whole == cut == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark):
+    """Prints that are all close and all apart are connected by a few links each."""
+    r = random.Random(6)
+    base = [r.getrandbits(63) for _ in range(8)]
+    for size in (50, 400):
+        prints = [(i, [x ^ 1 << r.randrange(63) for x in base], [], i) for i in range(size)]
+        frame = spark.createDataFrame(prints, "fp long, bits array<bigint>, few array<bigint>, root long")
+        got = {tuple(x) for x in simhash.apart_pairs(frame, [(0, 0)], (63, 78), 4).collect()}
+        assert len(got) < 5 * size
+        assert {r["node"] for r in simhash.components(spark.createDataFrame(list(got), "a long, b long")).collect()} == set(range(1, size))
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 40_000, 3_000])
+def test_clusters_are_compared_whole_or_in_pieces(spark, piece_bytes):
+    """All links between texts of a cluster that are still apart, and none of another cluster."""
+    r, rows = random.Random(7), []
+    for cluster in range(2):
+        base = [f"x{i}" for i in range(60)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(r.randint(1, 4)):
+                words[r.randrange(len(words))] = f"{r.getrandbits(40):x}"
+            rows.append((len(rows), " ".join(words)))
+    rows.append((80, ""))
+    _, edges = _components(rows)
+    cluster = [i // 40 % 2 for i in range(81)]
+    root = [i - i % 3 for i in range(81)]
+    wanted = [(i, j) for i, j in edges if cluster[i] == cluster[j] and root[i] != root[j]]
+    members = spark.createDataFrame([(i, root[i], cluster[i]) for i in range(81)], "fp long, root long, cluster long")
+    texts = spark.createDataFrame(rows, "fp long, text string")
+    got = {tuple(x) for x in simhash.linked_within(members, texts, 5, 0.8, piece_bytes).collect()}
+    assert got and {(min(x), max(x)) for x in got} <= set(wanted) and (piece_bytes < 1 << 20 or len(got) < 81)
+
+    def classes(links):
+        names = list(root)
+        for i, j in links:
+            names = [names[i] if x == names[j] else x for x in names]
+        return {tuple(i for i in range(81) if names[i] == x) for x in names}
+
+    assert classes(got) == classes(wanted)
